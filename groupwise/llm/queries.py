@@ -1,6 +1,9 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
+from .chat_format import OP6_SQL, op6_chat_format
+from .decontaminate import OP9_SQL, op9_benchmark_decontamination
+from .license_scan import op8_license_scan
 from .near_dedup import op1_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op6_chat_format, op8_license_scan, op9_benchmark_decontamination)}
+ORACLE: dict[str, str] = {"op6_chat_format": OP6_SQL, "op9_benchmark_decontamination": OP9_SQL}
