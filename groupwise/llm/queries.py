@@ -2,10 +2,12 @@
 
 from .chat_format import OP6_SQL, op6_chat_format
 from .decontaminate import OP9_SQL, op9_benchmark_decontamination
+from .html_extract import op10_html_extract
 from .license_scan import op8_license_scan
 from .lm_score import op2_lm_score
 from .near_dedup import op1_simhash_near_dedup
 from .packing import op5_length_packing
+from .pii import op4_pii_skip_chain
 from .topk_codes import OP7_SQL, op7_exact_topk_codes
 from .toxicity import op3_toxicity
 
@@ -15,11 +17,13 @@ QUERIES = {
         op1_simhash_near_dedup,
         op2_lm_score,
         op3_toxicity,
+        op4_pii_skip_chain,
         op5_length_packing,
         op6_chat_format,
         op7_exact_topk_codes,
         op8_license_scan,
         op9_benchmark_decontamination,
+        op10_html_extract,
     )
 }
 ORACLE = {"op6_chat_format": OP6_SQL, "op7_exact_topk_codes": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
