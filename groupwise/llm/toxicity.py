@@ -111,7 +111,7 @@ class Model:
 
     def evidence(self, n: int, found: list[Segment], significant: float) -> tuple[float, int]:
         sure = [e for e in (self.expected(s.score, n) for s in found) if e < significant]
-        return sum(-math.log(max(e, 1e-300)) for e in sure), len(sure)
+        return sum((-math.log(max(e, 1e-300)) for e in sure), 0.0), len(sure)
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.log1p(evidence) + self.shift, -40, 40)))
