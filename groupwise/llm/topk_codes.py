@@ -34,12 +34,17 @@ def segment_bounds(bits: int, parts: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
+def segment_width(n: int) -> int:
+    """Bits of a segment for n distinct codes: somewhat below log2 n, so that most probed values are in use, in steps, so that tables of like size are searched alike."""
+    return next(w for w, most in ((10, 12), (13, 18), (16, 24), (20, 64)) if math.log2(max(n, 2)) <= most)
+
+
 def search(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, parts: int | None = None) -> DataFrame:
     """(query_id, rank, id, distance) for queries (id, code) among codes (id, code)."""
     codes, queries = codes.select("id", "code").where("code is not null"), keep(queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).where("code is not null"))
     index = _bounded(codes, k)
     n = index.count()
-    parts = parts or max(1, math.ceil(bits / min(20, max(4, math.ceil(math.log2(max(n, 2)))))))
+    parts = parts or math.ceil(bits / segment_width(n))
     if not math.ceil(bits / 20) <= parts <= bits:
         raise ValueError("segments have 1 to 20 bits")  # a segment's probes are all its values at most
     cuts = segment_bounds(bits, parts)
