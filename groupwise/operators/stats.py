@@ -101,10 +101,10 @@ def completeness(df: DataFrame, columns: Sequence[str], group: str | None = None
 
 def weighted_moments(df: DataFrame, columns: Sequence[str], weight: str, tiny: float = 1e-12) -> DataFrame:
     """(feature, n, weight, mean, std): std is 1 where the variance is tiny or nothing is there, mean then 0. Two passes, centred."""
-    long = df.select(weight, *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]).unpivot([weight], list(columns), "feature", "value")
-    w, v = F.when(F.col("value").isNotNull(), F.col(weight)), F.col("value")
+    long = df.select(F.col(weight).alias("_w"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]).unpivot(["_w"], list(columns), "feature", "value")
+    w, v = F.when(F.col("value").isNotNull(), F.col("_w")), F.col("value")
     means = long.groupBy("feature").agg(F.count(v).alias("n"), F.coalesce(F.sum(w), F.lit(0.0)).alias("weight"), F.coalesce(F.sum(w * v) / F.sum(w), F.lit(0.0)).alias("mean"))
-    centred = long.withColumnRenamed(weight, "_w").join(F.broadcast(means), "feature")  # one row a feature
+    centred = long.join(F.broadcast(means), "feature")  # one row a feature
     var = F.sum(F.when(v.isNotNull(), F.col("_w") * (v - F.col("mean")) ** 2)) / F.nullif(F.first("weight"), F.lit(0.0))
     return centred.groupBy("feature").agg(F.first("n").alias("n"), F.first("weight").alias("weight"), F.first("mean").alias("mean"), F.when(var > tiny * tiny, F.sqrt(var)).otherwise(1.0).alias("std"))
 
@@ -135,8 +135,8 @@ def next_value(df: DataFrame, by: Sequence[str], order: str, out: str, parts: in
 
 def weighted_median(df: DataFrame, columns: Sequence[str], weight: str) -> DataFrame:
     """(feature, median): the smallest value whose cumulative weight reaches half. Equal values are summed first."""
-    long = df.select(weight, *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]).unpivot([weight], list(columns), "feature", "value").where("value is not null")
-    per = long.groupBy("feature", "value").agg(F.sum(weight).alias("w"))
+    long = df.select(F.col(weight).alias("_w"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]).unpivot(["_w"], list(columns), "feature", "value").where("value is not null")
+    per = long.groupBy("feature", "value").agg(F.sum("_w").alias("w"))
     total = per.groupBy("feature").agg(F.sum("w").alias("total"))
     run = running_sum(per, ["feature"], ["value"], "w", "cum").join(F.broadcast(total), "feature")
     return run.where(F.col("cum") >= 0.5 * F.col("total") * (1 - 1e-12)).groupBy("feature").agg(F.min("value").alias("median"))
