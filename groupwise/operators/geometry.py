@@ -49,7 +49,8 @@ def minhash_nearest(query: DataFrame, train: DataFrame, key: str, bits: str = "b
     from pyspark.ml.feature import MinHashLSH
     from pyspark.ml.functions import array_to_vector
 
-    vec = lambda d: d.where(F.size(bits) > 0).select(key, array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(bits, i).cast("double"))).alias("v"))
+    # Stored first: else the optimizer would compute the bits anew for each of the vector's places.
+    vec = lambda d: stored(d.select(key, bits)).where(F.size(bits) > 0).select(key, array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(bits, i).cast("double"))).alias("v"))
     a, b = vec(query), vec(train)
     model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=tables, seed=7).fit(b)
     pairs = model.approxSimilarityJoin(a, b, distance, "d").groupBy(F.col(f"datasetA.{key}").alias(key)).agg((1 - F.min("d")).alias("nearest"))

@@ -279,32 +279,32 @@ def _(spark, sf):
 
 @add("m3_ridge")
 def _(spark, sf):
-    r = records(spark, sf)
-    p = models.fit_preprocessor(r.where("flag = 'A'"), COLUMNS, "qty")
-    model = models.fit_ridge(models.apply_preprocessor(r.where("flag = 'A'"), p, COLUMNS), COLUMNS, "y", "qty")
+    r = records(spark, sf).withColumn("w", F.col("qty"))
+    p = models.fit_preprocessor(r.where("flag = 'A'"), COLUMNS, "w")
+    model = models.fit_ridge(models.apply_preprocessor(r.where("flag = 'A'"), p, COLUMNS), COLUMNS, "y", "w")
     return models.predict(model, models.apply_preprocessor(r.where("flag = 'R'"), p, COLUMNS), COLUMNS, ["record", "grp", "y"], "ridge")
 
 
 @add("m4_boosted_trees")
 def _(spark, sf):
-    r = records(spark, sf)
+    r = records(spark, sf).withColumn("w", F.col("qty"))
     cols = ["qty", "discount", "price", "psize"]
-    model = models.fit_trees(r.where("flag = 'A'"), cols, "y", "qty", iterations=5, depth=4)
+    model = models.fit_trees(r.where("flag = 'A'"), cols, "y", "w", iterations=5, depth=4)
     return models.predict(model, r.where("flag = 'R'"), cols, ["record", "grp", "y"], "trees")
 
 
 @add("a40_block_importance")
 def _(spark, sf):
     cols = ["qty", "discount", "price", "psize"]
-    model = models.fit_trees(records(spark, sf).where("flag = 'A'"), cols, "y", "qty", iterations=3, depth=3)
+    model = models.fit_trees(records(spark, sf).withColumn("w", F.col("qty")).where("flag = 'A'"), cols, "y", "w", iterations=3, depth=3)
     gains = spark.createDataFrame(models.importance(model, cols), "feature string, gain double")
     return metrics.block_importance(gains, spark.createDataFrame([("qty", "order"), ("discount", "order"), ("price", "part"), ("psize", "part")], "feature string, block string"))
 
 
 @add("m5_train_matrix")
 def _(spark, sf):
-    r = records(spark, sf).withColumn("iid", F.when(F.col("flag") == "A", "train").when(F.col("flag") == "R", "val").otherwise("test"))
-    out = models.train_matrix(r, {"iid": "iid"}, {"small": ["qty", "discount"], "full": ["qty", "discount", "price"]}, ["record", "grp"], "y", "qty")
+    r = records(spark, sf).withColumn("w", F.col("qty")).withColumn("iid", F.when(F.col("flag") == "A", "train").when(F.col("flag") == "R", "val").otherwise("test"))
+    out = models.train_matrix(r, {"iid": "iid"}, {"small": ["qty", "discount"], "full": ["qty", "discount", "price"]}, ["record", "grp"], "y", "w")
     return models.evaluate(out, "grp")
 
 
@@ -312,15 +312,15 @@ def _(spark, sf):
 def _(spark, sf):
     from groupwise.operators import splits
 
-    r = records(spark, sf)
-    folds = splits.unit_folds(r, "donor", "y", "qty", 3, 5)
-    return models.cross_fit(r, folds, "donor", "record", ["qty", "price"], "y", "qty", 3)
+    r = records(spark, sf).withColumn("w", F.col("qty"))
+    folds = splits.unit_folds(r, "donor", "y", "w", 3, 5)
+    return models.cross_fit(r, folds, "donor", "record", ["qty", "price"], "y", "w", 3)
 
 
 @add("m7_bootstrap_ensemble")
 def _(spark, sf):
-    r = records(spark, sf)
-    out = models.bootstrap_ensemble(r.where("flag = 'A'"), r.where("flag = 'R'"), "donor", "record", ["qty", "price"], "y", "qty", 3)
+    r = records(spark, sf).withColumn("w", F.col("qty"))
+    out = models.bootstrap_ensemble(r.where("flag = 'A'"), r.where("flag = 'R'"), "donor", "record", ["qty", "price"], "y", "w", 3)
     return metrics.ensemble(out.where("member >= 0"), "record")
 
 
