@@ -38,6 +38,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def hash_share(df: DataFrame, key: str, n: float) -> DataFrame:
+    """About n rows of df: those whose hash of the key lies in the lowest n-th of its range. A filter in the scan: no task sorts or sends candidates."""
+    total = df.count()
+    if total <= n:
+        return df
+    return df.where(F.xxhash64(key) <= F.lit(int(-(1 << 63) + (1 << 64) * (n / total))))
+
+
 def by_bytes(batch: pa.RecordBatch | pa.Table, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch | pa.Table]:
     """Slices of about `most` bytes of text, so that memory does not follow the batch size; one very long text is a slice of its own."""
     if not batch.num_rows:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from .common import by_bytes
+from .common import by_bytes, hash_share
 
 PATH, WORDS, RATIOS = 96, 32, 6
 DIM = PATH + WORDS + RATIOS
@@ -277,7 +277,8 @@ def examples(pages: list[str], times: int, seed: int = 7, longest: int = 48) ->
 
 def learn(pages: DataFrame, sample_pages: int = 240, times: int = 4, epochs: int = 6) -> Labeller:
     """pages: (id, html)."""
-    rows = pages.where(F.col("html").isNotNull()).select(F.xxhash64("id").alias("h"), "id", "html").orderBy("h", "id").limit(sample_pages).collect()
+    some = hash_share(pages.where(F.col("html").isNotNull()), "id", 1.5 * sample_pages)
+    rows = some.select(F.xxhash64("id").alias("h"), "id", "html").orderBy("h", "id").limit(sample_pages).collect()
     model = Labeller()
     data = examples([r.html for r in rows], times)
     if data:
