@@ -11,7 +11,7 @@ Base spans are clamped to their kind. Loopy sum-product message passing runs for
 becomes a span of a kind if that kind's belief reaches `sure`. So what is clear in one place is marked in the others.
 
 A key's nodes form a chain in order of place, so the edges grow with the nodes, however often a token repeats. Whole texts are
-read; what is learned comes from at most `sample_docs` documents (those with the smallest hash of the id; a documented bound).
+read; what is learned comes from about `sample_docs` documents (those with the smallest hashes of the id; a documented bound).
 
 Null or empty text: no spans. Repeated rows are found alike. Empty table: no rows.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from .common import by_bytes
+from .common import by_bytes, hash_share
 
 #: The kinds in their order, and the patterns, in forms that scan in linear time and find the same places.
 KINDS = ("email", "ip", "card", "phone")
@@ -197,9 +197,7 @@ def learn(docs: DataFrame, sample_docs: int = 4000, steps: int = 200) -> Field:
                     rows += [(1 + int(s), kind[a] * labels + kind[b], "", 1) for (a, b), s in zip(pairs, sort, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())], names=["what", "value", "shape", "n"])
 
-    some = docs.orderBy(F.xxhash64("id"), "id").select("id").limit(sample_docs)
-    rows = docs.join(some.distinct().hint("broadcast"), "id", "left_semi")
-    got = rows.mapInArrow(sample, "what int, value int, shape string, n long").groupBy("what", "value", "shape").agg(F.sum("n").alias("n")).collect()
+    got = hash_share(docs, "id", sample_docs).mapInArrow(sample, "what int, value int, shape string, n long").groupBy("what", "value", "shape").agg(F.sum("n").alias("n")).collect()
     unary, pair = np.zeros((N_SHAPE, labels)), np.ones((3, labels, labels)) + 4 * np.eye(labels)
     seen = [r for r in got if r.what == 0]
     for r in got:
