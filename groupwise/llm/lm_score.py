@@ -124,7 +124,7 @@ REQUEST = "level int, bucket int, block int, keys binary, counts binary"
 ANSWER = "level int, bucket int, block int, counts binary, types long, tokens long, texts long"
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, order: int = 2, add: float = 0.1, prior: float = 2000.0, block_chars: int = 1 << 24) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, order: int = 2, add: float = 0.1, prior: float = 200.0, block_chars: int = 1 << 24) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; rows with held_out true are not learned from."""
     held_out = F.lit(False) if held_out is None else held_out
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
