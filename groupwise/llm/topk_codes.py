@@ -3,6 +3,7 @@
 A code is cut into `parts` segments. Round s looks up every segment value at exactly s changed bits of the query's. A code at
 Hamming distance below parts * (s + 1) has a segment with at most s changed bits, so after round s all codes that near have been
 seen. A query is done when its k-th verified distance is covered; only the others take part in the next round, so the search is exact.
+A code farther than the k-th distance found so far is dropped inside the join, as it cannot be among the nearest.
 
 Equal codes are searched once: the index holds each distinct code with its smallest k + 1 ids, which are all a top-k list can need.
 A pair is verified once, by the first segment with the fewest changed bits; nothing is deduplicated by a shuffle.
@@ -51,7 +52,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, pa
     piece = lambda c, a, b: F.shiftrightunsigned(F.col(c), a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
     segment = lambda c: F.array(*[F.struct(F.lit(j).alias("part"), piece(c, a, b).alias("value")) for j, (a, b) in enumerate(cuts)])
     posted = keep(index.select("code", "ids", F.inline(segment("code"))))
-    left = keep(queries.select("q").distinct())
+    left = keep(queries.select("q").distinct().withColumn("far", F.lit(bits)))  # far: nothing beyond it can be among the nearest
     best = None  # the k + 1 nearest ids so far of each query code
     done = []
     for s in range(max(b - a for a, b in cuts) + 1):
@@ -59,22 +60,23 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, pa
         flips = {w: [sum(1 << i for i in c) for c in combinations(range(w), s)] for w in widths}
         flips = {w: [m - (1 << 64) if m >> 63 else m for m in ms] for w, ms in flips.items()}
         changed = F.concat(*[F.transform(F.array(*[F.lit(m).cast("long") for m in flips[b - a]]) if flips[b - a] else F.array().cast("array<bigint>"), _flip(j, piece("q", a, b))) for j, (a, b) in enumerate(cuts)])
-        probes = left.select("q", F.inline(changed))
+        probes = left.select("q", "far", F.inline(changed))
         apart = [F.bit_count(piece("q", a, b).bitwiseXOR(piece("code", a, b))) for a, b in cuts]
         first = F.lit(True)
         for j, d in enumerate(apart):  # no segment is nearer, and no earlier one as near
             first = first & F.when(F.col("part") > j, d > s).otherwise(d >= s)
-        met = probes.join(posted.hint("shuffle_merge"), ["part", "value"]).where(first).select("q", "ids", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
+        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        met = probes.join(posted.hint("shuffle_merge"), ["part", "value"]).where((distance <= F.col("far")) & first).select("q", "ids", distance.alias("distance"))
         met = met.select("q", "distance", F.explode("ids").alias("id"))
         if best is not None:
             met = met.unionAll(best)
         best = keep(met.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("distance", "id"))).where(F.col("r") <= k + 1).drop("r"))
         # The k + 1 nearest are final if the last of them is covered; otherwise the code goes on. Every code within the bound has been seen.
-        covered = best.groupBy("q").agg(F.max("distance").alias("far"), F.count("*").alias("n")).where((F.col("n") > k) & (F.col("far") < parts * (s + 1))).select("q")
-        covered = keep(covered)
+        reach = keep(best.groupBy("q").agg(F.max("distance").alias("far"), F.count("*").alias("n")).where(F.col("n") > k).select("q", "far"))
+        covered = keep(reach.where(F.col("far") < parts * (s + 1)).select("q"))
         done.append(best.join(covered.hint("shuffle_merge"), "q", "left_semi"))
         best = keep(best.join(covered.hint("shuffle_merge"), "q", "left_anti"))
-        left = keep(left.join(covered.hint("shuffle_merge"), "q", "left_anti"))
+        left = keep(left.select("q").join(covered.hint("shuffle_merge"), "q", "left_anti").join(reach.hint("shuffle_merge"), "q", "left").select("q", F.coalesce("far", F.lit(bits)).alias("far")))
         if left.isEmpty():
             break
     found = best
