@@ -12,7 +12,8 @@ expected number over its significant segments, and a one-variable logistic fit t
 
 All labelled rows are used; what reaches the driver is the feature table (bounded by max_features) and histograms of at most 4096 bins.
 Of labels given twice, one counts. Copies and near copies among the labelled texts count once. Null or empty text: no tokens, evidence 0. Repeated rows are scored alike. Empty tables: no rows, or
-a score of 0.5 without anything learned. Whole texts are scored, in slices of bounded memory.
+a score of 0.5 without anything learned (no labels, or one class only). A text is predicted toxic only if it holds a significant passage,
+so nothing is predicted toxic, and the pipeline keeps all documents, when nothing was learned. Whole texts are scored, in slices of bounded memory.
 """
 
 from __future__ import annotations
@@ -252,7 +253,7 @@ def toxicity(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = learn(keep(training_rows(docs, labels, ~held)))
     scored = score_texts(docs, model)
-    return scored.withColumns({"held_out": held, "predicted": (F.col("score") >= 0.3).cast("int")})
+    return scored.withColumns({"held_out": held, "predicted": ((F.col("score") >= 0.3) & (F.col("n_passages") > 0)).cast("int")})
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
