@@ -65,19 +65,29 @@ def identity_bundle(table: DataFrame, cluster: str, by: Sequence[str] = ()) -> D
     return one.join(worst, list(by)) if by else one.crossJoin(worst)
 
 
-def kendall(df: DataFrame, x: str, y: str, key: str, exact_rows: int = 4000) -> DataFrame:
-    """Tau-b. Up to exact_rows rows all pairs count; beyond, the exact_rows rows with the smallest hash of the key do (documented sample; n_used tells).
-
-    Pairs are made block by block: rows are dealt to 16 blocks and block pairs are the join key, so no task sees all pairs."""
-    rows = df.select(F.col(x).alias("x"), F.col(y).alias("y"), F.sha2(F.col(key).cast("string"), 256).alias("h")).where("x is not null and y is not null").orderBy("h").limit(exact_rows)
-    blocks = 16
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("h"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-    left = rows.select("x", "y", "h", F.col("b").alias("p"), every.alias("q"))
-    right = rows.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("h").alias("h2"), F.col("b").alias("q"), every.alias("p"))
-    s = F.signum(F.col("x").cast("double") - F.col("x2")) * F.signum(F.col("y").cast("double") - F.col("y2"))
-    pairs = left.hint("shuffle_hash").join(right, ["p", "q"]).where("h < h2")
-    return pairs.agg(F.sum(s).alias("num"), F.count_if(F.col("x") != F.col("x2")).alias("nx"), F.count_if(F.col("y") != F.col("y2")).alias("ny"), F.count("*").alias("pairs")).select((F.col("num") / F.nullif(F.sqrt(F.col("nx").cast("double") * F.col("ny")), F.lit(0.0))).alias("tau_b"), ((1 + F.sqrt(1 + 8.0 * F.col("pairs"))) / 2).cast("long").alias("n_used"))
+def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Tau-b over all pairs of rows, exactly; rows without x or y are left out, n_used counts the others.
+
+    Equal (x, y) are counted first and x becomes its rank. Two ranks differ first in one bit: for each bit, cells with the same higher bits
+    meet, those with the bit 0 against those with 1, and running sums along y count the pairs in and out of order. No pair is made."""
+    from groupwise.plans.tables import stored
+
+    cells = stored(df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("n")))
+    ranks = stored(running_sum(cells.select("x").distinct().withColumn("one", F.lit(1)), [], ["x"], "one", "r").select("x", (F.col("r") - 1).alias("r")))
+    levels = max(1, ranks.count().bit_length())
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+    ranked = cells.join(ranks.hint("shuffle_hash"), "x").select("r", "y", "n", level)
+    bit = F.expr("shiftright(r, level) & 1")
+    sides = ranked.withColumn("prefix", F.expr("shiftright(r, level + 1)")).groupBy("level", "prefix", "y").agg(F.sum(F.when(bit == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(bit == 1, F.col("n")).otherwise(0)).alias("n1"))
+    run = running_sum(sides, ["level", "prefix"], ["y"], "n0", "c0")
+    total = sides.groupBy("level", "prefix").agg(F.sum("n0").alias("t0"))
+    signed = (F.col("n1") * (2 * F.col("c0") - F.col("n0") - F.col("t0"))).cast("decimal(20,0)")
+    num = run.join(total.hint("shuffle_hash"), ["level", "prefix"]).agg(F.sum(signed).cast("double").alias("num"))
+    squares = lambda c: cells.groupBy(c).agg(F.sum("n").alias("k")).agg(F.sum(F.col("k").cast("decimal(19,0)") * F.col("k").cast("decimal(19,0)")).alias(f"t{c}"), F.sum("k").alias(f"n{c}"))
+    one = num.crossJoin(squares("x")).crossJoin(squares("y"))
+    n2 = F.col("nx").cast("decimal(19,0)") * F.col("nx").cast("decimal(19,0)")
+    free = lambda c: ((n2 - F.col(f"t{c}")) / 2).cast("double")
+    return one.select((F.col("num") / F.nullif(F.sqrt(free("x") * free("y")), F.lit(0.0))).alias("tau_b"), F.coalesce("nx", F.lit(0).cast("long")).alias("n_used"))
 
 
 def strata_metrics(df: DataFrame, strata: Mapping[str, Column], group: str, by: Sequence[str] = (), least_records: int = 50, least_groups: int = 30) -> DataFrame:

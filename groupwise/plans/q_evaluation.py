@@ -43,10 +43,13 @@ def _(spark, sf):
     return metrics.identity_bundle(metrics.identity_table(predictions(spark, sf), "donor", "grp", ["model"]), "donor", ["model"])
 
 
-@add("a21_kendall", R + """, s AS (SELECT qty AS x, y, sha256(record) AS h FROM records WHERE donor < 8 ORDER BY h LIMIT 1000), p AS (SELECT sign(a.x - b.x) * sign(a.y - b.y) AS s, a.x <> b.x AS nx, a.y <> b.y AS ny FROM s a JOIN s b ON a.h < b.h)
-SELECT sum(s) / sqrt(CAST(count(*) FILTER (WHERE nx) AS DOUBLE) * count(*) FILTER (WHERE ny)) AS tau_b, (SELECT count(*) FROM s) AS n_used FROM p""", "tau_b")
+@add("a21_kendall", R + """, c AS (SELECT qty AS x, y, count(*) AS n FROM records WHERE qty IS NOT NULL AND y IS NOT NULL GROUP BY qty, y), t AS (SELECT DISTINCT x FROM c),
+w AS (SELECT t.x, c.y, coalesce(sum(n) FILTER (c.x = t.x), 0) AS n1, coalesce(sum(n) FILTER (c.x < t.x), 0) AS n0 FROM c JOIN t ON c.x <= t.x GROUP BY t.x, c.y),
+r AS (SELECT *, sum(n0) OVER (PARTITION BY x ORDER BY y) AS c0, sum(n0) OVER (PARTITION BY x) AS t0 FROM w),
+kx AS (SELECT sum(n) AS k FROM c GROUP BY x), ky AS (SELECT sum(n) AS k FROM c GROUP BY y), m AS (SELECT sum(n) AS k FROM c)
+SELECT CAST((SELECT sum(n1 * (2 * c0 - n0 - t0)) FROM r) AS DOUBLE) / sqrt(CAST(k * k - (SELECT sum(k * k) FROM kx) AS DOUBLE) / 2 * CAST(k * k - (SELECT sum(k * k) FROM ky) AS DOUBLE) / 2) AS tau_b, k::BIGINT AS n_used FROM m""", "tau_b")
 def _(spark, sf):
-    return metrics.kendall(records(spark, sf).where("donor < 8"), "qty", "y", "record", 1000)
+    return metrics.kendall(records(spark, sf), "qty", "y")
 
 
 @add("a23_strata", P + """, l AS (SELECT 'flag' AS dimension, flag AS stratum, model, grp, abs_err FROM predictions UNION ALL SELECT 'line', CAST(line AS VARCHAR), model, grp, abs_err FROM predictions), g AS (SELECT dimension, stratum, model, grp, count(*) AS n, avg(abs_err) AS m FROM l GROUP BY ALL)
