@@ -31,10 +31,12 @@ def nearest_similarity(query: DataFrame, train: DataFrame, key: str, bits: str =
     left, right = ordered(q), ordered(t)
     found = None
     for low in (0.8, 0.5, 0.2, 0.0):
-        prefix = lambda d: d.select("id", "n", "bs", F.explode(F.slice("bs", 1, F.greatest(F.lit(1), F.least(F.col("n"), F.col("n") - F.ceil(F.lit(low) * F.col("n")).cast("int") + 1)))).alias("bit"))
-        a, b = prefix(left), prefix(right).withColumnsRenamed({"id": "id2", "n": "n2", "bs": "bs2"})
+        prefix = lambda d: d.select("id", "n", F.explode(F.slice("bs", 1, F.greatest(F.lit(1), F.least(F.col("n"), F.col("n") - F.ceil(F.lit(low) * F.col("n")).cast("int") + 1)))).alias("bit"))
+        a, b = prefix(left), prefix(right).withColumnsRenamed({"id": "id2", "n": "n2"})
         close = (F.col("n2") >= F.lit(low) * F.col("n")) & (F.col("n") >= F.lit(low) * F.col("n2"))
-        met = a.join(b.hint("shuffle_merge"), "bit").where(close).withColumn("sim", tanimoto(F.col("bs"), F.col("bs2")))
+        pairs = a.join(b.hint("shuffle_merge"), "bit").where(close).select("id", "id2").distinct()  # sets that share many bits are compared once
+        sides = pairs.join(left.select("id", "bs").hint("shuffle_merge"), "id").join(right.select(F.col("id").alias("id2"), F.col("bs").alias("bs2")).hint("shuffle_merge"), "id2")
+        met = sides.withColumn("sim", tanimoto(F.col("bs"), F.col("bs2")))
         best = stored(met.groupBy("id").agg(F.max("sim").alias("nearest")).where((F.col("nearest") >= low) & (F.col("nearest") > 0)))
         found = best if found is None else found.union(best)
         left = stored(left.join(best.select("id"), "id", "left_anti"))

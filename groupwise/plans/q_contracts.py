@@ -142,10 +142,9 @@ def _(spark, sf):
     return c.first_truth(r.select("record"), {"aux": r.select("record", F.col("aux").alias("v")), "tax": r.select("record", F.col("tax").alias("v"))}, "record", "v")
 
 
-@add("p27_fingerprint_size", "SELECT doc_id, CASE WHEN length(text) >= 3 THEN (SELECT count(DISTINCT text[i:i+2]) FROM (SELECT unnest(range(1, length(text) - 1)) AS i)) WHEN length(text) > 0 THEN 1 ELSE 0 END AS n_grams FROM documents WHERE n_chars <= 400")
+@add("p27_fingerprint_size", "SELECT doc_id, CASE WHEN length(text) >= 3 THEN (SELECT count(DISTINCT text[i:i+2]) FROM (SELECT unnest(range(1, length(text) - 1)) AS i)) WHEN length(text) > 0 THEN 1 ELSE 0 END AS n_grams FROM documents")
 def _(spark, sf):
-    small = table(spark, sf, "documents").where("n_chars <= 400")
-    return small.select("doc_id", F.size(s.fingerprint(F.col("text"), 3, 1 << 40)).cast("long").alias("n_grams"))
+    return table(spark, sf, "documents").select("doc_id", F.size(s.fingerprint(F.col("text"), 3, 1 << 40)).cast("long").alias("n_grams"))
 
 
 @add("p29_lists", R + " SELECT donor, list_aggregate(list_sort(list(DISTINCT flag)), 'string_agg', ';') AS flags, len(list(DISTINCT flag)) AS n FROM records GROUP BY donor")

@@ -34,11 +34,11 @@ def _(spark, sf):
 
 
 def _bits(spark, sf):
-    docs = table(spark, sf, "documents").where("n_chars <= 400").select("doc_id", "lang", "text")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
     return docs.withColumn("bits", s.fingerprint(F.col("text"), 3, 1 << 40))
 
 
-GRAMS = "WITH d AS (SELECT doc_id, lang, text FROM documents WHERE n_chars <= 400), g AS (SELECT DISTINCT doc_id, lang, text[i:i+2] AS gram FROM (SELECT *, unnest(range(1, greatest(length(text) - 1, 2))) AS i FROM d WHERE length(text) > 0)), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)"
+GRAMS = "WITH d AS (SELECT doc_id, lang, text FROM documents), g AS (SELECT DISTINCT doc_id, lang, text[i:i+2] AS gram FROM (SELECT *, unnest(range(1, greatest(length(text) - 1, 2))) AS i FROM d WHERE length(text) > 0)), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)"
 
 
 @add("j10_nearest_similarity", GRAMS + ", p AS (SELECT a.doc_id, b.doc_id AS other, count(*) AS i FROM g a JOIN g b USING (gram) WHERE a.doc_id % 3 = 0 AND b.doc_id % 3 <> 0 GROUP BY a.doc_id, b.doc_id), s AS (SELECT p.doc_id, max(i / (na.n + nb.n - i)) AS nearest FROM p JOIN n na ON p.doc_id = na.doc_id JOIN n nb ON other = nb.doc_id GROUP BY p.doc_id) SELECT doc_id, coalesce(nearest, 0) AS nearest FROM d LEFT JOIN s USING (doc_id) WHERE doc_id % 3 = 0", "nearest")
@@ -49,7 +49,7 @@ def _(spark, sf):
 
 @add("j10_minhash_nearest")
 def _(spark, sf):
-    b = table(spark, sf, "documents").where("n_chars <= 400").select("doc_id", s.fingerprint(F.col("text"), 3, 512).alias("bits"))
+    b = table(spark, sf, "documents").select("doc_id", s.fingerprint(F.col("text"), 3, 512).alias("bits"))
     return geometry.minhash_nearest(b.where("doc_id % 3 = 0"), b.where("doc_id % 3 <> 0"), "doc_id", size=512)
 
 

@@ -42,7 +42,7 @@ def _(spark, sf):
 @add("x1_transitive_units")
 def _(spark, sf):
     """Texts that share a word of ten letters or more, transitively."""
-    words = table(spark, sf, "documents").where("n_chars <= 400").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{10,}"), F.lit(0))).alias("w"))
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{10,}"), F.lit(0))).alias("w"))
     return splits.components(words, "doc_id", "w")
 
 
@@ -126,7 +126,7 @@ def _(spark, sf):
 
 @add("x12_severity")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").where("n_chars <= 400").select("doc_id", s.fingerprint(F.col("text"), 3, 2048).alias("bits"))
+    docs = table(spark, sf, "documents").select("doc_id", s.fingerprint(F.col("text"), 3, 2048).alias("bits"))
     near = geometry.nearest_similarity(docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 <> 0"), "doc_id")
     return stats.summary(near, "nearest")
 
