@@ -281,12 +281,12 @@ def _(spark, sf):
     return c.distinct_values(records(spark, sf), ["donor", "brand"])
 
 
-@add("j9_universe", """WITH seen AS (SELECT l_suppkey AS a, l_partkey AS b, count(*) AS n FROM lineitem WHERE l_suppkey % 5 = 0 GROUP BY 1, 2), sa AS (SELECT a, sum(n) AS n FROM seen GROUP BY a), sb AS (SELECT b, sum(n) AS n FROM seen GROUP BY b)
+@add("j9_universe", """WITH seen AS (SELECT l_suppkey AS a, l_partkey AS b, count(*) AS n FROM lineitem GROUP BY 1, 2), sa AS (SELECT a, sum(n) AS n FROM seen GROUP BY a), sb AS (SELECT b, sum(n) AS n FROM seen GROUP BY b)
 SELECT u.a, u.b, coalesce(sa.n, 0)::BIGINT AS support_a, coalesce(sb.n, 0)::BIGINT AS support_b, CASE WHEN seen.a IS NOT NULL THEN 'observed' WHEN least(coalesce(sa.n, 0), coalesce(sb.n, 0)) < 5 THEN 'low_support' ELSE 'new' END AS status FROM
-(SELECT s_suppkey AS a, p_partkey AS b FROM supplier, part WHERE p_size < 8) u LEFT JOIN seen ON u.a = seen.a AND u.b = seen.b LEFT JOIN sa ON u.a = sa.a LEFT JOIN sb ON u.b = sb.b""")
+(SELECT s_suppkey AS a, p_partkey AS b FROM supplier, part) u LEFT JOIN seen ON u.a = seen.a AND u.b = seen.b LEFT JOIN sa ON u.a = sa.a LEFT JOIN sb ON u.b = sb.b""")
 def _(spark, sf):
-    seen = table(spark, sf, "lineitem").where("l_suppkey % 5 = 0").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"))
-    u = d.universe(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("a")), table(spark, sf, "part").where("p_size < 8").select(F.col("p_partkey").alias("b")), seen, "a", "b", F.concat_ws(":", "a", "b"))
+    seen = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"))
+    u = d.universe(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("a")), table(spark, sf, "part").select(F.col("p_partkey").alias("b")), seen, "a", "b", F.concat_ws(":", "a", "b"))
     return u.select("a", "b", "support_a", "support_b", "status")
 
 

@@ -292,7 +292,7 @@ def _(spark, sf):
 def _(spark, sf):
     r = records(spark, sf).withColumn("w", F.col("qty"))
     cols = ["qty", "discount", "price", "psize"]
-    model = models.fit_trees(r.where("flag = 'A'"), cols, "y", "w", iterations=5, depth=4)
+    model = models.fit_trees(r.where("flag = 'A'"), cols, "y", "w")
     return models.predict(model, r.where("flag = 'R'"), cols, ["record", "grp", "y"], "trees")
 
 
