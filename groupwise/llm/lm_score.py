@@ -9,8 +9,8 @@ sum over all next tokens is 1.
 The automaton of a large corpus fits no machine, so the work goes by blocks of documents (a hash of the id; sized by characters):
 1. each block lists its distinct n-grams as sorted 64-bit hashes with their training counts, cut by hash range into buckets;
 2. each bucket adds up the counts of all blocks and answers each block in the order of its list;
-3. each block builds the part of the automaton that its own texts can reach and traverses it once, from left to right, all texts
-   of the block in step, each carrying its state and its sum.
+3. each block looks up the n-grams of all its tokens level by level, each token backing off from its longest seen n-gram. The
+   automaton is not walked and no state is carried; the scores are those it would give.
 An n-gram is in each block's list at most once, so frequent ones make no hot bucket. Memory follows the block size alone.
 
 Null text: empty, only the end token is scored. Repeated rows count and are scored each. Empty table: no rows. No training rows:
