@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from groupwise.plans.tables import stored
+from groupwise.storage import stored
 
 from .metrics import auc, worst_decile
 from .stats import correlation, running_sum

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groupwise.functions.scalar import cosine, dot, norm, tanimoto, uniform
-from groupwise.plans.tables import stored
+from groupwise.storage import stored
 
 from .contracts import hash_sample
 

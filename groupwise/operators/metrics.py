@@ -70,7 +70,7 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
 
     Equal (x, y) are counted first and x becomes its rank. Two ranks differ first in one bit: for each bit, cells with the same higher bits
     meet, those with the bit 0 against those with 1, and running sums along y count the pairs in and out of order. No pair is made."""
-    from groupwise.plans.tables import stored
+    from groupwise.storage import stored
 
     cells = stored(df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("n")))
     ranks = stored(running_sum(cells.select("x").distinct().withColumn("one", F.lit(1)), [], ["x"], "one", "r").select("x", (F.col("r") - 1).alias("r")))

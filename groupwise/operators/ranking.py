@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groupwise.functions.scalar import tanimoto
-from groupwise.plans.tables import stored
+from groupwise.storage import stored
 
 from .stats import running_sum
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groupwise.functions.scalar import draw, uniform
-from groupwise.plans.tables import stored
+from groupwise.storage import stored
 
 from .stats import running_sum
 

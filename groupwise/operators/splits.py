@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from groupwise.plans.tables import stored
+from groupwise.storage import stored
 
 from .ranking import round_robin
 from .stats import qcut, running_sum, weighted_mean

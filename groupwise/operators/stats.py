@@ -113,7 +113,7 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     """Sum of value up to and including each row, in order, per group `by`, without one task holding a group: ranges of the order are
     summed inside, and the totals of the ranges before are added."""
     cut = df.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id())
-    from groupwise.plans.tables import stored
+    from groupwise.storage import stored
 
     cut = stored(cut)  # the ranges are drawn from a sample; both uses must see the same ones
     totals = cut.groupBy(*by, "_part").agg(F.sum(value).alias("_t"))
@@ -124,7 +124,7 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
 
 def next_value(df: DataFrame, by: Sequence[str], order: str, out: str, parts: int = 32) -> DataFrame:
     """The next larger value of `order` (distinct per group), null for the last; ranges look ahead inside, and to the first value of a later range."""
-    from groupwise.plans.tables import stored
+    from groupwise.storage import stored
 
     cut_ = stored(df.repartitionByRange(parts, *by, order).withColumn("_part", F.spark_partition_id()))
     firsts = cut_.groupBy(*by, "_part").agg(F.min(order).alias("_f"))

@@ -7,7 +7,7 @@ from groupwise.functions import scalar as s
 
 from .bindings import RECORDS_SQL, records, table
 from .registry import registry
-from .tables import stored
+from groupwise.storage import stored
 
 QUERIES, ORACLE, add = registry()
 R = "WITH " + RECORDS_SQL
