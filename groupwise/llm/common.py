@@ -1,49 +1,49 @@
-"""What the training-data operators share: durable intermediate tables and Arrow word splitting."""
+"""What the training-data operators share: joins without hot tasks, samples by hash and Arrow word splitting."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groupwise.storage import stored as keep
+
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "by_bytes", "hash_share", "join_counted", "keep", "split_words"]
+
 #: A-Z and a-z, for lower-casing that leaves all other letters alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: words of letters and digits, anything beyond ASCII counting as a letter. It finds the same places before lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path under the folder that all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, a lost executor costs no recomputation, and joins see true sizes."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def hash_share(df: DataFrame, key: str, n: float) -> DataFrame:
-    """About n rows of df: those whose hash of the key lies in the lowest n-th of its range. A filter in the scan: no task sorts or sends candidates."""
+def hash_share(df: DataFrame, keys: list[str], n: float) -> DataFrame:
+    """About n rows of df: those whose hash of the keys lies in the lowest n-th of its range. A filter in the scan: no task sorts or sends candidates."""
     total = df.count()
     if total <= n:
         return df
-    return df.where(F.xxhash64(key) <= F.lit(int(-(1 << 63) + (1 << 64) * (n / total))))
+    return df.where(F.xxhash64(*keys) <= F.lit(int(-(1 << 63) + (1 << 64) * (n / total))))
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, parts: int = 10_000, least: int = 64) -> DataFrame:
+    """left joined with right (one row per key; `count`: how many rows of left have that key), without a hot task.
+
+    Keys that hold over 1/parts of all rows (and over `least`) number fewer than `parts`, so their rows of right are broadcast: a
+    proven bound. The rest shuffles. Both tables are read twice, so they should be written ones.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = right.where(F.col(count) > max(least, total // parts))
+    cold = right.where(F.col(count) <= max(least, total // parts))
+    hot_rows = left.join(F.broadcast(hot), key)
+    cold_rows = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("shuffle_merge"), key)
+    return hot_rows.unionByName(cold_rows)
 
 
 def by_bytes(batch: pa.RecordBatch | pa.Table, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch | pa.Table]:

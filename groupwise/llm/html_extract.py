@@ -277,7 +277,7 @@ def examples(pages: list[str], times: int, seed: int = 7, longest: int = 48) ->
 
 def learn(pages: DataFrame, sample_pages: int = 240, times: int = 4, epochs: int = 6) -> Labeller:
     """pages: (id, html)."""
-    some = hash_share(pages.where(F.col("html").isNotNull()), "id", 1.5 * sample_pages)
+    some = hash_share(pages.where(F.col("html").isNotNull()), ["id", "html"], 1.5 * sample_pages)
     rows = some.select(F.xxhash64("id").alias("h"), "id", "html").orderBy("h", "id").limit(sample_pages).collect()
     model = Labeller()
     data = examples([r.html for r in rows], times)

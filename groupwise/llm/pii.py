@@ -197,7 +197,7 @@ def learn(docs: DataFrame, sample_docs: int = 4000, steps: int = 200) -> Field:
                     rows += [(1 + int(s), kind[a] * labels + kind[b], "", 1) for (a, b), s in zip(pairs, sort, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())], names=["what", "value", "shape", "n"])
 
-    got = hash_share(docs, "id", sample_docs).mapInArrow(sample, "what int, value int, shape string, n long").groupBy("what", "value", "shape").agg(F.sum("n").alias("n")).collect()
+    got = hash_share(docs, ["id", "text"], sample_docs).mapInArrow(sample, "what int, value int, shape string, n long").groupBy("what", "value", "shape").agg(F.sum("n").alias("n")).collect()
     unary, pair = np.zeros((N_SHAPE, labels)), np.ones((3, labels, labels)) + 4 * np.eye(labels)
     seen = [r for r in got if r.what == 0]
     for r in got:
