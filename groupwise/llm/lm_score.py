@@ -1,17 +1,23 @@
 """LM scoring by a weighted backoff automaton.
 
 Model: n-grams over words and one end token. p(w) = (c(w) + add) / (N + add (V + 1)); longer n-grams are smoothed by a Dirichlet
-prior on the next shorter one, p(w | h) = (c(h w) + prior p(w | h')) / (c(h) + prior), h' being h without its first word. Every
-context of the training texts is a state. A seen n-gram is an arc with its log-probability; where there is none, the failure arc
-leads to h' at the cost of log(prior / (c(h) + prior)), down to the root, which has an arc for every token. This is exact: the
-sum over all next tokens is 1.
-
-The automaton of a large corpus fits no machine, so the work goes by blocks of documents (a hash of the id; sized by characters):
-1. each block lists its distinct n-grams as sorted 64-bit hashes with their training counts, cut by hash range into buckets;
-2. each bucket adds up the counts of all blocks and answers each block in the order of its list;
-3. each block looks up the n-grams of all its tokens level by level, each token backing off from its longest seen n-gram. The
-   automaton is not walked and no state is carried; the scores are those it would give.
-An n-gram is in each block's list at most once, so frequent ones make no hot bucket. Memory follows the block size alone.
+prior on the next shorter one, p(w | h) = (c(h w) + prior p(w | h')) / (c(h) + prior), h' being h without its first word.
+
+Automaton: every context of the training texts is a state; the root is the empty context. A seen n-gram is an arc of its context
+with the log-probability as cost, and it leads to the longest context that the tokens read so far end in. Where a state has no arc
+for a token, its failure arc leads to h' at the cost of log(prior / (c(h) + prior)) without reading; the root has an arc for every
+token. Summed over all next tokens, the probabilities of a state are exactly 1. A text is read once from left to right: it carries its
+state from token to token and adds up the costs. All texts of a block step together. A text of over `run` tokens is read in
+pieces; a piece first reads the order - 1 tokens before it, after which its state is what one reading would carry.
+
+The automaton of a large corpus fits no machine, so each block of documents (a hash of id and text; sized by characters) builds the
+part that its own texts can reach:
+1. each block lists its distinct n-grams as sorted 64-bit hashes with their training counts, cut by hash range into `fan` pieces;
+2. `fan` blocks' pieces of one range meet and are added up; with more than `fan` blocks the sums are cut again and meet those of
+   other groups, and so on, until one list per range is global. Answers go back down the same tree, in the order of each list;
+3. each block builds states, arcs and failure arcs from its counts, and its texts traverse them.
+An n-gram is in a list at most once, so frequent ones make no hot group. Each block takes part in `fan` rows a level of the tree,
+which has log(blocks) / log(fan) levels; a group's memory follows the block size alone.
 
 Null text: empty, only the end token is scored. Repeated rows count and are scored each. Empty table: no rows. No training rows:
 every token is unknown.
@@ -20,7 +26,7 @@ every token is unknown.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -75,105 +81,250 @@ def gram_hashes(tokens: np.ndarray, lengths: np.ndarray, order: int) -> list[np.
     return levels
 
 
+@dataclass
+class Grams:
+    """The distinct n-grams of one level in a block: a place of each, and the one at each token; then the training counts."""
+
+    where: np.ndarray
+    at: np.ndarray
+    counts: np.ndarray
+
+
 class Automaton:
-    """The part of the backoff automaton that a block's texts can reach.
+    """The part of the backoff automaton that a block's texts can reach. State 0 is the root; costs are log10 probabilities.
 
-    An n-gram of level j has j + 1 tokens. A state is a context; `arc[j]` holds a cost for each distinct n-gram of level j that
-    training has seen (nan: no arc), `fail[j]` the cost of the failure arc from each token's context of j tokens to the next
-    shorter one; the root's arcs are `arc[0]`. All costs are log10 probabilities.
+    levels[j] are the n-grams of j + 1 tokens. A context of j tokens is the n-gram of level j - 1 before a token (or the begin of
+    a text). Contexts that training has not seen are no states: they stand for the state that their failure arc would lead to.
     """
 
-    def __init__(self, lengths: np.ndarray, distinct: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray], texts: int, total: int, types: int, add: float, prior: float):
-        """distinct[j]: for level j, (a place of each distinct n-gram, the distinct n-gram at each token); counts[j]: its training counts."""
-        first = np.cumsum(lengths) - lengths
-        self.lengths, self.first, self.at = lengths, first, [inverse for _, inverse in distinct]
-        p = (counts[0][self.at[0]] + add) / (total + add * (types + 1))
-        self.arc, self.fail = [np.log10(p[distinct[0][0]])], [None]
-        for j in range(1, len(distinct)):
-            where, inverse = distinct[j]
-            context = np.concatenate([[0], counts[j - 1][self.at[j - 1]][:-1]])
-            context[first] = texts
-            seen = counts[j][inverse]
-            p = (seen + prior * p) / (context + prior)
-            self.arc.append(np.where(counts[j] > 0, np.log10(p[where]), np.nan))
-            self.fail.append(np.log10(prior / (context + prior)))
-
-    def traverse(self) -> np.ndarray:
-        """log10 probability of each text: each token takes the arc of the longest context that has one, after failure arcs down to it."""
-        cost, open_ = np.zeros(int(self.lengths.sum())), np.ones(int(self.lengths.sum()), bool)
-        for j in range(len(self.arc) - 1, -1, -1):
-            arc = self.arc[j][self.at[j]]
-            taken = open_ & ~np.isnan(arc)
-            cost[taken] += arc[taken]
-            open_ &= ~taken
-            if j:
-                cost[open_] += self.fail[j][open_]
-        return np.add.reduceat(cost, self.first) if len(self.first) else np.zeros(0)
+    def __init__(self, lengths: np.ndarray, levels: list[Grams], texts: int, total: int, types: int, add: float, prior: float):
+        n, self.order = len(levels[0].at), len(levels)
+        first, last = np.zeros(n, bool), np.zeros(n, bool)
+        first[np.cumsum(lengths) - lengths] = last[np.cumsum(lengths) - 1] = True
+        self.word, self.n_words = levels[0].at, len(levels[0].where)
+        p = (levels[0].counts + add) / (total + add * (types + 1))
+        self.root_cost = np.log10(p)
+
+        # state[j]: the state of the context of j tokens that ends with n-gram k of level j - 1; the last number is the text's begin.
+        state, self.fail, self.fail_cost = [None], [np.zeros(1, np.int64)], [np.zeros(1)]
+        count = 1
+        for j in range(1, self.order):
+            below = levels[j - 1]
+            seen = np.append(np.where(last[below.where], 0, below.counts), texts)  # nothing follows an end token
+            shorter = np.zeros(len(seen), np.int64)
+            if j > 1:  # the same tokens but for the first: the context of j - 1 tokens that ends at the same place
+                shorter = np.append(state[j - 1][levels[j - 2].at[below.where]], state[j - 1][-1])
+            real = seen > 0
+            own = np.where(real, count + np.cumsum(real) - 1, shorter)
+            self.fail.append(shorter[real])
+            self.fail_cost.append(np.log10(prior / (seen[real] + prior)))
+            count += int(real.sum())
+            state.append(own)
+        self.fail, self.fail_cost = np.concatenate(self.fail), np.concatenate(self.fail_cost)
+        self.begin = int(state[-1][-1]) if self.order > 1 else 0
+        self.after_word = state[1][:-1] if self.order > 1 else np.zeros(self.n_words, np.int64)
+
+        keys, costs, targets = [], [], []
+        for j in range(1, self.order):
+            g, below = levels[j], levels[j - 1]
+            before = np.where(first[g.where], len(below.where), below.at[g.where - 1])  # the context, as a number of state[j]
+            context = np.append(below.counts, texts)[before]
+            p = (g.counts + prior * p[below.at[g.where]]) / (context + prior)
+            some = np.flatnonzero(g.counts)
+            keys.append(state[j][before[some]] * self.n_words + self.word[g.where[some]])
+            costs.append(np.log10(p[some]))
+            targets.append(state[j + 1][some] if j + 1 < self.order else state[j][below.at[g.where[some]]])
+        key = np.concatenate([*keys, np.zeros(0, np.int64)])
+        by = np.argsort(key, kind="stable")
+        self.arc, self.cost, self.target = key[by], np.concatenate([*costs, np.zeros(0)])[by], np.concatenate([*targets, np.zeros(0, np.int64)])[by]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after reading one token each, and the costs: failure arcs are followed until the token has an arc."""
+        cost, after = np.zeros(len(state)), np.empty(len(state), np.int64)
+        left, state = np.arange(len(state)), state
+        for _ in range(self.order - 1):
+            key = state * self.n_words + word[left]
+            k = np.searchsorted(self.arc, key)
+            hit = (k < len(self.arc)) & (state > 0)
+            hit[hit] = self.arc[k[hit]] == key[hit]
+            cost[left[hit]] += self.cost[k[hit]]
+            after[left[hit]] = self.target[k[hit]]
+            left, state = left[~hit], state[~hit]
+            cost[left] += self.fail_cost[state]
+            state = self.fail[state]
+        cost[left] += self.root_cost[word[left]]
+        after[left] = self.after_word[word[left]]
+        return after, cost
+
+    def traverse(self, lengths: np.ndarray, run: int = 4096) -> np.ndarray:
+        """log10 probability of each text, read from left to right in pieces of at most `run` tokens."""
+        starts = np.cumsum(lengths) - lengths
+        pieces = -(-lengths // run)
+        of = np.repeat(np.arange(len(lengths)), pieces)
+        offset = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * run
+        size = np.minimum(run, lengths[of] - offset)
+        warm = np.minimum(self.order - 1, offset)
+        by = np.argsort(-(size + warm), kind="stable")
+        place, warm, steps = (starts[of] + offset - warm)[by], warm[by], (size + warm)[by]
+        state = np.where((offset[by] - warm) == 0, self.begin, 0)
+        cost = np.zeros(len(by))
+        alive = np.searchsorted(-steps, -np.arange(1, (steps[0] if len(steps) else 0) + 1), side="right")
+        for t, n in enumerate(alive):
+            state[:n], c = self.step(state[:n], self.word[place[:n] + t])
+            cost[:n] += np.where(warm[:n] > t, 0.0, c)
+        return np.bincount(of[by], cost, len(lengths))
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes: the upper planes of small numbers are zero and compress away."""
+    return numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, by byte planes: the upper planes are zero and compress away."""
-    return np.diff(keys, prepend=np.uint64(0)).astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted keys as differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-REQUEST = "level int, bucket int, block int, keys binary, counts binary"
-ANSWER = "level int, bucket int, block int, counts binary, types long, tokens long, texts long"
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, order: int = 2, add: float = 0.1, prior: float = 200.0, block_chars: int = 1 << 24) -> DataFrame:
+    return np.cumsum(from_planes(data), dtype=np.uint64)
+
+
+REQUEST = "level int, span long, piece long, sender long, keys binary, counts binary"
+ANSWER = "level int, piece long, sender long, counts binary, types long, tokens long, texts long"
+
+
+def requests(level: int, span: int, sender: int, keys: np.ndarray, counts: np.ndarray, pieces: int) -> list[tuple]:
+    """Rows (level, span, piece, sender, keys, counts): the list cut where equal hash ranges, `pieces` in all, begin."""
+    low, high = int(keys[0]) * pieces >> 64, int(keys[-1]) * pieces >> 64
+    cuts = np.array([-(-(k << 64) // pieces) for k in range(low + 1, high + 1)], np.uint64)
+    ends = np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]])
+    spans = enumerate(zip(ends, ends[1:], strict=False), low)
+    return [(level, span, k, sender, packed(keys[x:y]), planes(counts[x:y])) for k, (x, y) in spans if y > x]
+
+
+def merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The lists of a group by sender, their distinct keys, and the key that each entry of the lists is, in a row."""
+    lists = [unpacked(x.as_py()) for x in table["keys"]]
+    keys, at = np.unique(np.concatenate(lists), return_inverse=True)
+    return lists, keys, at
+
+
+def sums_of(table: pa.Table, at: np.ndarray, n: int) -> np.ndarray:
+    counts = np.concatenate([from_planes(x.as_py()) for x in table["counts"]])
+    return np.bincount(at, counts, n).astype(np.int64)  # exact below 2^53
+
+
+def answers_to(table: pa.Table, lists: list[np.ndarray], at: np.ndarray, total: np.ndarray, sums: tuple[int, int, int]) -> pa.Table:
+    """One row per sender, with the totals of its list; the group's sums stand in the first."""
+    ends = np.cumsum([len(x) for x in lists])
+    counts = [planes(total[at[e - len(x) : e]]) for x, e in zip(lists, ends, strict=True)]
+    first = np.arange(len(lists)) == 0
+    return pa.table([table["level"], table["piece"], table["sender"], pa.array(counts, pa.binary()), *[pa.array(np.where(first, x, 0), pa.int64()) for x in sums]], names=["level", "piece", "sender", "counts", "types", "tokens", "texts"])
+
+
+def as_table(rows: list[tuple]) -> pa.Table:
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["level", "span", "piece", "sender", "keys", "counts"])
+
+
+def summed_answers(asked: DataFrame, blocks: int, fan: int) -> DataFrame:
+    """asked: the blocks' requests (span: block // fan). Answers in the form of ANSWER; `sender` is a block, `piece` its range."""
+    depth = 1
+    while fan**depth < blocks:
+        depth += 1
+
+    def top(table: pa.Table) -> pa.Table:
+        lists, keys, at = merged(table)
+        total = sums_of(table, at, len(keys))
+        words = table["level"][0].as_py() == 0
+        k = int(np.searchsorted(keys, FINAL))
+        texts = int(total[k]) if words and k < len(keys) and keys[k] == FINAL else 0
+        return answers_to(table, lists, at, total, (int((total > 0).sum()), int(total.sum()), texts))
+
+    def pass_on(pieces: int):
+        def run(table: pa.Table) -> pa.Table:
+            _, keys, at = merged(table)
+            level, span, piece = (table[c][0].as_py() for c in ("level", "span", "piece"))
+            # The group is named by its span and piece; it is one sender in the group of the next level.
+            return as_table(requests(level, span // fan, span * (pieces // fan) + piece, keys, sums_of(table, at, len(keys)), pieces))
+
+        return run
+
+    def pass_back(table: pa.Table, given: pa.Table) -> pa.Table:
+        lists, keys, at = merged(table)
+        given = given.sort_by("piece")
+        total = np.concatenate([from_planes(x.as_py()) for x in given["counts"]])
+        sums = tuple(int(np.sum(given[c].to_numpy())) for c in ("types", "tokens", "texts"))
+        return answers_to(table, lists, at, total, sums)
+
+    levels, group = [asked], ["level", "span", "piece"]
+    for k in range(1, depth):
+        levels[-1] = keep(levels[-1])  # read again when the answers come back
+        levels.append(levels[-1].groupBy(*group).applyInArrow(pass_on(fan ** (k + 1)), REQUEST))
+    answers = levels[-1].groupBy(*group).applyInArrow(top, ANSWER)
+    for k in range(depth - 1, 0, -1):
+        named = levels[k - 1].withColumn("group", F.col("span") * fan**k + F.col("piece"))
+        back = answers.withColumnRenamed("sender", "group")
+        answers = named.groupBy("level", "group").cogroup(back.groupBy("level", "group")).applyInArrow(pass_back, ANSWER)
+    return keep(answers)
+
+
+def lm_scores(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    held_out: Column | None = None,
+    order: int = 2,
+    add: float = 0.1,
+    prior: float = 200.0,
+    block_chars: int = 1 << 24,
+    fan: int = 512,
+    run: int = 4096,
+) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; rows with held_out true are not learned from."""
     held_out = F.lit(False) if held_out is None else held_out
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text.alias("text"))
     chars = rows.agg(F.sum(F.length("text") + F.lit(16))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    cuts = np.array([k * ((1 << 64) // blocks) for k in range(1, blocks)], np.uint64)
+    fan = max(2, min(fan, blocks))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
 
     def ask(table: pa.Table) -> pa.Table:
         tokens, lengths = block_tokens(table)
-        train = np.repeat(~table["held_out"].to_numpy(), lengths)
+        train, block = np.repeat(~table["held_out"].to_numpy(), lengths), table["block"][0].as_py()
         out = []
         for level, grams in enumerate(gram_hashes(tokens, lengths, order)):
             keys, at = np.unique(grams, return_inverse=True)
-            counts = np.bincount(at, train, len(keys)).astype(np.uint32)
-            ends = np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]])
-            out += [(level, b, table["block"][0].as_py(), packed(keys[x:y]), counts[x:y].tobytes()) for b, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if y > x]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["level", "bucket", "block", "keys", "counts"])
-
-    def answer(table: pa.Table) -> pa.Table:
-        lists = [unpacked(x.as_py()) for x in table["keys"]]
-        keys, at = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.bincount(at, np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["counts"]]).astype(np.float64), len(keys))
-        ends = np.cumsum([len(x) for x in lists])
-        counts = [total[at[e - len(x) : e]].astype(np.uint32).tobytes() for x, e in zip(lists, ends, strict=True)]
-        first = np.arange(len(lists)) == 0  # the bucket's sums stand in one of its rows
-        texts = total[np.searchsorted(keys, FINAL)] if np.isin(FINAL, keys) and table["level"][0].as_py() == 0 else 0
-        sums = [np.where(first, int(x), 0) for x in ((total > 0).sum(), total.sum(), texts)]
-        return pa.table([table["level"], table["bucket"], table["block"], pa.array(counts, pa.binary()), *[pa.array(x, pa.int64()) for x in sums]], names=["level", "bucket", "block", "counts", "types", "tokens", "texts"])
-
-    answers = keep(rows.groupBy("block").applyInArrow(ask, REQUEST).groupBy("level", "bucket").applyInArrow(answer, ANSWER))
+            out += requests(level, block // fan, block, keys, np.bincount(at, train, len(keys)), fan)
+        return as_table(out)
+
+    answers = summed_answers(rows.groupBy("block").applyInArrow(ask, REQUEST), blocks, fan).withColumnRenamed("sender", "block")
     sums = answers.where("level = 0").agg(F.sum("types"), F.sum("tokens"), F.sum("texts")).first()
     types, total, texts = (int(x or 0) for x in sums)
 
     def score(table: pa.Table, given: pa.Table) -> pa.Table:
         tokens, lengths = block_tokens(table)
-        got = given.sort_by([("level", "ascending"), ("bucket", "ascending")])
-        level, data = got["level"].to_numpy(), got["counts"]
-        distinct, counts = [], []
+        got = given.sort_by([("level", "ascending"), ("piece", "ascending")])
+        level, data, levels = got["level"].to_numpy(), got["counts"], []
         for j, grams in enumerate(gram_hashes(tokens, lengths, order)):
             _, where, at = np.unique(grams, return_index=True, return_inverse=True)
-            distinct.append((where, at))
-            counts.append(np.frombuffer(b"".join(data[int(k)].as_py() for k in np.flatnonzero(level == j)), np.uint32).astype(np.float64))
-        machine = Automaton(lengths, distinct, counts, texts, total, types, add, prior)
-        first, known = machine.first, counts[0][distinct[0][1]] > 0
-        base = np.add.reduceat(np.concatenate([machine.arc[0][distinct[0][1]]]), first)
-        return pa.table([table["id"], table["held_out"], pa.array(lengths), pa.array(np.add.reduceat(known.astype(np.int64), first)), pa.array(base), pa.array(machine.traverse())], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    scored = rows.groupBy("block").cogroup(answers.select("level", "bucket", "block", "counts").groupBy("block")).applyInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+            counts = np.concatenate([from_planes(data[int(k)].as_py()) for k in np.flatnonzero(level == j)])
+            levels.append(Grams(where, at, counts.astype(np.float64)))
+        machine = Automaton(lengths, levels, texts, total, types, add, prior)
+        first = np.cumsum(lengths) - lengths
+        known = np.add.reduceat((levels[0].counts > 0).astype(np.int64)[machine.word], first)
+        base = np.add.reduceat(machine.root_cost[machine.word], first)
+        made = [table["id"], table["held_out"], pa.array(lengths), pa.array(known), pa.array(base), pa.array(machine.traverse(lengths, run))]
+        return pa.table(made, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    asked = answers.select("level", "piece", "block", "counts").groupBy("block")
+    out = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    scored = rows.groupBy("block").cogroup(asked).applyInArrow(score, out)
     return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
