@@ -35,15 +35,17 @@ def hash_share(df: DataFrame, keys: list[str], n: float) -> DataFrame:
 def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, parts: int = 10_000, least: int = 64) -> DataFrame:
     """left joined with right (one row per key; `count`: how many rows of left have that key), without a hot task.
 
-    Keys that hold over 1/parts of all rows (and over `least`) number fewer than `parts`, so their rows of right are broadcast: a
-    proven bound. The rest shuffles. Both tables are read twice, so they should be written ones.
+    A key that holds over 1/parts of all rows (and over `least`) is split: its rows of left are dealt round over salts, its row of
+    right is repeated for each. Such keys number fewer than `parts`, so the list of them is broadcast: a proven bound. left must come
+    from written tables without a shuffle, so that a repeated task deals its rows alike.
     """
-    total = right.agg(F.sum(count)).first()[0] or 0
-    hot = right.where(F.col(count) > max(least, total // parts))
-    cold = right.where(F.col(count) <= max(least, total // parts))
-    hot_rows = left.join(F.broadcast(hot), key)
-    cold_rows = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("shuffle_merge"), key)
-    return hot_rows.unionByName(cold_rows)
+    bound = max(least, (right.agg(F.sum(count)).first()[0] or 0) // parts)
+    salts = F.ceil(F.col(count) / bound).cast("int")
+    hot = right.where(F.col(count) > bound).select(key, salts.alias("_salts"))
+    dealt = left.join(F.broadcast(hot), key, "left")
+    dealt = dealt.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.join(repeated.hint("shuffle_merge"), [key, "_salt"]).drop("_salt")
 
 
 def by_bytes(batch: pa.RecordBatch | pa.Table, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch | pa.Table]:

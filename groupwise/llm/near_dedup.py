@@ -4,19 +4,22 @@ A 64-bit fingerprint is cut into 32 segments of two bits, and each segment is ma
 unary (00, 01, 11), the 32 counts are one long whose Hamming distance is the Manhattan distance of the counts. Changing one
 bit changes one count by one, so that distance never exceeds the Hamming distance of the fingerprints: a lower bound.
 
-Grid range join: the counts are cut into `cells` equal parts. Two points at Manhattan distance d or less differ in at most d
+Grid range join: the counts are cut into equal parts (`cells`). Two points at Manhattan distance d or less differ in at most d
 parts, so they agree in at least cells - d of them; each choice of that many parts is a grid whose cells are joined by
-equality. Pairs of a cell pass the Manhattan bound and then the exact Hamming test, both inside the join.
+equality. Pairs of a cell pass the Manhattan bound and then the exact Hamming test, both inside the join. `cells` follows the number
+of distinct fingerprints: so many that a cell holds less than one by chance, at any size.
 
-A cell with more than `dense` fingerprints (many near copies) is not paired. There each fingerprint goes to the 65 codes
-within one bit of it. Two fingerprints that meet in a code differ by at most two bits, and any two that differ by at most two
-bits meet in one, so linking all of a code to its smallest member finds exactly the same groups with linear work.
+A cell can still hold many: copies that differ in a few bits. Over `dense` of them are not paired. There each fingerprint goes to
+the 65 codes within one bit of it. Two fingerprints that meet in a code differ by at most two bits, and any two that differ by at most
+two bits meet in one, so linking all of a code to its smallest member finds exactly the same groups with linear work.
 
-Empty text or null: fingerprint zero, linked like any other. Repeated rows give repeated result rows. Empty table: no rows.
+Empty text or null: fingerprint zero, linked like any other. Repeated rows give repeated result rows. A null id takes part like
+any other row; a component's name is its smallest id, and null only where it holds no other. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,12 +30,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, keep, split_words
+from .common import by_bytes, join_counted, keep, split_words
 
 ODD = 0x5555555555555555
 
 
-def bits_over_half(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def bits_over_half(hashes: np.ndarray, counts: np.ndarray, most: int = 1 << 18) -> np.ndarray:
     """One fingerprint per run of hashes: a bit is 1 if it is set in over half of them; a run of length zero gives zero."""
     out = np.zeros(len(counts), np.uint64)
     some = np.flatnonzero(counts)
@@ -40,7 +43,7 @@ def bits_over_half(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return out
     ends = np.cumsum(counts[some])
     done = 0
-    for first in _runs(ends, 1 << 18):
+    for first in _runs(ends, most):
         last = ends[first[1] - 1]
         bits = np.unpackbits(hashes[done:last].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         starts = np.concatenate([[0], ends[first[0] : first[1] - 1] - done]).astype(np.int64)
@@ -101,43 +104,65 @@ def masks(cells: int, max_bits: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in (sum(part[k] for k in kept) for kept in combinations(range(cells), cells - max_bits))]
 
 
-def links(nodes: DataFrame, cells: int = 4, max_bits: int = 2, dense: int = 64) -> DataFrame:
+def cells_for(n: int, max_bits: int) -> int:
+    """Parts of the counts for n points: a cell's key has 1.5 bits of information a segment, and they reach 4 n cells."""
+    need = math.log2(max(n, 1)) + 2
+    return next((c for c in range(max_bits + 1, 17) if c >= 2 and 48 * (c - max_bits) / c >= need), 16)
+
+
+def grid_places(cells: int, max_bits: int) -> Column:
+    """array of (grid, cell) for the column `counts`."""
+    return F.array(*[F.struct(F.lit(k).alias("grid"), F.col("counts").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks(cells, max_bits))])
+
+
+def within(x: str, y: str, max_bits: int) -> Column:
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= max_bits
+
+
+def code_stars(crowd: DataFrame, max_bits: int) -> DataFrame:
+    """(src, dst) that connect the fingerprints of crowded cells, by codes within one bit of each; see the module's text."""
+    step = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(64 if max_bits > 0 else 0)])
+    met = keep(crowd.select("node", "fp", F.explode(step).alias("s")).select("node", F.col("fp").bitwiseXOR(F.col("s")).alias("code")))
+    if max_bits < 2:  # two fingerprints at one bit meet in each other's codes, not in a third one
+        other = crowd.select(F.col("node").alias("other"), F.col("fp").alias("code"))
+        found = met.join(other.hint("shuffle_merge"), "code")
+        return found.select(F.greatest("node", "other").alias("src"), F.least("node", "other").alias("dst"))
+    first = keep(met.groupBy("code").agg(F.min("node").alias("dst"), F.count("*").alias("n")).where("n > 1"))
+    return join_counted(met, first, "code", "n").select(F.col("node").alias("src"), "dst")
+
+
+def links(nodes: DataFrame, cells: int | None = None, max_bits: int = 2, dense: int = 64) -> DataFrame:
     """(src, dst) of `nodes` (node, fp; fp distinct) that connect what differs by at most max_bits (at most 2). See the module's text."""
+    cells = cells or cells_for(nodes.count(), max_bits)
     if not 0 <= max_bits <= 2 or not max_bits < cells <= 16:
         raise ValueError("max_bits is 0 to 2, cells is over max_bits and at most 16")
-    grids = F.array(*[F.struct(F.lit(k).alias("grid"), F.col("counts").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks(cells, max_bits))])
-    placed = nodes.withColumn("counts", unary_counts(F.col("fp"))).select("node", "fp", "counts", F.inline(grids))
+    placed = nodes.withColumn("counts", unary_counts(F.col("fp"))).select("node", "fp", "counts", F.inline(grid_places(cells, max_bits)))
     filled = keep(placed.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1"))
-    sparse = placed.join(filled.where(F.col("n") <= dense).select("grid", "cell").hint("shuffle_merge"), ["grid", "cell"])
+    few, many = (filled.where(c).select("grid", "cell").hint("shuffle_merge") for c in (F.col("n") <= dense, F.col("n") > dense))
+    sparse = keep(placed.join(few, ["grid", "cell"]))
     a, b = sparse.alias("a"), sparse.alias("b").hint("shuffle_merge")
-    far = lambda x: F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) <= max_bits
-    near = (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.node") > F.col("b.node")) & far("counts") & far("fp")
+    same = (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.node") > F.col("b.node"))
+    near = same & within("a.counts", "b.counts", max_bits) & within("a.fp", "b.fp", max_bits)
     pairs = a.join(b, near).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
-    crowd = placed.join(filled.where(F.col("n") > dense).select("grid", "cell").hint("shuffle_merge"), ["grid", "cell"], "left_semi").select("node", "fp").distinct()
-    step = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(64 if max_bits > 0 else 0)])
-    if max_bits < 2:  # two fingerprints at one bit meet in each other's codes, not in a third one
-        met = crowd.select("node", "fp", F.explode(step).alias("s")).select("node", F.col("fp").bitwiseXOR(F.col("s")).alias("fp2"))
-        stars = met.join(crowd.withColumnRenamed("node", "dst").hint("shuffle_merge"), F.col("fp2") == F.col("fp")).select(F.greatest("node", "dst").alias("src"), F.least("node", "dst").alias("dst"))
-    else:
-        met = crowd.select("node", "fp", F.explode(step).alias("s")).select("node", F.col("fp").bitwiseXOR(F.col("s")).alias("code"))
-        first = met.groupBy("code").agg(F.min("node").alias("dst"), F.count("*").alias("n")).where("n > 1").select("code", "dst")
-        stars = met.join(first.hint("shuffle_merge"), "code").select(F.col("node").alias("src"), "dst")
-    return pairs.union(stars).where("src <> dst").distinct()
+    crowd = keep(placed.join(many, ["grid", "cell"], "left_semi").select("node", "fp").distinct())
+    return pairs.union(code_stars(crowd, max_bits)).where("src <> dst").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable over edges (src, dst), for every node that has an edge.
 
     Alternates two steps, each a grouped minimum and a join, and writes the edges after each round: every node hands its larger
-    neighbours to its smallest one, then its smaller ones. The edges shrink to stars in a logarithmic number of rounds.
+    neighbours to its smallest one, then its smaller ones. The edges shrink to stars in a logarithmic number of rounds. The rows of
+    a node with very many neighbours are not shuffled to one task (see join_counted).
     """
     edges, seen = keep(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()), None
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("dst"), F.col("src"))).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low.hint("shuffle_merge"), "u").select(F.col("v").alias("src"), F.col("m").alias("dst")).distinct()
-        low = large.groupBy("src").agg(F.min("dst").alias("m"))
-        edges = keep(large.join(low.hint("shuffle_merge"), "src").select(F.explode(F.array(F.struct("src", F.col("m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))).alias("e")).select("e.*").where("src <> dst").distinct())
+        low = keep(both.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("n")).select("u", F.least("u", "v").alias("m"), "n"))
+        large = keep(join_counted(both.where("v > u"), low, "u", "n").select(F.col("v").alias("src"), F.col("m").alias("dst")).distinct())
+        low = keep(large.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n")))
+        star = F.array(F.struct("src", F.col("m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))
+        edges = keep(join_counted(large, low, "src", "n").select(F.inline(star)).where("src <> dst").distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first()
         if now == seen:
             return edges.select(F.col("src").alias("node"), F.col("dst").alias("root")).union(edges.select(F.col("dst"), F.col("dst"))).distinct()
@@ -145,13 +170,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, cells: int = 4, max_bits: int = 2, dense: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, cells: int | None = None, max_bits: int = 2, dense: int = 64) -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links of at most max_bits differing bits, itself included."""
     prints = keep(fingerprints(docs, id_col, text_col, shingle))
-    nodes = keep(prints.groupBy("fp").agg(F.min("id").alias("node")))
-    found = components(links(nodes, cells, max_bits, dense))
-    roots = nodes.join(found.hint("shuffle_merge"), "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
-    return prints.join(roots.hint("shuffle_merge"), "fp").select("id", "fp", "component")
+    # Fingerprints are the nodes; the ids come back at the end, so a null or repeated id changes no link.
+    nodes = keep(prints.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("node", F.col("fp")))
+    found = components(links(nodes.select("node", "fp"), cells, max_bits, dense))
+    rooted = keep(nodes.join(found.hint("shuffle_merge"), "node", "left").select("fp", "id", "n", F.coalesce("root", "node").alias("root")))
+    named = keep(rooted.groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("many")))
+    roots = keep(join_counted(rooted, named, "root", "many").select("fp", "component", "n"))
+    return join_counted(prints, roots, "fp", "n").select("id", "fp", "component")
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
