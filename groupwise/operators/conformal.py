@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from groupwise.storage import stored
 
 from .metrics import auc, worst_decile
-from .stats import correlation, running_sum
+from .stats import correlation, running_sum, running_sums
 
 
 def value_at_rank(df: DataFrame, value: str, rank: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -79,7 +79,7 @@ def risk_coverage(df: DataFrame, score: str, error: str, key: str) -> DataFrame:
     """(key, rank, coverage, risk): running mean error from the most applicable row on, ties by key."""
     rows = df.where(F.col(score).isNotNull() & F.col(error).isNotNull()).select(key, (-F.col(score)).alias("_o"), F.col(error).alias("_e"), F.lit(1).cast("long").alias("_one"))
     n = rows.agg(F.count("*").alias("n"))
-    run = running_sum(running_sum(rows, [], ["_o", key], "_one", "rank"), [], ["_o", key], "_e", "_s")
+    run = running_sums(rows, [], ["_o", key], {"_one": "rank", "_e": "_s"})
     return run.crossJoin(F.broadcast(n)).select(key, "rank", (F.col("rank") / F.col("n")).alias("coverage"), (F.col("_s") / F.col("rank")).alias("risk"))
 
 

@@ -1,51 +1,51 @@
 """Leakage-safe splits and their verification.
 
-Atomic units are connected components of groups that share an identity. They are found on group-identity edges by alternating
-minimum labels with pointer jumping: every round is a pair of grouped minima, written out, and the rounds grow with the logarithm of the longest chain.
+Atomic units are connected components of groups that share an identity. All groups of an identity are linked to its smallest
+group, and the links shrink to stars: every round is a pair of grouped minima, written out, and the rounds grow with the logarithm of
+the longest chain.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groupwise.storage import stored
 
+from .graph import join_counted, star_components
 from .ranking import round_robin
 from .stats import qcut, running_sum, weighted_mean
 
 PARTS = ("train", "val", "test")
 
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(a, root): the smallest a reachable from each a over shared values of b."""
     pairs = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna().distinct())
-    label = stored(pairs.select("a").distinct().withColumn("root", F.col("a")))
-    for _ in range(most_rounds):
-        low = pairs.join(label, "a").groupBy("b").agg(F.min("root").alias("m"))
-        near = pairs.join(low, "b").groupBy("a").agg(F.min("m").alias("m"))
-        # What a's neighbours found is also passed to the node that was a's root, and then each node takes its root's root.
-        hook = label.join(near, "a").groupBy(F.col("root").alias("a")).agg(F.min("m").alias("h"))
-        moved = label.join(near, "a").join(hook, "a", "left").select("a", F.least("root", "m", "h").alias("root"))
-        jumped = moved.join(moved.select(F.col("a").alias("root"), F.col("root").alias("up")), "root").select("a", F.least("root", "up").alias("root"))
-        new = stored(jumped)
-        settled = new.join(label.withColumnRenamed("root", "old"), "a").where("root <> old").isEmpty()
-        label = new
-        if settled:
-            return label.withColumnsRenamed({"a": a, "root": "root"})
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    hubs = stored(pairs.groupBy("b").agg(F.min("a").alias("dst"), F.count("*").alias("n")))
+    found = star_components(join_counted(pairs, hubs, "b", "n").select(F.col("a").alias("src"), "dst"))
+    alone = pairs.select("a").distinct().join(found.withColumnRenamed("node", "a").hint("shuffle_merge"), "a", "left")
+    return alone.select(F.col("a").alias(a), F.coalesce("root", "a").alias("root"))
 
 
 def atomic_units(df: DataFrame, group: str, identity: str, weight: str | None = None, forced: str | None = None) -> DataFrame:
-    """(group, unit, ...): units with member groups' hash as their id, records, weight and forced flag; one row per group."""
+    """(group, unit, ...): units with their records, weight and forced flag; one row per group.
+
+    A unit's id is a hash of its members that needs no order and no list: their number and two sums over their SHA-256.
+    """
     roots = components(df, group, identity)
-    stats = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), (F.sum(weight) if weight else F.count("*").cast("double")).alias("w"), (F.bool_or(forced) if forced else F.lit(False)).alias("f"))
-    placed = stats.join(roots, group, "left").withColumn("root", F.coalesce("root", F.col(group)))
-    units = placed.groupBy("root").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.col(group).cast("string"))), ","), 256).alias("unit"), F.count("*").alias("n_groups"), F.sum("n").alias("n_records"), F.sum("w").alias("unit_weight"), F.bool_or("f").alias("forced"))
-    return placed.select(group, "root").join(units, "root").drop("root")
+    w = F.sum(weight) if weight else F.count("*").cast("double")
+    stats = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), w.alias("w"), (F.bool_or(forced) if forced else F.lit(False)).alias("f"))
+    digest = F.sha2(F.col(group).cast("string"), 256)
+    half = lambda k: F.sum(F.conv(F.substring(digest, k, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    placed = stored(stats.join(roots.hint("shuffle_merge"), group, "left").withColumn("root", F.coalesce("root", F.col(group))))
+    unit = F.sha2(F.concat_ws(":", F.count("*").cast("string"), half(1), half(16)), 256)
+    totals = [F.sum("n").alias("n_records"), F.sum("w").alias("unit_weight"), F.bool_or("f").alias("forced")]
+    units = stored(placed.groupBy("root").agg(unit.alias("unit"), F.count("*").alias("n_groups"), *totals))
+    return join_counted(placed.select(group, "root"), units.withColumn("_n", F.col("n_groups")), "root", "_n").drop("root", "_n")
 
 
 def units_only(assigned: DataFrame) -> DataFrame:
@@ -85,9 +85,11 @@ def assign(df: DataFrame, assigned: DataFrame, split: DataFrame, group: str) ->
 
 
 def repair_support(rows: DataFrame, keys: Sequence[str], unit: str = "unit", least: int = 5, most_rounds: int = 10) -> DataFrame:
-    """Val and test rows with a key of fewer than `least` train rows send their whole unit to train, until none is left."""
+    """Val and test rows with a key of fewer than `least` train rows send their whole unit to train, until none is left.
+
+    If rounds still move units after `most_rounds`, an error is raised: the rows would not hold what the operator promises."""
     rows = stored(rows)
-    for _ in range(most_rounds):
+    for _ in range(most_rounds + 1):
         weak = None
         for k in keys:
             support = rows.groupBy(k).agg(F.count_if(F.col("partition") == "train").alias("_s")).where(F.col("_s") < least).select(k)
@@ -96,40 +98,123 @@ def repair_support(rows: DataFrame, keys: Sequence[str], unit: str = "unit", lea
         weak = stored(weak.distinct())
         if weak.isEmpty():
             return rows
-        rows = stored(rows.join(weak.withColumn("_w", F.lit(True)), unit, "left").withColumn("partition", F.when(F.col("_w"), "train").otherwise(F.col("partition"))).drop("_w"))
-    return rows
-
-
-def both_cold(df: DataFrame, first: str, second: str, ks: Sequence[int], seeds: Sequence[int], record: str, least_test: int = 30) -> DataFrame:
-    """(record, partition): test rows have both keys held out, buffer rows one, the rest is core, split 85/15 into train and val.
-
-    Each candidate (k, seed) holds out the k first keys of either side by salted hash, second ones counted only within test-to-be rows of the first
-    (alternating choice). The candidate with a test of `least_test` rows or more and the largest core wins. Candidates run on the table of key pairs with counts."""
-    pairs = stored(df.where(F.col(first).isNotNull() & F.col(second).isNotNull()).groupBy(first, second).agg(F.count("*").alias("n")))
-    cand = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("seed")) for k in ks for s in seeds]))
-
-    def chosen(rows: DataFrame, key: str) -> DataFrame:
-        """Per candidate the k keys that hold the most rows, ties and spread by salted hash."""
-        counts = rows.groupBy("k", "seed", key).agg(F.sum("n").alias("n"))
-        h = F.sha2(F.concat_ws(":", F.col("seed").cast("string"), F.col(key).cast("string")), 256)
-        ranked = counts.withColumn("_r", F.row_number().over(W.partitionBy("k", "seed").orderBy(F.substring(h, 1, 1), F.desc("n"), h)))
-        return ranked.where(F.col("_r") <= F.col("k")).select("k", "seed", key)
-
-    rows = pairs.withColumn("c", cand).select("*", "c.*").drop("c")
-    ones = stored(chosen(rows, first))
-    twos = stored(chosen(rows.join(ones, ["k", "seed", first], "left_semi"), second))
-    for _ in range(2):  # alternate: first keys again, within the rows of the second ones
-        ones = stored(chosen(rows.join(twos, ["k", "seed", second], "left_semi"), first))
-        twos = stored(chosen(rows.join(ones, ["k", "seed", first], "left_semi"), second))
-    marked = rows.join(ones.withColumn("_a", F.lit(1)), ["k", "seed", first], "left").join(twos.withColumn("_b", F.lit(1)), ["k", "seed", second], "left")
-    a, b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
-    score = marked.groupBy("k", "seed").agg(F.coalesce(F.sum(F.when(a & b, F.col("n"))), F.lit(0)).alias("test"), F.coalesce(F.sum(F.when(~a & ~b, F.col("n"))), F.lit(0)).alias("core"))
-    best = score.agg(F.min_by(F.struct("k", "seed"), F.struct((F.col("test") < least_test).alias("weak"), -F.col("core"), "k", "seed")).alias("c")).select("c.*")
-    side = lambda t, key, flag: t.join(F.broadcast(best), ["k", "seed"]).select(key, F.lit(True).alias(flag))
-    labelled = df.join(side(ones, first, "_a"), first, "left").join(side(twos, second, "_b"), second, "left")
-    a, b = F.coalesce("_a", F.lit(False)), F.coalesce("_b", F.lit(False))
-    inner = F.conv(F.substring(F.sha2(F.concat(F.lit("core:"), F.col(record).cast("string")), 256), 1, 8), 16, 10).cast("long") % 100
-    return labelled.select(record, F.when(a & b, "test").when(a | b, "buffer").when(inner < 85, "train").otherwise("val").alias("partition"))
+        moved = rows.join(weak.withColumn("_w", F.lit(True)), unit, "left")
+        rows = stored(moved.withColumn("partition", F.when(F.col("_w"), "train").otherwise(F.col("partition"))).drop("_w"))
+    raise RuntimeError(f"support is not repaired after {most_rounds} rounds")
+
+
+def pair_cold(rows: DataFrame, units: DataFrame, keys: Sequence[str], seeds: Sequence[int], record: str, shares: Sequence[float] = (0.7, 0.15, 0.15), least: int = 5) -> DataFrame:
+    """(record, partition, seed) of the best seed. rows: with record, unit and keys; units: as of units_only, over the key pairs.
+
+    Each seed's balanced split is repaired; the seed whose repaired record shares are nearest to `shares` wins, the smaller one in a tie."""
+    total, best = rows.count(), None
+    balanced = stored(balance_units(units, seeds, shares))
+    for seed in seeds:
+        placed = rows.join(balanced.where(F.col("seed") == seed).select("unit", "partition").hint("shuffle_merge"), "unit")
+        fixed = repair_support(placed, keys, "unit", least)
+        counts = {r.partition: r["count"] for r in fixed.groupBy("partition").count().collect()}  # three numbers
+        gap = round(sum(abs(counts.get(p, 0) / total - x) for p, x in zip(PARTS, shares, strict=True)), 12)
+        if best is None or gap < best[0]:
+            best = (gap, seed, fixed)
+    return best[2].select(record, "partition", F.lit(best[1]).alias("seed"))
+
+
+def _salted(seed: str, name: str, key: str) -> Column:
+    return F.sha2(F.concat_ws(":", F.col(seed).cast("string"), F.lit(name), F.col(key).cast("string")), 256)
+
+
+def both_cold(
+    df: DataFrame,
+    first: str,
+    second: str,
+    group: str,
+    record: str,
+    k_first: Sequence[int],
+    k_second: Sequence[int],
+    seeds: Sequence[int],
+    forced: str | None = None,
+    power: Mapping[str, int] | None = None,
+    band: tuple[float, float, float] = (0.05, 0.075, 0.10),
+    core_shares: tuple[float, float] = (0.85, 0.15),
+    least_split: Mapping[str, int] | None = None,
+) -> DataFrame:
+    """(record, partition): test rows have both keys held out, buffer rows one; a group whose rows fall apart is buffer as a whole.
+
+    A candidate (seed, kf, ks) begins with the ks second keys of smallest salted hash, then four times takes the kf first keys with the
+    most rows among them and the ks second keys with the most rows among those, ties by salted hash. Keys of rows marked
+    `forced` are never held out. Best is, in this order: enough power (`power`: least test_records, test_groups, test_first,
+    test_second, core_records), the most core records, the fewest buffer records, a test share inside `band`, the nearest to its
+    middle, and the smallest seed, kf and ks. Without a candidate of enough power, or with fewer rows in a part than
+    `least_split` (train, val) after the core's split, a ValueError is raised. The core is split by whole groups (X2).
+
+    Candidates are rows beside the table of key pairs with counts; what is chosen has at most the sum of all kf and ks rows, which bounds the broadcasts.
+    """
+    power, least_split = dict(power or {}), dict(least_split or {})
+    name = F.coalesce(F.col(group).cast("string"), F.concat(F.lit("record:"), F.col(record).cast("string")))
+    locked = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
+    rows = stored(df.select(record, F.col(first).alias("a"), F.col(second).alias("b"), name.alias("g"), locked.alias("locked")))
+    pairs = stored(rows.where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("n")))
+    free = {k: stored(rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.bool_or("locked").alias("x")).where("not x").select(k)) for k in "ab"}
+    spark, most = df.sparkSession, {"a": max(k_first), "b": max(k_second)}
+    cand = stored(spark.createDataFrame([(s, f, t) for s in seeds for f in k_first for t in k_second], "seed int, ka int, kb int"))
+    seed_rows = spark.createDataFrame([(s,) for s in seeds], "seed int")
+    cand_key = ["seed", "ka", "kb"]
+
+    def by_hash(key: str, salt: str) -> DataFrame:
+        """(seed, key, place): the keys of smallest hash, twice as many as are ever taken, so that some are left where none has rows."""
+        spread = free[key].join(F.broadcast(seed_rows)).withColumn("h", _salted("seed", salt, key))
+        place = F.row_number().over(W.partitionBy("seed").orderBy("h"))
+        return stored(spread.withColumn("place", place).where(F.col("place") <= 2 * most[key]).select("seed", key, "place"))
+
+    def with_most_rows(key: str, other: str, held: DataFrame, salt: str, first_ones: DataFrame) -> DataFrame:
+        scored = pairs.join(F.broadcast(held), other).groupBy(*cand_key, key).agg(F.sum("n").alias("n")).join(free[key].hint("shuffle_hash"), key, "left_semi")
+        none = F.broadcast(cand).join(first_ones.select("seed", key), "seed").select(*cand_key, key, F.lit(0).cast("long").alias("n"))
+        summed = scored.select(*cand_key, key, "n").union(none).groupBy(*cand_key, key).agg(F.sum("n").alias("n"))
+        place = F.row_number().over(W.partitionBy(*cand_key).orderBy(F.desc("n"), _salted("seed", salt, key)))
+        return stored(summed.withColumn("place", place).where(F.col("place") <= most[key]).where(F.col("place") <= F.col(f"k{key}")).select(*cand_key, key))
+
+    start, ties = by_hash("b", "B"), {"a": by_hash("a", "A"), "b": by_hash("b", "B2")}
+    twos = stored(F.broadcast(cand).join(start, "seed").where(F.col("place") <= F.col("kb")).select(*cand_key, "b"))
+    for _ in range(4):
+        ones = with_most_rows("a", "b", twos, "A", ties["a"])
+        twos = with_most_rows("b", "a", ones, "B2", ties["b"])
+
+    # Rows that a candidate touches, by group; all others are core.
+    held = stored(rows.groupBy("g", "a", "b").agg(F.count("*").alias("n")))
+    groups = stored(held.groupBy("g").agg(F.sum("n").alias("all_")))
+    flag = lambda k, taken: held.join(F.broadcast(taken), k).select(*cand_key, "g", "a", "b", "n", F.lit(k == "a").alias("ina"), F.lit(k == "b").alias("inb"))
+    touched = flag("a", ones).union(flag("b", twos)).groupBy(*cand_key, "g", "a", "b", "n").agg(F.bool_or("ina").alias("ina"), F.bool_or("inb").alias("inb"))
+    touched = touched.withColumn("test", F.col("ina") & F.col("inb"))
+    by_group = touched.groupBy(*cand_key, "g").agg(F.sum("n").alias("seen"), F.coalesce(F.sum(F.when(F.col("test"), F.col("n"))), F.lit(0)).alias("n_test"))
+    by_group = stored(by_group.join(groups.hint("shuffle_hash"), "g").withColumn("part", F.when(F.col("n_test") == F.col("all_"), "test").otherwise("buffer")))
+    in_test = touched.join(by_group.where("part = 'test'").select(*cand_key, "g").hint("shuffle_hash"), [*cand_key, "g"], "left_semi")
+    keys_in = in_test.groupBy(*cand_key).agg(F.count_distinct("a").alias("test_first"), F.count_distinct("b").alias("test_second"))
+    total = rows.count()
+    when = lambda p: F.coalesce(F.sum(F.when(F.col("part") == p, F.col("all_"))), F.lit(0))
+    sums = by_group.groupBy(*cand_key).agg(when("test").alias("test_records"), when("buffer").alias("buffer_records"), F.count_if(F.col("part") == "test").alias("test_groups"))
+    scored = cand.join(sums, cand_key, "left").join(keys_in, cand_key, "left").na.fill(0)
+    scored = scored.withColumn("core_records", F.lit(total) - F.col("test_records") - F.col("buffer_records")).withColumn("share", F.col("test_records") / F.lit(float(max(total, 1))))
+    weak = F.lit(False)
+    for k, v in power.items():
+        weak = weak | (F.col(k) < v)
+    order = [weak, -F.col("core_records"), F.col("buffer_records"), ~F.col("share").between(band[0], band[2]), F.round(F.abs(F.col("share") - band[1]), 12), *map(F.col, cand_key)]
+    best = scored.orderBy(*order).select(*cand_key, weak.alias("weak")).first()
+    if best is None or best.weak:
+        raise ValueError("no candidate has enough power")
+    chosen = " and ".join(f"{k} = {best[k]}" for k in cand_key)
+    outside = stored(by_group.where(chosen).select("g", "part"))
+    core = groups.join(outside.hint("shuffle_hash"), "g", "left_anti")
+    units = core.select(F.col("g").alias("unit"), F.lit(1).cast("long").alias("n_groups"), F.col("all_").alias("n_records"), F.lit(1.0).alias("unit_weight"), F.lit(False).alias("forced"))
+    if forced:
+        units = units.drop("forced").join(rows.groupBy(F.col("g").alias("unit")).agg(F.bool_or("locked").alias("forced")), "unit").select("unit", "n_groups", "n_records", "unit_weight", "forced")
+    inner = balance_units(stored(units), [best.seed], (*core_shares, 0.0)).select(F.col("unit").alias("g"), F.col("partition").alias("part"))
+    parts = stored(outside.union(inner))
+    out = stored(rows.join(parts.hint("shuffle_hash"), "g").select(record, F.col("part").alias("partition")))
+    if least_split:
+        counts = {r.partition: r["count"] for r in out.groupBy("partition").count().collect()}  # four numbers
+        if any(counts.get(p, 0) < n for p, n in least_split.items()):
+            raise ValueError("too few rows in train or val after the core's split")
+    return out
 
 
 def override(rows: DataFrame, quarantine: DataFrame, forced: DataFrame, group: str) -> DataFrame:
@@ -208,8 +293,8 @@ def replicate_policy(dispersion: DataFrame, representatives: DataFrame, group: s
     return representatives.join(worst, group, "left").groupBy(policy.alias("policy")).agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_records"))
 
 
-def invariant(build, df: DataFrame, digest) -> bool:
-    """The same result from the rows as they are and dealt out anew."""
-    first, second = digest(build(df)).first(), digest(build(df.repartition(7))).first()
-    return first == second
-
+def invariance(build, df: DataFrame, digest) -> DataFrame:
+    """One row (n, invariant): whether the same comes out of the rows as they are and dealt out anew, by an order-free digest."""
+    first, second = digest(build(df)), digest(build(df.repartition(7)))
+    both = first.select(F.col("n"), F.struct("*").alias("x")).join(F.broadcast(second.select(F.struct("*").alias("y"))))  # one row each
+    return both.select("n", F.col("x").eqNullSafe(F.col("y")).alias("invariant"))

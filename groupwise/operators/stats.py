@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from groupwise.storage import stored
+
 Q5 = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
@@ -109,28 +111,35 @@ def weighted_moments(df: DataFrame, columns: Sequence[str], weight: str, tiny: f
     return centred.groupBy("feature").agg(F.first("n").alias("n"), F.first("weight").alias("weight"), F.first("mean").alias("mean"), F.when(var > tiny * tiny, F.sqrt(var)).otherwise(1.0).alias("std"))
 
 
-def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str, parts: int = 32) -> DataFrame:
-    """Sum of value up to and including each row, in order, per group `by`, without one task holding a group: ranges of the order are
-    summed inside, and the totals of the ranges before are added."""
-    cut = df.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id())
-    from groupwise.storage import stored
+def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: dict[str, str], ahead: str | None = None, parts: int | None = None) -> DataFrame:
+    """Running sums in order per group `by`: sums maps a value column to the column of its sum up to and including each row.
 
+    `ahead` names a column for the next value of order[-1], null for the last row. No task holds a group: the rows are cut into ranges
+    of (by, order), each range is summed inside, and the totals of the ranges before it are added. There are as many ranges as
+    shuffle partitions (`parts`), so that a range stays as small as any other partition of the session.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id())
     cut = stored(cut)  # the ranges are drawn from a sample; both uses must see the same ones
-    totals = cut.groupBy(*by, "_part").agg(F.sum(value).alias("_t"))
-    before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    inside = F.sum(value).over(W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return cut.withColumn("_in", inside).join(before, [*by, "_part"]).withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before", "_part")
-
-
-def next_value(df: DataFrame, by: Sequence[str], order: str, out: str, parts: int = 32) -> DataFrame:
-    """The next larger value of `order` (distinct per group), null for the last; ranges look ahead inside, and to the first value of a later range."""
-    from groupwise.storage import stored
-
-    cut_ = stored(df.repartitionByRange(parts, *by, order).withColumn("_part", F.spark_partition_id()))
-    firsts = cut_.groupBy(*by, "_part").agg(F.min(order).alias("_f"))
-    after = firsts.withColumn("_after", F.lead("_f").over(W.partitionBy(*by).orderBy("_part"))).drop("_f")
-    inside = F.lead(order).over(W.partitionBy(*by, "_part").orderBy(order))
-    return cut_.withColumn("_in", inside).join(after, [*by, "_part"]).withColumn(out, F.coalesce("_in", "_after")).drop("_in", "_after", "_part")
+    named = list(enumerate(sums.items()))
+    totals = cut.groupBy(*by, "_part").agg(F.min(order[-1]).alias("_first"), *[F.sum(value).alias(f"_t{k}") for k, (value, _) in named])
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.withColumns({f"_b{k}": F.coalesce(F.sum(f"_t{k}").over(earlier), F.lit(0)) for k, _ in named})
+    if ahead:
+        before = before.withColumn("_after", F.lead("_first").over(W.partitionBy(*by).orderBy("_part")))
+    before = before.drop("_first", *[f"_t{k}" for k, _ in named])
+    inside = W.partitionBy(*by, "_part").orderBy(*order)
+    rows = cut.withColumns({f"_i{k}": F.sum(value).over(inside.rowsBetween(W.unboundedPreceding, 0)) for k, (value, _) in named})
+    if ahead:
+        rows = rows.withColumn("_next", F.lead(order[-1]).over(inside))
+    joined = rows.join(before.hint("shuffle_hash"), [*by, "_part"])
+    out = joined.withColumns({name: F.col(f"_i{k}") + F.col(f"_b{k}") for k, (_, name) in named} | ({ahead: F.coalesce("_next", "_after")} if ahead else {}))
+    return out.drop("_part", "_next", "_after", *[f"_{c}{k}" for c in "ib" for k, _ in named])
+
+
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str, parts: int | None = None) -> DataFrame:
+    """Sum of value up to and including each row, in order, per group `by`; see running_sums."""
+    return running_sums(df, by, order, {value: out}, parts=parts)
 
 
 def weighted_median(df: DataFrame, columns: Sequence[str], weight: str) -> DataFrame:
@@ -165,12 +174,25 @@ def average_rank(df: DataFrame, x: str, out: str, by: Sequence[str] = ()) -> Dat
     return df.join(ranked, [*by, x], "left")
 
 
+def average_ranks(df: DataFrame, columns: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """Average ranks of several columns (column to rank column) in one pass over their distinct values."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("_of"), F.col(c).cast("double").alias("_v")) for c in columns])
+    per = df.select(*by, F.inline(pairs)).where("_v is not null").groupBy(*by, "_of", "_v").agg(F.count("*").alias("_n"))
+    ranked = stored(running_sum(per, [*by, "_of"], ["_v"], "_n", "_c").withColumn("_r", F.col("_c") - (F.col("_n") - 1) / 2).select(*by, "_of", "_v", "_r"))
+    for c, out in columns.items():
+        one = ranked.where(F.col("_of") == c).select(*by, F.col("_v").alias(c), F.col("_r").alias(out))
+        df = df.join(one, [*by, c], "left")
+    return df
+
+
 def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = (), least: int = 3) -> DataFrame:
     """N, Pearson, Spearman; null below `least` rows or for a constant."""
-    rows = df.select(*by, F.nanvl(F.col(x).cast("double"), F.lit(None)).alias("_x"), F.nanvl(F.col(y).cast("double"), F.lit(None)).alias("_y")).where("_x is not null and _y is not null")
-    ranked = average_rank(average_rank(rows, "_x", "_rx", by), "_y", "_ry", by)
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
+    rows = stored(df.select(*by, number(x).alias("_x"), number(y).alias("_y")).where("_x is not null and _y is not null"))
+    ranked = average_ranks(rows, {"_x": "_rx", "_y": "_ry"}, by)
     flat = (F.count("*") < least) | (F.max("_x") == F.min("_x")) | (F.max("_y") == F.min("_y"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(~flat, F.corr("_x", "_y")).alias("pearson"), F.when(~flat, F.corr("_rx", "_ry")).alias("spearman"))
+    measures = [F.when(~flat, F.corr(a, b)).alias(n) for a, b, n in (("_x", "_y", "pearson"), ("_rx", "_ry", "spearman"))]
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), *measures)
 
 
 def pair_relations(long: DataFrame, key: str, weight: str) -> DataFrame:
@@ -206,8 +228,8 @@ def shift(a: DataFrame, b: DataFrame, columns: Sequence[str], least_smd: float =
     m = both.groupBy("column").agg(*[f(F.when(s, v)).alias(n + t) for s, t in ((in_a, "_a"), (in_b, "_b")) for f, n in ((F.count, "n"), (F.avg, "mean"), (F.stddev_pop, "std"), (F.min, "lo"), (F.max, "hi"))])
     outside = both.join(F.broadcast(m), "column").groupBy("column").agg((F.count_if(in_b & ((v < F.col("lo_a")) | (v > F.col("hi_a")))) / F.first("n_b")).alias("outside"))
     steps = both.groupBy("column", "value").agg(F.count_if(in_a).alias("ka"), F.count_if(in_b).alias("kb"))
-    cum = running_sum(running_sum(steps, ["column"], ["value"], "ka", "ca"), ["column"], ["value"], "kb", "cb")
-    w1 = next_value(cum, ["column"], "value", "next").join(F.broadcast(m), "column").groupBy("column").agg(F.coalesce(F.sum(F.abs(F.col("ca") / F.col("n_a") - F.col("cb") / F.col("n_b")) * (F.col("next") - F.col("value"))), F.lit(0.0)).alias("w1_raw"))
+    cum = running_sums(steps, ["column"], ["value"], {"ka": "ca", "kb": "cb"}, ahead="next")
+    w1 = cum.join(F.broadcast(m), "column").groupBy("column").agg(F.coalesce(F.sum(F.abs(F.col("ca") / F.col("n_a") - F.col("cb") / F.col("n_b")) * (F.col("next") - F.col("value"))), F.lit(0.0)).alias("w1_raw"))
     unit = F.nullif(F.col("std_a"), F.lit(0.0))
     out = m.join(outside, "column").join(w1, "column").select("column", ((F.col("mean_b") - F.col("mean_a")) / unit).alias("smd"), ((F.col("mean_b") - F.col("mean_a")) / F.nullif(F.sqrt((F.col("std_a") ** 2 + F.col("std_b") ** 2) / 2), F.lit(0.0))).alias("pooled_smd"), (F.col("w1_raw") / unit).alias("w1"), "outside")
     votes = sum((F.coalesce(c, F.lit(False)).cast("int") for c in (F.abs("smd") >= least_smd, F.col("w1") >= least_w1, F.col("outside") >= least_out)), F.lit(0))

@@ -3,17 +3,18 @@
 from pyspark.sql import functions as F
 
 from groupwise.operators import geometry, splits, stats
+from groupwise.operators.contracts import digest
 from groupwise.functions import scalar as s
+from groupwise.storage import stored
 
 from .bindings import RECORDS_SQL, records, table
 from .registry import registry
-from groupwise.storage import stored
 
 QUERIES, ORACLE, add = registry()
 R = "WITH " + RECORDS_SQL
 #: With identity = supplier a unit is all groups of a supplier, so plain SQL can find the components.
 UNITS = R + """, g AS (SELECT grp, donor, count(*) AS n, sum(1 / gs)::DOUBLE AS w FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS gs FROM records) GROUP BY grp, donor),
-u AS (SELECT donor, sha256(string_agg(grp, ',' ORDER BY grp)) AS unit, count(*) AS n_groups, sum(n)::BIGINT AS n_records, sum(w) AS unit_weight, donor = 3 AS forced FROM g GROUP BY donor)"""
+u AS (SELECT donor, sha256(count(*) || ':' || sum(CAST('0x' || substr(sha256(grp), 1, 15) AS BIGINT)) || ':' || sum(CAST('0x' || substr(sha256(grp), 16, 15) AS BIGINT))) AS unit, count(*) AS n_groups, sum(n)::BIGINT AS n_records, sum(w) AS unit_weight, donor = 3 AS forced FROM g GROUP BY donor)"""
 BAL = UNITS + """, t AS (SELECT sum(n_records) AS total, coalesce(sum(n_records) FILTER (WHERE forced), 0) AS f FROM u),
 o AS (SELECT seed, unit, n_records, unit_weight, sum(n_records) OVER (PARTITION BY seed ORDER BY sha256(seed || ':' || unit)) - n_records / 2 AS mid FROM u, (SELECT unnest([1, 2, 3]) AS seed) WHERE NOT forced),
 b AS (SELECT seed, unit, n_records, unit_weight, CASE WHEN mid < greatest(0, 0.7 * total - f) THEN 'train' WHEN mid < greatest(0, 0.7 * total - f) + greatest(total - f - greatest(0, 0.7 * total - f), 0) * 0.5 THEN 'val' ELSE 'test' END AS partition FROM o, t UNION ALL SELECT seed, unit, n_records, unit_weight, 'train' FROM u, (SELECT unnest([1, 2, 3]) AS seed) WHERE forced),
@@ -61,15 +62,67 @@ def _(spark, sf):
     return _split(spark, sf)[1]
 
 
-@add("x4_pair_cold_repair")
+def _x4_sql(rounds: int = 6) -> str:
+    """Support repair unrolled; a round that finds nothing changes nothing."""
+    draw = "CAST('0x' || substr(sha256('1:' || grp), 1, 8) AS BIGINT) % 100"
+    out = R + f", p0 AS MATERIALIZED (SELECT record, grp, donor, acceptor, CASE WHEN {draw} < 70 THEN 'train' WHEN {draw} < 85 THEN 'val' ELSE 'test' END AS part FROM records)"
+    for k in range(rounds):
+        few = [f"{key} IN (SELECT {key} FROM p{k} GROUP BY {key} HAVING count(*) FILTER (WHERE part = 'train') < 5)" for key in ("donor", "acceptor")]
+        weak = f"SELECT grp FROM p{k} WHERE part <> 'train' AND ({' OR '.join(few)})"
+        out += f", p{k + 1} AS MATERIALIZED (SELECT record, grp, donor, acceptor, CASE WHEN grp IN ({weak}) THEN 'train' ELSE part END AS part FROM p{k})"
+    return out + f" SELECT record, part AS partition FROM p{rounds}"
+
+
+@add("x4_pair_cold_repair", _x4_sql())
 def _(spark, sf):
-    r = _rows(spark, sf).withColumn("unit", F.col("grp")).withColumn("partition", F.when(s.draw(F.lit(100), 1, F.col("grp")) < 70, "train").when(s.draw(F.lit(100), 1, F.col("grp")) < 85, "val").otherwise("test"))
+    hashed = F.conv(F.substring(F.sha2(F.concat(F.lit("1:"), "grp"), 256), 1, 8), 16, 10).cast("long") % 100
+    r = _rows(spark, sf).withColumn("unit", F.col("grp")).withColumn("partition", F.when(hashed < 70, "train").when(hashed < 85, "val").otherwise("test"))
     return splits.repair_support(r.select("record", "unit", "donor", "acceptor", "partition"), ["donor", "acceptor"]).select("record", "partition")
 
 
-@add("x5_both_cold")
+@add("x4_pair_cold")
+def _(spark, sf):
+    """Pair-cold split over a seed sweep: units are the key pairs."""
+    r = _rows(spark, sf).withColumn("unit", F.col("grp")).select("record", "unit", "donor", "acceptor", "group_weight")
+    units = r.groupBy("unit").agg(F.lit(1).cast("long").alias("n_groups"), F.count("*").alias("n_records"), F.sum("group_weight").alias("unit_weight"), F.lit(False).alias("forced"))
+    return splits.pair_cold(stored(r), stored(units), ["donor", "acceptor"], [1, 2, 3], "record").select("record", "partition", "seed")
+
+
+#: Numbers of held-out keys and seeds of the registered query, and its gates (the test tables are small).
+X5_KA, X5_KB, X5_SEEDS, X5_POWER = [3, 6, 10], [40, 80], [1, 2, 3], {"test_records": 20, "test_groups": 20, "core_records": 1000}
+
+
+def _x5_sql() -> str:
+    cand = f"cand AS (SELECT seed, ka, kb FROM (SELECT unnest({X5_SEEDS}) AS seed), (SELECT unnest({X5_KA}) AS ka), (SELECT unnest({X5_KB}) AS kb))"
+    out = R + f", rws AS MATERIALIZED (SELECT record, donor AS a, acceptor AS b, grp AS g, donor = 3 AS locked FROM records), {cand}"
+    for k in "ab":
+        out += f", free{k} AS MATERIALIZED (SELECT {k} FROM rws GROUP BY {k} HAVING NOT bool_or(locked))"
+    out += ", pairs AS MATERIALIZED (SELECT a, b, count(*) AS n FROM rws GROUP BY a, b)"
+    out += ", b0 AS MATERIALIZED (SELECT seed, ka, kb, b FROM cand, freeb QUALIFY row_number() OVER (PARTITION BY seed, ka, kb ORDER BY sha256(seed || ':B:' || b)) <= kb)"
+    step = ", {new} AS MATERIALIZED (SELECT seed, ka, kb, {k} FROM (SELECT seed, ka, kb, f.{k}, coalesce(n, 0) AS n FROM cand CROSS JOIN free{k} f LEFT JOIN (SELECT seed, ka, kb, {k}, sum(n) AS n FROM pairs JOIN {old} USING ({o}) GROUP BY ALL) USING (seed, ka, kb, {k})) QUALIFY row_number() OVER (PARTITION BY seed, ka, kb ORDER BY n DESC, sha256(seed || ':{salt}:' || {k})) <= k{k})"
+    for r in range(4):
+        out += step.format(new=f"a{r + 1}", old=f"b{r}", k="a", o="b", salt="A") + step.format(new=f"b{r + 1}", old=f"a{r + 1}", k="b", o="a", salt="B2")
+    out += """, touched AS MATERIALIZED (SELECT seed, ka, kb, g, a, b, n, a4.a IS NOT NULL AS ina, b4.b IS NOT NULL AS inb FROM cand CROSS JOIN (SELECT g, a, b, count(*) AS n FROM rws GROUP BY ALL)
+  LEFT JOIN a4 USING (seed, ka, kb, a) LEFT JOIN b4 USING (seed, ka, kb, b) WHERE a4.a IS NOT NULL OR b4.b IS NOT NULL),
+grps AS (SELECT g, count(*) AS all_ FROM rws GROUP BY g),
+by_group AS MATERIALIZED (SELECT seed, ka, kb, g, any_value(all_) AS all_, CASE WHEN coalesce(sum(n) FILTER (WHERE ina AND inb), 0) = any_value(all_) THEN 'test' ELSE 'buffer' END AS part FROM touched JOIN grps USING (g) GROUP BY seed, ka, kb, g),
+sums AS (SELECT seed, ka, kb, coalesce(sum(all_) FILTER (WHERE part = 'test'), 0) AS test_records, coalesce(sum(all_) FILTER (WHERE part = 'buffer'), 0) AS buffer_records, count(*) FILTER (WHERE part = 'test') AS test_groups FROM by_group GROUP BY ALL),
+scored AS (SELECT *, (SELECT count(*) FROM rws) - test_records - buffer_records AS core_records, test_records / (SELECT count(*) FROM rws)::DOUBLE AS share FROM sums),"""
+    weak = " OR ".join(f"{k} < {v}" for k, v in X5_POWER.items())
+    out += f"best AS MATERIALIZED (SELECT seed, ka, kb FROM scored ORDER BY ({weak}), -core_records, buffer_records, NOT share BETWEEN 0.05 AND 0.10, round(abs(share - 0.075), 12), seed, ka, kb LIMIT 1),"
+    out += """outside AS (SELECT g, part FROM by_group JOIN best USING (seed, ka, kb)),
+core AS (SELECT g AS unit, all_ AS n_records, locked FROM grps JOIN (SELECT g, bool_or(locked) AS locked FROM rws GROUP BY g) USING (g) WHERE g NOT IN (SELECT g FROM outside)),
+t AS (SELECT sum(n_records) AS total, coalesce(sum(n_records) FILTER (WHERE locked), 0) AS f FROM core),
+inner_ AS (SELECT unit, sum(n_records) OVER (ORDER BY sha256((SELECT seed FROM best) || ':' || unit)) - n_records / 2 AS mid FROM core WHERE NOT locked),
+placed AS (SELECT unit AS g, CASE WHEN mid < greatest(0, 0.85 * total - f) THEN 'train' ELSE 'val' END AS part FROM inner_, t UNION ALL SELECT unit, 'train' FROM core WHERE locked UNION ALL SELECT g, part FROM outside)
+SELECT record, part AS partition FROM rws JOIN placed USING (g)"""
+    return out
+
+
+@add("x5_both_cold", _x5_sql())
 def _(spark, sf):
-    return splits.both_cold(records(spark, sf).select("record", "donor", "acceptor"), "donor", "acceptor", [5, 10], [1, 2, 3], "record")
+    r = records(spark, sf).select("record", "donor", "acceptor", "grp", (F.col("donor") == 3).alias("locked"))
+    return splits.both_cold(r, "donor", "acceptor", "grp", "record", X5_KA, X5_KB, X5_SEEDS, "locked", X5_POWER)
 
 
 @add("x6_overrides", R + " SELECT record, CASE WHEN donor = 1 THEN 'historical_quarantine' WHEN donor IN (2, 4) THEN 'train' ELSE 'val' END AS partition, CASE WHEN donor IN (2, 4) THEN 'used before' END AS forced_train_reason FROM records")
@@ -86,13 +139,11 @@ def _(spark, sf):
     return splits.verify(rows.drop("y"), "record", "grp", ["donor"], "group_weight", table(spark, sf, "lineitem").count(), targets=["y"])
 
 
-@add("x8_invariance")
+@add("x8_invariance", "SELECT (SELECT count(*) FROM (SELECT DISTINCT l_suppkey FROM lineitem)) AS n, true AS invariant")
 def _(spark, sf):
-    from groupwise.operators.contracts import digest
-
+    """The best split has one row a unit, and is the same however the records are dealt."""
     build = lambda d: splits.best_split(splits.balance_units(splits.units_only(splits.atomic_units(d, "grp", "donor", "group_weight", "forced")), [1, 2, 3]))
-    same = splits.invariant(build, _rows(spark, sf), digest)
-    return spark.range(1).select(F.lit(same).alias("invariant"))
+    return splits.invariance(build, _rows(spark, sf), digest)
 
 
 FOLDS = R + """, mu AS (SELECT donor, sum(qty * y) / sum(qty) AS m FROM records GROUP BY donor), e AS (SELECT quantile_cont(m, [0.2, 0.4, 0.6, 0.8]) AS e FROM mu), bins AS (SELECT donor, len(list_filter(e, lambda x: x < m)) AS bin FROM mu, e),
