@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from groupwise.storage import stored
 
 from .metrics import auc, worst_decile
+from .resample import cluster_interval
 from .stats import correlation, running_sum, running_sums
 
 
@@ -38,20 +39,24 @@ def score_sets(df: DataFrame, residual: str, record: str, keys: Mapping[str, str
     return out
 
 
-def coverage(df: DataFrame, residual: str, half_width: float, group: str, identity: str, scale: float = 1.0) -> DataFrame:
-    """Record, group-macro, simultaneous and identity-macro coverage, width, normalized width, the worst decile of identities, and the
-    correlation of an identity's coverage with its size."""
+def coverage(df: DataFrame, residual: str, half_width: float, group: str, identity: str, scale: float = 1.0, level: float | None = None, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Coverage by record, by group (mean, and all rows of the group at once) and by identity (mean, all at once, the 0.1 quantile).
+
+    With the bootstrap interval of the identity mean, the gap to the nominal `level`, the interval's width, the width in units of
+    `scale`, and the rank correlation of an identity's coverage with its size."""
     hit = (F.abs(residual) <= half_width).cast("double")
-    rows = df.select(group, identity, hit.alias("hit"))
+    rows = stored(df.select(group, identity, hit.alias("hit")))
     record = rows.agg(F.count("*").alias("n"), F.avg("hit").alias("record"))
     per_group = rows.groupBy(group).agg(F.avg("hit").alias("h"), F.min("hit").alias("all_"))
     groups = per_group.agg(F.avg("h").alias("group_macro"), F.avg("all_").alias("simultaneous"))
-    per_identity = stored(rows.groupBy(identity).agg(F.avg("hit").alias("h"), F.count("*").alias("size"), (1 - F.avg("hit")).alias("miss")))
-    ids = per_identity.agg(F.avg("h").alias("identity_macro"), F.count("*").alias("n_identities"))
-    worst = worst_decile(per_identity, [], "miss", identity).select((1 - F.col("worst_decile")).alias("worst_decile"))
+    per_identity = stored(rows.groupBy(identity).agg(F.avg("hit").alias("h"), F.min("hit").alias("all_"), F.count("*").alias("size")))
+    worst = F.percentile("h", F.lit(0.1)).alias("worst_decile")
+    ids = per_identity.agg(F.avg("h").alias("identity_macro"), F.avg("all_").alias("identity_simultaneous"), F.count("*").alias("n_identities"), worst)
+    span = cluster_interval(rows, identity, "hit", replicates, seed).select(F.col("lo").alias("identity_lo"), F.col("hi").alias("identity_hi"))
     size = correlation(per_identity, "size", "h").select(F.col("spearman").alias("size_spearman"))
-    out = record.crossJoin(groups).crossJoin(ids).crossJoin(worst).crossJoin(size)  # one row each
-    return out.withColumns({"width": F.lit(2.0 * half_width), "normalized_width": F.lit(2.0 * half_width / scale)})
+    out = record.crossJoin(groups).crossJoin(ids).crossJoin(span).crossJoin(size)  # one row each
+    gap = F.col("identity_macro") - F.lit(level) if level is not None else F.lit(None).cast("double")
+    return out.withColumns({"gap": gap, "width": F.lit(2.0 * half_width), "normalized_width": F.lit(2.0 * half_width / scale)})
 
 
 def applicability(df: DataFrame, views: Sequence[str]) -> DataFrame:

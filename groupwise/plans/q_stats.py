@@ -272,12 +272,31 @@ def _(spark, sf):
     return ranking.round_robin(records(spark, sf).select("record", "line"), "line", "record", 5).select("record", "fold")
 
 
-@add("w11_merge_bins")
+W11_SQL = R.replace("WITH ", "WITH RECURSIVE ", 1) + """, bins AS MATERIALIZED (SELECT psize, count(*) AS n, count(DISTINCT donor) AS d, row_number() OVER (ORDER BY psize) AS i FROM records GROUP BY psize),
+walk(i, psize, block, x, y) AS (
+  SELECT i, psize, 0, n, d FROM bins WHERE i = 1
+  UNION ALL
+  SELECT b.i, b.psize, CASE WHEN x >= 3000 AND y >= 90 THEN block + 1 ELSE block END, CASE WHEN x >= 3000 AND y >= 90 THEN b.n ELSE x + b.n END, CASE WHEN x >= 3000 AND y >= 90 THEN b.d ELSE y + b.d END
+  FROM walk w JOIN bins b ON b.i = w.i + 1
+), ends AS (SELECT max(block) - CASE WHEN bool_or(i = (SELECT max(i) FROM bins) AND (x < 3000 OR y < 90)) THEN 1 ELSE 0 END AS last FROM walk)
+SELECT psize, greatest(0, least(block, last))::INTEGER AS block FROM walk, ends"""
+
+
+@add("w11_merge_bins", W11_SQL)
 def _(spark, sf):
     bins = records(spark, sf).groupBy("psize").agg(F.count("*").alias("n"), F.count_distinct("donor").alias("d"))
     return ranking.merge_bins(bins, "psize", ("n", "d"), (3000, 90))
 
 
-@add("w8_capped_picks")
+W8_SQL = R.replace("WITH ", "WITH RECURSIVE ", 1) + """, ordered AS MATERIALIZED (SELECT record, donor, acceptor, row_number() OVER (ORDER BY m1, record) AS r FROM records),
+picks(r, record, ds, accs, n) AS (
+  SELECT r, record, [donor], [acceptor], 1 FROM ordered WHERE r = 1
+  UNION ALL
+  SELECT o.r, o.record, list_append(ds, donor), list_append(accs, acceptor), n + 1 FROM picks p, LATERAL (
+    SELECT * FROM ordered o WHERE o.r > p.r AND len(list_filter(p.ds, lambda x: x = o.donor)) < 2 AND len(list_filter(p.accs, lambda x: x = o.acceptor)) < 2 ORDER BY o.r LIMIT 1) o WHERE n < 8
+) SELECT record, n AS pick FROM picks"""
+
+
+@add("w8_capped_picks", W8_SQL)
 def _(spark, sf):
     return ranking.capped_picks(records(spark, sf), "record", "donor", "acceptor", [F.asc("m1"), F.asc("record")], 8)
