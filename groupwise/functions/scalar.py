@@ -122,9 +122,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def fingerprint(s: Column, n: int = 3, bits: int = 2048) -> Column:
-    """The distinct set bits of hashed character n-grams, sorted; a shorter string is one n-gram, an empty one has none."""
-    grams = F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n))).when(F.length(s) > 0, F.array(s)).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(bits).cast("long")))))
+    """The distinct set bits of hashed character n-grams, sorted; a shorter string is one n-gram, an empty one has none.
+
+    The string is cut into its characters once: a substring by place would read from the start each time, so long texts cost their square."""
+
+    def grams(chars: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+        return F.when(F.size(chars) >= n, windows).when(F.size(chars) > 0, F.array(F.array_join(chars, ""))).otherwise(F.array().cast("array<string>"))
+
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    found = F.flatten(F.transform(F.array(chars), grams))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda g: F.pmod(F.xxhash64(g), F.lit(bits).cast("long")))))
 
 
 def wall_seconds(start: Column, end: Column) -> Column:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,40 +16,73 @@ from groupwise.storage import stored
 from .contracts import hash_sample
 
 AXES = ("x", "y", "z")
-
-
-def nearest_similarity(query: DataFrame, train: DataFrame, key: str, bits: str = "bits") -> DataFrame:
+EMPTY = pa.table([pa.array([], pa.int64()), pa.array([], pa.float64())], names=["id", "nearest"])
+
+
+def overlap_similarity(a: str, b: str) -> Column:
+    """Tanimoto of two distinct-valued arrays from one intersection."""
+    common = F.size(F.array_intersect(a, b))
+    return common / (F.size(a) + F.size(b) - common)
+
+
+def _block_best(left: pa.Table, right: pa.Table) -> pa.Table:
+    """For each set of the left block the largest Tanimoto similarity to a set of the right one: products of 0/1 matrices over slices of the bits."""
+    sides = [t["s"].combine_chunks() for t in (left, right)]
+    sizes = [np.diff(s.offsets.to_numpy()) for s in sides]
+    flat = [s.flatten().to_numpy(zero_copy_only=False) for s in sides]
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    universe = np.intersect1d(*flat)
+    common = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+    for k in range(0, len(universe), 4096):
+        part = universe[k : k + 4096]
+        dense = []
+        for r, f, n in zip(rows, flat, sizes, strict=True):
+            at = np.minimum(np.searchsorted(part, f), len(part) - 1)
+            on = part[at] == f
+            m = np.zeros((len(n), len(part)), np.float32)
+            m[r[on], at[on]] = 1
+            dense.append(m)
+        common += dense[0] @ dense[1].T
+    best = (common / (sizes[0][:, None] + sizes[1][None, :] - common)).max(axis=1).astype(np.float64)
+    return pa.table([left["id"], pa.array(best)], names=["id", "nearest"])
+
+
+def nearest_similarity(query: DataFrame, train: DataFrame, key: str, bits: str = "bits", low: float = 0.8, block_rows: int = 2000) -> DataFrame:
     """J10, exact: (key, nearest) for each row of query, the largest Tanimoto similarity to a distinct bit set of train; 0 without a common bit.
 
-    Distinct bit sets are compared once. They meet on shared bits; the number of meetings is the intersection. Of each set only a prefix is
-    posted: with bits ordered from rare to frequent, sets whose similarity exceeds t share one of the first n - ceil(t n) + 1 bits. The search
-    runs with falling t, and only sets that have found nothing yet go on, so frequent bits are posted for few sets."""
-    one = lambda d: d.where(F.col(bits).isNotNull()).select(F.array_sort(F.array_distinct(bits)).alias("s")).distinct()
-    q, t = stored(one(query)), stored(one(train))
-    df = t.select(F.explode("s").alias("bit")).groupBy("bit").agg(F.count("*").alias("df"))
-    def ordered(d):
-        rows = d.withColumn("id", F.xxhash64("s")).select("id", F.size("s").alias("n"), F.explode("s").alias("bit"))
-        ranked = rows.join(df, "bit", "left").select("id", "n", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "bit").alias("b"))
-        return stored(ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list("b")).alias("bs")).select("id", "n", F.transform("bs", lambda b: b["bit"]).alias("bs")))
-    left, right = ordered(q), ordered(t)
-    found = None
-    for low in (0.8, 0.5, 0.2, 0.0):
-        prefix = lambda d: d.select("id", "n", F.explode(F.slice("bs", 1, F.greatest(F.lit(1), F.least(F.col("n"), F.col("n") - F.ceil(F.lit(low) * F.col("n")).cast("int") + 1)))).alias("bit"))
-        a, b = prefix(left), prefix(right).withColumnsRenamed({"id": "id2", "n": "n2"})
-        close = (F.col("n2") >= F.lit(low) * F.col("n")) & (F.col("n") >= F.lit(low) * F.col("n2"))
-        pairs = a.join(b.hint("shuffle_merge"), "bit").where(close).select("id", "id2").distinct()  # sets that share many bits are compared once
-        sides = pairs.join(left.select("id", "bs").hint("shuffle_merge"), "id").join(right.select(F.col("id").alias("id2"), F.col("bs").alias("bs2")).hint("shuffle_merge"), "id2")
-        met = sides.withColumn("sim", tanimoto(F.col("bs"), F.col("bs2")))
-        best = stored(met.groupBy("id").agg(F.max("sim").alias("nearest")).where((F.col("nearest") >= low) & (F.col("nearest") > 0)))
-        found = best if found is None else found.union(best)
-        left = stored(left.join(best.select("id"), "id", "left_anti"))
-        if left.isEmpty():
-            break
+    Distinct bit sets are compared once. Near ones (at `low` or more) are found first by a join on a prefix of each set: with bits ordered
+    from rare to frequent, sets that similar share one of the first n - ceil(low n) + 1 bits. What has found nothing so near is
+    compared with all sets, in pairs of blocks of `block_rows` sets: each task multiplies one pair of blocks. That part is all pairs by
+    nature; minhash_nearest is the search for large tables."""
+    one = lambda d: d.where(F.size(bits) > 0).select(F.array_sort(F.array_distinct(bits)).alias("s")).distinct()
+    q, t = (stored(one(d).withColumn("id", F.xxhash64("s"))) for d in (query, train))
+    df = stored(t.select(F.explode("s").alias("bit")).groupBy("bit").agg(F.count("*").alias("df")))
+
+    def prefixes(d: DataFrame) -> DataFrame:
+        rows = d.select("id", F.size("s").alias("n"), F.explode("s").alias("bit"))
+        ranked = rows.join(df.hint("shuffle_hash"), "bit", "left").select("id", "n", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "bit").alias("b"))
+        listed = ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list("b")).alias("bs"))
+        return stored(listed.select("id", "n", F.explode(F.slice("bs", 1, (F.col("n") - F.ceil(F.lit(low) * F.col("n")) + 1).cast("int"))).alias("b")).select("id", "n", "b.bit"))
+
+    a, b = prefixes(q), prefixes(t).withColumnsRenamed({"id": "id2", "n": "n2"})
+    close = (F.col("n2") >= F.lit(low) * F.col("n")) & (F.col("n") >= F.lit(low) * F.col("n2"))
+    pairs = stored(a.join(b.hint("shuffle_merge"), "bit").where(close).select("id", "id2").distinct())
+    sides = pairs.join(q.hint("shuffle_hash"), "id").join(t.select(F.col("id").alias("id2"), F.col("s").alias("s2")).hint("shuffle_hash"), "id2")
+    near = stored(sides.groupBy("id").agg(F.max(overlap_similarity("s", "s2")).alias("nearest")).where(F.col("nearest") >= low))
+    left = stored(q.join(near.select("id").hint("shuffle_hash"), "id", "left_anti"))
+    n_left, n_train = left.count(), t.count()
+    found = near
+    if n_left and n_train:
+        parts = [max(1, math.ceil(n / block_rows)) for n in (n_left, n_train)]
+        deal = lambda d, own, n_own, other, n_other: d.select("id", "s", F.pmod(F.xxhash64("id"), F.lit(n_own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))).alias(other))
+        one_side, other_side = deal(left, "_a", parts[0], "_b", parts[1]), deal(t, "_b", parts[1], "_a", parts[0])
+        met = one_side.groupBy("_a", "_b").cogroup(other_side.groupBy("_a", "_b")).applyInArrow(lambda x, y: _block_best(x, y) if len(x) and len(y) else EMPTY, "id long, nearest double")
+        found = near.union(stored(met.groupBy("id").agg(F.max("nearest").alias("nearest"))))
     rows = query.withColumn("id", F.xxhash64(F.array_sort(F.array_distinct(bits))))
-    return rows.join(found, "id", "left").select(key, F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
+    return rows.join(found.hint("shuffle_merge"), "id", "left").select(key, F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
 
 
-def minhash_nearest(query: DataFrame, train: DataFrame, key: str, bits: str = "bits", tables: int = 32, rows: int = 2) -> DataFrame:
+def minhash_nearest(query: DataFrame, train: DataFrame, key: str, bits: str = "bits", tables: int = 24, rows: int = 2) -> DataFrame:
     """J10 at scale, approximate: (key, nearest). Sets that agree in one of `tables` codes, each of `rows` MinHashes, are compared exactly.
 
     A neighbour at similarity s is missed with probability (1 - s^rows)^tables. Queries that meet no set at all are searched exactly,
@@ -58,7 +94,7 @@ def minhash_nearest(query: DataFrame, train: DataFrame, key: str, bits: str = "b
     a, b = (stored(d.select(k, F.inline(codes))) for d, k in ((q, "id"), (t, "id2")))
     pairs = stored(a.join(b.hint("shuffle_merge"), ["table", "code"]).select("id", "id2").distinct())
     sides = pairs.join(q.hint("shuffle_hash"), "id").join(t.withColumnRenamed(bits, "_t").hint("shuffle_hash"), "id2")
-    found = stored(sides.groupBy("id").agg(F.max(tanimoto(F.col(bits), F.col("_t"))).alias("nearest")))
+    found = stored(sides.groupBy("id").agg(F.max(overlap_similarity(bits, "_t")).alias("nearest")))
     alone = stored(q.join(found.hint("shuffle_merge"), "id", "left_anti"))
     if not alone.isEmpty():
         found = found.union(nearest_similarity(alone, t, "id", bits))
