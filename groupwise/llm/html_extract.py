@@ -5,12 +5,17 @@ A block is a vector: its path of tags, classes and ids hashed to `PATH` numbers,
 A bidirectional LSTM in numpy reads the whole sequence both ways, so each block is judged with the page around it, and a logistic
 unit says whether it is main text. Main blocks are joined by one space.
 
-Learning, at the start of a run: at most `sample_pages` pages (those with the smallest hash of the id; a documented bound). Pages
-that mark their article teach by its elements: blocks in it are main, other blocks, and those under elements named as boilerplate,
-are not. Each is seen several times, with blocks of boilerplate paths but any text put in, and with the article renamed, so that
-paths the sample lacks are known too. Fixed seed; same input, same model.
+Learning, at the start of a run: at most `sample_pages` pages (those with the smallest hashes; a documented bound), of each a window of
+at most `longest` blocks. Pages that mark their article teach by its elements: blocks in it are main, other blocks, and those under
+elements named as boilerplate, are not. Each is seen several times, with blocks of boilerplate paths but any text put in, and with the
+article renamed, so that paths the sample lacks are known too. If no sampled page marks an article, all blocks outside elements
+named as boilerplate teach as main. Fixed seed; same input, same model.
 
-Null or empty html, or no main block: empty text. Repeated rows are extracted alike. Empty table: no rows. Whole pages are read.
+Whole pages are read. Pages are judged in groups of at most `cells` padded blocks (a longer page alone), and their vectors are made
+slice by slice, so memory follows the longest page's number of blocks by some hundred bytes each.
+
+Null or empty html, or no main block: empty text; so is every text if no sampled page has a block. Repeated rows are extracted alike.
+Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -165,10 +170,9 @@ class Labeller:
             self.w["c" + d] = np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)])
         self.w["out"], self.w["bias"] = rng.normal(0, 0.15, 2 * hidden), np.zeros(1)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = False) -> tuple[np.ndarray, list]:
-        """x (time, page, DIM); mask (time, page). Padding leaves the state as it is."""
-        steps, pages, n = len(x), x.shape[1], self.hidden
-        gates = x @ self.w["x" + d] + self.w["c" + d]
+    def _run(self, gates: np.ndarray, mask: np.ndarray, d: str, keep: bool = False) -> tuple[np.ndarray, list]:
+        """gates (time, page, 4 hidden): what the vectors give to the gates; mask (time, page). Padding leaves the state as it is."""
+        steps, pages, n = len(gates), gates.shape[1], self.hidden
         h, c, out, past = np.zeros((pages, n)), np.zeros((pages, n)), np.zeros((steps, pages, n)), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = gates[t] + h @ self.w["h" + d]
@@ -183,9 +187,14 @@ class Labeller:
             out[t] = h
         return out, past
 
-    def predict(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, d)[0] for d in "fb"], axis=2)
-        return sigmoid(both @ self.w["out"] + self.w["bias"])
+    def gates(self, x: np.ndarray, d: str) -> np.ndarray:
+        return x @ self.w["x" + d] + self.w["c" + d]
+
+    def judge(self, gates: dict[str, np.ndarray], mask: np.ndarray) -> np.ndarray:
+        """Probability of main text of each block, from both directions' gates."""
+        n = self.hidden
+        logit = sum(self._run(gates[d], mask, d)[0] @ self.w["out"][k * n : (k + 1) * n] for k, d in enumerate("fb"))
+        return sigmoid(logit + self.w["bias"])
 
     def _back(self, x: np.ndarray, d: str, past: list, grad: np.ndarray, into: dict) -> None:
         n = self.hidden
@@ -203,7 +212,7 @@ class Labeller:
         into["c" + d] += dz_all.sum(axis=(0, 1))
 
     def loss_gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-        (hf, pf), (hb, pb) = self._run(x, mask, "f", True), self._run(x, mask, "b", True)
+        (hf, pf), (hb, pb) = (self._run(self.gates(x, d), mask, d, True) for d in "fb")
         both = np.concatenate([hf, hb], axis=2)
         p = sigmoid(both @ self.w["out"] + self.w["bias"])
         n = mask.sum()
@@ -242,20 +251,21 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def taught(blocks: list[Block]) -> np.ndarray | None:
-    """1 for main blocks, by the page's own elements; None if it marks no article."""
+def taught(blocks: list[Block], anywhere: bool = False) -> np.ndarray | None:
+    """1 for main blocks, by the page's own elements; None if it marks no article. anywhere: no article element is asked for."""
     out = []
     for b in blocks:
         names = path_names(b.path)
-        inside = [i for i, x in enumerate(names) if x in ARTICLE or x in (".articlebody", ".main")]
-        boiler = any(x in BOILERPLATE or (x[0] in ".#" and x[1:] in BOILER_NAMES) for x in names) or ("header" in names and not inside)
-        out.append(float(bool(inside) and not boiler))
-    return np.array(out) if any(out) else None
+        inside = anywhere or any(x in ARTICLE or x in (".articlebody", ".main") for x in names)
+        boiler = any(x in BOILERPLATE or (x[0] in ".#" and x[1:] in BOILER_NAMES) for x in names) or ("header" in names and (anywhere or not inside))
+        out.append(float(inside and not boiler))
+    return np.array(out) if any(out) or (anywhere and out) else None
 
 
 def examples(pages: list[str], times: int, seed: int = 7, longest: int = 48) -> list[tuple[np.ndarray, np.ndarray]]:
     rng = np.random.default_rng(seed)
-    parsed = [(b, y) for b, y in ((b, taught(b)) for b in map(blocks_of, pages)) if y is not None]
+    read = list(map(blocks_of, pages))
+    parsed = [(b, y) for b in read if (y := taught(b)) is not None] or [(b, y) for b in read if (y := taught(b, anywhere=True)) is not None]
     texts = [b.text for bs, _ in parsed for b in bs[:longest]]
     out, caches = [], ({}, {})
     named = lambda path: ("html", *path.split())
@@ -275,25 +285,40 @@ def examples(pages: list[str], times: int, seed: int = 7, longest: int = 48) ->
     return out
 
 
-def learn(pages: DataFrame, sample_pages: int = 240, times: int = 4, epochs: int = 6) -> Labeller:
-    """pages: (id, html)."""
+def learn(pages: DataFrame, sample_pages: int = 240, times: int = 4, epochs: int = 6) -> Labeller | None:
+    """pages: (id, html). None if the sample has no block."""
     some = hash_share(pages.where(F.col("html").isNotNull()), ["id", "html"], 1.5 * sample_pages)
     rows = some.select(F.xxhash64("id").alias("h"), "id", "html").orderBy("h", "id").limit(sample_pages).collect()
-    model = Labeller()
     data = examples([r.html for r in rows], times)
-    if data:
-        model.fit(data, epochs)
+    if not data:
+        return None
+    model = Labeller()
+    model.fit(data, epochs)
     return model
 
 
-def main_texts(pages: list[str], model: Labeller, chunk: int = 64) -> list[str]:
+def gates_of(pages: list[list[Block]], model: Labeller, caches: tuple[dict, dict], rows: int = 1024) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Both directions' gates of the pages, padded to the longest; the vectors themselves exist for `rows` blocks at a time."""
+    longest = max(map(len, pages))
+    gates = {d: np.zeros((longest, len(pages), 4 * model.hidden), np.float32) for d in "fb"}
+    mask = np.zeros((longest, len(pages)), np.float32)
+    for k, blocks in enumerate(pages):
+        mask[: len(blocks), k] = 1
+        for at in range(0, len(blocks), rows):
+            x = vectors(blocks[at : at + rows], *caches)
+            for d in "fb":
+                gates[d][at : at + len(x), k] = model.gates(x, d)
+    return gates, mask
+
+
+def main_texts(pages: list[str], model: Labeller | None, cells: int = 4096) -> list[str]:
     parsed = [blocks_of(p or "") for p in pages]
     out, caches = [""] * len(pages), ({}, {})
-    by = sorted((i for i, b in enumerate(parsed) if b), key=lambda i: len(parsed[i]))
-    for k in range(0, len(by), chunk):
-        some = by[k : k + chunk]
-        x, mask = padded([vectors(parsed[i], *caches) for i in some])
-        p = model.predict(x, mask)
+    by = sorted((i for i, b in enumerate(parsed) if b and model), key=lambda i: len(parsed[i]))
+    while by:  # from the longest page down: as many as fill the padded cells
+        n = max(1, min(len(by), cells // len(parsed[by[-1]])))
+        some, by = by[-n:], by[:-n]
+        p = model.judge(*gates_of([parsed[i] for i in some], model, caches))
         for col, i in enumerate(some):
             out[i] = " ".join(b.text for b, q in zip(parsed[i], p[:, col], strict=False) if q >= 0.5)
     return out

@@ -60,3 +60,25 @@ def test_odd_rows(spark):
     got = extract(df).collect()
     assert len(got) == 5 and {r.main_text for r in got if r.page_id == 2 or r.page_id is None} == {""}
     assert extract(df.limit(0)).count() == 0
+
+
+def test_memory_is_bounded_by_the_longest_page():
+    import tracemalloc
+
+    model = Labeller()
+    pages = ["<p>a</p>" * 250_000] + ["<article><p>short page</p></article>"] * 63
+    tracemalloc.start()
+    got = main_texts(pages, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 64 and peak < 500e6
+    few = [pages[1], "<div>" + "<p>x y</p>" * 40 + "</div>", ""]
+    assert main_texts(few, model, cells=1) == main_texts(few, model, cells=10**6)  # groups change no result
+
+
+def test_pages_without_article_elements(spark):
+    rows = [(k, "u", f"<div><h1>Title {k}</h1><p>Some text of page {k} here.</p><nav><a href=x>Menu</a></nav></div>") for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.main_text for r in extract(df).collect()} == {k: f"Title {k} Some text of page {k} here." for k in range(40)}
+    nothing = spark.createDataFrame([(1, "u", ""), (2, "u", None), (3, "u", "<br>")], df.schema)
+    assert {r.main_text for r in extract(nothing).collect()} == {""}
