@@ -32,12 +32,6 @@ def length_of(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")).cast("long") + 1
 
 
-def rounded(length: Column, exact: int) -> Column:
-    """Lengths over exact, up to 1/512 steps of the power of two below them; pack uses the lengths themselves."""
-    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(length.cast("double"))) - 9)).cast("long")
-    return F.when(length <= exact, length).otherwise(F.ceil(length / step).cast("long") * step)
-
-
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """The bounds, rising, with the least sum of bound times texts; lengths rise and are distinct. Fewer bounds win a tie.
 
@@ -81,7 +75,8 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
 def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, text_col: str = "text", buckets: int = 16, budget: int = 65_536, slice_rows: int = 20_000) -> DataFrame:
     """(id, n_tokens, bucket, padded, batch, place): bucket numbers rise with length, batch counts in its bucket, place in its batch."""
     length = length_of(F.col(text_col).cast("string")) if length is None else length
-    rows = keep(docs.select(F.col(id_col).cast("long").alias("id"), length.alias("n_tokens")))
+    place0 = F.monotonically_increasing_id().alias("place0")  # written with the row; it only deals rows without an id to the slices
+    rows = keep(docs.select(F.col(id_col).cast("long").alias("id"), length.alias("n_tokens"), place0))
     hist = rows.groupBy(F.col("n_tokens").alias("top")).count().orderBy("top").collect()  # bounded, see above
     bounds = best_bounds(np.array([r.top for r in hist], np.int64), np.array([r["count"] for r in hist], np.int64), buckets)
     total = sum(r["count"] for r in hist)
@@ -89,7 +84,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
         bounds = [1]
     tops = F.array(*map(F.lit, bounds)).cast("array<bigint>")
     slices = max(1, math.ceil(total / slice_rows))
-    placed = rows.withColumn("bucket", F.size(F.filter(tops, lambda b: b < F.col("n_tokens")))).withColumn("slice", F.pmod(F.xxhash64("id", "n_tokens"), F.lit(slices)))
+    placed = rows.withColumn("bucket", F.size(F.filter(tops, lambda b: b < F.col("n_tokens")))).withColumn("slice", F.pmod(F.xxhash64(F.coalesce("id", "place0"), "n_tokens"), F.lit(slices)))
     sizes = placed.groupBy("bucket", "slice").agg(F.count("*").alias("n"))
     begins = keep(sizes.withColumn("begin", F.sum("n").over(W.partitionBy("bucket").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))).select("bucket", "slice", F.coalesce("begin", F.lit(0)).alias("begin")))
     inside = F.row_number().over(W.partitionBy("bucket", "slice").orderBy(F.xxhash64(F.lit(1), "id"), "id", "n_tokens")) - 1

@@ -8,14 +8,13 @@ A code farther than the k-th distance found so far is dropped inside the join, a
 Equal codes are searched once: the index holds each distinct code with its smallest k + 1 ids, which are all a top-k list can need.
 A pair is verified once, by the first segment with the fewest changed bits; nothing is deduplicated by a shuffle.
 
-Null vectors have no code and no neighbours. Repeated ids are separate rows with equal id. Ties go to the smaller id. A query never finds its
+Null vectors have no code and no neighbours; vectors of over 64 elements are an error. Repeated ids are separate rows with equal id. Ties go to the smaller id. A query never finds its
 own row's id. Fewer than k other rows: all of them. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,8 +24,9 @@ from .common import keep
 
 
 def sign_code(vector: Column) -> Column:
-    """Bit i is 1 if element i is above 0; the first 64 elements."""
-    bits = F.transform(F.slice(vector, 1, 64), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    """Bit i is 1 if element i is above 0. A vector of over 64 elements has no such code and raises an error."""
+    fits = F.when(F.size(vector) <= 64, vector).when(F.size(vector) > 64, F.raise_error(F.lit("a code has 64 bits at most")).cast("array<double>"))
+    bits = F.transform(fits.cast("array<double>"), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
@@ -37,7 +37,17 @@ def segment_bounds(bits: int, parts: int) -> list[tuple[int, int]]:
 
 def segment_width(n: int) -> int:
     """Bits of a segment for n distinct codes: somewhat below log2 n, so that most probed values are in use, in steps, so that tables of like size are searched alike."""
-    return next(w for w, most in ((10, 12), (13, 18), (16, 24), (20, 64)) if math.log2(max(n, 2)) <= most)
+    return next(w for w, most in ((10, 12), (13, 18), (16, 24), (22, 30), (32, 64)) if math.log2(max(n, 2)) <= most)
+
+
+def changed_values(value: Column, width: int, flips: int) -> Column:
+    """All values that differ from `value` in exactly `flips` of its `width` bits: bits are flipped one at a time, each above the last one."""
+    begin = F.array(F.struct(value.alias("v"), F.lit(0).alias("next")))
+    places = F.array(*map(F.lit, range(width)))
+    flip = lambda m: F.transform(F.slice(places, m["next"] + 1, width), lambda b: F.struct(m["v"].bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)).alias("v"), (b + 1).alias("next")))
+    for _ in range(flips):
+        begin = F.flatten(F.transform(begin, flip))
+    return F.transform(begin, lambda m: m["v"])
 
 
 def search(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, parts: int | None = None) -> DataFrame:
@@ -46,8 +56,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, pa
     index = _bounded(codes, k)
     n = index.count()
     parts = parts or math.ceil(bits / segment_width(n))
-    if not math.ceil(bits / 20) <= parts <= bits:
-        raise ValueError("segments have 1 to 20 bits")  # a segment's probes are all its values at most
+    if not math.ceil(bits / 32) <= parts <= bits:
+        raise ValueError("segments have 1 to 32 bits")
     cuts = segment_bounds(bits, parts)
     piece = lambda c, a, b: F.shiftrightunsigned(F.col(c), a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
     segment = lambda c: F.array(*[F.struct(F.lit(j).alias("part"), piece(c, a, b).alias("value")) for j, (a, b) in enumerate(cuts)])
@@ -56,10 +66,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, pa
     best = None  # the k + 1 nearest ids so far of each query code
     done = []
     for s in range(max(b - a for a, b in cuts) + 1):
-        widths = sorted({b - a for a, b in cuts})
-        flips = {w: [sum(1 << i for i in c) for c in combinations(range(w), s)] for w in widths}
-        flips = {w: [m - (1 << 64) if m >> 63 else m for m in ms] for w, ms in flips.items()}
-        changed = F.concat(*[F.transform(F.array(*[F.lit(m).cast("long") for m in flips[b - a]]) if flips[b - a] else F.array().cast("array<bigint>"), _flip(j, piece("q", a, b))) for j, (a, b) in enumerate(cuts)])
+        of_part = lambda j, a, b: F.transform(changed_values(piece("q", a, b), b - a, s), lambda v: F.struct(F.lit(j).alias("part"), v.alias("value")))
+        changed = F.concat(*[of_part(j, a, b) for j, (a, b) in enumerate(cuts) if b - a >= s])
         probes = left.select("q", "far", F.inline(changed))
         apart = [F.bit_count(piece("q", a, b).bitwiseXOR(piece("code", a, b))) for a, b in cuts]
         first = F.lit(True)
@@ -87,10 +95,6 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, pa
     return paired.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def _flip(part: int, value: Column):
-    return lambda m: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(m).alias("value"))
-
-
 def _bounded(codes: DataFrame, k: int) -> DataFrame:
     """(code, ids): the k + 1 smallest ids of each code; numbered in 64 salts first, so that no task sorts all rows of a code."""
     salted = codes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
