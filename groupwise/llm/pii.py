@@ -3,10 +3,13 @@
 Patterns find the base spans (e-mail, IP, card, phone), which always stay. The nodes of a document's field are the base spans
 and all other tokens that look like such data (with an at sign, or seven digits and more). A node's label is a kind or none.
 Potentials:
-- unary: a multinomial logistic model over the token's shape (not over the patterns' own tests), learned on base spans;
+- unary: a multinomial logistic model over the token's shape (not over the patterns' own tests);
 - chain: between neighbouring nodes, from how often neighbours share a label;
 - skip: between repeated tokens (same digits or address) and similar ones (same last seven digits, same mailbox), wherever they are
   in the document, likewise learned.
+Learning on the patterns' own finds alone would teach that whatever they miss is none. So each training document is seen twice: as it
+is, and with each base span repeated later in a written form that the patterns miss (no plus sign, other separators, spaces around
+the at sign or dots), labelled as what it is.
 Base spans are clamped to their kind. Loopy sum-product message passing runs for `rounds` damped rounds; a node that is no base span
 becomes a span of a kind if that kind's belief reaches `sure`. So what is clear in one place is marked in the others.
 
@@ -102,6 +105,25 @@ def keys_of(token: str) -> list[str]:
     return ["d" + digits, "t" + digits[-7:]]
 
 
+def disguised(token: str, kind: int, turn: int) -> str:
+    """The token in a form that the patterns miss and a reader still knows; the form follows the turn."""
+    if kind == 0:
+        box, _, host = token.partition("@")
+        return (f"{box}@{host.replace('.', ' ')}", f"{box}@{host.replace('.', '_')}", f"{box}@{host.partition('.')[0]}")[turn % 3]
+    digits = re.sub("[^0-9]", "", token)
+    if kind == 1:
+        return token.replace(".", (" . ", "-", ". ")[turn % 3])
+    cut = 4 if kind == 2 else 3
+    groups = [digits[i : i + cut] for i in range(0, len(digits), cut)]
+    return (".".join(groups), "--".join(groups), ". ".join(groups) if kind == 2 else digits)[turn % 3]
+
+
+def masked(tokens: list[str], kinds: list[int], turn: int) -> tuple[list[str], list[int]]:
+    """The nodes with all base spans repeated after them, disguised."""
+    again = [(disguised(t, k, turn + i), k) for i, (t, k) in enumerate(zip(tokens, kinds, strict=True)) if k < NONE]
+    return tokens + [t for t, _ in again], kinds + [k for _, k in again]
+
+
 def nodes_of(text: str) -> tuple[list[Span], list[Span]]:
     """The base spans, and the likely tokens that touch none of them, with kind NONE; in order of place."""
     base = base_spans(text)
@@ -181,23 +203,28 @@ class Field:
 
 
 def learn(docs: DataFrame, sample_docs: int = 4000, steps: int = 200) -> Field:
-    """docs: (id, text). Base spans and the nodes between them are the labels; piecewise: unary by logistic regression, pairs by counts."""
+    """docs: (id, text). Labels: base spans, their disguised repeats, and the other nodes as none; piecewise: unary by logistic regression, pairs by counts."""
     labels = NONE + 1
 
+    def seen_in(tokens: list[str], kinds: list[int]) -> list[tuple]:
+        pairs, sort = edges_of(tokens)
+        rows = [(0, k, " ".join(map(str, shape(t)))) for t, k in zip(tokens, kinds, strict=True)]
+        return rows + [(1 + int(s), kinds[a] * labels + kinds[b], "") for (a, b), s in zip(pairs, sort, strict=True)]
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "text"):
                 rows = []
                 for text in part["text"].to_pylist():
                     _, nodes = nodes_of(text or "")
-                    tokens = [text[s:e] for s, _, e in nodes]
-                    pairs, sort = edges_of(tokens)
-                    kind = [k for _, k, _ in nodes]
-                    rows += [(0, k, " ".join(map(str, shape(t))), 1) for t, k in zip(tokens, kind, strict=True)]
-                    rows += [(1 + int(s), kind[a] * labels + kind[b], "", 1) for (a, b), s in zip(pairs, sort, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())], names=["what", "value", "shape", "n"])
-
-    got = hash_share(docs, ["id", "text"], sample_docs).mapInArrow(sample, "what int, value int, shape string, n long").groupBy("what", "value", "shape").agg(F.sum("n").alias("n")).collect()
+                    tokens, kinds = [text[s:e] for s, _, e in nodes], [k for _, k, _ in nodes]
+                    rows += seen_in(tokens, kinds)
+                    if min(kinds, default=NONE) < NONE:
+                        rows += seen_in(*masked(tokens, kinds, len(text)))
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["what", "value", "shape"])
+
+    got = hash_share(docs, ["id", "text"], sample_docs).mapInArrow(sample, "what int, value int, shape string").groupBy("what", "value", "shape").agg(F.count("*").alias("n")).orderBy("what", "value", "shape").collect()
     unary, pair = np.zeros((N_SHAPE, labels)), np.ones((3, labels, labels)) + 4 * np.eye(labels)
     seen = [r for r in got if r.what == 0]
     for r in got:
