@@ -9,7 +9,13 @@ Items with fewer words than a window are one window of their own; for each such
 that length. So that words are equal without regard to A-Z case, candidates are searched in lower(), which is equal wherever
 A-Z-lower-cased words are, and the comparison itself uses A-Z only.
 
-The item side is broadcast only if its kept hashes number at most `broadcast_rows` (counted first); otherwise the joins shuffle.
+Texts are cut into words once: the number of words and the kept hashes are written with the row's key; only documents with a common
+hash are cut again, for their words. Each table of the item side (kept hashes, postings, words) and the list of hit documents is
+broadcast only if it is counted to have at most `broadcast_rows` rows (words: as many words). Otherwise the joins shuffle, and a
+k-gram's places are dealt over `salts` parts, so a passage that very many documents share goes to no single task.
+
+An alignment is taken up only where it begins: at a place whose k-gram before differs on both sides. So a repetitive document and
+item give no row for each pair of places.
 
 Null or empty text: no words, no hit. Items without words never occur. Repeated rows are found alike. Rows are told apart by hashes of id and text.
 Empty tables: no rows, or no hits.
@@ -38,7 +44,7 @@ def kept_hashes(g: Column, run: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(g) - run), lambda i: F.least(*[F.get(g, i + j) for j in range(run)])))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, broadcast_rows: int = 1_000_000, salts: int = 16) -> DataFrame:
     """Per document (id, n_words, n_hit, n_items, items): hit words lie inside any occurrence of an item's window; items are sorted as strings."""
     if not 1 <= k < window:
         raise ValueError("k is below the window")
@@ -56,7 +62,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     run = window - k + 1
 
     kinds = [(k, "kept")] * full + [(n, "all") for n in short]
-    hashed = source.select("ka", "kb", F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)).alias("h"))
+    hashed = source.select("id", "ka", "kb", F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)).alias("h"))
     none = F.array().cast("array<bigint>")
 
     def searched_for(n: int, how: str) -> Column:
@@ -67,32 +73,44 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     for n, how in kinds:
         made = made.withColumn(f"g{n}", F.when(F.size("h") >= (window if how == "kept" else n), grams(F.col("h"), n)).otherwise(none))
     empty = F.array().cast("array<struct<gram:int,hash:bigint>>")
-    looked = made.select("ka", "kb", F.inline(F.concat(empty, *[F.coalesce(searched_for(*kind), empty) for kind in kinds])))
+    searched = F.concat(empty, *[F.coalesce(searched_for(*kind), empty) for kind in kinds])
+    base = keep(made.select("id", "ka", "kb", F.size("h").cast("long").alias("n_words"), searched.alias("searched")))
+    looked = base.select("ka", "kb", F.inline("searched"))
+    fits = lambda n: "broadcast" if n <= broadcast_rows else "shuffle_merge"
 
     of_item = lambda n: item_rows.where(F.col("gram") == n)
-    postings = item_rows.select("item", F.lit(0).alias("gram"), F.lit(0).cast("long").alias("hash"), F.lit(0).alias("item_at")).limit(0)
+    before = lambda g: F.transform(g, lambda x, i: F.struct(x.alias("hash"), F.when(i > 0, F.get(g, i - 1)).alias("prev")))
+    postings = item_rows.select("item", F.lit(0).alias("gram"), F.lit(0).alias("item_at"), F.lit(0).cast("long").alias("hash"), F.lit(0).cast("long").alias("prev")).limit(0)
     sought = postings.select("gram", "hash")
     for n, how in kinds:
         placed = of_item(n).where(F.col("length") == (window if how == "kept" else n)).select("item", grams(F.col("hashes"), n).alias("g"))
-        postings = postings.unionAll(placed.select("item", F.lit(n).alias("gram"), F.posexplode("g").alias("item_at", "hash")).select("item", "gram", "hash", "item_at"))
+        listed = placed.select("item", F.lit(n).alias("gram"), F.posexplode(before(F.col("g"))).alias("item_at", "x"))
+        postings = postings.unionAll(listed.select("item", "gram", "item_at", "x.hash", "x.prev"))
         sought = sought.unionAll(placed.select(F.lit(n).alias("gram"), F.explode(kept_hashes(F.col("g"), run) if how == "kept" else F.col("g")).alias("hash")))
     sought = keep(sought.distinct())
-    n_sought = sought.count()
-    small = n_sought <= broadcast_rows
-    hint = "broadcast" if small else "shuffle_merge"
-
-    hits = keep(looked.join(sought.hint(hint), ["gram", "hash"], "left_semi").groupBy("ka", "kb").agg(F.count("*").alias("n")).select("ka", "kb"))
-    # The words of the hit documents only; the hit keys are broadcast only under the same checked bound.
-    hit_hint = "broadcast" if hits.count() <= broadcast_rows else "shuffle_merge"
-    bodies = source.join(hits.hint(hit_hint), ["ka", "kb"], "left_semi").select("ka", "kb", words(text).alias("raw")).select("ka", "kb", F.transform("raw", ascii_lower).alias("ws"), F.transform("raw", lambda w: F.xxhash64(F.lower(w))).alias("h"))
+    hits = keep(looked.join(sought.hint(fits(sought.count())), ["gram", "hash"], "left_semi").groupBy("ka", "kb").agg(F.count("*").alias("n")).select("ka", "kb"))
+    # The words of the hit documents only.
+    bodies = source.join(hits.hint(fits(hits.count())), ["ka", "kb"], "left_semi").select("ka", "kb", words(text).alias("raw"))
+    bodies = bodies.select("ka", "kb", F.transform("raw", ascii_lower).alias("ws"), F.transform("raw", lambda w: F.xxhash64(F.lower(w))).alias("h"))
     bodies = keep(bodies.dropDuplicates(["ka", "kb"]))
+    if not kinds:
+        return base.select("id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     places = None
     for n, how in kinds:
-        at = bodies.where(F.size("h") >= n).select("ka", "kb", F.lit(n).alias("gram"), F.posexplode(grams(F.col("h"), n)).alias("at", "hash"))
+        listed = bodies.where(F.size("h") >= n).select("ka", "kb", F.lit(n).alias("gram"), grams(F.col("h"), n).alias("g"))
+        at = listed.select("ka", "kb", "gram", F.posexplode(before(F.col("g"))).alias("at", "x")).select("ka", "kb", "gram", "at", F.col("x.hash"), F.col("x.prev").alias("prev_here"))
         places = at if places is None else places.unionAll(at)
-    if places is None:
-        return source.select("id", F.size(words(text)).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    aligned = places.join(keep(postings).hint(hint), ["gram", "hash"]).select("ka", "kb", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    postings = keep(postings)
+    how = fits(postings.count())
+    if how == "broadcast":
+        salted, dealt, keys = postings, places, ["gram", "hash"]
+    else:
+        salted = postings.withColumn("salt", F.explode(F.array(*[F.lit(x) for x in range(salts)])))
+        dealt, keys = places.withColumn("salt", F.pmod(F.xxhash64("ka", "at"), F.lit(salts)).cast("int")), ["gram", "hash", "salt"]
+    begins_here = F.coalesce(F.col("prev_here") != F.col("prev"), F.lit(True))
+    met = dealt.join(salted.hint(how), keys).where(begins_here)
+    aligned = met.select("ka", "kb", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    hint = fits(item_rows.agg(F.coalesce(F.sum(F.size("item_words")), F.lit(0))).first()[0])
     # Along an alignment: equal words of document and item, as runs of positions; a run counts from the item's window length on.
     sides = aligned.join(bodies.select("ka", "kb", "ws").hint("shuffle_merge"), ["ka", "kb"]).join(item_rows.select("item", "item_words", "length").hint(hint), "item")
     spots = F.filter(F.sequence(F.lit(0), F.size("item_words") - 1), lambda j: F.coalesce(F.get("item_words", j) == F.get("ws", j + F.col("shift")), F.lit(False)))
@@ -105,7 +123,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     covered = spans.withColumn("past", F.coalesce(F.max("end").over(past), F.lit(0))).groupBy("ka", "kb").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "past"))).cast("long").alias("n_hit"))
     named = found.select("ka", "kb", F.col("item").cast("string").alias("item")).distinct().groupBy("ka", "kb").agg(F.sort_array(F.collect_list("item")).alias("items"))
     result = covered.join(named.hint("shuffle_merge"), ["ka", "kb"])
-    base = source.select("id", "ka", "kb", F.size(words(text)).cast("long").alias("n_words"))
     return base.join(result.hint("shuffle_merge"), ["ka", "kb"], "left").select(
         "id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
