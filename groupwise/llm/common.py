@@ -1,4 +1,4 @@
-"""What the training-data operators share: joins without hot tasks, samples by hash and Arrow word splitting."""
+"""What the training-data operators share: samples by hash and Arrow word splitting; joins and tables come from the library."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groupwise.operators.graph import join_counted
 from groupwise.storage import stored as keep
 
 __all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "by_bytes", "hash_share", "join_counted", "keep", "split_words"]
@@ -32,22 +33,6 @@ def hash_share(df: DataFrame, keys: list[str], n: float) -> DataFrame:
     return df.where(F.xxhash64(*keys) <= F.lit(int(-(1 << 63) + (1 << 64) * (n / total))))
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, parts: int = 10_000, least: int = 64) -> DataFrame:
-    """left joined with right (one row per key; `count`: how many rows of left have that key), without a hot task.
-
-    A key that holds over 1/parts of all rows (and over `least`) is split: its rows of left are dealt round over salts, its row of
-    right is repeated for each. Such keys number fewer than `parts`, so the list of them is broadcast: a proven bound. left must come
-    from written tables without a shuffle, so that a repeated task deals its rows alike.
-    """
-    bound = max(least, (right.agg(F.sum(count)).first()[0] or 0) // parts)
-    salts = F.ceil(F.col(count) / bound).cast("int")
-    hot = right.where(F.col(count) > bound).select(key, salts.alias("_salts"))
-    dealt = left.join(F.broadcast(hot), key, "left")
-    dealt = dealt.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return dealt.join(repeated.hint("shuffle_merge"), [key, "_salt"]).drop("_salt")
-
-
 def by_bytes(batch: pa.RecordBatch | pa.Table, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch | pa.Table]:
     """Slices of about `most` bytes of text, so that memory does not follow the batch size; one very long text is a slice of its own."""
     if not batch.num_rows:

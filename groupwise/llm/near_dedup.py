@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groupwise.operators.graph import star_components as components
+
 from .common import by_bytes, join_counted, keep, split_words
 
 ODD = 0x5555555555555555
@@ -148,28 +150,6 @@ def links(nodes: DataFrame, cells: int | None = None, max_bits: int = 2, dense:
     return pairs.union(code_stars(crowd, max_bits)).where("src <> dst").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable over edges (src, dst), for every node that has an edge.
-
-    Alternates two steps, each a grouped minimum and a join, and writes the edges after each round: every node hands its larger
-    neighbours to its smallest one, then its smaller ones. The edges shrink to stars in a logarithmic number of rounds. The rows of
-    a node with very many neighbours are not shuffled to one task (see join_counted).
-    """
-    edges, seen = keep(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()), None
-    for _ in range(most_rounds):
-        both = edges.union(edges.select(F.col("dst"), F.col("src"))).toDF("u", "v")
-        low = keep(both.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("n")).select("u", F.least("u", "v").alias("m"), "n"))
-        large = keep(join_counted(both.where("v > u"), low, "u", "n").select(F.col("v").alias("src"), F.col("m").alias("dst")).distinct())
-        low = keep(large.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n")))
-        star = F.array(F.struct("src", F.col("m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))
-        edges = keep(join_counted(large, low, "src", "n").select(F.inline(star)).where("src <> dst").distinct())
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first()
-        if now == seen:
-            return edges.select(F.col("src").alias("node"), F.col("dst").alias("root")).union(edges.select(F.col("dst"), F.col("dst"))).distinct()
-        seen = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, cells: int | None = None, max_bits: int = 2, dense: int = 64) -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links of at most max_bits differing bits, itself included."""
     prints = keep(fingerprints(docs, id_col, text_col, shingle))
