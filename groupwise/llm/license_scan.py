@@ -9,7 +9,9 @@ word. A template counts where the matched weight reaches `share` and its mandato
 Phrases are templates that must match wholly, so their anchor finds every place. All work is inside the row: no shuffle but the
 document frequencies of the template words.
 
-Null or empty text: no words, score 0, no labels. Repeated rows are scanned alike. Empty table: no rows.
+Null or empty text: no words, score 0, no labels. Repeated rows are scanned alike. Empty table: no rows. Other columns of the input
+stay; earlier columns named n_words, places, notices or score are replaced. The templates are part of the plan, which suits some
+dozens of notices; a list of many hundreds would need a table of postings.
 """
 
 from __future__ import annotations
@@ -36,6 +38,11 @@ NOTICES = [
     ("licensed under cc by sa 4 0", "cc by sa 4 0", "cc-by-sa-4.0"),
     ("licensed under cc by 4 0", "cc by 4 0", "cc-by-4.0"),
     ("all rights reserved", "all rights reserved", "all-rights-reserved"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "without warranty of any kind express or implied", "mit"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted", "isc"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "endorse or promote products derived from this software", "bsd"),
+    ("this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain", "unlicense"),
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "you may not use this file except in compliance", "apache-2.0"),
 ]
 #: Starts are coded as template * STRIDE + BEFORE + start, so that distinct hashes longs; a notice cut off by the text's begin starts below 0.
 STRIDE, BEFORE = 1 << 40, 1 << 10
@@ -86,28 +93,33 @@ def scan(docs: DataFrame, text_col: str = "text", phrases: dict[str, str] | None
     any_anchor = F.lit(False)
     for a in sorted(rare):
         any_anchor = any_anchor | F.contains(low, F.lit(a))
-    held = docs.withColumns({"_words": words(F.col(text_col)), "_some": F.coalesce(any_anchor, F.lit(False))}).withColumn("n_words", F.size("_words").cast("long"))
-    held = held.withColumn("_words", F.when(F.col("_some"), F.transform("_words", ascii_lower)).otherwise(F.array().cast("array<string>")))
-    held = held.withColumn("_hits", F.filter(F.transform("_words", lambda w, i: F.when(w.isin(list(rare)), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull()))
-    starts = F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.transform(F.element_at(postings, h["w"]), lambda p: p + h["i"])))))
+    inner = {}  # names of columns that no input column has
+    for name in ("words", "some", "hits", "starts", "found"):
+        inner[name] = "_" + name
+        while inner[name] in docs.columns:
+            inner[name] = "_" + inner[name]
+    held = docs.withColumns({inner["words"]: words(F.col(text_col)), inner["some"]: F.coalesce(any_anchor, F.lit(False))}).withColumn("n_words", F.size(inner["words"]).cast("long"))
+    held = held.withColumn(inner["words"], F.when(F.col(inner["some"]), F.transform(inner["words"], ascii_lower)).otherwise(F.array().cast("array<string>")))
+    held = held.withColumn(inner["hits"], F.filter(F.transform(inner["words"], lambda w, i: F.when(w.isin(list(rare)), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull()))
+    starts = F.array_sort(F.array_distinct(F.flatten(F.transform(inner["hits"], lambda h: F.transform(F.element_at(postings, h["w"]), lambda p: p + h["i"])))))
     start = lambda c: F.pmod(c, F.lit(STRIDE)) - BEFORE
-    held = held.withColumn("_starts", starts)
+    held = held.withColumn(inner["starts"], starts)
 
     def compared(c: Column) -> Column:
         k, s = (c / STRIDE).cast("int"), start(c).cast("int")
-        same = F.transform(F.get(texts, k), lambda w, j: F.coalesce(F.get("_words", s + j) == w, F.lit(False)))
+        same = F.transform(F.get(texts, k), lambda w, j: F.coalesce(F.get(inner["words"], s + j) == w, F.lit(False)))
         got = F.aggregate(F.zip_with(same, F.get(weights, k), lambda m, x: F.when(m, x).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
         full = F.aggregate(F.get(weights, k), F.lit(0.0), lambda a, b: a + b)
         phrase = F.forall(F.slice(same, F.get(key_at, k) + 1, F.get(key_len, k)), lambda m: m)
         return F.struct(k.alias("template"), F.get(labels, k).alias("label"), s.cast("long").alias("start"), F.when(phrase, F.least(F.lit(1.0), got / full)).otherwise(0.0).alias("score"))
 
-    found = held.withColumn("_found", F.filter(F.transform("_starts", compared), lambda m: m["score"] >= F.when(m["template"] < len(phrases), 1.0 - 1e-9).otherwise(share)))
-    pick = lambda phrase: F.filter("_found", lambda m: (m["template"] < len(phrases)) == F.lit(phrase))
+    found = held.withColumn(inner["found"], F.filter(F.transform(inner["starts"], compared), lambda m: m["score"] >= F.when(m["template"] < len(phrases), 1.0 - 1e-9).otherwise(share)))
+    pick = lambda phrase: F.filter(inner["found"], lambda m: (m["template"] < len(phrases)) == F.lit(phrase))
     return found.withColumns({
         "places": F.transform(pick(True), lambda m: F.struct(m["label"].alias("label"), m["start"].alias("start"))),
         "notices": F.transform(pick(False), lambda m: F.struct(m["label"].alias("label"), m["start"].alias("start"), m["score"].alias("score"))),
-        "score": F.coalesce(F.array_max(F.transform("_found", lambda m: m["score"])), F.lit(0.0)),
-    }).drop("_words", "_some", "_hits", "_starts", "_found")
+        "score": F.coalesce(F.array_max(F.transform(inner["found"], lambda m: m["score"])), F.lit(0.0)),
+    }).drop(*inner.values())
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:
