@@ -14,6 +14,7 @@ from groupwise.functions.scalar import cosine, dot, norm, tanimoto, uniform
 from groupwise.storage import stored
 
 from .contracts import hash_sample
+from .stats import pearson
 
 AXES = ("x", "y", "z")
 EMPTY = pa.table([pa.array([], pa.int64()), pa.array([], pa.float64())], names=["id", "nearest"])
@@ -234,7 +235,7 @@ def projection_distortion(df: DataFrame, projected: DataFrame, key: str, vector:
     gap = lambda c: F.sqrt(dot(F.zip_with(F.col(f"a.{c}"), F.col(f"b.{c}"), lambda x, y: x - y), F.zip_with(F.col(f"a.{c}"), F.col(f"b.{c}"), lambda x, y: x - y)))
     pairs = some.alias("a").join(some.alias("b").hint("shuffle_replicate_nl"), F.col(f"a.{key}") < F.col(f"b.{key}")).select(gap("v").alias("d"), gap("projected").alias("p"), cosine(F.col("a.v"), F.col("b.v")).alias("c"), cosine(F.col("a.projected"), F.col("b.projected")).alias("cp"))
     error = F.abs(F.col("p") - F.col("d")) / F.nullif(F.col("d"), F.lit(0.0))
-    return pairs.agg(F.count("*").alias("pairs"), F.percentile(error, F.lit(0.5)).alias("median_error"), F.percentile(error, F.lit(0.9)).alias("p90_error"), F.corr("c", "cp").alias("cosine_corr"))
+    return pairs.agg(F.count("*").alias("pairs"), F.percentile(error, F.lit(0.5)).alias("median_error"), F.percentile(error, F.lit(0.9)).alias("p90_error"), pearson("c", "cp").alias("cosine_corr"))
 
 
 def pack_points(atoms: DataFrame, text_atoms: DataFrame, record: str, index: str, tolerance: float = 0.000501) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from groupwise.storage import stored
 
-from .stats import average_rank, correlation, running_sum
+from .stats import average_rank, correlation, pearson, running_sum
 
 
 def with_errors(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
@@ -106,7 +106,7 @@ def complementarity(wide: DataFrame, a: str, b: str, threshold: float, margin: f
     share = lambda c: F.avg(c.cast("double"))
     one = wide.where(x.isNotNull() & y.isNotNull()).agg(
         F.count("*").alias("n"), share((x <= threshold) & (y <= threshold)).alias("both"), share((x <= threshold) | (y <= threshold)).alias("either"), share((x <= threshold) & (y > threshold)).alias("only_a"), share((y <= threshold) & (x > threshold)).alias("only_b"),
-        share(x < y - margin).alias("a_ahead"), share(y < x - margin).alias("b_ahead"), F.corr(x, y).alias("error_corr"), F.avg(F.least(x, y)).alias("oracle_mae"), F.least(F.avg(x), F.avg(y)).alias("best_mae"),
+        share(x < y - margin).alias("a_ahead"), share(y < x - margin).alias("b_ahead"), pearson(x, y).alias("error_corr"), F.avg(F.least(x, y)).alias("oracle_mae"), F.least(F.avg(x), F.avg(y)).alias("best_mae"),
     )
     return one.withColumn("oracle_gain", F.col("best_mae") - F.col("oracle_mae"))
 
@@ -167,8 +167,30 @@ def curve_summary(curves: DataFrame, run: str, epoch: str, metric: str, tail: in
 
 
 def replicate_dispersion(df: DataFrame, group: str, models: Sequence[str], y: str = "y") -> DataFrame:
-    """Per group with replicates the range of the target and of each model."""
-    return df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), (F.max(y) - F.min(y)).alias("y_range"), *[(F.max(m) - F.min(m)).alias(f"{m}_range") for m in models]).where("n > 1")
+    """Per group with replicates the range of the target, and of each model its range and mean absolute error."""
+    per_model = [c for m in models for c in ((F.max(m) - F.min(m)).alias(f"{m}_range"), F.avg(F.abs(F.col(m) - F.col(y))).alias(f"{m}_mae"))]
+    return df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), (F.max(y) - F.min(y)).alias("y_range"), *per_model).where("n > 1")
+
+
+def dispersion_correlations(table: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Per model the correlation of the groups' target range with the model's range and with its error: (model, against, n, pearson, spearman)."""
+    sides = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("against"), F.col("y_range").alias("x"), F.col(f"{m}_{k}").alias("v")) for m in models for k in ("range", "mae")])
+    return correlation(table.select(F.inline(sides)), "x", "v", ["model", "against"])
+
+
+def replicate_contrast(df: DataFrame, group: str, models: Sequence[str], y: str = "y") -> DataFrame:
+    """Singleton groups against groups with replicates: records, groups and each model's group-macro MAE."""
+    per = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), *[F.avg(F.abs(F.col(m) - F.col(y))).alias(m) for m in models])
+    kind = F.when(F.col("n") == 1, "singleton").otherwise("replicated").alias("kind")
+    return per.groupBy(kind).agg(F.sum("n").alias("n_records"), F.count("*").alias("n_groups"), *[F.avg(m).alias(f"{m}_group_mae") for m in models])
+
+
+def length_strata(df: DataFrame, lengths: Sequence[str], errors: Sequence[str], limit: int = 202) -> DataFrame:
+    """Per length column, rows at most `limit` and over it, and their mean of each error column; a null length is in neither."""
+    rows = df.select(*errors, *[F.col(c).cast("long").alias(c) for c in lengths])
+    long = rows.unpivot(list(errors), list(lengths), "field", "length").where("length is not null")
+    stratum = F.when(F.col("length") <= limit, "at_most").otherwise("over").alias("stratum")
+    return long.groupBy("field", stratum).agg(F.count("*").alias("n"), *[F.avg(e).alias(f"{e}_mean") for e in errors])
 
 
 def delta_summary(df: DataFrame, delta: Column, by: Sequence[str] = (), thresholds: Sequence[float] = (0.01, 0.05)) -> DataFrame:
@@ -186,18 +208,31 @@ def block_importance(importance: DataFrame, blocks: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(per.agg(F.sum("gain").alias("_t")))).select("block", "gain", (F.col("gain") / F.nullif(F.col("_t"), F.lit(0.0))).alias("fraction"))  # one row
 
 
-def skill(metrics: DataFrame, model: str, baseline: str, metric: str, by: Sequence[str] = ()) -> DataFrame:
-    """1 - metric / baseline's, and the absolute and relative degradation."""
+def skill(metrics: DataFrame, model: str, baseline: str, metric: str, by: Sequence[str] = (), iqr: str | None = None) -> DataFrame:
+    """1 - metric / baseline's, the absolute and relative degradation, and the metric in units of the targets' IQR (a column) if one is given."""
     base = metrics.where(F.col(model) == baseline).select(*by, F.col(metric).alias("_b"))
     joined = metrics.join(base, list(by)) if by else metrics.crossJoin(F.broadcast(base))
-    return joined.select(*by, model, metric, (1 - F.col(metric) / F.col("_b")).alias("skill"), (F.col(metric) - F.col("_b")).alias("degradation"), (F.col(metric) / F.col("_b")).alias("ratio"))
+    scaled = [(F.col(metric) / F.nullif(F.col(iqr).cast("double"), F.lit(0.0))).alias("iqr_normalized")] if iqr else []
+    return joined.select(*by, model, metric, (1 - F.col(metric) / F.col("_b")).alias("skill"), (F.col(metric) - F.col("_b")).alias("degradation"), (F.col(metric) / F.col("_b")).alias("ratio"), *scaled)
 
 
-def mechanism(table: DataFrame, identity: str, similarity: str, delta: str) -> DataFrame:
-    """Correlation of the error change with similarity, its mean and improved share in the lowest similarity quartile."""
+def mechanism(table: DataFrame, identity: str, similarity: str, delta: str, against: Sequence[str] = (), error: str | None = None, worst: int = 10) -> DataFrame:
+    """Per factor (similarity and each of `against`) the correlation of the error change with it; on each row also the mean change and
+    improved share in the lowest similarity quartile, the improved share of all, and (with `error`) how many of the worst identities improved."""
+    factors = F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).cast("double").alias("x"), F.col(delta).cast("double").alias("d")) for c in (similarity, *against)])
+    better = (F.col(delta) < 0).cast("double")
     edge = table.agg(F.percentile(similarity, F.lit(0.25)).alias("_e"))
-    low = table.crossJoin(F.broadcast(edge)).where(F.col(similarity) <= F.col("_e")).agg(F.avg(delta).alias("low_mean"), F.avg((F.col(delta) < 0).cast("double")).alias("low_improved"))
-    return correlation(table, similarity, delta).crossJoin(low)
+    low = F.col(similarity) <= F.col("_e")
+    whole = table.crossJoin(F.broadcast(edge)).agg(F.avg(F.when(low, F.col(delta))).alias("low_mean"), F.avg(F.when(low, better)).alias("low_improved"), F.avg(better).alias("improved"))
+    if error:
+        top = table.orderBy(F.desc(error), identity).limit(worst).agg(F.count_if(F.col(delta) < 0).alias("worst_improved"))
+        whole = whole.crossJoin(top)
+    return correlation(table.select(F.inline(factors)), "x", "d", ["factor"]).crossJoin(F.broadcast(whole))  # one row
+
+
+def worst_identities(table: DataFrame, identity: str, error: str, columns: Sequence[str], worst: int = 10) -> DataFrame:
+    """The identities with the largest error, and what is known of them."""
+    return table.orderBy(F.desc(error), identity).limit(worst).select(identity, error, *columns)
 
 
 def run_totals(runs: DataFrame, by: Sequence[str]) -> DataFrame:

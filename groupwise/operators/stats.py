@@ -92,6 +92,14 @@ def summary(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     return one.select(*by, "n", "mean", "std", "min", *[F.get("q", k).alias(f"p{int(p * 100):02d}") for k, p in enumerate(Q5)], "max")
 
 
+def brief_summary(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
+    """A9, the short form: n, min, q10, median, q90, max, mean."""
+    v = F.nanvl(F.col(x).cast("double"), F.lit(None))
+    q = F.percentile(v, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    one = df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"), F.avg(v).alias("mean"))
+    return one.select(*by, "n", "min", *[F.get("q", k).alias(name) for k, name in enumerate(("q10", "median", "q90"))], "max", "mean")
+
+
 def completeness(df: DataFrame, columns: Sequence[str], group: str | None = None, weight: str | None = None) -> DataFrame:
     """A10: per column non-null count and fraction, weighted fraction, groups with a value."""
     keep = [c for c in (group, weight) if c]
@@ -185,27 +193,56 @@ def average_ranks(df: DataFrame, columns: dict[str, str], by: Sequence[str] = ()
     return df
 
 
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """Pearson r over rows that have both, as one aggregate; null for a constant, where F.corr divides by zero."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
 def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = (), least: int = 3) -> DataFrame:
     """N, Pearson, Spearman; null below `least` rows or for a constant."""
     number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
     rows = stored(df.select(*by, number(x).alias("_x"), number(y).alias("_y")).where("_x is not null and _y is not null"))
     ranked = average_ranks(rows, {"_x": "_rx", "_y": "_ry"}, by)
     flat = (F.count("*") < least) | (F.max("_x") == F.min("_x")) | (F.max("_y") == F.min("_y"))
-    measures = [F.when(~flat, F.corr(a, b)).alias(n) for a, b, n in (("_x", "_y", "pearson"), ("_rx", "_ry", "spearman"))]
+    measures = [F.when(~flat, pearson(a, b)).alias(n) for a, b, n in (("_x", "_y", "pearson"), ("_rx", "_ry", "spearman"))]
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), *measures)
 
 
-def pair_relations(long: DataFrame, key: str, weight: str) -> DataFrame:
-    """Per pair of tasks (key, task, value, weight): n, weighted Pearson r, and the residual RMSE sqrt(1 - r^2) of a standardized line."""
+def weighted_correlation(x: str, y: str, weight: str) -> Column:
+    """Weighted Pearson r as one aggregate; null for a constant."""
+    w = F.col(weight)
+    mean = lambda c: F.sum(w * c) / F.sum(w)
+    a, b = F.col(x), F.col(y)
+    va, vb = mean(a * a) - mean(a) ** 2, mean(b * b) - mean(b) ** 2
+    r = (mean(a * b) - mean(a) * mean(b)) / F.sqrt(F.nullif(F.greatest(va * vb, F.lit(0.0)), F.lit(0.0)))
+    return F.when((F.min(a) != F.max(a)) & (F.min(b) != F.max(b)), r)  # rounding leaves a constant a tiny variance
+
+
+def task_pairs(long: DataFrame, key: str, weight: str) -> DataFrame:
+    """Every two tasks of a key with values of both: (task_a, task_b, x, y, w). Both sides may come from a generator, so they are shuffled."""
     a = long.select(key, F.col("task").alias("task_a"), F.col("value").alias("x"), F.col(weight).alias("w")).where("x is not null")
     b = long.select(key, F.col("task").alias("task_b"), F.col("value").alias("y")).where("y is not null")
-    j = a.join(b, key).where("task_a < task_b")
-    s = lambda c: F.sum(F.col("w") * c) / F.sum("w")
-    x, y = F.col("x"), F.col("y")
-    m = j.groupBy("task_a", "task_b").agg(F.count("*").alias("n"), s(x).alias("mx"), s(y).alias("my"), s(x * x).alias("xx"), s(y * y).alias("yy"), s(x * y).alias("xy"))
-    vx, vy = F.col("xx") - F.col("mx") ** 2, F.col("yy") - F.col("my") ** 2
-    r = (F.col("xy") - F.col("mx") * F.col("my")) / F.sqrt(F.nullif(F.greatest(vx * vy, F.lit(0.0)), F.lit(0.0)))
-    return m.select("task_a", "task_b", "n", r.alias("r")).withColumn("residual_rmse", F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("r") ** 2)))
+    return a.join(b.hint("shuffle_merge"), key).where("task_a < task_b").select("task_a", "task_b", "x", "y", "w")
+
+
+def pair_relations(long: DataFrame, key: str, weight: str) -> DataFrame:
+    """Per pair of tasks (key, task, value, weight): n, weighted Pearson r, and the residual RMSE sqrt(1 - r^2) of a standardized line."""
+    m = task_pairs(long, key, weight).groupBy("task_a", "task_b").agg(F.count("*").alias("n"), weighted_correlation("x", "y", "w").alias("r"))
+    return m.withColumn("residual_rmse", F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("r") ** 2)))
+
+
+def redundant_pairs(long: DataFrame, key: str, weight: str, least_spearman: float = 0.9995, most_residual: float = 0.001) -> DataFrame:
+    """pair_relations with the weighted Spearman (average ranks among the pair's rows) and the redundancy gate over it and the residual.
+
+    Values are counted per pair and ranked in ranges, so no task ranks a whole column."""
+    by = ["task_a", "task_b"]
+    ranked = average_ranks(stored(task_pairs(long, key, weight)), {"x": "rx", "y": "ry"}, by)
+    m = ranked.groupBy(*by).agg(F.count("*").alias("n"), weighted_correlation("x", "y", "w").alias("r"), weighted_correlation("rx", "ry", "w").alias("spearman"))
+    out = m.withColumn("residual_rmse", F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("r") ** 2)))
+    gate = (F.abs("spearman") >= least_spearman) & (F.col("residual_rmse") <= most_residual)
+    return out.withColumn("redundant", F.coalesce(gate, F.lit(False)))
 
 
 def effective_tasks(relations: DataFrame, n_tasks: int) -> DataFrame:
@@ -314,14 +351,25 @@ def trusted_fields(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return long.groupBy("field").agg(F.count("value").alias("n"), F.count(F.try_to_timestamp("value")).alias("n_parsed"), F.count_distinct("value").alias("n_distinct"))
 
 
-def token_audit(df: DataFrame, text: str, vocabulary: DataFrame, pattern: str, limit: int) -> DataFrame:
-    """Sequences, empty, lossless, over the limit, lengths, tokens and types outside the vocabulary (column token)."""
+def token_audit(df: DataFrame, text: str, vocabulary: DataFrame, pattern: str, limit: int, special: Mapping[str, str] | None = None, salts: int = 16) -> DataFrame:
+    """Sequences, empty, lossless, over the limit, lengths; tokens, types and sequences outside the vocabulary (column token).
+
+    special maps a name to a pattern: n_<name> counts the texts that hold it. Unknown tokens are found by type first; the texts
+    that hold one are then found over salts, so a common unknown token is no single task."""
     rows = df.select(F.monotonically_increasing_id().alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("tokens", F.regexp_extract_all("t", F.lit(pattern), F.lit(0)))
     n = F.size("tokens")
-    whole = rows.agg(F.count("*").alias("sequences"), F.count_if(n == 0).alias("empty"), F.count_if(F.array_join("tokens", "") == F.col("t")).alias("lossless"), F.count_if(n > limit).alias("over_limit"), F.min(n).alias("shortest"), F.percentile(n, F.lit(0.5)).alias("median"), F.percentile(n, F.lit(0.95)).alias("p95"), F.max(n).alias("longest"))
+    held = [F.count_if(F.col("t").rlike(p)).alias(f"n_{name}") for name, p in (special or {}).items()]
+    whole = rows.agg(
+        F.count("*").alias("sequences"), F.count_if(n == 0).alias("empty"), F.count_if(F.array_join("tokens", "") == F.col("t")).alias("lossless"), F.count_if(n > limit).alias("over_limit"),
+        F.min(n).alias("shortest"), F.percentile(n, F.lit(0.5)).alias("median"), F.percentile(n, F.lit(0.95)).alias("p95"), F.max(n).alias("longest"), *held,
+    )
     used = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    unknown = used.join(vocabulary.select("token").distinct(), "token", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("oov_tokens"), F.count("*").alias("oov_types"))
-    return whole.crossJoin(unknown)
+    unknown = stored(used.join(vocabulary.select("token").distinct().hint("shuffle_hash"), "token", "left_anti"))
+    counts = unknown.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("oov_tokens"), F.count("*").alias("oov_types"))
+    salted = unknown.select("token", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    types = rows.select("_id", F.explode(F.array_distinct("tokens")).alias("token"), F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("salt"))
+    holders = types.join(salted.hint("shuffle_hash"), ["token", "salt"], "left_semi").agg(F.count_distinct("_id").alias("oov_sequences"))
+    return whole.crossJoin(counts).crossJoin(holders)  # one row each
 
 
 def unmatched_characters(df: DataFrame, text: str, pattern: str) -> DataFrame:

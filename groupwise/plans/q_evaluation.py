@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from groupwise.operators import conformal, metrics, models, resample
+from groupwise.storage import stored
 
 from .bindings import PREDICTIONS_SQL, RECORDS_SQL, predictions, records, table
-from .registry import registry
+from .registry import EDGE, registry
 
 QUERIES, ORACLE, add = registry()
 R = "WITH " + RECORDS_SQL
@@ -129,27 +130,70 @@ def _(spark, sf):
     return conformal.cumulative_mean(_epochs(spark, sf), "run", ["epoch"], "metric", "mean").select("run", "epoch", "mean")
 
 
-@add("a38_replicate_dispersion", R + " SELECT grp, count(*) AS n, max(y) - min(y) AS y_range, max(m1) - min(m1) AS m1_range, max(m2) - min(m2) AS m2_range FROM records GROUP BY grp HAVING count(*) > 1", "y_range m1_range m2_range")
+A38 = R + ", disp AS (SELECT grp, count(*) AS n, max(y) - min(y) AS y_range, max(m1) - min(m1) AS m1_range, avg(abs(m1 - y)) AS m1_mae, max(m2) - min(m2) AS m2_range, avg(abs(m2 - y)) AS m2_mae FROM records GROUP BY grp HAVING count(*) > 1)"
+
+
+@add("a38_replicate_dispersion", A38 + " SELECT * FROM disp", "y_range m1_range m1_mae m2_range m2_mae")
 def _(spark, sf):
     return metrics.replicate_dispersion(records(spark, sf), "grp", ["m1", "m2"])
 
 
+A38_SIDES = " UNION ALL ".join(f"SELECT '{m}' AS model, '{k}' AS against, y_range AS x, {m}_{k} AS v FROM rounded" for m in ("m1", "m2") for k in ("range", "mae"))
+A38_ROUNDED = ", rounded AS (SELECT " + ", ".join(f"round({c} + 1.2345678912e-7, 6) AS {c}" for c in ("y_range", "m1_range", "m1_mae", "m2_range", "m2_mae")) + " FROM disp)"
+
+
+@add("a38_dispersion_correlations", A38 + A38_ROUNDED + f", l AS ({A38_SIDES}), k AS (SELECT model, against, x, v, rank() OVER (PARTITION BY model, against ORDER BY x) + (count(*) OVER (PARTITION BY model, against, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY model, against ORDER BY v) + (count(*) OVER (PARTITION BY model, against, v) - 1) / 2 AS rv FROM l) SELECT model, against, count(*) AS n, corr(x, v) AS pearson, corr(rx, rv) AS spearman FROM k GROUP BY model, against", "pearson spearman")
+def _(spark, sf):
+    """Ranges and errors are rounded first: ties between them would otherwise hang on the last bit."""
+    disp = metrics.replicate_dispersion(records(spark, sf), "grp", ["m1", "m2"])
+    rounded = disp.withColumns({c: F.round(F.col(c) + EDGE, 6) for c in ("y_range", "m1_range", "m1_mae", "m2_range", "m2_mae")})
+    return metrics.dispersion_correlations(rounded, ["m1", "m2"])
+
+
+@add("a38_replicate_contrast", R + ", g AS (SELECT grp, count(*) AS n, avg(abs(m1 - y)) AS m1, avg(abs(m2 - y)) AS m2 FROM records GROUP BY grp) SELECT CASE WHEN n = 1 THEN 'singleton' ELSE 'replicated' END AS kind, sum(n)::BIGINT AS n_records, count(*) AS n_groups, avg(m1) AS m1_group_mae, avg(m2) AS m2_group_mae FROM g GROUP BY 1", "m1_group_mae m2_group_mae")
+def _(spark, sf):
+    return metrics.replicate_contrast(records(spark, sf), "grp", ["m1", "m2"])
+
+
+@add("p30_length_strata", R + ", e AS (SELECT abs(m1 - y) AS e1, abs(m2 - y) AS e2, psize, qty FROM records), l AS (SELECT 'psize' AS field, psize::BIGINT AS length, e1, e2 FROM e UNION ALL SELECT 'qty', trunc(qty)::BIGINT, e1, e2 FROM e) SELECT field, CASE WHEN length <= 20 THEN 'at_most' ELSE 'over' END AS stratum, count(*) AS n, avg(e1) AS e1_mean, avg(e2) AS e2_mean FROM l WHERE length IS NOT NULL GROUP BY 1, 2", "e1_mean e2_mean")
+def _(spark, sf):
+    r = records(spark, sf).withColumns({"e1": F.abs(F.col("m1") - F.col("y")), "e2": F.abs(F.col("m2") - F.col("y"))})
+    return metrics.length_strata(r, ["psize", "qty"], ["e1", "e2"], 20)
+
+
 @add("a39_delta_summary", R + ", d AS (SELECT flag, m2 - m1 AS d FROM records) SELECT flag, count(*) AS n, avg(d) AS mean, quantile_cont(d, 0.5) AS median, quantile_cont(abs(d), 0.5) AS abs_median, quantile_cont(abs(d), 0.9) AS abs_p90, quantile_cont(abs(d), 0.95) AS abs_p95, max(abs(d)) AS abs_max, avg((abs(d) > 1)::INT) AS above_0, avg((abs(d) > 3)::INT) AS above_1, count(*) FILTER (WHERE d < 0) AS improved, count(*) FILTER (WHERE d > 0) AS worsened, count(*) FILTER (WHERE d = 0) AS unchanged FROM d GROUP BY flag", "mean median abs_median abs_p90 abs_p95 abs_max above_0 above_1")
 def _(spark, sf):
     return metrics.delta_summary(records(spark, sf), F.col("m2") - F.col("m1"), ["flag"], [1.0, 3.0])
 
 
-@add("a41_skill", P + ", m AS (SELECT model, avg(abs_err) AS mae FROM predictions GROUP BY model) SELECT a.model, a.mae, 1 - a.mae / b.mae AS skill, a.mae - b.mae AS degradation, a.mae / b.mae AS ratio FROM m a, m b WHERE b.model = 'm2'", "mae skill degradation ratio")
+@add("a41_skill", P + ", m AS (SELECT model, avg(abs_err) AS mae, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iqr FROM predictions GROUP BY model) SELECT a.model, a.mae, 1 - a.mae / b.mae AS skill, a.mae - b.mae AS degradation, a.mae / b.mae AS ratio, a.mae / a.iqr AS iqr_normalized FROM m a, m b WHERE b.model = 'm2'", "mae skill degradation ratio iqr_normalized")
 def _(spark, sf):
-    m = predictions(spark, sf).groupBy("model").agg(F.avg("abs_err").alias("mae"))
-    return metrics.skill(m, "model", "m2", "mae")
+    quartile = lambda p: F.percentile("y", F.lit(p))
+    m = predictions(spark, sf).groupBy("model").agg(F.avg("abs_err").alias("mae"), (quartile(0.75) - quartile(0.25)).alias("iqr"))
+    return metrics.skill(m, "model", "m2", "mae", iqr="iqr")
 
 
-@add("a46_mechanism", IDS + ", t AS (SELECT a.donor, a.n AS sim, a.mae - b.mae AS d FROM ids a JOIN ids b ON a.donor = b.donor AND a.model = 'm2' AND b.model = 'm1'), e AS (SELECT quantile_cont(sim, 0.25) AS e FROM t), k AS (SELECT rank() OVER (ORDER BY sim) + (count(*) OVER (PARTITION BY sim) - 1) / 2 AS rx, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2 AS ry, sim, d FROM t) SELECT * FROM (SELECT count(*) AS n, corr(sim, d) AS pearson, corr(rx, ry) AS spearman FROM k), (SELECT avg(d) AS low_mean, avg((d < 0)::INT) AS low_improved FROM t, e WHERE sim <= e)", "pearson spearman low_mean low_improved")
-def _(spark, sf):
+A46 = IDS + ", t AS (SELECT a.donor, a.n AS sim, a.n_groups AS size, round(a.y_max - a.y_min + 1.2345678912e-7, 6) AS target_range, round(b.mae + 1.2345678912e-7, 6) AS mae, round(a.mae - b.mae + 1.2345678912e-7, 6) AS d FROM ids a JOIN ids b ON a.donor = b.donor AND a.model = 'm2' AND b.model = 'm1')"
+
+
+def _mechanism(spark, sf):
     ids = metrics.identity_table(predictions(spark, sf), "donor", "grp", ["model"])
-    a, b = ids.where("model = 'm2'").select("donor", F.col("n").alias("sim"), F.col("mae").alias("a")), ids.where("model = 'm1'").select("donor", F.col("mae").alias("b"))
-    return metrics.mechanism(a.join(b, "donor").withColumn("d", F.col("a") - F.col("b")), "donor", "sim", "d")
+    a = ids.where("model = 'm2'").select("donor", F.col("n").alias("sim"), F.col("n_groups").alias("size"), F.round(F.col("y_max") - F.col("y_min") + EDGE, 6).alias("target_range"), F.col("mae").alias("a"))
+    b = ids.where("model = 'm1'").select("donor", F.col("mae").alias("b"))
+    return a.join(b.hint("shuffle_hash"), "donor").withColumns({"d": F.round(F.col("a") - F.col("b") + EDGE, 6), "mae": F.round(F.col("b") + EDGE, 6)})
+
+
+@add("a46_mechanism", A46 + """, l AS (SELECT 'sim' AS factor, sim::DOUBLE AS x, d FROM t UNION ALL SELECT 'size', size, d FROM t UNION ALL SELECT 'target_range', target_range, d FROM t),
+k AS (SELECT factor, x, d, rank() OVER (PARTITION BY factor ORDER BY x) + (count(*) OVER (PARTITION BY factor, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY factor ORDER BY d) + (count(*) OVER (PARTITION BY factor, d) - 1) / 2 AS ry FROM l),
+e AS (SELECT quantile_cont(sim, 0.25) AS e FROM t), w AS (SELECT count(*) FILTER (WHERE d < 0) AS worst_improved FROM (SELECT d FROM t ORDER BY mae DESC, donor LIMIT 10))
+SELECT * FROM (SELECT factor, count(*) AS n, corr(x, d) AS pearson, corr(rx, ry) AS spearman FROM k GROUP BY factor), (SELECT avg(d) FILTER (WHERE sim <= e) AS low_mean, avg((d < 0)::INT) FILTER (WHERE sim <= e) AS low_improved, avg((d < 0)::INT) AS improved FROM t, e), w""", "pearson spearman low_mean low_improved improved")
+def _(spark, sf):
+    return metrics.mechanism(stored(_mechanism(spark, sf)), "donor", "sim", "d", ["size", "target_range"], "mae")
+
+
+@add("a46_worst_identities", A46 + " SELECT donor, mae, d, sim, size, target_range FROM t ORDER BY mae DESC, donor LIMIT 10")
+def _(spark, sf):
+    return metrics.worst_identities(_mechanism(spark, sf), "donor", "mae", ["d", "sim", "size", "target_range"])
 
 
 @add("a47_run_totals", EPOCHS + ", s AS (SELECT run, arg_min(epoch, (metric, epoch)) AS best_epoch, count(*) AS seconds, max(metric) AS memory FROM e GROUP BY run) SELECT run % 3 AS arm, list_aggregate(list_transform(list(best_epoch ORDER BY run), lambda x: CAST(x AS VARCHAR)), 'string_agg', ',') AS best_epochs, sum(seconds)::BIGINT AS seconds, max(memory) AS memory FROM s GROUP BY arm")
@@ -349,3 +393,11 @@ M9_SQL = R + ", " + boot("donor", "SELECT donor, avg(abs(m2 - y) - abs(m1 - y))
 def _(spark, sf):
     p = predictions(spark, sf).withColumn("arm", F.col("model"))
     return models.arm_contrasts(p, "record", "donor", "m1", ["m2"], 50)
+
+
+@add("m10_evaluate", P + """, g AS (SELECT model, line % 2 AS side, grp, count(*) AS n, avg(abs_err) AS a FROM predictions GROUP BY ALL), m AS (SELECT CASE WHEN side = 0 THEN 'test' ELSE 'val' END AS partition, model AS arm, sum(n)::BIGINT AS n_records, count(*) AS n_groups, sum(a * n) / sum(n) AS mae, avg(a) AS group_mae FROM g GROUP BY ALL)
+SELECT 'iid' AS protocol, m.partition, m.arm, m.n_records, m.n_groups, m.mae, m.group_mae, m.group_mae - v.group_mae AS degradation, m.group_mae / v.group_mae AS ratio FROM m JOIN m v ON m.arm = v.arm AND v.partition = 'val'""", "mae group_mae degradation ratio")
+def _(spark, sf):
+    """Frozen predictions: odd line numbers stand for val, even ones for test."""
+    p = predictions(spark, sf).select(F.lit("iid").alias("protocol"), F.when(F.col("line") % 2 == 0, "test").otherwise("val").alias("partition"), F.col("model").alias("arm"), "grp", "y", "pred")
+    return models.evaluate(p, "grp").select("protocol", "partition", "arm", "n_records", "n_groups", "mae", "group_mae", "degradation", "ratio")

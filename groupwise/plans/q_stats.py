@@ -75,6 +75,11 @@ def _(spark, sf):
     return stats.summary(records(spark, sf), "y", ["flag"])
 
 
+@add("a9_brief_summary", R + " SELECT flag, count(y) AS n, min(y) AS min, quantile_cont(y, 0.1) AS q10, quantile_cont(y, 0.5) AS median, quantile_cont(y, 0.9) AS q90, max(y) AS max, avg(y) AS mean FROM records GROUP BY flag", "q10 median q90 mean")
+def _(spark, sf):
+    return stats.brief_summary(records(spark, sf), "y", ["flag"])
+
+
 @add("a10_completeness", R + """ SELECT * FROM (SELECT 'aux' AS "column", count(aux) AS n, count(aux) / count(*) AS fraction, count(DISTINCT CASE WHEN aux IS NOT NULL THEN grp END) AS n_groups, coalesce(sum(CASE WHEN aux IS NOT NULL THEN qty END), 0) / sum(qty) AS weighted_fraction FROM records
 UNION ALL SELECT 'y', count(y), count(y) / count(*), count(DISTINCT CASE WHEN y IS NOT NULL THEN grp END), coalesce(sum(CASE WHEN y IS NOT NULL THEN qty END), 0) / sum(qty) FROM records)""", "fraction weighted_fraction")
 def _(spark, sf):
@@ -118,10 +123,25 @@ FROM long a JOIN long b ON a.record = b.record AND a.task < b.task AND a.value I
 rel AS (SELECT task_a, task_b, n, (xy - mx * my) / sqrt((xx - mx * mx) * (yy - my * my)) AS r FROM m)"""
 
 
-def _relations(spark, sf):
-    r = records(spark, sf)
+def _tasks(spark, sf):
     pairs = F.array(*[F.struct(F.lit(t).alias("task"), F.col(t).alias("value")) for t in ("y", "m1", "aux")])
-    return stats.pair_relations(r.select("record", F.col("qty").alias("w"), F.inline(pairs)), "record", "w")
+    return records(spark, sf).select("record", F.col("qty").alias("w"), F.inline(pairs))
+
+
+def _relations(spark, sf):
+    return stats.pair_relations(_tasks(spark, sf), "record", "w")
+
+
+REDUNDANT = A16 + """, p AS (SELECT a.task AS task_a, b.task AS task_b, a.w, a.value AS x, b.value AS y FROM long a JOIN long b ON a.record = b.record AND a.task < b.task AND a.value IS NOT NULL AND b.value IS NOT NULL),
+k AS (SELECT task_a, task_b, w, rank() OVER (PARTITION BY task_a, task_b ORDER BY x) + (count(*) OVER (PARTITION BY task_a, task_b, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY task_a, task_b ORDER BY y) + (count(*) OVER (PARTITION BY task_a, task_b, y) - 1) / 2 AS ry FROM p),
+mk AS (SELECT task_a, task_b, sum(w * rx) / sum(w) AS mx, sum(w * ry) / sum(w) AS my, sum(w * rx * rx) / sum(w) AS xx, sum(w * ry * ry) / sum(w) AS yy, sum(w * rx * ry) / sum(w) AS xy FROM k GROUP BY task_a, task_b),
+both_r AS (SELECT task_a, task_b, n, r, (xy - mx * my) / sqrt((xx - mx * mx) * (yy - my * my)) AS spearman, sqrt(greatest(0, 1 - r * r)) AS residual_rmse FROM rel JOIN mk USING (task_a, task_b))
+SELECT *, abs(spearman) >= 0.9 AND residual_rmse <= 0.4 AS redundant FROM both_r"""
+
+
+@add("a16_redundant_pairs", REDUNDANT, "r spearman residual_rmse")
+def _(spark, sf):
+    return stats.redundant_pairs(_tasks(spark, sf), "record", "w", 0.9, 0.4)
 
 
 @add("a16_task_relations", A16 + " SELECT *, sqrt(greatest(0, 1 - r * r)) AS residual_rmse FROM rel", "r residual_rmse")
@@ -193,14 +213,15 @@ def _(spark, sf):
     return stats.qcut(r, "y", 4, "bin", r.where("flag = 'N'")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
-@add("p12_token_audit", r"""WITH t AS (SELECT coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[0-9]|\s+|[^A-Za-z0-9\s]') AS tokens FROM documents),
-v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+|[0-9]|\s+|[^A-Za-z0-9\s]')) AS token FROM benchmark), u AS (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM t) GROUP BY token)
-SELECT * FROM (SELECT count(*) AS sequences, count(*) FILTER (WHERE len(tokens) = 0) AS empty, count(*) FILTER (WHERE array_to_string(tokens, '') = t) AS lossless, count(*) FILTER (WHERE len(tokens) > 512) AS over_limit, min(len(tokens))::INT AS shortest, quantile_cont(len(tokens), 0.5) AS median, quantile_cont(len(tokens), 0.95) AS p95, max(len(tokens))::INT AS longest FROM t),
-(SELECT sum(n)::BIGINT AS oov_tokens, count(*) AS oov_types FROM u WHERE token NOT IN (SELECT token FROM v))""", "median p95")
+@add("p12_token_audit", r"""WITH t AS (SELECT row_number() OVER () AS i, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[0-9]|\s+|[^A-Za-z0-9\s]') AS tokens FROM documents),
+v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+|[0-9]|\s+|[^A-Za-z0-9\s]')) AS token FROM benchmark), u AS (SELECT i, unnest(tokens) AS token FROM t), x AS (SELECT * FROM u WHERE token NOT IN (SELECT token FROM v))
+SELECT * FROM (SELECT count(*) AS sequences, count(*) FILTER (WHERE len(tokens) = 0) AS empty, count(*) FILTER (WHERE array_to_string(tokens, '') = t) AS lossless, count(*) FILTER (WHERE len(tokens) > 512) AS over_limit, min(len(tokens))::INT AS shortest, quantile_cont(len(tokens), 0.5) AS median, quantile_cont(len(tokens), 0.95) AS p95, max(len(tokens))::INT AS longest,
+ count(*) FILTER (WHERE regexp_matches(t, '[0-9]{4}')) AS n_number, count(*) FILTER (WHERE regexp_matches(t, '[A-Za-z]@[A-Za-z]')) AS n_address FROM t),
+(SELECT count(*) AS oov_tokens, count(DISTINCT token) AS oov_types, count(DISTINCT i) AS oov_sequences FROM x)""", "median p95")
 def _(spark, sf):
     pattern = r"[A-Za-z]+|[0-9]|\s+|[^A-Za-z0-9\s]"
     vocabulary = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("token"))
-    return stats.token_audit(table(spark, sf, "documents"), "text", vocabulary, pattern, 512)
+    return stats.token_audit(table(spark, sf, "documents"), "text", vocabulary, pattern, 512, {"number": "[0-9]{4}", "address": "[A-Za-z]@[A-Za-z]"})
 
 
 @add("p12_unmatched", r"SELECT character, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(coalesce(text, ''), '[A-Za-z0-9\s]+', '', 'g'), '')) AS character FROM documents) WHERE character <> '' GROUP BY character")

@@ -94,6 +94,14 @@ def file_inventory(spark: SparkSession, path: str, manifest: DataFrame) -> DataF
     return there.join(listed, "path", "full_outer").select("path", "size", "found", state.alias("state"))
 
 
+def directory_sets(inventory: DataFrame) -> DataFrame:
+    """Per directory of an inventory the files only found, only listed and in both, and whether the two sets are equal."""
+    found, listed = F.col("found").isNotNull(), F.col("size").isNotNull()
+    per = inventory.groupBy(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("directory"))
+    counts = per.agg(F.count_if(found & ~listed).alias("only_found"), F.count_if(listed & ~found).alias("only_listed"), F.count_if(found & listed).alias("in_both"))
+    return counts.withColumn("equal", (F.col("only_found") == 0) & (F.col("only_listed") == 0))
+
+
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of whole files; for tables use the digests of contracts instead."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), F.sha2("content", 256).alias("sha256"))
