@@ -295,9 +295,13 @@ def _(spark, sf):
     return d.decide(one, [(F.col("point") <= 0, "ADMIT")], "REJECT").select("label")
 
 
-@add("d2_target_ledger", R + """ SELECT 'y' AS "column", 1.0::DOUBLE AS fraction, 'secondary' AS role, 0.5::DOUBLE AS weight UNION ALL SELECT 'aux', count(aux) / count(*), 'secondary', 0.5 FROM records UNION ALL SELECT 'm1', 1.0, 'redundant', 0.0 UNION ALL SELECT 'm2', 1.0, 'report_only', 0.0""", "fraction")
+@add("d2_target_ledger", R + """, l AS (SELECT 'y' AS "column", y AS v FROM records UNION ALL SELECT 'aux', aux FROM records UNION ALL SELECT 'm1', m1 FROM records UNION ALL SELECT 'm2', m2 FROM records UNION ALL SELECT 'late', CASE WHEN qty > 30 THEN tax END FROM records),
+f AS (SELECT "column", count(v) / count(*) AS fraction FROM l GROUP BY "column"),
+o AS (SELECT *, CASE WHEN "column" = 'm2' THEN 'report_only' WHEN "column" = 'm1' THEN 'redundant' WHEN fraction < 0.5 THEN 'masked' ELSE 'secondary' END AS role FROM f)
+SELECT "column", fraction, role, CASE role WHEN 'secondary' THEN 1.0::DOUBLE WHEN 'masked' THEN 0.25 ELSE 0 END / count(*) OVER (PARTITION BY role) AS weight FROM o""", "fraction weight")
 def _(spark, sf):
-    full = stats.completeness(records(spark, sf), ["y", "aux", "m1", "m2"])
+    r = records(spark, sf).withColumn("late", F.when(F.col("qty") > 30, F.col("tax")))
+    full = stats.completeness(r, ["y", "aux", "m1", "m2", "late"])
     return d.target_ledger(full, full.where("column = 'm1'").select("column"), ["m2"])
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from groupwise.functions import scalar as s
 from groupwise.operators import contracts, geometry, ranking, stats
+from groupwise.storage import stored
 
 from .bindings import POINTS_SQL, points, table
 from .registry import registry
@@ -120,6 +121,13 @@ def _(spark, sf):
     return geometry.distance_rmsd(p, geometry.perturb(p, "record", "idx", "role", "rotate", 1.1), "record", "idx")
 
 
+@add("a43_flattened_rmsd", NEAR.replace("AS dist FROM", "AS dist, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + ((a.z - b.z) / 2) ** 2) AS flat FROM") + " SELECT record, sqrt(avg((dist - flat) ** 2)) AS rmsd FROM pairs GROUP BY record", "rmsd")
+def _(spark, sf):
+    """Against a copy whose z is halved."""
+    p = points(spark, sf)
+    return geometry.distance_rmsd(p, p.withColumn("z", F.col("z") / 2), "record", "idx").select("record", "rmsd")
+
+
 @add("a44_role_counts", X + " SELECT record, count(*) AS n, count(*) FILTER (WHERE role = 'donor') AS n_donor, count(*) FILTER (WHERE role = 'unknown') AS n_unknown, count(*) FILTER (WHERE role = 'donor') / count(*) AS f_donor, count(*) FILTER (WHERE role = 'unknown') / count(*) AS f_unknown, count(*) FILTER (WHERE role = 'donor') > 0 AS has_donor, count(*) FILTER (WHERE role = 'unknown') > 0 AS has_unknown FROM points GROUP BY record", "f_donor f_unknown")
 def _(spark, sf):
     return stats.role_counts(points(spark, sf), "record", "role", ["donor", "unknown"])
@@ -139,11 +147,12 @@ def _(spark, sf):
     return stats.role_equality(p, other, "record", "idx", "role")
 
 
-@add("s13_pack_points", X + " SELECT record, count(*) AS n, true AS agrees FROM points GROUP BY record")
+@add("s13_pack_points", X + ", g AS (SELECT record, max(greatest(abs(x - round(x, 3)), abs(y - round(y, 3)), abs(z - round(z, 3)))) AS max_delta FROM points GROUP BY record) SELECT record, idx, x, y, z, max_delta, max_delta <= 0.0004 AS agrees FROM points JOIN g USING (record)", "x y z max_delta")
 def _(spark, sf):
+    """Points against a copy written with three decimals, packed and unpacked again."""
     p = points(spark, sf)
-    packed = geometry.pack_points(p.drop("role"), p.withColumns({a: F.round(a, 3) for a in ("x", "y", "z")}), "record", "idx")
-    return packed.select("record", F.size("points").cast("long").alias("n"), "agrees")
+    packed = stored(geometry.pack_points(p.drop("role"), p.withColumns({a: F.round(a, 3) for a in ("x", "y", "z")}), "record", "idx", 0.0004))
+    return geometry.unpack_points(packed, "record").join(packed.select("record", "max_delta", "agrees"), "record")
 
 
 @add("w9_diverse_picks")
