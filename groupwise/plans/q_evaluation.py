@@ -363,11 +363,22 @@ def _(spark, sf):
     return metrics.block_importance(gains, spark.createDataFrame([("qty", "order"), ("discount", "order"), ("price", "part"), ("psize", "part")], "feature string, block string"))
 
 
+M5_ARMS = {"small": ["qty", "discount"], "full": ["qty", "discount", "price"]}
+
+
+def _partitioned(spark, sf):
+    return records(spark, sf).withColumn("w", F.col("qty")).withColumn("iid", F.when(F.col("flag") == "A", "train").when(F.col("flag") == "R", "val").otherwise("test"))
+
+
 @add("m5_train_matrix")
 def _(spark, sf):
-    r = records(spark, sf).withColumn("w", F.col("qty")).withColumn("iid", F.when(F.col("flag") == "A", "train").when(F.col("flag") == "R", "val").otherwise("test"))
-    out = models.train_matrix(r, {"iid": "iid"}, {"small": ["qty", "discount"], "full": ["qty", "discount", "price"]}, ["record", "grp"], "y", "w")
-    return models.evaluate(out, "grp")
+    """A ridge for each arm."""
+    return models.evaluate(models.train_matrix(_partitioned(spark, sf), {"iid": "iid"}, M5_ARMS, ["record", "grp"], "y", "w"), "grp")
+
+
+@add("m5_fit_registry", R + ", n AS (SELECT count(*) FILTER (WHERE flag = 'A') AS n_train, sum(qty) FILTER (WHERE flag = 'A') AS train_weight, count(*) FILTER (WHERE flag = 'R') AS n_val, count(*) FILTER (WHERE flag NOT IN ('A', 'R')) AS n_test FROM records) SELECT 'iid' AS protocol, arm, n_features, features, n.* FROM (SELECT 'small' AS arm, 2 AS n_features, 'qty,discount' AS features UNION ALL SELECT 'full', 3, 'qty,discount,price'), n", "train_weight", 3)
+def _(spark, sf):
+    return models.fit_registry(_partitioned(spark, sf), {"iid": "iid"}, M5_ARMS, "w")
 
 
 @add("m6_cross_fit")

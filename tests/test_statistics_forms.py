@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from groupwise.operators import metrics, stats
+from groupwise.operators import contracts, metrics, models, stats
 from groupwise.sources import readers
 
 
@@ -71,3 +71,16 @@ def test_directory_sets(spark):
     seen = spark.createDataFrame([("a/x", 1, 1), ("a/y", 1, None), ("b/x", 1, 1), ("b/z", None, 4)], "path string, size long, found long")
     got = {r.directory: (r.only_found, r.only_listed, r.in_both, r.equal) for r in readers.directory_sets(seen).collect()}
     assert got == {"a": (0, 1, 1, False), "b": (1, 0, 1, False)}
+
+
+def test_ensembles_and_matrix_of_both_models(spark):
+    rows = [(k, f"g{k % 6}", float(k % 5), float(k % 7) if k % 4 else None, 2.0 * (k % 5) + 0.01 * (k % 3), 1.0, ("train", "val", "test")[k % 3]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, g string, a double, b double, y double, w double, part string")
+    train, held = df.where("part = 'train'"), df.where("part = 'test'")
+    for kind, settings in (("ridge", {"alpha": 0.01}), ("trees", {"iterations": 3, "depth": 2})):
+        got = models.bootstrap_ensemble(train, held, "g", "id", ["a", "b"], "y", "w", 2, 42, kind, **settings).toPandas()
+        assert sorted(got.member.unique()) == [-1, 0, 1] and len(got) == 60 and got.pred.notna().all()
+    with pytest.raises(contracts.ContractError):
+        models.bootstrap_ensemble(train.withColumn("w", F.lit(0.0)), held, "g", "id", ["a"], "y", "w", 1).count()
+    out = models.train_matrix(df, {"iid": "part"}, {"a": ["a"]}, ["id", "g"], "y", "w", {"ridge": {}, "trees": {"iterations": 3, "depth": 2}})
+    assert {(r.arm, r.partition): r["count"] for r in out.groupBy("arm", "partition").count().collect()} == {(a, p): 20 for a in ("a", "a:trees") for p in ("val", "test")}
