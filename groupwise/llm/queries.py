@@ -1,5 +1,6 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
+from .byte_bpe import op13_byte_bpe
 from .chat_format import OP6_SQL, op6_chat_format
 from .decontaminate import OP9_SQL, op9_benchmark_decontamination
 from .html_extract import op10_html_extract
@@ -24,6 +25,7 @@ QUERIES = {
         op8_license_scan,
         op9_benchmark_decontamination,
         op10_html_extract,
+        op13_byte_bpe,
     )
 }
 ORACLE = {"op6_chat_format": OP6_SQL, "op7_exact_topk_codes": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
