@@ -18,6 +18,7 @@ import base64
 import hashlib
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -43,22 +44,15 @@ NEITHER = ""
 JOINTS = r"(?<=\S)(?= \S)"
 
 
-def _remember(memory: dict, most: int, longest: int, key: str | bytes, ids: list[int]) -> list[int]:
-    if len(key) <= longest:
-        if len(memory) >= most:
-            memory.clear()
-        memory[key] = tuple(ids)  # of tuples, unlike lists, the garbage collector does not go over the contents
-    return ids
-
-
 class BytePairs:
     """The tokens of a rank file (lines of a base64 token and its rank) and the pattern that cuts texts.
 
-    joints: where a text may be cut before the pattern is matched, or None; it must fit the pattern. What lies between two joints, and each
-    pre-token, is remembered, up to `remembered` of either kind and at most `longest` characters or bytes; a full memory is emptied.
+    joints: where a text may be cut before the pattern is matched, or None; it must fit the pattern. What lies between two joints (at most
+    `longest` characters) is remembered: the last `remembered` of them and as many before those; so are a quarter as many pre-tokens. Ids are
+    kept in arrays, which the garbage collector does not go over.
     """
 
-    def __init__(self, rank_file: bytes, pattern: str, joints: str | None = None, remembered: int = 1 << 19, longest: int = 40):
+    def __init__(self, rank_file: bytes, pattern: str, joints: str | None = None, remembered: int = 1 << 18, longest: int = 40):
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, rank_file.splitlines()) if token}
         if missing := [b for b in range(256) if bytes([b]) not in self.ranks]:
             raise ValueError(f"{len(missing)} bytes have no token")
@@ -69,13 +63,17 @@ class BytePairs:
         self.bytes = [self.ranks[bytes([b])] for b in range(256)]
         self.pattern, self.joints = regex.compile(pattern), re.compile(joints) if joints else None
         self.later = regex.compile("[" + "".join(f"\\U{int(a, 16):08X}-\\U{int(b, 16):08X}" for a, b in (run.split("-") for run in LATER.split())) + "]")
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self.recent: dict[str, array] = {}
+        self.earlier: dict[str, array] = {}
+        self.pieces: dict[bytes, array] = {}
         self.remembered, self.longest = remembered, longest
         # The rank queue, empty between pre-tokens: positions by rank, and the lower level of the bitmap; the upper level is one integer.
         self.shift = max(1, math.isqrt(size - 1).bit_length())
         self.buckets: list[list[int] | None] = [None] * size
         self.words = [0] * ((size >> self.shift) + 1)
+        self.after, self.before = list(range(1, 257)), list(range(-1, 255))  # the links of short lists
+        self.bits = [1 << k for k in range(1 << self.shift)]
+        self.byte_pairs = [[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
 
     def cut(self, text: str) -> list[str]:
         if text.isascii() or not self.later.search(text):
@@ -87,77 +85,104 @@ class BytePairs:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        tokens, find, buckets, words, shift, n = self.tokens, self.ranks.get, self.buckets, self.words, self.shift, len(piece)
-        low = (1 << shift) - 1
+        tokens, find, buckets, words, shift, bits, n = self.tokens, self.ranks.get, self.buckets, self.words, self.shift, self.bits, len(piece)
+        low = len(bits) - 1
         node = list(map(self.bytes.__getitem__, piece))
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [find(piece[i : i + 2], -1) for i in range(n)]  # the rank of each node joined with its right neighbour; -1: none, or the node is gone
-        pair[-1] = -1
-        top = 0  # bit w: words[w] is not 0; bit k of words[w]: a bucket of rank w * 2^shift + k is in use
-        fresh = [(rank, i) for i, rank in enumerate(pair) if rank >= 0]
-        while True:
-            for rank, i in fresh:
+        after, before = (self.after[:n], self.before[:n]) if n <= len(self.after) else (list(range(1, n + 1)), list(range(-1, n - 1)))
+        # The rank of each node joined with its right neighbour; -1: none, or the node is gone.
+        pair = [row[b] for row, b in zip(map(self.byte_pairs.__getitem__, piece), piece[1:])]
+        pair.append(-1)
+        top = 0  # bit w: words[w] is not 0; bit k of words[w]: the bucket of rank w * 2^shift + k is in use
+        for i, rank in enumerate(pair):
+            if rank >= 0:
                 bucket = buckets[rank]
                 if bucket:
-                    heappush(bucket, i)
+                    bucket.append(i)  # i only grows here, so this is a heap
                 else:
                     buckets[rank] = [i]
-                    w = rank >> shift
-                    words[w] |= 1 << (rank & low)
-                    top |= 1 << w
-            if not top:
-                break
+                    words[rank >> shift] |= bits[rank & low]
+                    top |= bits[rank >> shift]
+        while top:
             w = (top & -top).bit_length() - 1  # find first set, at both levels
             word = words[w]
             bit = word & -word
             rank = (w << shift) + bit.bit_length() - 1
-            bucket, fresh = buckets[rank], []
-            while bucket:
+            bucket, token, lowest = buckets[rank], tokens[rank], rank
+            while bucket and lowest >= rank:  # a pair that a merge makes may be of a lower rank, and is next then
                 i = heappop(bucket)
                 if pair[i] != rank:
                     continue  # stale
                 gone = after[i]
                 right, left = after[gone], before[i]
-                node[i], after[i], pair[gone] = rank, right, -1
-                token = tokens[rank]
+                node[i], after[i], pair[gone], pair[i] = rank, right, -1, -1
                 if right < n:
                     before[right] = i
                     pair[i] = new = find(token + tokens[node[right]], -1)
                     if new >= 0:
-                        fresh.append((new, i))
-                else:
-                    pair[i] = -1
+                        other = buckets[new]
+                        if other:
+                            heappush(other, i)
+                        else:
+                            buckets[new] = [i]
+                            words[new >> shift] |= bits[new & low]
+                            top |= bits[new >> shift]
+                        if new < lowest:
+                            lowest = new
                 if left >= 0:
                     pair[left] = new = find(tokens[node[left]] + token, -1)
                     if new >= 0:
-                        fresh.append((new, left))
-                if fresh:
-                    break  # one of the new pairs may be of a lower rank
+                        other = buckets[new]
+                        if other:
+                            heappush(other, left)
+                        else:
+                            buckets[new] = [left]
+                            words[new >> shift] |= bits[new & low]
+                            top |= bits[new >> shift]
+                        if new < lowest:
+                            lowest = new
             if not bucket:
                 buckets[rank] = None
-                words[w] = word = word ^ bit
-                if not word:
-                    top ^= 1 << w
+                words[w] ^= bit
+                if not words[w]:
+                    top ^= bits[w]
         out, i = [], 0
         while i < n:
             out.append(node[i])
             i = after[i]
         return out
 
-    def between_joints(self, text: str) -> list[int]:
-        ids = []
+    def between_joints(self, text: str) -> array:
+        """The ids of a part that is not remembered."""
+        ids, pieces = array("i"), self.pieces
         for piece in map(str.encode, self.cut(text)):
-            ids += self.pieces.get(piece) or _remember(self.pieces, self.remembered, self.longest, piece, self.merged(piece))
-        return _remember(self.known, self.remembered, self.longest, text, ids)
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
+            found = pieces.get(piece)
+            if found is None:
+                found = array("i", self.merged(piece))
+                if len(piece) <= self.longest:
+                    if len(pieces) >= self.remembered >> 2:
+                        pieces.clear()
+                    pieces[piece] = found
+            ids += found
+        return ids
+
+    def encode(self, text: str) -> array:
+        out = array("i")
+        recent, earlier = self.recent, self.earlier
         for part in self.joints.split(text) if self.joints else self.cut(text):
-            out += known.get(part) or self.between_joints(part)
+            ids = recent.get(part)
+            if ids is None:
+                ids = earlier.get(part)
+                if ids is None:
+                    ids = self.between_joints(part)
+                if len(part) <= self.longest:
+                    if len(recent) >= self.remembered:
+                        self.earlier = earlier = recent
+                        self.recent = recent = {}
+                    recent[part] = ids
+            out += ids
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: array | list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
@@ -181,46 +206,48 @@ class Vocabulary:
 _parsed: dict[tuple[str, str], BytePairs] = {}
 
 
-def encode(texts: DataFrame, id_col: str, text_col: str, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """(id, ids): the token ids of every whole text, in order."""
+def _in_lists(values: list[array]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*(np.frombuffer(x, np.int32) for x in values), np.zeros(0, np.int32)])))
+
+
+def encode(texts: DataFrame, id_col: str, text_col: str, path: str, pattern: str = public_tokenizers.PATTERN, decoded: bool = False) -> DataFrame:
+    """(id, ids): the token ids of every whole text, in order. With `decoded` also the bytes that the ids give back, decoded where they are encoded."""
     vocabulary = Vocabulary(texts, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = vocabulary.pairs()
         for batch in batches:
             for part in by_bytes(batch, "text"):
-                lists = [np.array(pairs.encode(t or ""), np.int32) for t in part["text"].to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*lists, np.zeros(0, np.int32)])))
-                yield pa.RecordBatch.from_arrays([part["id"], ids], names=["id", "ids"])
+                values = [pairs.encode(t or "") for t in part["text"].to_pylist()]
+                back = [pa.array(list(map(pairs.decode, values)), pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([part["id"], _in_lists(values), *back], names=["id", "ids", *["decoded"] * decoded])
 
     rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>" + ", decoded binary" * decoded)
 
 
-def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("id",), ids_col: str = "ids") -> DataFrame:
-    """(keep, decoded): the bytes of every list of ids; an id that the file does not have is an error."""
+def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
+    """(id, decoded): the bytes of every list of ids; an id that the file does not have is an error."""
     vocabulary = Vocabulary(encoded, path, public_tokenizers.PATTERN)
-    names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = vocabulary.pairs()
         for batch in batches:
-            lists = batch["ids"]
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), float)))]).astype(np.int64)
-            if len(flat) and (flat.min() < 0 or flat.max() >= len(pairs.tokens)):
-                raise ValueError("an id is not in the rank file")
-            found = [pairs.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(found, pa.binary())], names=[*names, "decoded"])
+            found = []
+            for ids in batch["ids"]:
+                listed = ids.as_py() or []
+                if listed and not 0 <= min(listed) <= max(listed) < len(pairs.tokens):
+                    raise ValueError("an id is not in the rank file")
+                found.append(pairs.decode(listed))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.binary())], names=["id", "decoded"])
 
-    rows = encoded.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(ids_col).cast("array<int>").alias("ids"))
-    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    return rows.mapInArrow(run, f"{schema}, decoded binary").toDF(*keep, "decoded")
+    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, decoded binary")
 
 
 def op13_byte_bpe(spark, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", path)
-    seen = ids.select("id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"))
-    back = decode(seen, path, ("id", "n_tokens", "ids_sha256"))
-    return back.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", path, decoded=True)
+    ids = F.array_join("ids", ",").cast("binary")
+    return both.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
