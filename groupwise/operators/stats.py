@@ -109,14 +109,22 @@ def completeness(df: DataFrame, columns: Sequence[str], group: str | None = None
     return long.groupBy(F.substring("column", 3, 1000).alias("column")).agg(F.count("value").alias("n"), (F.count("value") / F.count("*")).alias("fraction"), *extra)
 
 
-def weighted_moments(df: DataFrame, columns: Sequence[str], weight: str, tiny: float = 1e-12) -> DataFrame:
-    """(feature, n, weight, mean, std): std is 1 where the variance is tiny or nothing is there, mean then 0. Two passes, centred."""
-    long = df.select(F.col(weight).alias("_w"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]).unpivot(["_w"], list(columns), "feature", "value")
-    w, v = F.when(F.col("value").isNotNull(), F.col("_w")), F.col("value")
-    means = long.groupBy("feature").agg(F.count(v).alias("n"), F.coalesce(F.sum(w), F.lit(0.0)).alias("weight"), F.coalesce(F.sum(w * v) / F.sum(w), F.lit(0.0)).alias("mean"))
+def weighted_moments(df: DataFrame, columns: Sequence[str], weight: str, tiny: float = 1e-8, least: int = 1) -> DataFrame:
+    """(feature, n, weight, mean, std, fallback) over finite values of finite weights above 0. Two passes, centred.
+
+    Below `least` of them: mean 0, std 1, INSUFFICIENT_VALID_DATA. With a variance of at most tiny^2: std 1, ZERO_OR_TINY_STD. Otherwise no fallback."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+    w, v = F.col("_w"), F.col("value")
+    long = df.select(finite(F.col(weight).cast("double")).alias("_w"), *[finite(F.col(c).cast("double")).alias(c) for c in columns]).unpivot(["_w"], list(columns), "feature", "value")
+    long = long.select("feature", F.when(w > 0, w).alias("_w"), F.when(w > 0, v).alias("value")).select("feature", F.when(v.isNotNull(), w).alias("_w"), "value")
+    means = long.groupBy("feature").agg(F.count(v).alias("n"), F.coalesce(F.sum(w), F.lit(0.0)).alias("weight"), (F.sum(w * v) / F.sum(w)).alias("mean"))
     centred = long.join(F.broadcast(means), "feature")  # one row a feature
-    var = F.sum(F.when(v.isNotNull(), F.col("_w") * (v - F.col("mean")) ** 2)) / F.nullif(F.first("weight"), F.lit(0.0))
-    return centred.groupBy("feature").agg(F.first("n").alias("n"), F.first("weight").alias("weight"), F.first("mean").alias("mean"), F.when(var > tiny * tiny, F.sqrt(var)).otherwise(1.0).alias("std"))
+    var = F.sum(w * (v - F.col("mean")) ** 2) / F.first("weight")
+    few = (F.first("n") < least) | F.first("mean").isNull()
+    narrow = F.coalesce(var <= tiny * tiny, F.lit(True))
+    fallback = F.when(few, "INSUFFICIENT_VALID_DATA").when(narrow, "ZERO_OR_TINY_STD")
+    moments = [F.when(few, 0.0).otherwise(F.first("mean")).alias("mean"), F.when(few | narrow, 1.0).otherwise(F.sqrt(var)).alias("std"), fallback.alias("fallback")]
+    return centred.groupBy("feature").agg(F.first("n").alias("n"), F.first("weight").alias("weight"), *moments)
 
 
 def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: dict[str, str], ahead: str | None = None, parts: int | None = None) -> DataFrame:

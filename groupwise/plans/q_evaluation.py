@@ -330,73 +330,12 @@ def _(spark, sf):
     return models.constant_baseline(r.where("flag = 'A'"), r.where("flag = 'R'"), "y", "qty").select("record", "pred")
 
 
-COLUMNS = ["qty", "discount", "price", "psize", "aux"]
-
-
 @add("m2_preprocessor", R + """, a AS (SELECT * FROM records WHERE flag = 'A'), v AS (SELECT aux, sum(qty) AS w FROM a WHERE aux IS NOT NULL GROUP BY aux), c AS (SELECT aux, sum(w) OVER (ORDER BY aux) AS cum, sum(w) OVER () AS total FROM v), m AS (SELECT min(aux) AS fill FROM c WHERE cum >= 0.5 * total),
 x AS (SELECT qty AS w, coalesce(aux, fill) AS v, fill FROM a, m) SELECT 'aux' AS feature, any_value(fill) AS fill, sum(w * v) / sum(w) AS mean, sqrt(sum(w * v * v) / sum(w) - (sum(w * v) / sum(w)) ** 2) AS scale FROM x""", "fill mean scale")
 def _(spark, sf):
     return models.fit_preprocessor(records(spark, sf).where("flag = 'A'"), ["aux"], "qty").select("feature", "fill", "mean", "scale")
 
 
-@add("m3_ridge")
-def _(spark, sf):
-    r = records(spark, sf).withColumn("w", F.col("qty"))
-    p = models.fit_preprocessor(r.where("flag = 'A'"), COLUMNS, "w")
-    model = models.fit_ridge(models.apply_preprocessor(r.where("flag = 'A'"), p, COLUMNS), COLUMNS, "y", "w")
-    return models.predict(model, models.apply_preprocessor(r.where("flag = 'R'"), p, COLUMNS), COLUMNS, ["record", "grp", "y"], "ridge")
-
-
-@add("m4_boosted_trees")
-def _(spark, sf):
-    r = records(spark, sf).withColumn("w", F.col("qty"))
-    cols = ["qty", "discount", "price", "psize"]
-    model = models.fit_trees(r.where("flag = 'A'"), cols, "y", "w")
-    return models.predict(model, r.where("flag = 'R'"), cols, ["record", "grp", "y"], "trees")
-
-
-@add("a40_block_importance")
-def _(spark, sf):
-    cols = ["qty", "discount", "price", "psize"]
-    model = models.fit_trees(records(spark, sf).withColumn("w", F.col("qty")).where("flag = 'A'"), cols, "y", "w", iterations=3, depth=3)
-    gains = spark.createDataFrame(models.importance(model, cols), "feature string, gain double")
-    return metrics.block_importance(gains, spark.createDataFrame([("qty", "order"), ("discount", "order"), ("price", "part"), ("psize", "part")], "feature string, block string"))
-
-
-M5_ARMS = {"small": ["qty", "discount"], "full": ["qty", "discount", "price"]}
-
-
-def _partitioned(spark, sf):
-    return records(spark, sf).withColumn("w", F.col("qty")).withColumn("iid", F.when(F.col("flag") == "A", "train").when(F.col("flag") == "R", "val").otherwise("test"))
-
-
-@add("m5_train_matrix")
-def _(spark, sf):
-    """A ridge for each arm."""
-    return models.evaluate(models.train_matrix(_partitioned(spark, sf), {"iid": "iid"}, M5_ARMS, ["record", "grp"], "y", "w"), "grp")
-
-
-@add("m5_fit_registry", R + ", n AS (SELECT count(*) FILTER (WHERE flag = 'A') AS n_train, sum(qty) FILTER (WHERE flag = 'A') AS train_weight, count(*) FILTER (WHERE flag = 'R') AS n_val, count(*) FILTER (WHERE flag NOT IN ('A', 'R')) AS n_test FROM records) SELECT 'iid' AS protocol, arm, n_features, features, n.* FROM (SELECT 'small' AS arm, 2 AS n_features, 'qty,discount' AS features UNION ALL SELECT 'full', 3, 'qty,discount,price'), n", "train_weight", 3)
-def _(spark, sf):
-    return models.fit_registry(_partitioned(spark, sf), {"iid": "iid"}, M5_ARMS, "w")
-
-
-@add("m6_cross_fit")
-def _(spark, sf):
-    from groupwise.operators import splits
-
-    r = records(spark, sf).withColumn("w", F.col("qty"))
-    folds = splits.unit_folds(r, "donor", "y", "w", 3, 5)
-    return models.cross_fit(r, folds, "donor", "record", ["qty", "price"], "y", "w", 3)
-
-
-@add("m7_bootstrap_ensemble")
-def _(spark, sf):
-    r = records(spark, sf).withColumn("w", F.col("qty"))
-    out = models.bootstrap_ensemble(r.where("flag = 'A'"), r.where("flag = 'R'"), "donor", "record", ["qty", "price"], "y", "w", 3)
-    return metrics.ensemble(out.where("member >= 0"), "record")
-
-
 M9_SQL = R + ", " + boot("donor", "SELECT donor, avg(abs(m2 - y) - abs(m1 - y)) AS v FROM records GROUP BY donor", 42, 50) + ", q AS (SELECT quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi FROM s) SELECT 'm2' AS arm, (SELECT avg(v) FROM u) AS point, lo, hi, lo > 0 OR hi < 0 AS excludes_zero FROM q"
 
 

@@ -86,12 +86,24 @@ def _(spark, sf):
     return stats.completeness(records(spark, sf), ["aux", "y"], "grp", "qty")
 
 
-@add("a11_weighted_moments", R + """ SELECT feature, n, weight, mean, CASE WHEN var > 1e-24 THEN sqrt(var) ELSE 1 END AS std FROM (
-SELECT feature, count(*) AS n, sum(qty) AS weight, any_value(mu) AS mean, sum(qty * (value - mu) * (value - mu)) / sum(qty) AS var FROM (
-SELECT *, sum(qty * value) OVER (PARTITION BY feature) / sum(qty) OVER (PARTITION BY feature) AS mu FROM (
-SELECT 'aux' AS feature, qty, aux AS value FROM records WHERE aux IS NOT NULL UNION ALL SELECT 'y', qty, y FROM records)) GROUP BY feature)""", "weight mean std")
-def _(spark, sf):
-    return stats.weighted_moments(records(spark, sf), ["aux", "y"], "qty")
+A11 = R + """, long AS (SELECT feature, weight, value FROM (
+  SELECT 'aux' AS feature, qty AS weight, CAST(aux AS DOUBLE) AS value FROM records UNION ALL SELECT 'y', qty, y FROM records
+  UNION ALL SELECT 'part', CASE line WHEN 1 THEN 0 WHEN 2 THEN -qty WHEN 4 THEN NULL ELSE qty END, CASE line WHEN 5 THEN CAST('inf' AS DOUBLE) WHEN 6 THEN CAST('nan' AS DOUBLE) ELSE y END FROM records
+  UNION ALL SELECT 'same', qty, 2.5 FROM records UNION ALL SELECT 'none', qty, CAST('-inf' AS DOUBLE) FROM records)),
+ok AS (SELECT * FROM long WHERE isfinite(value) AND weight > 0), mu AS (SELECT feature, sum(weight * value) / sum(weight) AS mean FROM ok GROUP BY feature),
+v AS (SELECT feature, count(*) AS n, sum(weight) AS weight, any_value(mean) AS mean, sum(weight * (value - mean) ** 2) / sum(weight) AS var FROM ok JOIN mu USING (feature) GROUP BY feature)
+SELECT feature, n, CAST(weight AS DOUBLE) AS weight, mean, CASE WHEN var <= 1e-16 THEN 1 ELSE sqrt(var) END AS std, CASE WHEN var <= 1e-16 THEN 'ZERO_OR_TINY_STD' END AS fallback FROM v
+UNION ALL SELECT 'none', 0, 0.0, 0.0, 1.0, 'INSUFFICIENT_VALID_DATA'"""
+
+
+@add("a11_weighted_moments", A11, "weight mean std")
+def _(spark, sf):
+    """Also a column with bad weights and infinities in some lines, a constant and one without a finite value."""
+    r = records(spark, sf).withColumn("weight", F.col("qty").cast("double"))
+    at = lambda n, x, other: F.when(F.col("line") == n, F.lit(x).cast("double") if not hasattr(x, "cast") else x).otherwise(other)
+    bad = r.select(at(1, 0.0, at(2, -F.col("weight"), at(4, None, F.col("weight")))).alias("weight"), at(5, float("inf"), at(6, float("nan"), F.col("y"))).alias("part"))
+    good = r.select("weight", "aux", "y", F.lit(2.5).alias("same"), F.lit(float("-inf")).alias("none"))
+    return stats.weighted_moments(good, ["aux", "y", "same", "none"], "weight").union(stats.weighted_moments(bad, ["part"], "weight"))
 
 
 @add("a12_weighted_median", R + """, v AS (SELECT feature, value, sum(qty) AS w FROM (SELECT 'tax' AS feature, tax AS value, qty FROM records UNION ALL SELECT 'y', y, qty FROM records) GROUP BY feature, value),
