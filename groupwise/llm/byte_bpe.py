@@ -5,7 +5,8 @@ bytes; again and again the neighbours whose joined bytes have the lowest rank be
 no pair has a rank. The pairs wait in a rank queue: one bucket of list positions per rank, and a bitmap of the buckets in use, with
 bitmaps above it of the words in use below. Finding the lowest rank is one find-first-set a level (three for 50,256 ranks), whatever
 the length of the pre-token. Merges leave entries behind that no longer hold; they are known by the rank that the node's pair has now and
-skipped. A pre-token of n bytes costs n pushes, at most n merges with two pushes each, and a heap step inside a bucket: n log n.
+skipped. A pre-token of n bytes costs n pushes, at most n merges with two pushes each, and a heap step inside a bucket: n log n. Short
+pre-tokens share one queue, whose buckets then hold positions of very many of them, and are merged in rounds of NumPy operations.
 
 Rows are independent: no shuffle, no state between rows but a table of already encoded short pre-tokens, emptied when it is full.
 
@@ -44,12 +45,15 @@ NEITHER = ""
 JOINTS = r"(?<=\S)(?= \S)"
 
 
+#: Bytes of text whose new pre-tokens are merged together; one longer text is a slice of its own.
+SLICE = 1 << 24
+
+
 class BytePairs:
     """The tokens of a rank file (lines of a base64 token and its rank) and the pattern that cuts texts.
 
     joints: where a text may be cut before the pattern is matched, or None; it must fit the pattern. What lies between two joints (at most
-    `longest` characters) is remembered: the last `remembered` of them and as many before those; so are a quarter as many pre-tokens. Ids are
-    kept in arrays, which the garbage collector does not go over.
+    `longest` characters) is remembered: about the last `remembered` of them, and as many before those.
     """
 
     def __init__(self, rank_file: bytes, pattern: str, joints: str | None = None, remembered: int = 1 << 18, longest: int = 40):
@@ -65,7 +69,6 @@ class BytePairs:
         self.later = regex.compile("[" + "".join(f"\\U{int(a, 16):08X}-\\U{int(b, 16):08X}" for a, b in (run.split("-") for run in LATER.split())) + "]")
         self.recent: dict[str, array] = {}
         self.earlier: dict[str, array] = {}
-        self.pieces: dict[bytes, array] = {}
         self.remembered, self.longest = remembered, longest
         # The rank queue, empty between pre-tokens: positions by rank, and the lower level of the bitmap; the upper level is one integer.
         self.shift = max(1, math.isqrt(size - 1).bit_length())
@@ -73,6 +76,11 @@ class BytePairs:
         self.words = [0] * ((size >> self.shift) + 1)
         self.after, self.before = list(range(1, 257)), list(range(-1, 255))  # the links of short lists
         self.bits = [1 << k for k in range(1 << self.shift)]
+        # All ways to join two tokens to a third, for many lookups at once.
+        self.factor = size
+        ways = sorted((self.ranks[t[:k]] * size + self.ranks[t[k:]], rank) for t, rank in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks)
+        self.joined = np.array([*(key for key, _ in ways), 1 << 62], np.int64)
+        self.joined_rank = np.array([*(rank for _, rank in ways), -1], np.int64)
         self.byte_pairs = [[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
 
     def cut(self, text: str) -> list[str]:
@@ -151,37 +159,122 @@ class BytePairs:
             i = after[i]
         return out
 
-    def between_joints(self, text: str) -> array:
-        """The ids of a part that is not remembered."""
-        ids, pieces = array("i"), self.pieces
-        for piece in map(str.encode, self.cut(text)):
-            found = pieces.get(piece)
-            if found is None:
-                found = array("i", self.merged(piece))
-                if len(piece) <= self.longest:
-                    if len(pieces) >= self.remembered >> 2:
-                        pieces.clear()
-                    pieces[piece] = found
-            ids += found
-        return ids
+    def merged_all(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The tokens of each pre-token: the same queue over all of them at once. A round takes the lowest rank in use and, of each pre-token that
+        has it, the leftmost position; pre-tokens do not touch, so each goes through the very merges that it would alone."""
+        size, count = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.concatenate([[0], np.cumsum(count)])
+        n = int(starts[-1])
+        if not n:
+            return [np.zeros(0, np.int32)] * size
+        node = np.append(np.array(self.bytes, np.int64)[np.frombuffer(b"".join(pieces), np.uint8)], -1)  # node n stands for none
+        owner = np.repeat(np.arange(size), count)
+        after, before, alive = np.arange(1, n + 2), np.arange(-1, n), np.ones(n + 1, bool)
+        after[starts[1:] - 1], before[starts[:-1]] = n, n
+        pair = self.rank_of(node, node[after[: n + 1].clip(max=n)])
+        pair[n] = -1
+        buckets, words, shift, bits, top = self.buckets, self.words, self.shift, self.bits, 0
+        low = len(bits) - 1
+
+        def push(ranks: np.ndarray, places: np.ndarray, top: int) -> int:
+            there = ranks >= 0
+            ranks, places = ranks[there], places[there]
+            order = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[order], places[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            for rank, some in zip(ranks[np.append(0, cuts)].tolist() if len(ranks) else (), np.split(places, cuts), strict=False):
+                if buckets[rank]:
+                    buckets[rank].append(some)
+                else:
+                    buckets[rank] = [some]
+                    words[rank >> shift] |= bits[rank & low]
+                    top |= bits[rank >> shift]
+            return top
+
+        top = push(pair[:n], np.arange(n), top)
+        while top:
+            w = (top & -top).bit_length() - 1  # find first set, at both levels
+            bit = words[w] & -words[w]
+            rank = (w << shift) + bit.bit_length() - 1
+            some = buckets[rank]
+            at = some[0] if len(some) == 1 else np.concatenate(some)
+            at = at[pair[at] == rank]  # the others are stale
+            later = at[:0]
+            if len(at) > 1:
+                at = np.unique(at)
+                whose = owner[at]
+                leftmost = np.append(True, whose[1:] != whose[:-1])
+                at, later = at[leftmost], at[~leftmost]
+            if len(later):
+                buckets[rank] = [later]
+            else:
+                buckets[rank] = None
+                words[w] ^= bit
+                if not words[w]:
+                    top ^= bits[w]
+            if not len(at):
+                continue
+            gone, left = after[at], before[at]
+            right = after[gone]
+            node[at], after[at], before[right], pair[gone], alive[gone] = rank, right, at, -1, False
+            pair[at] = behind = self.rank_of(rank, node[right])
+            pair[left] = ahead = self.rank_of(node[left], rank)
+            pair[n] = -1
+            top = push(np.concatenate([behind, ahead]), np.concatenate([at, left]), top)
+        alive = alive[:n]
+        return np.split(node[:n][alive].astype(np.int32), np.cumsum(np.bincount(owner[alive], minlength=size))[:-1])
+
+    def rank_of(self, left: np.ndarray | int, right: np.ndarray) -> np.ndarray:
+        """The rank of two tokens joined, -1 if there is none or either is -1."""
+        key = left * self.factor + right
+        at = np.searchsorted(self.joined, key)
+        return np.where((self.joined[at] == key) & (right >= 0), self.joined_rank[at], -1)
+
+    def learn(self, texts: list[str]) -> None:
+        """Remember the ids of all parts of the texts that are short and not yet known."""
+        fresh: dict[str, list[bytes]] = {}
+        for text in texts:
+            for part in self.parts(text):
+                if part not in fresh and part not in self.recent and part not in self.earlier and len(part) <= self.longest:
+                    fresh[part] = [p.encode() for p in self.cut(part)]
+        unknown = [p for p in dict.fromkeys(p for cut in fresh.values() for p in cut) if p not in self.ranks]
+        found = dict(zip(unknown, self.merged_all(unknown), strict=True))
+        if len(self.recent) >= self.remembered:
+            self.earlier, self.recent = self.recent, {}
+        for part, cut in fresh.items():
+            ids = array("i")
+            for p in cut:
+                rank = self.ranks.get(p)
+                if rank is None:
+                    ids.frombytes(found[p].tobytes())
+                else:
+                    ids.append(rank)
+            self.recent[part] = ids
+
+    def parts(self, text: str) -> list[str]:
+        return self.joints.split(text) if self.joints else self.cut(text)
 
     def encode(self, text: str) -> array:
         out = array("i")
         recent, earlier = self.recent, self.earlier
-        for part in self.joints.split(text) if self.joints else self.cut(text):
+        for part in self.parts(text):
             ids = recent.get(part)
             if ids is None:
                 ids = earlier.get(part)
                 if ids is None:
-                    ids = self.between_joints(part)
-                if len(part) <= self.longest:
-                    if len(recent) >= self.remembered:
-                        self.earlier = earlier = recent
-                        self.recent = recent = {}
+                    for piece in self.cut(part):
+                        out.extend(self.merged(piece.encode()))
+                    continue
+                if len(recent) < 2 * self.remembered:
                     recent[part] = ids
             out += ids
         return out
 
+    def encode_all(self, texts: list[str]) -> list[array]:
+        """As encode, for many texts: what is short and new is merged together first; long pre-tokens are merged one by one."""
+        self.learn(texts)
+        return list(map(self.encode, texts))
+
     def decode(self, ids: array | list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -218,8 +311,8 @@ def encode(texts: DataFrame, id_col: str, text_col: str, path: str, pattern: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = vocabulary.pairs()
         for batch in batches:
-            for part in by_bytes(batch, "text"):
-                values = [pairs.encode(t or "") for t in part["text"].to_pylist()]
+            for part in by_bytes(batch, "text", SLICE):
+                values = pairs.encode_all([t or "" for t in part["text"].to_pylist()])
                 back = [pa.array(list(map(pairs.decode, values)), pa.binary())] if decoded else []
                 yield pa.RecordBatch.from_arrays([part["id"], _in_lists(values), *back], names=["id", "ids", *["decoded"] * decoded])
 

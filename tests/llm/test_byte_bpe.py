@@ -40,6 +40,13 @@ def test_random_texts(pairs, plain):
         assert pairs.decode(ids) == text.encode()
 
 
+def test_many_texts_at_once(pairs, plain):
+    rnd = random.Random(9)
+    texts = ["", " "] + ["".join(rnd.choice(["re", "qu", "eau", "x", " ", " ", ",", "\n", "É", "ß", "9", "'re"]) for _ in range(rnd.randrange(400))) for _ in range(300)] + ["y" * 300 + " " + "ab" * 500]
+    assert [x.tolist() for x in pairs.encode_all(texts)] == [plain.encode_ordinary(t) for t in texts]
+    assert [x.tolist() for x in pairs.encode_all(texts)] == [plain.encode_ordinary(t) for t in texts]
+
+
 def test_very_long_pre_tokens(pairs, plain):
     rnd = random.Random(5)
     for text in ("a" * 60_000, "ab" * 30_000, "".join(rnd.choice("abcdeé") for _ in range(80_000)), " " * 50_000, "\n \n" * 9_000):
@@ -56,7 +63,9 @@ def test_ranks_that_fall_after_a_merge():
     for _ in range(2000):
         text = "".join(rnd.choice("abc ") for _ in range(rnd.randrange(40)))
         assert own.encode(text).tolist() == plain.encode_ordinary(text)
-    assert not any(own.words) and not any(own.buckets)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 40))).encode() for _ in range(3000)]
+    assert [x.tolist() for x in own.merged_all(words)] == [plain.encode_ordinary(w.decode()) if w in own.ranks else own.merged(w) for w in words]
+    assert own.merged_all([]) == [] and not any(own.words) and not any(own.buckets)
     with pytest.raises(ValueError):
         BytePairs(b"", "a")
 
