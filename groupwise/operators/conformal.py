@@ -12,7 +12,7 @@ from groupwise.storage import stored
 
 from .metrics import auc, worst_decile
 from .resample import cluster_interval
-from .stats import correlation, running_sum, running_sums
+from .stats import correlation, running_sum, running_sums, with_quantiles
 
 
 def value_at_rank(df: DataFrame, value: str, rank: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -50,8 +50,8 @@ def coverage(df: DataFrame, residual: str, half_width: float, group: str, identi
     per_group = rows.groupBy(group).agg(F.avg("hit").alias("h"), F.min("hit").alias("all_"))
     groups = per_group.agg(F.avg("h").alias("group_macro"), F.avg("all_").alias("simultaneous"))
     per_identity = stored(rows.groupBy(identity).agg(F.avg("hit").alias("h"), F.min("hit").alias("all_"), F.count("*").alias("size")))
-    worst = F.percentile("h", F.lit(0.1)).alias("worst_decile")
-    ids = per_identity.agg(F.avg("h").alias("identity_macro"), F.avg("all_").alias("identity_simultaneous"), F.count("*").alias("n_identities"), worst)
+    ids = per_identity.agg(F.avg("h").alias("identity_macro"), F.avg("all_").alias("identity_simultaneous"), F.count("*").alias("n_identities"))
+    ids = with_quantiles(ids, per_identity, {"worst_decile": (F.col("h"), 0.1)})
     span = cluster_interval(rows, identity, "hit", replicates, seed).select(F.col("lo").alias("identity_lo"), F.col("hi").alias("identity_hi"))
     size = correlation(per_identity, "size", "h").select(F.col("spearman").alias("size_spearman"))
     out = record.crossJoin(groups).crossJoin(ids).crossJoin(span).crossJoin(size)  # one row each

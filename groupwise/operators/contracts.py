@@ -8,6 +8,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stats import with_quantiles
+
 VISIBLE = ("train", "val", "test")
 
 
@@ -38,7 +40,8 @@ def partition_view(df: DataFrame, name: str, column: str = "partition", visible:
 def identity_residual(df: DataFrame, name: str, left: Column, right: Column, tolerance: float) -> DataFrame:
     """(identity, n, max_abs, p99_abs, holds) of left = right."""
     gap = F.abs(left - right)
-    return df.agg(F.count(gap).alias("n"), F.max(gap).alias("max_abs"), F.percentile(gap, F.lit(0.99)).alias("p99_abs"), F.coalesce(F.max(gap) <= tolerance, F.lit(True)).alias("holds")).select(F.lit(name).alias("identity"), "*")
+    one = df.agg(F.count(gap).alias("n"), F.max(gap).alias("max_abs"), F.coalesce(F.max(gap) <= tolerance, F.lit(True)).alias("holds"))
+    return with_quantiles(one, df, {"p99_abs": (gap, 0.99)}).select(F.lit(name).alias("identity"), "*")
 
 
 def hash_sample(df: DataFrame, key: str, n: int, salt: str = "") -> DataFrame:
@@ -63,7 +66,7 @@ def long_targets(df: DataFrame, keys: Sequence[str], targets: Sequence[str]) ->
 def relabel(parts: DataFrame, edits: DataFrame, id_col: str = "id", index: str = "idx", role: str = "role", listed: str = "indices", new: str = "new_role", unknown: str = "unknown") -> DataFrame:
     """Parts with roles replaced at the listed indices (`1;3`), and `violation` where a listed part was not unknown."""
     one = edits.select(F.col(id_col), F.explode(F.split(listed, ";").cast("array<int>")).alias(index), F.col(new).alias("_new")).dropDuplicates([id_col, index])
-    joined = parts.join(one, [id_col, index], "left")
+    joined = parts.join(one.hint("shuffle_merge"), [id_col, index], "left")
     return joined.withColumns({"changed": F.col("_new").isNotNull() & (F.col("_new") != F.col(role)), "violation": F.col("_new").isNotNull() & (F.col(role) != unknown), role: F.coalesce("_new", role)}).drop("_new")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -26,61 +27,78 @@ def overlap_similarity(a: str, b: str) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def _block_best(left: pa.Table, right: pa.Table) -> pa.Table:
-    """For each set of the left block the largest Tanimoto similarity to a set of the right one: products of 0/1 matrices over slices of the bits."""
+def _block_best(left: pa.Table, right: pa.Table, cells: int = 1 << 25) -> pa.Table:
+    """For each set of the left block the largest Tanimoto similarity to a set of the right one.
+
+    The right block becomes a 0/1 matrix, a row for each bit that both blocks have; a left set's common counts are the sum of its bits' rows.
+    The matrix is made and used in slices of at most `cells` bytes, so memory does not follow the number of different bits."""
     sides = [t["s"].combine_chunks() for t in (left, right)]
     sizes = [np.diff(s.offsets.to_numpy()) for s in sides]
     flat = [s.flatten().to_numpy(zero_copy_only=False) for s in sides]
-    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
     universe = np.intersect1d(*flat)
-    common = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
-    for k in range(0, len(universe), 4096):
-        part = universe[k : k + 4096]
-        dense = []
-        for r, f, n in zip(rows, flat, sizes, strict=True):
-            at = np.minimum(np.searchsorted(part, f), len(part) - 1)
-            on = part[at] == f
-            m = np.zeros((len(n), len(part)), np.float32)
-            m[r[on], at[on]] = 1
-            dense.append(m)
-        common += dense[0] @ dense[1].T
+    common = np.zeros((len(sizes[0]), len(sizes[1])), np.int32)
+    owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    step = max(1, cells // max(1, len(sizes[1])))
+    for k in range(0, len(universe), step):
+        part = universe[k : k + step]
+        at = [np.minimum(np.searchsorted(part, f), len(part) - 1) for f in flat]
+        on = [part[i] == f for i, f in zip(at, flat, strict=True)]
+        matrix = np.zeros((len(part), len(sizes[1])), np.uint8)
+        matrix[at[1][on[1]], owner[1][on[1]]] = 1
+        rows, whose = at[0][on[0]], owner[0][on[0]]
+        ends = np.searchsorted(whose, np.arange(len(sizes[0]) + 1))
+        for i, (x, y) in enumerate(zip(ends, ends[1:], strict=False)):
+            for z in range(x, y, 8192):
+                common[i] += matrix[rows[z : min(z + 8192, y)]].sum(axis=0, dtype=np.uint16)
     best = (common / (sizes[0][:, None] + sizes[1][None, :] - common)).max(axis=1).astype(np.float64)
     return pa.table([left["id"], pa.array(best)], names=["id", "nearest"])
 
 
-def nearest_similarity(query: DataFrame, train: DataFrame, key: str, bits: str = "bits", low: float = 0.8, block_rows: int = 2000) -> DataFrame:
+def _dealt(d: DataFrame, own: dict[int, int], other: dict[int, int], mine: str, its: str, reach: tuple[int, int]) -> DataFrame:
+    """Each set once for every block of the other side whose size class is `reach` classes away: its own class and block under `mine`, the other's under `its`."""
+    away = {c: [(o, b) for o, n in other.items() if reach[0] <= abs(o - c) <= reach[1] for b in [n]] for c in own}
+    blocks = F.create_map(*[F.lit(x) for c, n in own.items() for x in (c, n)])
+    listed = F.create_map(*[x for c, found in away.items() for x in (F.lit(c), F.array(*[F.struct(F.lit(o).alias("c"), F.lit(n).alias("n")) for o, n in found]) if found else F.expr("cast(array() as array<struct<c int, n int>>)"))])
+    rows = d.select("id", "s", F.col("class").alias(f"{mine}c"), F.pmod(F.xxhash64("id"), blocks[F.col("class")]).cast("int").alias(f"{mine}b"), F.explode(listed[F.col("class")]).alias("o"))
+    return rows.select("id", "s", f"{mine}c", f"{mine}b", F.col("o.c").alias(f"{its}c"), F.explode(F.sequence(F.lit(0), F.col("o.n") - 1)).alias(f"{its}b"))
+
+
+def nearest_similarity(query: DataFrame, train: DataFrame, key: str, bits: str = "bits", step: float = 0.8, block_rows: int = 2000, block_bits: int = 1 << 22) -> DataFrame:
     """J10, exact: (key, nearest) for each row of query, the largest Tanimoto similarity to a distinct bit set of train; 0 without a common bit.
 
-    Distinct bit sets are compared once. Near ones (at `low` or more) are found first by a join on a prefix of each set: with bits ordered
-    from rare to frequent, sets that similar share one of the first n - ceil(low n) + 1 bits. What has found nothing so near is
-    compared with all sets, in pairs of blocks of `block_rows` sets: each task multiplies one pair of blocks. That part is all pairs by
-    nature; minhash_nearest is the search for large tables."""
-    one = lambda d: d.where(F.size(bits) > 0).select(F.array_sort(F.array_distinct(bits)).alias("s")).distinct()
-    q, t = (stored(one(d).withColumn("id", F.xxhash64("s"))) for d in (query, train))
-    df = stored(t.select(F.explode("s").alias("bit")).groupBy("bit").agg(F.count("*").alias("df")))
-
-    def prefixes(d: DataFrame) -> DataFrame:
-        rows = d.select("id", F.size("s").alias("n"), F.explode("s").alias("bit"))
-        ranked = rows.join(df.hint("shuffle_hash"), "bit", "left").select("id", "n", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "bit").alias("b"))
-        listed = ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list("b")).alias("bs"))
-        return stored(listed.select("id", "n", F.explode(F.slice("bs", 1, (F.col("n") - F.ceil(F.lit(low) * F.col("n")) + 1).cast("int"))).alias("b")).select("id", "n", "b.bit"))
-
-    a, b = prefixes(q), prefixes(t).withColumnsRenamed({"id": "id2", "n": "n2"})
-    close = (F.col("n2") >= F.lit(low) * F.col("n")) & (F.col("n") >= F.lit(low) * F.col("n2"))
-    pairs = stored(a.join(b.hint("shuffle_merge"), "bit").where(close).select("id", "id2").distinct())
-    sides = pairs.join(q.hint("shuffle_hash"), "id").join(t.select(F.col("id").alias("id2"), F.col("s").alias("s2")).hint("shuffle_hash"), "id2")
-    near = stored(sides.groupBy("id").agg(F.max(overlap_similarity("s", "s2")).alias("nearest")).where(F.col("nearest") >= low))
-    left = stored(q.join(near.select("id").hint("shuffle_hash"), "id", "left_anti"))
-    n_left, n_train = left.count(), t.count()
-    found = near
-    if n_left and n_train:
-        parts = [max(1, math.ceil(n / block_rows)) for n in (n_left, n_train)]
-        deal = lambda d, own, n_own, other, n_other: d.select("id", "s", F.pmod(F.xxhash64("id"), F.lit(n_own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))).alias(other))
-        one_side, other_side = deal(left, "_a", parts[0], "_b", parts[1]), deal(t, "_b", parts[1], "_a", parts[0])
-        met = one_side.groupBy("_a", "_b").cogroup(other_side.groupBy("_a", "_b")).applyInArrow(lambda x, y: _block_best(x, y) if len(x) and len(y) else EMPTY, "id long, nearest double")
-        found = near.union(stored(met.groupBy("id").agg(F.max("nearest").alias("nearest"))))
-    rows = query.withColumn("id", F.xxhash64(F.array_sort(F.array_distinct(bits))))
-    return rows.join(found.hint("shuffle_merge"), "id", "left").select(key, F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
+    A top-1 search whose threshold falls by rounds. Distinct sets are compared once. They fall into classes of like size, each 1/step times
+    the one before; sets of classes k + 1 or more apart have a similarity below step^k. The first round compares a query with its own class
+    and the next ones, the later rounds go farther out, and only with queries whose best similarity so far is below what the unread classes
+    can still give. Within a round, blocks of at most `block_rows` sets and `block_bits` bits meet in pairs, each pair a task's work
+    of bounded size; classes are split into blocks by their counts, so none is a hot key.
+    The comparisons left are all pairs of like size by nature; minhash_nearest is the approximate search for large tables."""
+    sorted_bits = F.array_sort(F.array_distinct(bits))
+    named = stored(query.select(F.col(key).alias("_key"), sorted_bits.alias("s")).withColumn("id", F.when(F.size("s") > 0, F.xxhash64("s"))))
+    size_class = F.floor(F.log(F.size("s").cast("double")) / math.log(1 / step) + 1e-9).cast("int")
+    q = stored(named.where("id is not null").select("id", "s").distinct().withColumn("class", size_class))
+    t = stored(train.select(sorted_bits.alias("s")).where(F.size("s") > 0).distinct().select(F.xxhash64("s").alias("id"), "s", size_class.alias("class")))
+    most = lambda c: max(1, min(block_rows, int(block_bits * step ** (c + 1))))
+    blocks = lambda d: {r["class"]: math.ceil(r["count"] / most(r["class"])) for r in d.groupBy("class").count().collect()}  # noqa: E731  at most 97 classes at 0.8
+    in_train, left, found, best = blocks(t), q, [], None
+    keys, reach = ["_qc", "_qb", "_tc", "_tb"], (0, 1)
+    while in_train and (own := blocks(left)):
+        one, other = _dealt(left, own, in_train, "_q", "_t", reach), _dealt(t, in_train, own, "_t", "_q", reach)
+        met = one.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInArrow(lambda x, y: _block_best(x, y) if len(x) and len(y) else EMPTY, "id long, nearest double")
+        best = met if best is None else met.unionAll(best)
+        best = stored(best.groupBy("id").agg(F.max("nearest").alias("nearest")))
+        open_ = F.coalesce("nearest", F.lit(0.0)) < step ** reach[1]
+        ranked = left.join(best.hint("shuffle_hash"), "id", "left")
+        found.append(best.where(F.col("nearest") >= step ** reach[1]))
+        left = stored(ranked.where(open_).select("id", "s", "class"))
+        best = stored(best.where(F.col("nearest") < step ** reach[1]))
+        reach = (reach[1] + 1, 2 * reach[1] + 1 if reach[1] < 6 else 1000)
+        if reach[0] > max(abs(a - b) for a in own for b in in_train):
+            break
+    for f in found if best is not None else []:
+        best = best.unionAll(f)
+    if best is None:
+        return named.select(F.col("_key").alias(key), F.lit(0.0).alias("nearest"))
+    return named.join(best.hint("shuffle_merge"), "id", "left").select(F.col("_key").alias(key), F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
 
 
 def minhash_nearest(query: DataFrame, train: DataFrame, key: str, bits: str = "bits", tables: int = 24, rows: int = 2) -> DataFrame:
@@ -103,14 +121,125 @@ def minhash_nearest(query: DataFrame, train: DataFrame, key: str, bits: str = "b
     return rows_.join(found.hint("shuffle_merge"), "id", "left").select(key, F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
 
 
-def nearest_cosine(query: DataFrame, train: DataFrame, key: str, vector: str, blocks: int | None = None) -> DataFrame:
-    """J11, exact: (key, distance) to the nearest other vector; both sides are dealt to blocks and a pair of blocks is the join key, so each task holds one pair of blocks.
-    Without `blocks`, there are as many pairs of blocks as shuffle partitions, four at least. The comparisons are all pairs by nature: J11 at scale is nearest_cosine_lsh."""
-    blocks = blocks or max(2, math.ceil(math.sqrt(int(query.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    q = query.where(norm(F.col(vector)) > 0).select(key, F.col(vector).alias("_q"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_b"))
-    t = train.where(norm(F.col(vector)) > 0).select(F.col(key).alias("_k"), F.col(vector).alias("_t"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_a"))
-    pairs = q.join(t.hint("shuffle_hash"), ["_a", "_b"]).where(F.col(key) != F.col("_k"))
-    return pairs.groupBy(key).agg((1 - F.max(cosine(F.col("_q"), F.col("_t")))).alias("distance"))
+def _unit(d: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, v): unit vectors; a vector without a length has no direction and is left out."""
+    v = F.col(vector).cast("array<double>")
+    return d.where(norm(F.col(vector)) > 0).select(F.col(key).alias("key"), F.transform(v, lambda x: x / norm(v)).alias("v"))
+
+
+def _matrix(table: pa.Table, column: str = "v") -> np.ndarray:
+    flat = table[column].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 0))
+
+
+def _largest_cosines(left: pa.Table, right: pa.Table) -> pa.Table:
+    """For each vector of the left block the largest cosine to one of another key in the right block, from one matrix product."""
+    cosines = _matrix(left) @ _matrix(right).T
+    own, other = (t["key"].to_numpy() for t in (left, right))
+    for i in np.flatnonzero(np.isin(own, other)):
+        cosines[i, other == own[i]] = -np.inf
+    best = cosines.max(axis=1)
+    there = np.isfinite(best)
+    return pa.table([left["key"].filter(pa.array(there)), pa.array(best[there])], names=["key", "cosine"])
+
+
+def nearest_cosine(query: DataFrame, train: DataFrame, key: str, vector: str, block_rows: int = 8192) -> DataFrame:
+    """J11, exact: (key, distance) to the nearest other vector. Both sides are dealt into blocks of about `block_rows` vectors, and each task multiplies a pair of blocks;
+    there are as many blocks of train as shuffle partitions, at least. All pairs by nature: nearest_cosine_cells leaves out what cannot be nearest."""
+    q, t = stored(_unit(query, key, vector)), stored(_unit(train, key, vector))
+    parts = int(query.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    high, wide = max(1, math.ceil(q.count() / block_rows)), max(parts, math.ceil(t.count() / block_rows))
+    deal = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one, other = (d.select("key", "v", deal(n).alias(mine), every(m).alias(its)) for d, n, mine, m, its in ((q, high, "_a", wide, "_b"), (t, wide, "_b", high, "_a")))
+    kind = q.schema["key"].dataType.simpleString()
+    none = pa.table([pa.array([], pa.from_numpy_dtype(np.int64) if kind == "bigint" else pa.string() if kind == "string" else pa.int32()), pa.array([], pa.float64())], names=["key", "cosine"])
+    met = one.groupBy("_a", "_b").cogroup(other.groupBy("_a", "_b")).applyInArrow(lambda x, y: _largest_cosines(x, y) if x.num_rows and y.num_rows else none, f"key {kind}, cosine double")
+    return met.groupBy(F.col("key").alias(key)).agg((1 - F.max("cosine")).alias("distance"))
+
+
+def _in_reach(left: pa.Table, right: pa.Table) -> pa.Table:
+    """For each query of a cell its least distance to a vector of another key in a block of the cell, among those whose distance from the centre allows it
+    to be nearer than what is known (column far), and how many these were."""
+    right = right.sort_by("r")
+    vectors, r, keys = _matrix(right), right["r"].to_numpy(), right["key"].to_numpy()
+    found = []
+    for k, v, d, far in zip(left["key"].to_pylist(), _matrix(left), left["d"].to_numpy(), left["far"].to_numpy(), strict=True):
+        a, b = np.searchsorted(r, d - far - 1e-9), np.searchsorted(r, d + far + 1e-9, side="right")
+        other = keys[a:b] != k
+        cosines = (vectors[a:b] @ v)[other]
+        found.append((k, float(cosines.max()) if len(cosines) else -2.0, int(b - a)))
+    return pa.table([pa.array([f[i] for f in found], t) for i, t in enumerate((left["key"].type, pa.float64(), pa.int64()))], names=["key", "cosine", "compared"])
+
+
+def nearest_cosine_cells(query: DataFrame, train: DataFrame, key: str, vector: str, cells: int = 64, sample: int = 20_000, block_rows: int = 8192, seed: int = 7) -> DataFrame:
+    """J11, exact, with an inverted file: (key, distance, compared) to the nearest other vector, and with how many it was compared.
+
+    Unit vectors are put into the cell of the nearest of `cells` centres, k-means of about `sample` train vectors (both bound what each task
+    holds). A query first searches the cell of its nearest centre. A vector of a cell is no nearer to it than its distances to the centre
+    differ (triangle inequality), nor than the plane between two centres; so it then searches only the cells, and in them only the
+    vectors, that can be nearer than what it has found. Cells are cut into blocks by their counts. How many pairs that leaves
+    depends on the data: few where vectors lie in clusters, nearly all where they are spread evenly over many dimensions."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    q, t = _unit(query, key, vector), stored(_unit(train, key, vector))
+    kind = t.schema["key"].dataType.simpleString()
+    if t.isEmpty():
+        return q.select(F.col("key").alias(key), F.lit(None).cast("double").alias("distance"), F.lit(0).cast("long").alias("compared")).where("false")
+    some = hash_sample(t, "key", sample).select(array_to_vector("v").alias("features"))
+    centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(some).clusterCenters())
+    apart = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(-1), 1e-300))
+
+    def to_centres(v: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((v * v).sum(1)[:, None] + (centres * centres).sum(1)[None] - 2 * v @ centres.T, 0.0))
+
+    def assign(batches):
+        for batch in batches:
+            d = to_centres(_matrix(pa.Table.from_batches([batch])))
+            cell = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["v"], pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], names=["key", "v", "cell", "r"])
+
+    placed = stored(t.mapInArrow(assign, f"key {kind}, v array<double>, cell int, r double"))
+    sizes = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("r").alias("least"), F.max("r").alias("most")).collect()}  # one row a cell
+    used = np.array(sorted(sizes))
+    least, most = (np.array([sizes[c][f] for c in used]) for f in ("least", "most"))
+    blocks = F.create_map(*[F.lit(x) for c in used.tolist() for x in (c, max(1, math.ceil(sizes[c].n / block_rows)))])
+
+    def reach(first: bool):
+        """Rows (key, v, cell, d, far) of the nearest used cell, or of all others that the bounds leave; far: the least distance found so far."""
+        def run(batches):
+            for batch in batches:
+                v = _matrix(pa.Table.from_batches([batch]))
+                d = to_centres(v)[:, used]
+                near = d.argmin(axis=1)
+                own = np.arange(len(d))
+                if first:
+                    wanted, far = np.zeros(d.shape, bool), np.full(len(d), 2.0)
+                    wanted[own, near] = True
+                else:
+                    far = batch["far"].to_numpy()
+                    plane = (d**2 - d[own, near][:, None] ** 2) / (2 * apart[used[near]][:, used])
+                    bound = np.maximum.reduce([d - most, least - d, plane])
+                    wanted = bound <= far[:, None] + 1e-9
+                    wanted[own, near] = False
+                i, c = np.nonzero(wanted)
+                yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(i)), batch["v"].take(pa.array(i)), pa.array(used[c], pa.int32()), pa.array(d[i, c]), pa.array(far[i])], names=["key", "v", "cell", "d", "far"])
+        return run
+
+    def search(rows: DataFrame, first: bool) -> DataFrame:
+        asked = rows.mapInArrow(reach(first), f"key {kind}, v array<double>, cell int, d double, far double")
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)))
+        there = placed.withColumn("block", F.pmod(F.xxhash64("key"), blocks[F.col("cell")]).cast("int"))
+        return asked.groupBy("cell", "block").cogroup(there.groupBy("cell", "block")).applyInArrow(
+            lambda x, y: _in_reach(x, y) if x.num_rows and y.num_rows else _in_reach(x.slice(0, 0), y.slice(0, 0)), f"key {kind}, cosine double, compared long")
+
+    q = stored(q)
+    best = stored(search(q, True).groupBy("key").agg(F.max("cosine").alias("cosine"), F.sum("compared").alias("compared")))
+    far = F.sqrt(F.greatest(2 - 2 * F.greatest("cosine", F.lit(-1.0)), F.lit(0.0)))
+    further = search(q.join(best.select("key", far.alias("far")).hint("shuffle_hash"), "key"), False)
+    both = best.unionAll(further).groupBy("key").agg(F.max("cosine").alias("cosine"), F.sum("compared").alias("compared"))
+    return both.where("cosine > -2").select(F.col("key").alias(key), (1 - F.col("cosine")).alias("distance"), "compared")
 
 
 def nearest_cosine_lsh(query: DataFrame, train: DataFrame, key: str, vector: str, tables: int = 12, bits: int = 3, seed: int = 7) -> DataFrame:
@@ -140,7 +269,7 @@ def nearest_cosine_lsh(query: DataFrame, train: DataFrame, key: str, vector: str
 
 def search_recall(found: DataFrame, exact: DataFrame, key: str, value: str, tolerance: float = 1e-9) -> DataFrame:
     """One row (n, answered, recall): exact answers, those that the search has at all, and the share in which it has the same value."""
-    both = exact.select(key, F.col(value).alias("_e")).join(found.select(key, F.col(value).alias("_f")), key, "left")
+    both = exact.select(key, F.col(value).alias("_e")).join(found.select(key, F.col(value).alias("_f")).hint("shuffle_merge"), key, "left")
     same = F.coalesce(F.abs(F.col("_e") - F.col("_f")) <= tolerance, F.lit(False))
     return both.agg(F.count("*").alias("n"), F.count("_f").alias("answered"), F.avg(same.cast("double")).alias("recall"))
 
@@ -173,7 +302,7 @@ def radius_graph(points: DataFrame, record: str, index: str, cutoff: float, most
 
 def empty_graphs(points: DataFrame, edges: DataFrame, record: str) -> DataFrame:
     """Records with points but no edge; the caller treats them as an error."""
-    return points.select(record).distinct().join(edges.select(record).distinct(), record, "left_anti")
+    return points.select(record).distinct().join(edges.select(record).distinct().hint("shuffle_merge"), record, "left_anti")
 
 
 def interface_features(points: DataFrame, record: str, index: str, role: str, first: str = "donor", second: str = "acceptor", unknown: str = "unknown") -> DataFrame:
@@ -219,19 +348,42 @@ def perturb(points: DataFrame, record: str, index: str, role: str, kind: str, am
     raise ValueError(kind)
 
 
+def projection_matrix(dimensions: int, k: int, seed: int = 0) -> np.ndarray:
+    """P20: R ~ N(0, 1/k), each entry from the SHA-256 of seed, row and column (Box-Muller), so it is the same in every task and in any engine."""
+    def uniforms(which: str) -> np.ndarray:
+        return np.array([[(int(hashlib.sha256(f"{seed}:{i}:{j}:{which}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32 for j in range(k)] for i in range(dimensions)])
+
+    return np.sqrt(-2 * np.log(uniforms("u"))) * np.cos(2 * math.pi * uniforms("v")) / math.sqrt(k)
+
+
 def random_projection(df: DataFrame, key: str, vector: str, k: int, seed: int = 0) -> DataFrame:
-    """P20: (key, projected): X R with R ~ N(0, 1/k) from hashes of (row, column), so R is the same everywhere and is never stored."""
-    cells = df.select(key, F.posexplode(vector).alias("i", "x"))
-    dims = cells.select("i").distinct()
-    r = dims.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select("i", "j", (F.sqrt(-2 * F.log(uniform(seed, F.col("i"), F.col("j"), F.lit("u")))) * F.cos(2 * math.pi * uniform(seed, F.col("i"), F.col("j"), F.lit("v"))) / math.sqrt(k)).alias("r"))
-    matrix = stored(r.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "r"))), lambda c: c["r"]).alias("row")))
-    part = cells.join(matrix.hint("shuffle_hash"), "i").select(key, F.posexplode(F.transform("row", lambda v: v * F.col("x"))).alias("j", "v")).groupBy(key, "j").agg(F.sum("v").alias("v"))
-    return part.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda c: c["v"]).alias("projected"))
+    """P20: (key, projected): X R. One row in, one row out, without a shuffle: each task makes R from the seed (dimensions times k numbers) and
+    multiplies batches. Vectors of several lengths take as many rows of R; a null vector has a null projection."""
+    data = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+
+    def run(batches):
+        r = np.zeros((0, k))
+        for batch in batches:
+            lists = batch["v"]
+            sizes = np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
+            if len(sizes) and sizes.max() > len(r):
+                r = projection_matrix(int(sizes.max()), k, seed)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+            out = np.zeros((len(sizes), k))
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                places = (ends[at] - n)[:, None] + np.arange(n)[None]
+                out[at] = flat[places] @ r[:n]
+            projected = pa.array(list(out), pa.list_(pa.float64()), mask=lists.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch["key"], projected], names=["key", "projected"])
+
+    kind = data.schema["key"].dataType.simpleString()
+    return data.mapInArrow(run, f"key {kind}, projected array<double>").withColumnRenamed("key", key)
 
 
 def projection_distortion(df: DataFrame, projected: DataFrame, key: str, vector: str, n: int = 100) -> DataFrame:
     """P20: median and p90 relative error of pair distances among the n rows with the smallest hash (the diagnostic's sample size)."""
-    some = stored(hash_sample(df.select(key, F.col(vector).alias("v")), key, n).join(projected, key))
+    some = stored(hash_sample(df.select(key, F.col(vector).alias("v")), key, n).join(projected.hint("shuffle_merge"), key))
     gap = lambda c: F.sqrt(dot(F.zip_with(F.col(f"a.{c}"), F.col(f"b.{c}"), lambda x, y: x - y), F.zip_with(F.col(f"a.{c}"), F.col(f"b.{c}"), lambda x, y: x - y)))
     pairs = some.alias("a").join(some.alias("b").hint("shuffle_replicate_nl"), F.col(f"a.{key}") < F.col(f"b.{key}")).select(gap("v").alias("d"), gap("projected").alias("p"), cosine(F.col("a.v"), F.col("b.v")).alias("c"), cosine(F.col("a.projected"), F.col("b.projected")).alias("cp"))
     error = F.abs(F.col("p") - F.col("d")) / F.nullif(F.col("d"), F.lit(0.0))

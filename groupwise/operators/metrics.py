@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from groupwise.storage import stored
 
-from .stats import average_rank, correlation, pearson, running_sum
+from .stats import average_rank, correlation, pearson, running_sum, with_quantiles
 
 
 def with_errors(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
@@ -61,8 +61,9 @@ def identity_table(df: DataFrame, cluster: str, group: str, by: Sequence[str] =
 
 def identity_bundle(table: DataFrame, cluster: str, by: Sequence[str] = ()) -> DataFrame:
     """Macro MAE over identities, normalized by the IQR of their target means, size quantiles, p90 and worst-decile error."""
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    one = table.groupBy(*by).agg(F.count("*").alias("n_identities"), F.avg("mae").alias("macro_mae"), (F.avg("mae") / F.nullif(q("y_mean", 0.75) - q("y_mean", 0.25), F.lit(0.0))).alias("macro_mae_iqr"), q("n", 0.25).alias("n_q25"), q("n", 0.5).alias("n_median"), q("n", 0.75).alias("n_q75"), q("mae", 0.9).alias("mae_p90"))
+    named = {"_lo": ("y_mean", 0.25), "_hi": ("y_mean", 0.75), "n_q25": ("n", 0.25), "n_median": ("n", 0.5), "n_q75": ("n", 0.75), "mae_p90": ("mae", 0.9)}
+    one = with_quantiles(table.groupBy(*by).agg(F.count("*").alias("n_identities"), F.avg("mae").alias("macro_mae")), table, {k: (F.col(c), p) for k, (c, p) in named.items()}, by)
+    one = one.withColumn("macro_mae_iqr", F.col("macro_mae") / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))).drop("_lo", "_hi")
     worst = worst_decile(table, by, "mae", cluster)
     return one.join(worst, list(by)) if by else one.crossJoin(worst)
 
@@ -196,10 +197,12 @@ def length_strata(df: DataFrame, lengths: Sequence[str], errors: Sequence[str],
 def delta_summary(df: DataFrame, delta: Column, by: Sequence[str] = (), thresholds: Sequence[float] = (0.01, 0.05)) -> DataFrame:
     """Signed and absolute quantiles of a change, shares above thresholds, and counts improved (below 0), worsened and unchanged."""
     d = delta.cast("double")
-    return df.where(d.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(d).alias("mean"), F.percentile(d, F.lit(0.5)).alias("median"), F.percentile(F.abs(d), F.lit(0.5)).alias("abs_median"), F.percentile(F.abs(d), F.lit(0.9)).alias("abs_p90"), F.percentile(F.abs(d), F.lit(0.95)).alias("abs_p95"), F.max(F.abs(d)).alias("abs_max"),
+    rows = df.where(d.isNotNull())
+    one = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(d).alias("mean"), F.max(F.abs(d)).alias("abs_max"),
         *[F.avg((F.abs(d) > t).cast("double")).alias(f"above_{k}") for k, t in enumerate(thresholds)], F.count_if(d < 0).alias("improved"), F.count_if(d > 0).alias("worsened"), F.count_if(d == 0).alias("unchanged"),
     )
+    return with_quantiles(one, rows, {"median": (d, 0.5), "abs_median": (F.abs(d), 0.5), "abs_p90": (F.abs(d), 0.9), "abs_p95": (F.abs(d), 0.95)}, by)
 
 
 def block_importance(importance: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -221,7 +224,7 @@ def mechanism(table: DataFrame, identity: str, similarity: str, delta: str, agai
     improved share in the lowest similarity quartile, the improved share of all, and (with `error`) how many of the worst identities improved."""
     factors = F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).cast("double").alias("x"), F.col(delta).cast("double").alias("d")) for c in (similarity, *against)])
     better = (F.col(delta) < 0).cast("double")
-    edge = table.agg(F.percentile(similarity, F.lit(0.25)).alias("_e"))
+    edge = with_quantiles(table.agg(F.count("*").alias("_rows")), table, {"_e": (F.col(similarity), 0.25)}).select("_e")
     low = F.col(similarity) <= F.col("_e")
     whole = table.crossJoin(F.broadcast(edge)).agg(F.avg(F.when(low, F.col(delta))).alias("low_mean"), F.avg(F.when(low, better)).alias("low_improved"), F.avg(better).alias("improved"))
     if error:

@@ -4,23 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from groupwise.functions.scalar import tanimoto
 from groupwise.storage import stored
 
-from .stats import running_sum
+from .stats import running_sum, running_sums
 
 
 def rank_percentile(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "percentile") -> DataFrame:
     """Rank / (n - 1) from 0 to 1 in a total order (value, then hash); one row has 0. Ranks by range partitions."""
-    rows = df.withColumn("_one", F.lit(1).cast("long"))
-    run = running_sum(rows, by, order, "_one", "_c").drop("_one")
-    n = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    joined = run.join(F.broadcast(n), list(by)) if by else run.crossJoin(F.broadcast(n))  # one row a model
-    return joined.withColumn(out, F.coalesce((F.col("_c") - 1) / F.nullif(F.col("_n") - 1, F.lit(0)), F.lit(0.0))).drop("_c", "_n")
+    run = running_sums(df.withColumn("_one", F.lit(1).cast("long")), by, order, {"_one": "_c"}, whole={"_one": "_n"}).drop("_one")
+    return run.withColumn(out, F.coalesce((F.col("_c") - 1) / F.nullif(F.col("_n") - 1, F.lit(0)), F.lit(0.0))).drop("_c", "_n")
 
 
 def keep_first(df: DataFrame, key: Sequence[str], priority: Sequence[Column]) -> DataFrame:
@@ -54,51 +53,104 @@ def inclusion_frequency(df: DataFrame, model: str, key: str, order: Sequence[str
     return ranked.groupBy(key).agg(F.count("*").alias("n_models"), F.avg((F.col("_p") <= share).cast("double")).alias("low_frequency"), F.avg((F.col("_p") >= 1 - share).cast("double")).alias("high_frequency"))
 
 
+def _can_be_picked(rows: DataFrame, by: Sequence[str], first: str, second: str, order: Sequence[Column], k: int, cap: int) -> DataFrame:
+    """The rows of each group `by` that k picks in order, at most `cap` per value of either key, can take: a bounded number, found by rank.
+
+    Before a pick, in order: of its pair of keys, picks alone, below cap; of either key of it, picks (below cap) and at most cap rows
+    for each of the at most k - 1 full values of the other key; of all, k - 1 picks and the rows of the at most k - 1 full values of each key."""
+    for keys, most in (([first, second], cap), ([first], k * cap), ([second], k * cap), ([], k + 2 * (k - 1) * k * cap)):
+        rows = rows.withColumn("_r", F.row_number().over(W.partitionBy(*by, *keys).orderBy(*order))).where(F.col("_r") <= most).drop("_r") if keys or by else rows.orderBy(*order).limit(most)
+    return rows
+
+
 def capped_picks(pool: DataFrame, key: str, first: str, second: str, order: Sequence[Column], k: int, cap: int = 2, least: Column | None = None, used: tuple[Mapping, Mapping] = ({}, {})) -> DataFrame:
     """Up to k rows in order, at most `cap` per value of either key, counting earlier picks in `used`; fewer rather than more than the caps.
 
-    k is small; each pick is one distributed top-1 over the rows the caps still allow."""
-    rows = pool if least is None else pool.where(least)
+    One pass: the rows that any such picks can take number below k + 2 k^2 cap, and the picks are made among them."""
     one, two, picked = dict(used[0]), dict(used[1]), []
-    for _ in range(k):
-        full_one, full_two = [x for x, n in one.items() if n >= cap], [x for x, n in two.items() if n >= cap]
-        open_ = rows.where(~F.col(key).isin([p[key] for p in picked]) & ~F.col(first).isin(full_one) & ~F.col(second).isin(full_two)) if picked or full_one or full_two else rows
-        row = open_.orderBy(*order).first()
-        if row is None:
-            break
-        picked.append(row)
-        one[row[first]], two[row[second]] = one.get(row[first], 0) + 1, two.get(row[second], 0) + 1
-    return pool.sparkSession.createDataFrame([(r[key], n) for n, r in enumerate(picked, 1)], f"{key} {dict(pool.dtypes)[key]}, pick int")
-
-
-def diverse_picks(pool: DataFrame, key: str, bits: str, nearest: str, k: int) -> DataFrame:
-    """First the row with the lowest similarity to what is known, then each time the lowest largest similarity to the picks so far."""
-    rows, picked = pool.select(key, bits, nearest, F.lit(0.0).alias("_top")), []
-    for n in range(k):
-        order = [F.asc(nearest), F.asc(key)] if not picked else [F.asc("_top"), F.asc(key)]
-        row = rows.orderBy(*order).first()
-        if row is None:
+    rows = pool if least is None else pool.where(least)
+    for c, counts in ((first, one), (second, two)):
+        if full := [x for x, n in counts.items() if n >= cap]:
+            rows = rows.where(~F.coalesce(F.col(c).isin(full), F.lit(False)))
+    for row in _can_be_picked(rows, [], first, second, order, k, cap).orderBy(*order).collect() if k > 0 else []:
+        if one.get(row[first], 0) < cap and two.get(row[second], 0) < cap and len(picked) < k and row[key] not in picked:
+            picked.append(row[key])
+            one[row[first]], two[row[second]] = one.get(row[first], 0) + 1, two.get(row[second], 0) + 1
+    return pool.sparkSession.createDataFrame(list(zip(picked, range(1, k + 1), strict=False)), f"{key} {dict(pool.dtypes)[key]}, pick int")
+
+
+def _similarities(rows: DataFrame, key: str, bits: str, keep: Sequence[str], against: Sequence[Sequence[int]]) -> DataFrame:
+    """(key, keep, s): Tanimoto similarities of each row's set to a few given ones, in their order; the sets go out with the tasks."""
+    others = [np.unique(np.array(x if x is not None else [], np.int64)) for x in against]
+    kept = rows.select(key, *keep, F.col(bits).alias("_bits"))
+    names = [key, *keep]
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for own in batch["_bits"].to_pylist():
+                own = np.unique(np.array(own if own is not None else [], np.int64))
+                common = [len(np.intersect1d(own, o, assume_unique=True)) for o in others]
+                found.append([c / max(1, len(own) + len(o) - c) for c, o in zip(common, others, strict=True)])
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(found, pa.list_(pa.float64()))], names=[*names, "_s"])
+
+    return kept.mapInArrow(run, StructType([kept.schema[n] for n in names]).add("_s", ArrayType(DoubleType())))
+
+
+def diverse_picks(pool: DataFrame, key: str, bits: str, nearest: str, k: int, candidates: int = 64) -> DataFrame:
+    """First the row with the lowest similarity to what is known, then each time the lowest largest similarity to the picks so far; ties by key.
+
+    A row's largest similarity to the picks never falls. So a pass over the pool keeps its `candidates` lowest rows, and picks are made among
+    these (their sets come to the driver) for as long as the lowest of them comes before the last row kept; only then is another pass
+    needed, with the picks of all before. Fewer passes than picks, and the same picks as by one pass each."""
+    rows, picked, sets = stored(pool.select(key, bits, F.coalesce(F.col(nearest).cast("double"), F.lit(0.0)).alias("_near"))), [], []
+    while len(picked) < k:
+        at_once = F.array_max("_s") if sets else F.col("_near")
+        seen = _similarities(rows, key, bits, [bits, "_near"], sets or [[]]).withColumn("_top", at_once)
+        left = seen.where(~F.col(key).isin([p[0] for p in picked])) if picked else seen
+        some = [[r["_top"], r[key], r[bits]] for r in left.orderBy("_top", key).limit(candidates).collect()]
+        last = some[-1][:2] if len(some) == candidates else None
+        if not some:
             break
-        picked.append((row[key], n + 1, float(row["_top"])))
-        rows = rows.where(F.col(key) != row[key]).withColumn("_top", F.greatest("_top", tanimoto(F.col(bits), F.array(*map(F.lit, row[bits])).cast("array<bigint>"))))
-        if n % 8 == 7:
-            rows = stored(rows)
+        while some and len(picked) < k:
+            top, name, own = min(some, key=lambda r: r[:2])
+            if last is not None and [top, name] > last:
+                break
+            first = not picked
+            picked.append((name, len(picked) + 1, 0.0 if first else float(top)))
+            sets.append(own)
+            own = set(own or [])
+            some = [[max(0.0 if first else t, _tanimoto(own, set(b or []))), n, b] for t, n, b in some if n != name]
+            if first:
+                break  # the first pick goes by another measure, so the pool has to be read again
     return pool.sparkSession.createDataFrame(picked, f"{key} {dict(pool.dtypes)[key]}, pick int, top_similarity double")
 
 
+def _tanimoto(a: set, b: set) -> float:
+    common = len(a & b)
+    return common / max(1, len(a) + len(b) - common)
+
+
 def matched_controls(picks: DataFrame, observed: DataFrame, key: str, bits: str, first: str, second: str, cap: int = 2) -> DataFrame:
-    """For each pick (a few), in order, the most similar observed row that is not taken and keeps the caps."""
-    taken, one, two, out = [], {}, {}, []
-    for p in picks.orderBy("pick").collect():  # at most a few picks, see W8 and W9
-        like = tanimoto(F.col(bits), F.array(*map(F.lit, p[bits])).cast("array<bigint>"))
-        full = ~F.col(key).isin(taken) & ~F.col(first).isin([x for x, n in one.items() if n >= cap]) & ~F.col(second).isin([x for x, n in two.items() if n >= cap])
-        row = observed.where(full).withColumn("_s", like).orderBy(F.desc("_s"), F.sha2(F.col(key).cast("string"), 256)).first()
-        if row is None:
-            break
-        taken.append(row[key])
-        one[row[first]], two[row[second]] = one.get(row[first], 0) + 1, two.get(row[second], 0) + 1
-        out.append((p[key], row[key], float(row["_s"])))
+    """For each pick (a few, see W8 and W9), in order, the most similar observed row that is not taken and keeps the caps; ties by the hash of the key.
+
+    One pass over the observed rows gives for every pick the rows that it can take, a bounded number."""
+    wanted = [(p[key], p[bits]) for p in picks.orderBy("pick").collect()]
+    taken, one, two, out = set(), {}, {}, []
     kind = dict(observed.dtypes)[key]
+    if wanted:
+        like = _similarities(observed, key, bits, [first, second], [b for _, b in wanted]).select(key, first, second, F.posexplode("_s").alias("_pick", "_like"))
+        order = [F.desc("_like"), F.sha2(F.col(key).cast("string"), 256), F.col(key)]
+        found: dict[int, list] = {}
+        for r in _can_be_picked(like, ["_pick"], first, second, order, len(wanted), cap).orderBy("_pick", *order).collect():
+            found.setdefault(r["_pick"], []).append(r)
+        for n, (name, _) in enumerate(wanted):
+            row = next((r for r in found.get(n, []) if r[key] not in taken and one.get(r[first], 0) < cap and two.get(r[second], 0) < cap), None)
+            if row is None:
+                break
+            taken.add(row[key])
+            one[row[first]], two[row[second]] = one.get(row[first], 0) + 1, two.get(row[second], 0) + 1
+            out.append((name, row[key], float(row["_like"])))
     return picks.sparkSession.createDataFrame(out, f"{key} {dict(picks.dtypes)[key]}, control {kind}, similarity double")
 
 

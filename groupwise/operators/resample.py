@@ -7,6 +7,8 @@ records: statistics are summed per unit first, so the work is units times replic
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,36 +81,59 @@ def paired_difference(df: DataFrame, key: str, first: str, second: str, replicat
 def population_contrast(a: DataFrame, b: DataFrame, key: str, value: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Difference and ratio of two independent macro means, a against b, drawn apart."""
     ua, ub = stored(unit_means(a, key, value)), stored(unit_means(b, key, value))
-    both = replicate_means(ua, key, "v", replicates, seed).withColumnRenamed("stat", "x").join(replicate_means(ub, key, "v", replicates, seed + 1).withColumnRenamed("stat", "y"), "b")
+    both = replicate_means(ua, key, "v", replicates, seed).withColumnRenamed("stat", "x").join(replicate_means(ub, key, "v", replicates, seed + 1).withColumnRenamed("stat", "y").hint("shuffle_merge"), "b")
     diff = interval(both.withColumn("stat", F.col("x") - F.col("y"))).select(F.col("lo").alias("diff_lo"), F.col("hi").alias("diff_hi"))
     ratio = interval(both.withColumn("stat", F.col("x") / F.nullif(F.col("y"), F.lit(0.0)))).select(F.col("lo").alias("ratio_lo"), F.col("hi").alias("ratio_hi"))
     point = ua.agg(F.avg("v").alias("mean_a")).crossJoin(ub.agg(F.avg("v").alias("mean_b")))
     return point.withColumns({"diff": F.col("mean_a") - F.col("mean_b"), "ratio": F.col("mean_a") / F.nullif(F.col("mean_b"), F.lit(0.0))}).crossJoin(diff).crossJoin(ratio)
 
 
-def crossed_interval(df: DataFrame, first: str, second: str, value: str, replicates: int = 200, seed: int = 42, redraws: int = 20, block: int = 100) -> DataFrame:
+def multiplicity_arrays(units: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
+    """(key, drawn): for each unit drawn at all its multiplicity in every replicate, two bytes each."""
+    long = multiplicities(units, key, replicates, seed)
+    kind = long.schema[key].dataType.simpleString()
+
+    def packed(table: pa.Table) -> pa.Table:
+        """One unit: at most a row for each replicate."""
+        drawn = np.zeros(replicates, np.uint16)
+        drawn[table["b"].to_numpy()] = table["m"].to_numpy()
+        return pa.table([table["key"][:1], pa.array([drawn.tobytes()], pa.binary())], names=["key", "drawn"])
+
+    return long.select(F.col(key).alias("key"), "b", "m").groupBy("key").applyInArrow(packed, f"key {kind}, drawn binary").withColumnRenamed("key", key)
+
+
+def crossed_interval(df: DataFrame, first: str, second: str, value: str, replicates: int = 200, seed: int = 42, redraws: int = 20) -> DataFrame:
     """Two-way pigeonhole bootstrap: a record weighs the product of its two keys' multiplicities. Replicates whose total is 0 are drawn again
-    under a new salt. Records are summed per key pair first; replicates go in blocks of `block`, so a block's rows are pairs times block at most."""
-    cells = stored(df.where(F.col(first).isNotNull() & F.col(second).isNotNull() & F.col(value).isNotNull()).groupBy(first, second).agg(F.sum(value).alias("s"), F.count("*").alias("n")))
+    under a new salt. Records are summed per key pair first. Each pair of keys meets the arrays of its keys' multiplicities, so there is one row a
+    pair and not one for each replicate; each task adds up all replicates' sums, two numbers a replicate."""
+    cells = stored(df.where(F.col(first).isNotNull() & F.col(second).isNotNull() & F.col(value).isNotNull()).groupBy(first, second).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("n")))
     point = cells.agg((F.sum("s") / F.sum("n")).alias("point"))
 
-    def run(seed_: int, count: int, at: int) -> DataFrame:
-        m1 = multiplicities(cells, first, count, seed_).withColumnRenamed("m", "m1")
-        m2 = multiplicities(cells, second, count, seed_ + 1).withColumnRenamed("m", "m2")
-        w = F.col("m1") * F.col("m2")
-        got = cells.join(m1, first).join(m2, ["b", second]).groupBy("b").agg((F.sum(w * F.col("s")) / F.sum(w * F.col("n"))).alias("stat"))
-        return got.withColumn("b", F.col("b") + at)
+    def run(count: int, salt: int) -> DataFrame:
+        m1 = multiplicity_arrays(cells, first, count, seed + 1000 * salt).withColumnRenamed("drawn", "m1")
+        m2 = multiplicity_arrays(cells, second, count, seed + 1 + 1000 * salt).withColumnRenamed("drawn", "m2")
+        met = cells.join(m1.hint("shuffle_merge"), first).join(m2.hint("shuffle_merge"), second).select("s", "n", "m1", "m2")
+
+        def summed(batches):
+            total = np.zeros((2, count))
+            for batch in batches:
+                for k in range(0, batch.num_rows, 1024):
+                    part = batch.slice(k, 1024)
+                    one, two = (np.frombuffer(b"".join(part[c].to_pylist()), np.uint16).reshape(-1, count).astype(np.float64) for c in ("m1", "m2"))
+                    total += np.stack([part["s"].to_numpy(), part["n"].to_numpy().astype(np.float64)]) @ (one * two)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(count)), pa.array(total[0]), pa.array(total[1])], names=["b", "s", "n"])
+
+        added = met.mapInArrow(summed, "b long, s double, n double").groupBy("b").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
+        return added.select((F.col("s") / F.col("n")).alias("stat"))
 
-    out, done, left = None, 0, replicates
+    out, left = None, replicates
     for salt in range(redraws):
-        for at in range(0, left, block):
-            one = stored(run(seed + 1000 * salt + 10 * at, min(block, left - at), done + at))
-            out = one if out is None else out.unionAll(one)
-        done = out.count()
-        left = replicates - done
+        one = stored(run(left, salt))
+        out = one if out is None else out.unionAll(one)
+        left = replicates - out.count()
         if left <= 0:
             break
-    return point.crossJoin(interval(out))
+    return point.join(interval(out).hint("broadcast"), F.lit(True))  # one row each
 
 
 def bootstrap_weights(df: DataFrame, key: str, weight: str, replicates: int, seed: int = 42) -> DataFrame:

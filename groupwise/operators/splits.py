@@ -23,10 +23,15 @@ PARTS = ("train", "val", "test")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, root): the smallest a reachable from each a over shared values of b."""
+    """(a, root): the smallest a reachable from each a over shared values of b.
+
+    Where no a has two values of b, the values are the components and no round of linking is needed."""
     pairs = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna().distinct())
     hubs = stored(pairs.groupBy("b").agg(F.min("a").alias("dst"), F.count("*").alias("n")))
-    found = star_components(join_counted(pairs, hubs, "b", "n").select(F.col("a").alias("src"), "dst"))
+    joined = join_counted(pairs, hubs, "b", "n")
+    if pairs.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return joined.select(F.col("a").alias(a), F.col("dst").alias("root"))
+    found = star_components(joined.select(F.col("a").alias("src"), "dst"))
     alone = pairs.select("a").distinct().join(found.withColumnRenamed("node", "a").hint("shuffle_merge"), "a", "left")
     return alone.select(F.col("a").alias(a), F.coalesce("root", "a").alias("root"))
 
@@ -81,7 +86,7 @@ def best_split(balanced: DataFrame, shares: Sequence[float] = (0.7, 0.15, 0.15))
 
 def assign(df: DataFrame, assigned: DataFrame, split: DataFrame, group: str) -> DataFrame:
     """Rows with unit and partition."""
-    return df.join(assigned.select(group, "unit"), group).join(split.select("unit", "partition"), "unit")
+    return df.join(assigned.select(group, "unit").hint("shuffle_merge"), group).join(split.select("unit", "partition").hint("shuffle_merge"), "unit")
 
 
 def repair_support(rows: DataFrame, keys: Sequence[str], unit: str = "unit", least: int = 5, most_rounds: int = 10) -> DataFrame:

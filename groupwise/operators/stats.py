@@ -8,6 +8,7 @@ values are counted first, and running sums over them are taken by `running_sum`
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -55,7 +56,8 @@ def frequencies(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def long_tail(freq: DataFrame) -> DataFrame:
     """A5: per type: entities, singletons, at most 5, median, p95, max."""
-    return freq.groupBy("type").agg(F.count("*").alias("n_keys"), F.count_if(F.col("n") == 1).alias("singletons"), F.count_if(F.col("n") <= 5).alias("at_most_5"), F.percentile("n", F.lit(0.5)).alias("median"), F.percentile("n", F.lit(0.95)).alias("p95"), F.max("n").alias("largest"))
+    one = freq.groupBy("type").agg(F.count("*").alias("n_keys"), F.count_if(F.col("n") == 1).alias("singletons"), F.count_if(F.col("n") <= 5).alias("at_most_5"), F.max("n").alias("largest"))
+    return with_quantiles(one, freq, {"median": (F.col("n"), 0.5), "p95": (F.col("n"), 0.95)}, ["type"])
 
 
 def dispersion(df: DataFrame, group: str, targets: Mapping[str, float]) -> DataFrame:
@@ -87,17 +89,17 @@ def representatives(df: DataFrame, group: str, key: Column, flags: Sequence[str]
 def summary(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     """N, mean, sample std, min, p05, p25, p50, p75, p95, max."""
     v = F.nanvl(F.col(x).cast("double"), F.lit(None))
-    q = F.percentile(v, F.array(*map(F.lit, Q5)))
-    one = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), q.alias("q"))
-    return one.select(*by, "n", "mean", "std", "min", *[F.get("q", k).alias(f"p{int(p * 100):02d}") for k, p in enumerate(Q5)], "max")
+    one = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    named = {f"p{round(p * 100):02d}": (F.col(x), p) for p in Q5}
+    return with_quantiles(one, df, named, by).select(*by, "n", "mean", "std", "min", *named, "max")
 
 
 def brief_summary(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     """A9, the short form: n, min, q10, median, q90, max, mean."""
     v = F.nanvl(F.col(x).cast("double"), F.lit(None))
-    q = F.percentile(v, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    one = df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"), F.avg(v).alias("mean"))
-    return one.select(*by, "n", "min", *[F.get("q", k).alias(name) for k, name in enumerate(("q10", "median", "q90"))], "max", "mean")
+    one = df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"))
+    named = {name: (F.col(x), p) for name, p in (("q10", 0.1), ("median", 0.5), ("q90", 0.9))}
+    return with_quantiles(one, df, named, by).select(*by, "n", "min", *named, "max", "mean")
 
 
 def completeness(df: DataFrame, columns: Sequence[str], group: str | None = None, weight: str | None = None) -> DataFrame:
@@ -127,10 +129,12 @@ def weighted_moments(df: DataFrame, columns: Sequence[str], weight: str, tiny: f
     return centred.groupBy("feature").agg(F.first("n").alias("n"), F.first("weight").alias("weight"), *moments)
 
 
-def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: dict[str, str], ahead: str | None = None, parts: int | None = None) -> DataFrame:
+def running_sums(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], sums: dict[str, str], ahead: str | None = None, parts: int | None = None, whole: dict[str, str] | None = None,
+) -> DataFrame:
     """Running sums in order per group `by`: sums maps a value column to the column of its sum up to and including each row.
 
-    `ahead` names a column for the next value of order[-1], null for the last row. No task holds a group: the rows are cut into ranges
+    `ahead` names a column for the next value of order[-1], null for the last row; `whole` maps value columns to columns of the group's sum. No task holds a group: the rows are cut into ranges
     of (by, order), each range is summed inside, and the totals of the ranges before it are added. There are as many ranges as
     shuffle partitions (`parts`), so that a range stays as small as any other partition of the session.
     """
@@ -140,7 +144,8 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: d
     named = list(enumerate(sums.items()))
     totals = cut.groupBy(*by, "_part").agg(F.min(order[-1]).alias("_first"), *[F.sum(value).alias(f"_t{k}") for k, (value, _) in named])
     earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    before = totals.withColumns({f"_b{k}": F.coalesce(F.sum(f"_t{k}").over(earlier), F.lit(0)) for k, _ in named})
+    group_sums = {whole[value]: F.sum(f"_t{k}").over(W.partitionBy(*by)) for k, (value, _) in named if whole and value in whole}
+    before = totals.withColumns({f"_b{k}": F.coalesce(F.sum(f"_t{k}").over(earlier), F.lit(0)) for k, _ in named} | group_sums)
     if ahead:
         before = before.withColumn("_after", F.lead("_first").over(W.partitionBy(*by).orderBy("_part")))
     before = before.drop("_first", *[f"_t{k}" for k, _ in named])
@@ -158,6 +163,41 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     return running_sums(df, by, order, {value: out}, parts=parts)
 
 
+def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, float]], by: Sequence[str] = ()) -> DataFrame:
+    """(by, one column a name of `wanted`): exact quantiles of (value, probability) with linear interpolation, over non-null values that are not NaN.
+
+    No task holds a group: equal values are counted first, and a running count over range partitions finds the values on either side of each
+    quantile, for all columns and probabilities in one pass. Groups whose keys are null are groups too; a group without a value is left out."""
+    columns: dict[str, tuple[str, Column]] = {}
+    for value, _ in wanted.values():
+        columns.setdefault(str(value), (f"v{len(columns)}", F.nanvl(value.cast("double"), F.lit(None))))
+    pairs = F.array(*[F.struct(F.lit(of).alias("_of"), value.alias("_v")) for of, value in columns.values()])
+    key = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("none"))
+    per = df.select(key.alias("_g"), F.inline(pairs)).where("_v is not null").groupBy("_g", "_of", "_v").agg(F.count("*").alias("_n"))
+    run = running_sums(per, ["_g", "_of"], ["_v"], {"_n": "_c"}, ahead="_following", whole={"_n": "_all"})
+
+    def at(of: str, p: float) -> Column:
+        place = F.lit(p) * (F.col("_all") - 1)
+        low = F.floor(place + 1e-9)  # a place that is whole but for rounding is whole
+        part = F.greatest(place - low, F.lit(0.0))
+        here = (F.col("_of") == of) & (F.col("_c") - F.col("_n") <= low) & (low < F.col("_c"))
+        onward = F.when(low + 1 < F.col("_c"), F.col("_v")).otherwise(F.coalesce("_following", "_v"))
+        return F.max(F.when(here, F.when(part > 0, F.col("_v") + part * (onward - F.col("_v"))).otherwise(F.col("_v"))))
+
+    found = run.groupBy("_g").agg(*[at(columns[str(value)][0], p).alias(name) for name, (value, p) in wanted.items()])
+    return found.select(*[F.col(f"_g.{c}").alias(c) for c in by], *wanted)
+
+
+def with_quantiles(groups: DataFrame, df: DataFrame, wanted: Mapping[str, tuple[Column, float]], by: Sequence[str] = ()) -> DataFrame:
+    """The rows of groups (one for each key `by`, or one) with the quantiles of df's rows of that key."""
+    found = quantiles(df, wanted, by)
+    if not by:
+        return groups.join(found.hint("broadcast"), F.lit(True), "left")  # one row each
+    renamed = found.withColumnsRenamed({c: f"_k{k}" for k, c in enumerate(by)})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(by)])
+    return groups.join(renamed.hint("shuffle_merge"), same, "left").drop(*[f"_k{k}" for k in range(len(by))])
+
+
 def weighted_median(df: DataFrame, columns: Sequence[str], weight: str) -> DataFrame:
     """(feature, median): the smallest value whose cumulative weight reaches half. Equal values are summed first."""
     long = df.select(F.col(weight).alias("_w"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]).unpivot(["_w"], list(columns), "feature", "value").where("value is not null")
@@ -176,7 +216,7 @@ def outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column the rates beyond 1.5 and 3 IQR and the unbiased skewness."""
     long = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]).unpivot([], list(columns), "column", "value").where("value is not null")
     x = F.col("value")
-    q = long.groupBy("column").agg(F.percentile(x, F.lit(0.25)).alias("q1"), F.percentile(x, F.lit(0.75)).alias("q3"))
+    q = quantiles(long, {"q1": (x, 0.25), "q3": (x, 0.75)}, ["column"])
     iqr = F.col("q3") - F.col("q1")
     far = lambda k: F.avg(((x < F.col("q1") - k * iqr) | (x > F.col("q3") + k * iqr)).cast("double"))
     n = F.count(x).cast("double")
@@ -333,7 +373,9 @@ def rank_feasible(df: DataFrame, unit: str, components: int) -> DataFrame:
 
 def qcut(df: DataFrame, x: str, q: int, out: str, fit: DataFrame | None = None) -> DataFrame:
     """P10: quantile bin from 0, right-closed, edges from `fit` (default: df) by linear interpolation; the lowest value is in bin 0, values beyond the edges in the end bins."""
-    edges = (fit if fit is not None else df).agg(F.percentile(F.col(x), F.array(*[F.lit(k / q) for k in range(1, q)])).alias("_e"))
+    named = {f"_e{k}": (F.col(x), k / q) for k in range(1, q)}
+    rows = fit if fit is not None else df
+    edges = with_quantiles(rows.agg(F.count("*").alias("_rows")), rows, named).select(F.filter(F.array(*named), lambda e: e.isNotNull()).alias("_e"))
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(x).isNotNull(), F.size(F.filter("_e", lambda e: e < F.col(x))))).drop("_e")  # one row
 
 
@@ -369,8 +411,9 @@ def token_audit(df: DataFrame, text: str, vocabulary: DataFrame, pattern: str, l
     held = [F.count_if(F.col("t").rlike(p)).alias(f"n_{name}") for name, p in (special or {}).items()]
     whole = rows.agg(
         F.count("*").alias("sequences"), F.count_if(n == 0).alias("empty"), F.count_if(F.array_join("tokens", "") == F.col("t")).alias("lossless"), F.count_if(n > limit).alias("over_limit"),
-        F.min(n).alias("shortest"), F.percentile(n, F.lit(0.5)).alias("median"), F.percentile(n, F.lit(0.95)).alias("p95"), F.max(n).alias("longest"), *held,
+        F.min(n).alias("shortest"), F.max(n).alias("longest"), *held,
     )
+    whole = with_quantiles(whole, rows, {"median": (n, 0.5), "p95": (n, 0.95)})
     used = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     unknown = stored(used.join(vocabulary.select("token").distinct().hint("shuffle_hash"), "token", "left_anti"))
     counts = unknown.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("oov_tokens"), F.count("*").alias("oov_types"))

@@ -280,13 +280,16 @@ def _(spark, sf):
     return c.distinct_values(records(spark, sf), ["donor", "brand"])
 
 
-@add("j9_universe", """WITH seen AS (SELECT l_suppkey AS a, l_partkey AS b, count(*) AS n FROM lineitem GROUP BY 1, 2), sa AS (SELECT a, sum(n) AS n FROM seen GROUP BY a), sb AS (SELECT b, sum(n) AS n FROM seen GROUP BY b)
-SELECT u.a, u.b, coalesce(sa.n, 0)::BIGINT AS support_a, coalesce(sb.n, 0)::BIGINT AS support_b, CASE WHEN seen.a IS NOT NULL THEN 'observed' WHEN least(coalesce(sa.n, 0), coalesce(sb.n, 0)) < 5 THEN 'low_support' ELSE 'new' END AS status FROM
-(SELECT s_suppkey AS a, p_partkey AS b FROM supplier, part) u LEFT JOIN seen ON u.a = seen.a AND u.b = seen.b LEFT JOIN sa ON u.a = sa.a LEFT JOIN sb ON u.b = sb.b""")
+@add("j9_universe", """WITH seen AS (SELECT l_suppkey AS a, l_partkey AS b, count(*) AS n FROM lineitem GROUP BY 1, 2), sa AS (SELECT a, sum(n) AS n FROM seen GROUP BY a), sb AS (SELECT b, sum(n) AS n FROM seen GROUP BY b),
+known AS (SELECT DISTINCT a * b AS product FROM seen), u AS (SELECT s_suppkey AS a, p_partkey AS b, s_suppkey * p_partkey AS product, count(*) OVER (PARTITION BY s_suppkey * p_partkey) AS n_products FROM supplier, part)
+SELECT *, status = 'new' AS in_domain FROM (SELECT u.a, u.b, coalesce(sa.n, 0)::BIGINT AS support_a, coalesce(sb.n, 0)::BIGINT AS support_b, n_products,
+CASE WHEN seen.a IS NOT NULL THEN 'observed' WHEN known.product IS NOT NULL THEN 'known_product' WHEN n_products > 1 THEN 'collision' WHEN least(coalesce(sa.n, 0), coalesce(sb.n, 0)) < 30 THEN 'low_support' ELSE 'new' END AS status
+FROM u LEFT JOIN seen ON u.a = seen.a AND u.b = seen.b LEFT JOIN known ON u.product = known.product LEFT JOIN sa ON u.a = sa.a LEFT JOIN sb ON u.b = sb.b)""")
 def _(spark, sf):
+    """All pairs of suppliers and parts; the product of a pair is the product of its keys, so pairs collide."""
     seen = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"))
-    u = d.universe(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("a")), table(spark, sf, "part").select(F.col("p_partkey").alias("b")), seen, "a", "b", F.concat_ws(":", "a", "b"))
-    return u.select("a", "b", "support_a", "support_b", "status")
+    u = d.universe(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("a")), table(spark, sf, "part").select(F.col("p_partkey").alias("b")), seen, "a", "b", (F.col("a") * F.col("b")).cast("string"), 30)
+    return u.drop("product_hash")
 
 
 @add("d1_decision", R + " SELECT CASE WHEN avg(abs(m2 - y)) - avg(abs(m1 - y)) <= 0 THEN 'ADMIT' ELSE 'REJECT' END AS label FROM records")

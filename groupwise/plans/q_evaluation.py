@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from groupwise.operators import conformal, metrics, models, resample
+from groupwise.operators import candidates, conformal, metrics, models, resample
 from groupwise.storage import stored
 
 from .bindings import PREDICTIONS_SQL, RECORDS_SQL, predictions, records, table
@@ -234,13 +234,13 @@ def _(spark, sf):
 
 @add("r4_crossed_bootstrap", R + """, cells AS (SELECT donor, acceptor, sum(abs(m1 - y)) AS s, count(*) AS n FROM records GROUP BY donor, acceptor),
 xa AS (SELECT donor, row_number() OVER (ORDER BY donor) - 1 AS idx FROM (SELECT DISTINCT donor FROM cells)), xb AS (SELECT acceptor, row_number() OVER (ORDER BY acceptor) - 1 AS idx FROM (SELECT DISTINCT acceptor FROM cells)),
-da AS (SELECT b, CAST('0x' || substr(sha256('42:' || b || ':' || slot), 1, 8) AS BIGINT) % n AS idx FROM (SELECT unnest(range(20)) AS b), (SELECT unnest(range((SELECT count(*) FROM xa))) AS slot, (SELECT count(*) FROM xa) AS n)),
-db AS (SELECT b, CAST('0x' || substr(sha256('43:' || b || ':' || slot), 1, 8) AS BIGINT) % n AS idx FROM (SELECT unnest(range(20)) AS b), (SELECT unnest(range((SELECT count(*) FROM xb))) AS slot, (SELECT count(*) FROM xb) AS n)),
+da AS (SELECT b, CAST('0x' || substr(sha256('42:' || b || ':' || slot), 1, 8) AS BIGINT) % n AS idx FROM (SELECT unnest(range(200)) AS b), (SELECT unnest(range((SELECT count(*) FROM xa))) AS slot, (SELECT count(*) FROM xa) AS n)),
+db AS (SELECT b, CAST('0x' || substr(sha256('43:' || b || ':' || slot), 1, 8) AS BIGINT) % n AS idx FROM (SELECT unnest(range(200)) AS b), (SELECT unnest(range((SELECT count(*) FROM xb))) AS slot, (SELECT count(*) FROM xb) AS n)),
 ma AS (SELECT b, donor, count(*) AS m1 FROM da JOIN xa USING (idx) GROUP BY b, donor), mb AS (SELECT b, acceptor, count(*) AS m2 FROM db JOIN xb USING (idx) GROUP BY b, acceptor),
 st AS (SELECT b, sum(m1 * m2 * s) / sum(m1 * m2 * n) AS stat FROM cells JOIN ma USING (donor) JOIN mb USING (b, acceptor) GROUP BY b)
 SELECT (SELECT sum(s) / sum(n) FROM cells) AS point, quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi, count(*) AS n_replicates FROM st""", "point lo hi")
 def _(spark, sf):
-    return resample.crossed_interval(records(spark, sf).withColumn("e", F.abs(F.col("m1") - F.col("y"))), "donor", "acceptor", "e", 20)
+    return resample.crossed_interval(records(spark, sf).withColumn("e", F.abs(F.col("m1") - F.col("y"))), "donor", "acceptor", "e", 200)
 
 
 @add("r6_bootstrap_weights", R + """, x AS (SELECT donor, row_number() OVER (ORDER BY donor) - 1 AS idx FROM (SELECT DISTINCT donor FROM records)), d AS (SELECT b, CAST('0x' || substr(sha256('42:' || b || ':' || slot), 1, 8) AS BIGINT) % n AS idx FROM (SELECT unnest(range(3)) AS b), (SELECT unnest(range((SELECT count(*) FROM x))) AS slot, (SELECT count(*) FROM x) AS n)),
@@ -255,7 +255,20 @@ def _(spark, sf):
     return resample.paired_difference(r, "donor", "a", "b", 100, weight="qty").drop("excludes_zero")
 
 
-@add("r1_poisson_bootstrap")
+def _poisson_sql(replicates: int) -> str:
+    p, total, terms = 0.36787944117144233, 0.0, []
+    for k in range(12):
+        total += p
+        terms.append(f"{total!r}::DOUBLE")
+        p /= k + 1
+    u = "(CAST('0x' || substr(sha256('42:' || b || ':' || acceptor), 1, 8) AS BIGINT) + 0.5) / 4294967296"
+    return R + f""", un AS (SELECT acceptor, avg(abs(m1 - y)) AS v FROM records GROUP BY acceptor),
+m AS (SELECT b, v, len(list_filter([{', '.join(terms)}], lambda t: t < {u})) AS m FROM un, (SELECT unnest(range({replicates})) AS b)),
+st AS (SELECT sum(m * v) / sum(m) AS stat FROM m WHERE m > 0 GROUP BY b)
+SELECT (SELECT avg(v) FROM un) AS point, (SELECT count(*) FROM un) AS n_units, quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi, count(*) AS n_replicates FROM st"""
+
+
+@add("r1_poisson_bootstrap", _poisson_sql(50), "point lo hi")
 def _(spark, sf):
     return resample.cluster_interval(records(spark, sf).withColumn("e", F.abs(F.col("m1") - F.col("y"))), "acceptor", "e", 50, poisson=True)
 
@@ -284,11 +297,10 @@ def _(spark, sf):
     return conformal.coverage(records(spark, sf).withColumn("res", F.col("m1") - F.col("y")), "res", 1.0, "grp", "donor", 2.0, 0.9, 100)
 
 
-@add("r5_record_bootstrap", R + ", " + boot("record", "SELECT record, abs(m1 - y) AS v FROM records WHERE flag = 'A' AND status = 'F'", 7, 5) + " SELECT (SELECT avg(v) FROM u) AS point, (SELECT count(*) FROM u) AS n_units, quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi, count(*) AS n_replicates FROM s", "point lo hi")
+@add("r5_record_bootstrap", R + ", " + boot("record", "SELECT record, abs(m1 - y) AS v FROM records", 7, 20) + " SELECT (SELECT avg(v) FROM u) AS point, (SELECT count(*) FROM u) AS n_units, quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi, count(*) AS n_replicates FROM s", "point lo hi")
 def _(spark, sf):
-    """The record is the unit; five replicates keep the SQL check short."""
-    r = records(spark, sf).where("flag = 'A' and status = 'F'").withColumn("e", F.abs(F.col("m1") - F.col("y")))
-    return resample.cluster_interval(r, "record", "e", 5, 7)
+    """The record is the unit."""
+    return resample.cluster_interval(records(spark, sf).withColumn("e", F.abs(F.col("m1") - F.col("y"))), "record", "e", 20, 7)
 
 
 A = R + ", s AS (SELECT record, least(qty, price / 50) AS sc, abs(m2 - y) AS e FROM records), k AS (SELECT sc, row_number() OVER (ORDER BY sc) AS r, count(*) OVER () AS n FROM s), th AS (SELECT f AS fraction, max(sc) AS threshold FROM k, (SELECT unnest([0.9::DOUBLE, 0.5]) AS f) WHERE r = ceil((n - 1) * (1 - f) - 1e-12) + 1 GROUP BY f)"
@@ -309,7 +321,9 @@ def _(spark, sf):
     return conformal.selective_risk(x, "applicability", "e", conformal.retained_thresholds(x, "applicability", [0.9, 0.5]))
 
 
-@add("u5_selective_summary")
+@add("u5_selective_summary", A + """, r AS (SELECT *, rank() OVER (ORDER BY sc) + (count(*) OVER (PARTITION BY sc) - 1) / 2 AS rs, rank() OVER (ORDER BY e) + (count(*) OVER (PARTITION BY e) - 1) / 2 AS re, rank() OVER (ORDER BY -sc) + (count(*) OVER (PARTITION BY sc) - 1) / 2 AS rn,
+avg(e) OVER (ORDER BY sc DESC, record ROWS UNBOUNDED PRECEDING) AS risk FROM s)
+SELECT avg(risk) AS aurc, count(*) AS n, corr(rs, re) AS spearman, (sum(rn) FILTER (WHERE e > 2) - count(*) FILTER (WHERE e > 2) * (count(*) FILTER (WHERE e > 2) + 1) / 2) / (count(*) FILTER (WHERE e > 2) * count(*) FILTER (WHERE e <= 2)) AS auc FROM r""", "aurc spearman auc")
 def _(spark, sf):
     return conformal.selective_summary(_scored(spark, sf), "applicability", "e", "record", 2.0)
 
@@ -351,3 +365,29 @@ def _(spark, sf):
     """Frozen predictions: odd line numbers stand for val, even ones for test."""
     p = predictions(spark, sf).select(F.lit("iid").alias("protocol"), F.when(F.col("line") % 2 == 0, "test").otherwise("val").alias("partition"), F.col("model").alias("arm"), "grp", "y", "pred")
     return models.evaluate(p, "grp").select("protocol", "partition", "arm", "n_records", "n_groups", "mae", "group_mae", "degradation", "ratio")
+
+
+def _d1_sql() -> str:
+    """The change of each model by donor with its interval, on all records and, as the protocol that must not be harmed, on returned ones."""
+    parts, out = [], R
+    for name, better, worse in (("a", "m2", "m1"), ("b", "m1", "m2"), ("c", "m1", "m1")):
+        for kind, where in (("", ""), ("h", " WHERE flag = 'R'")):
+            out += ", " + boot("donor", f"SELECT donor, avg(abs({better} - y) - abs({worse} - y)) AS v FROM records{where} GROUP BY donor", 42, 100, name + kind)
+        parts.append(f"SELECT '{better} for {worse}' AS change, (SELECT avg(v) FROM u{name}) AS point, (SELECT quantile_cont(stat, 0.975) FROM s{name}) AS hi, (SELECT quantile_cont(stat, 0.975) FROM s{name}h) AS harm")
+    return out + f", e AS ({' UNION ALL '.join(parts)}) SELECT change, CASE WHEN point <= -0.001 AND hi < 0 AND harm <= 0.01 THEN 'ADMIT' WHEN point <= 0 THEN 'HOLD' ELSE 'REJECT' END AS label, point, hi, harm FROM e"
+
+
+@add("d1_admission", _d1_sql(), "point hi harm")
+def _(spark, sf):
+    """Admission by point, interval and non-inferiority elsewhere: one change that is admitted, one that is rejected, one that changes nothing."""
+    r, out = records(spark, sf), []
+    for better, worse in (("m2", "m1"), ("m1", "m2"), ("m1", "m1")):
+        e = r.withColumns({"e1": F.abs(F.col(better) - F.col("y")), "e2": F.abs(F.col(worse) - F.col("y"))})
+        change = resample.paired_difference(e, "donor", "e1", "e2", 100).select("point", "hi")
+        harm = resample.paired_difference(e.where("flag = 'R'"), "donor", "e1", "e2", 100).select(F.col("hi").alias("harm"))
+        evidence = change.join(harm.hint("broadcast"), F.lit(True))  # one row each
+        admitted = candidates.admission(F.col("point"), F.col("hi"), -0.001, 0.0, F.col("harm"), 0.01)
+        label = candidates.decide(evidence, [(admitted, "ADMIT"), (F.col("point") <= 0, "HOLD")], "REJECT")
+        facts = F.from_json("evidence", "point double, hi double, harm double")
+        out.append(label.select(F.lit(f"{better} for {worse}").alias("change"), "label", facts.alias("f")).select("change", "label", "f.point", "f.hi", "f.harm"))
+    return out[0].union(out[1]).union(out[2])

@@ -42,15 +42,27 @@ def _bits(spark, sf):
 GRAMS = "WITH d AS (SELECT doc_id, lang, text FROM documents), g AS (SELECT DISTINCT doc_id, lang, text[i:i+2] AS gram FROM (SELECT *, unnest(range(1, greatest(length(text) - 1, 2))) AS i FROM d WHERE length(text) > 0)), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)"
 
 
-@add("j10_nearest_similarity", GRAMS + ", p AS (SELECT a.doc_id, b.doc_id AS other, count(*) AS i FROM g a JOIN g b USING (gram) WHERE a.doc_id % 3 = 0 AND b.doc_id % 3 <> 0 GROUP BY a.doc_id, b.doc_id), s AS (SELECT p.doc_id, max(i / (na.n + nb.n - i)) AS nearest FROM p JOIN n na ON p.doc_id = na.doc_id JOIN n nb ON other = nb.doc_id GROUP BY p.doc_id) SELECT doc_id, coalesce(nearest, 0) AS nearest FROM d LEFT JOIN s USING (doc_id) WHERE doc_id % 3 = 0", "nearest")
+#: d: the documents; s: the largest similarity of each third document to one of the others, where they share a gram.
+NEAREST = GRAMS + ", p AS (SELECT a.doc_id, b.doc_id AS other, count(*) AS i FROM g a JOIN g b USING (gram) WHERE a.doc_id % 3 = 0 AND b.doc_id % 3 <> 0 GROUP BY a.doc_id, b.doc_id), s AS (SELECT p.doc_id, max(i / (na.n + nb.n - i)) AS nearest FROM p JOIN n na ON p.doc_id = na.doc_id JOIN n nb ON other = nb.doc_id GROUP BY p.doc_id)"
+
+
+@add("j10_nearest_similarity", NEAREST + " SELECT doc_id, coalesce(nearest, 0) AS nearest FROM d LEFT JOIN s USING (doc_id) WHERE doc_id % 3 = 0", "nearest")
 def _(spark, sf):
-    b = _bits(spark, sf)
+    b = stored(_bits(spark, sf).select("doc_id", "bits"))
     return geometry.nearest_similarity(b.where("doc_id % 3 = 0"), b.where("doc_id % 3 <> 0"), "doc_id")
 
 
+@add("j10_minhash_recall")
+def _(spark, sf):
+    """Recall of the approximate search against the exact one, over all queries."""
+    b = stored(_bits(spark, sf).select("doc_id", "bits"))
+    q, t = b.where("doc_id % 3 = 0"), b.where("doc_id % 3 <> 0")
+    return geometry.search_recall(geometry.minhash_nearest(q, t, "doc_id"), geometry.nearest_similarity(q, t, "doc_id"), "doc_id", "nearest")
+
+
 @add("j10_minhash_nearest")
 def _(spark, sf):
-    b = _bits(spark, sf)
+    b = stored(_bits(spark, sf).select("doc_id", "bits"))
     return geometry.minhash_nearest(b.where("doc_id % 3 = 0"), b.where("doc_id % 3 <> 0"), "doc_id")
 
 
@@ -63,6 +75,11 @@ def _(spark, sf):
     return geometry.nearest_cosine(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0"), "vec_id", "embedding")
 
 
+@add("j11_nearest_cosine_cells", COS + " SELECT a.vec_id, 1 - max(list_cosine_similarity(a.e, b.e)) AS distance FROM v a JOIN v b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0 GROUP BY a.vec_id", "distance")
+def _(spark, sf):
+    return geometry.nearest_cosine_cells(*_two_sets(spark, sf), "vec_id", "embedding").select("vec_id", "distance")
+
+
 def _two_sets(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     return e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0")
@@ -94,6 +111,14 @@ def _(spark, sf):
     return geometry.projection_distortion(e, geometry.random_projection(e, "vec_id", "v", 16), "vec_id", "v")
 
 
+@add("p20_projected", """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+h AS (SELECT i, j, (CAST('0x' || substr(sha256('0:' || i || ':' || j || ':u'), 1, 8) AS BIGINT) + 0.5) / 4294967296 AS u, (CAST('0x' || substr(sha256('0:' || i || ':' || j || ':v'), 1, 8) AS BIGINT) + 0.5) / 4294967296 AS w FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range(16)) AS j))
+SELECT vec_id, CAST(j AS INTEGER) AS j, sum(x * sqrt(-2 * ln(u)) * cos(2 * pi() * w) / 4) AS value FROM v JOIN h USING (i) GROUP BY vec_id, j""", "value")
+def _(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return geometry.random_projection(e, "vec_id", "v", 16).select("vec_id", F.posexplode("projected").alias("j", "value"))
+
+
 @add("p21_rotate", X + " SELECT record, idx, cos(0.3) * x - sin(0.3) * y + 1 AS x, sin(0.3) * x + cos(0.3) * y + 2 AS y, z + 3 AS z, role FROM points", "x y z")
 def _(spark, sf):
     return geometry.perturb(points(spark, sf), "record", "idx", "role", "rotate", 0.3)
@@ -110,7 +135,10 @@ def _(spark, sf):
     return geometry.perturb(points(spark, sf), "record", "idx", "role", "separate", 2.0)
 
 
-@add("a42_similarity_quantiles")
+@add("a42_similarity_quantiles", GRAMS + """, sampled AS (SELECT doc_id FROM d ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id LIMIT 100), sg AS (SELECT * FROM g WHERE doc_id IN (SELECT doc_id FROM sampled)),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sg a JOIN sg b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS (SELECT coalesce(i, 0) / greatest(coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(i, 0), 1) AS s FROM sampled a JOIN sampled b ON a.doc_id < b.doc_id LEFT JOIN i ON x = a.doc_id AND y = b.doc_id LEFT JOIN n na ON na.doc_id = a.doc_id LEFT JOIN n nb ON nb.doc_id = b.doc_id)
+SELECT count(*) AS pairs, quantile_cont(s, 0.05) AS p05, quantile_cont(s, 0.5) AS p50, quantile_cont(s, 0.95) AS p95, max(s) AS top FROM p""", "p05 p50 p95 top")
 def _(spark, sf):
     return geometry.similarity_quantiles(_bits(spark, sf), "doc_id", "bits", 100)
 

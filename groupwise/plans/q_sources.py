@@ -43,6 +43,50 @@ def _(spark, sf):
     return readers.scan_curves(spark, path).groupBy("epoch", "train_loss", F.col("validation.group_macro_mae").alias("val_mae")).agg(F.count("*").alias("n"))
 
 
+def _of_orders(spark, sf):
+    """A record for each order, with its lines as parts in a fixed order."""
+    part = F.struct("l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("record")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+
+
+PART = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) - 1"
+
+
+@add("s6_structures", f"SELECT CAST(l_orderkey AS VARCHAR) AS record, CAST({PART} AS INTEGER) AS idx, l_linestatus AS element, l_returnflag AS role, CAST(l_quantity AS DOUBLE) AS x, CAST(l_discount AS DOUBLE) AS y, CAST(l_tax AS DOUBLE) AS z FROM lineitem", "x y z")
+def _(spark, sf):
+    """Orders as records of a packed file; the parts are written in reverse and must come back in order of index."""
+    path = _fresh(spark, "structures")
+    atom = lambda p, i: F.struct(i.alias("index"), p["l_linestatus"].alias("element"), F.lit(6).alias("atomic_num"), F.array(p["l_quantity"].cast("double"), p["l_discount"].cast("double"), p["l_tax"].cast("double")).alias("coords"), p["l_returnflag"].alias("type"))
+    _of_orders(spark, sf).select("record", F.reverse(F.transform("parts", atom)).alias("atoms")).write.json(path)
+    return readers.atom_table(readers.scan_structures(spark, path, packed=True))
+
+
+@add("s6_bonds", f"SELECT CAST(l_orderkey AS VARCHAR) AS record, CAST(p - 1 AS INTEGER) AS a, CAST(p AS INTEGER) AS b, l_returnflag AS type FROM (SELECT *, {PART} AS p FROM lineitem) WHERE p > 0")
+def _(spark, sf):
+    """Successive lines of an order are bonded."""
+    path = _fresh(spark, "structures")
+    bond = lambda p, i: F.when(i > 0, F.struct((i - 1).alias("atom1_index"), i.alias("atom2_index"), p["l_returnflag"].alias("type")))
+    _of_orders(spark, sf).select("record", F.filter(F.transform("parts", bond), lambda b: b.isNotNull()).alias("bonds")).write.json(path)
+    return readers.bond_table(readers.scan_structures(spark, path, packed=True))
+
+
+@add("s7_sidecars", f"SELECT CAST(l_orderkey AS VARCHAR) AS record, CAST({PART} AS INTEGER) AS idx, l_returnflag AS origin, 'd' || l_orderkey AS donor_smiles, CAST(NULL AS VARCHAR) AS acceptor_smiles FROM lineitem")
+def _(spark, sf):
+    path = _fresh(spark, "sidecars")
+    _of_orders(spark, sf).select("record", F.transform("parts", lambda p: p["l_returnflag"]).alias("atom_origins"), F.concat(F.lit("d"), "record").alias("donor_smiles")).write.json(path)
+    return readers.scan_sidecars(spark, path, packed=True)
+
+
+@add("s8_fixed_width", f"SELECT CAST(l_orderkey AS VARCHAR) AS record, CAST({PART} AS INTEGER) AS idx, l_linestatus AS element, CAST(l_quantity AS DOUBLE) AS x, -CAST(l_discount AS DOUBLE) AS y, CAST(l_tax AS DOUBLE) AS z FROM lineitem", "x y z")
+def _(spark, sf):
+    """Many records a file, each from HEADER to END."""
+    path = _fresh(spark, "fixed")
+    line = lambda p: F.format_string("ATOM  %5d  C   MOL     1    %8.3f%8.3f%8.3f%22s%2s", p["l_linenumber"].cast("int"), p["l_quantity"].cast("double"), -p["l_discount"].cast("double"), p["l_tax"].cast("double"), F.lit(""), p["l_linestatus"])
+    text = F.concat(F.lit("HEADER    "), "record", F.lit("\nREMARK\n"), F.array_join(F.transform("parts", line), "\n"), F.lit("\nEND"))
+    _of_orders(spark, sf).select(text.alias("value")).write.text(path)
+    return readers.scan_fixed_width(spark, path, "\nEND\n")
+
+
 @add("s9_inventory")
 def _(spark, sf):
     """The table's own files against a manifest of them: no file may be missing, unknown or of another size."""

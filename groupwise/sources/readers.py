@@ -48,10 +48,16 @@ def scan_curves(spark: SparkSession, path: str, schema: str = CURVE) -> DataFram
     return spark.read.schema(schema).json(path).withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[A-Za-z]+)?$", 1))
 
 
-def scan_structures(spark: SparkSession, path: str) -> DataFrame:
-    """(record, atoms, bonds): one JSON document per file, atoms in order of index."""
-    df = spark.read.schema(STRUCTURE).option("multiLine", True).json(path)
-    return df.select(record_name().alias("record"), F.array_sort("atoms").alias("atoms"), "bonds")
+def _json_records(spark: SparkSession, path: str, schema: str, packed: bool) -> DataFrame:
+    """A JSON document per file, named by the file; or packed, a document per line with its name in `record`, so that one file is read by many tasks."""
+    if packed:
+        return spark.read.schema(f"record string, {schema}").option("mode", "FAILFAST").json(path)
+    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("record", record_name())
+
+
+def scan_structures(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """(record, atoms, bonds), atoms in order of index."""
+    return _json_records(spark, path, STRUCTURE, packed).select("record", F.array_sort("atoms").alias("atoms"), "bonds")
 
 
 def atom_table(structures: DataFrame) -> DataFrame:
@@ -66,17 +72,24 @@ def bond_table(structures: DataFrame) -> DataFrame:
     return b.select("record", F.col("b.atom1_index").alias("a"), F.col("b.atom2_index").alias("b"), F.col("b.type").alias("type"))
 
 
-def scan_sidecars(spark: SparkSession, path: str) -> DataFrame:
+def scan_sidecars(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """(record, idx, origin, donor_smiles, acceptor_smiles), one row per atom."""
-    df = spark.read.schema(SIDECAR).option("multiLine", True).json(path)
-    return df.select(record_name().alias("record"), F.posexplode("atom_origins").alias("idx", "origin"), "donor_smiles", "acceptor_smiles")
+    return _json_records(spark, path, SIDECAR, packed).select("record", F.posexplode("atom_origins").alias("idx", "origin"), "donor_smiles", "acceptor_smiles")
+
 
+def scan_fixed_width(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
+    """(record, idx, element, x, y, z) of ATOM and HETATM lines: coordinates in columns 31-54, element in 77-78, in the record's order.
 
-def scan_fixed_width(spark: SparkSession, path: str) -> DataFrame:
-    """(record, idx, element, x, y, z) of ATOM and HETATM lines: coordinates in columns 31-54, element in 77-78, in the file's order."""
-    lines = spark.read.option("wholetext", True).text(path).select(record_name().alias("record"), F.filter(F.split("value", r"\r?\n"), lambda v: v.startswith("ATOM") | v.startswith("HETATM")).alias("ls"))
+    One record a file, named by the file; or, with `end` (such as a line END with its line breaks), many records a file, each closed by it and
+    named by its HEADER line. Then a file is split at record ends between tasks, and no task holds a file."""
+    if end is None:
+        whole = spark.read.option("wholetext", True).text(path).withColumn("record", record_name())
+    else:
+        whole = spark.read.option("lineSep", end).text(path).withColumn("record", F.regexp_extract("value", r"(?m)^HEADER +(\S+)", 1))
+    atoms = F.filter(F.split("value", r"\r?\n"), lambda v: v.startswith("ATOM") | v.startswith("HETATM"))
     at = lambda s, n: F.trim(F.substring("line", s, n))
-    return lines.select("record", F.posexplode("ls").alias("idx", "line")).select("record", "idx", at(77, 2).alias("element"), *[F.expr(f"try_cast(trim(substring(line, {31 + 8 * k}, 8)) as double)").alias(x) for k, x in enumerate("xyz")])
+    lines = whole.select("record", F.posexplode(atoms).alias("idx", "line"))
+    return lines.select("record", "idx", at(77, 2).alias("element"), *[F.expr(f"try_cast(trim(substring(line, {31 + 8 * k}, 8)) as double)").alias(x) for k, x in enumerate("xyz")])
 
 
 def record_name():

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths that this process has written and not yet deleted, in order.
-_written: list[str] = []
+#: Paths written since the innermost mark of this thread and not yet deleted, in order; each thread has marks of its own, so queries in several threads of a session delete nothing of each other's.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,19 +28,25 @@ def stored(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, a lost executor costs no recomputation, and joins see true sizes."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if marks := _written.get():
+        marks[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mark() -> int:
-    """How many tables stand now; tables written later can be dropped together."""
-    return len(_written)
-
-
-def drop_tables(spark: SparkSession, since: int = 0, spare: int = 0) -> None:
-    """Delete the tables written after `since` (a mark), but for the last `spare` of them. No DataFrame still in use may rest on them."""
-    doomed = _written[since : len(_written) - spare]
-    del _written[since : len(_written) - spare]
-    for path in doomed:
+    """From here on this thread's tables are remembered, to be dropped together; marks nest."""
+    _written.set((*_written.get(), []))
+    return len(_written.get())
+
+
+def drop_tables(spark: SparkSession, since: int, spare: int = 0) -> None:
+    """Delete the tables written after `since` (a mark of this thread), but for the last `spare` of them, which the mark before takes over. No
+    DataFrame still in use may rest on them. Marks made after it are gone with it."""
+    marks = _written.get()
+    paths = [p for m in marks[since - 1 :] for p in m]
+    _written.set(marks[: since - 1])
+    if since > 1:
+        marks[since - 2].extend(paths[len(paths) - spare :])
+    for path in paths[: len(paths) - spare]:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
