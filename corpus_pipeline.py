@@ -3,6 +3,7 @@
 Toxic documents go; of each group of near copies (Jaccard 0.8 or more of five-word shingles, over chains) the one with the smallest
 doc_id stays; documents that hold a benchmark's words go; personal data is replaced by its kind; what is left is packed into
 batches. All but the last stage return the columns of documents. Rows are judged each by itself, so null and repeated ids are kept.
+What is beside doc_id and text travels through a stage as one struct, so no column of a document can clash with those that a stage makes.
 No stage fits SQL as a whole (learned scores, connected components), so ORACLE_SQL is None; tests/llm compares with plain versions.
 """
 
@@ -20,28 +21,39 @@ from groupwise.llm.toxicity import toxicity
 from groupwise.storage import drop_tables, mark
 
 
+def bare(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one struct."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *others).alias("rest"))
+
+
+def whole(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is predicted toxic and holds a significant passage goes; nothing holds one if no labels of both classes were there to learn from."""
-    scored = toxicity(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("predicted = 0 or n_passages = 0").select(docs.columns)
+    scored = toxicity(spark, bare(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return whole(scored.where("predicted = 0 or n_passages = 0"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    return whole(one_of_each(bare(docs)), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row goes or stays by its own text: decisions come back by a 128-bit hash of it (a null text has one too), not by doc_id."""
     text = F.col("text").cast("string")
     key = F.struct(F.xxhash64(text.isNull(), text).alias("h1"), F.xxhash64(F.lit(1), text.isNull(), text).alias("h2"))
-    keyed = docs.select(*docs.columns, key.alias("text_key"))
+    keyed = bare(docs).withColumn("text_key", key)
     clean = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="text_key").where("n_hit = 0").select(F.col("id").alias("text_key")).distinct()
-    return keyed.join(clean.hint("shuffle_hash"), "text_key", "left_semi").select(docs.columns)
+    return whole(keyed.join(clean.hint("shuffle_hash"), "text_key", "left_semi"), docs)
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = redact(find_pii(docs))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    clean = whole(redact(find_pii(bare(docs))), docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ k-gram's places are dealt over `salts` parts, so a passage that very many docume
 An alignment is taken up only where it begins: at a place whose k-gram before differs on both sides. So a repetitive document and
 item give no row for each pair of places.
 
-Null or empty text: no words, no hit. Items without words never occur. Repeated rows are found alike. Rows are told apart by hashes of id and text.
+Null or empty text: no words, no hit. Items without words never occur. Items are told apart by number, not by id: one with a null id counts
+in n_hit and has no name to list, and items of one id are listed once. Repeated rows are found alike. Rows are told apart by hashes of id and text.
 Empty tables: no rows, or no hits.
 """
 
@@ -51,9 +52,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     text = F.col("text")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumns({"ka": F.xxhash64("id", "text"), "kb": F.hash("text")})
     item_rows = keep(
-        items.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("raw"))
+        items.select(F.col(item_col).cast("string").alias("name"), words(F.col(item_text)).alias("raw"))
         .where(F.size("raw") > 0)
-        .select("item", F.transform("raw", ascii_lower).alias("item_words"), F.transform("raw", lambda w: F.xxhash64(F.lower(w))).alias("hashes"))
+        .select(F.monotonically_increasing_id().alias("item"), "name", F.transform("raw", ascii_lower).alias("item_words"), F.transform("raw", lambda w: F.xxhash64(F.lower(w))).alias("hashes"))
         .withColumn("length", F.least(F.size("item_words"), F.lit(window)))
         .withColumn("gram", F.least("length", F.when(F.col("length") == window, k).otherwise(F.col("length"))))
     )
@@ -121,8 +122,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     past = W.partitionBy("ka", "kb").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     spans = found.groupBy("ka", "kb", "start").agg(F.max("end").alias("end"))
     covered = spans.withColumn("past", F.coalesce(F.max("end").over(past), F.lit(0))).groupBy("ka", "kb").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "past"))).cast("long").alias("n_hit"))
-    named = found.select("ka", "kb", F.col("item").cast("string").alias("item")).distinct().groupBy("ka", "kb").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    result = covered.join(named.hint("shuffle_merge"), ["ka", "kb"])
+    in_docs = found.select("ka", "kb", "item").distinct().join(item_rows.where("name is not null").select("item", "name").hint(fits(item_rows.count())), "item")
+    named = in_docs.select("ka", "kb", "name").distinct().groupBy("ka", "kb").agg(F.sort_array(F.collect_list("name")).alias("items"))
+    result = covered.join(named.hint("shuffle_merge"), ["ka", "kb"], "left")
     return base.join(result.hint("shuffle_merge"), ["ka", "kb"], "left").select(
         "id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )

@@ -8,7 +8,7 @@ A code farther than the k-th distance found so far is dropped inside the join, a
 Equal codes are searched once: the index holds each distinct code with its smallest k + 1 ids, which are all a top-k list can need.
 A pair is verified once, by the first segment with the fewest changed bits; nothing is deduplicated by a shuffle.
 
-Null vectors have no code and no neighbours; vectors of over 64 elements are an error. Repeated ids are separate rows with equal id. Ties go to the smaller id. A query never finds its
+Null vectors have no code and no neighbours; rows with a null id take no part, as they can neither be named nor told from the query's own row; vectors of over 64 elements are an error. Repeated ids are separate rows with equal id. Ties go to the smaller id. A query never finds its
 own row's id. Fewer than k other rows: all of them. Empty table: no rows.
 """
 
@@ -52,7 +52,8 @@ def changed_values(value: Column, width: int, flips: int) -> Column:
 
 def search(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, parts: int | None = None) -> DataFrame:
     """(query_id, rank, id, distance) for queries (id, code) among codes (id, code)."""
-    codes, queries = codes.select("id", "code").where("code is not null"), keep(queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).where("code is not null"))
+    sound = "code is not null and id is not null"
+    codes, queries = codes.select("id", "code").where(sound), keep(queries.where(sound).select(F.col("id").alias("query_id"), F.col("code").alias("q")))
     index = _bounded(codes, k)
     n = index.count()
     parts = parts or math.ceil(bits / segment_width(n))
