@@ -138,15 +138,15 @@ def links(nodes: DataFrame, cells: int | None = None, max_bits: int = 2, dense:
     cells = cells or cells_for(nodes.count(), max_bits)
     if not 0 <= max_bits <= 2 or not max_bits < cells <= 16:
         raise ValueError("max_bits is 0 to 2, cells is over max_bits and at most 16")
-    placed = nodes.withColumn("counts", unary_counts(F.col("fp"))).select("node", "fp", "counts", F.inline(grid_places(cells, max_bits)))
-    filled = keep(placed.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1"))
-    few, many = (filled.where(c).select("grid", "cell").hint("shuffle_merge") for c in (F.col("n") <= dense, F.col("n") > dense))
-    sparse = keep(placed.join(few, ["grid", "cell"]))
+    placed = nodes.withColumn("counts", unary_counts(F.col("fp"))).select("node", "fp", "counts", F.inline(grid_places(cells, max_bits))).withColumn("place", F.xxhash64("grid", "cell"))
+    filled = keep(placed.groupBy("place").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = keep(join_counted(placed, filled, "place", "n", deal=F.col("node")))  # a crowded cell goes to many tasks
+    sparse, crowd = shared.where(F.col("n") <= dense), shared.where(F.col("n") > dense)
     a, b = sparse.alias("a"), sparse.alias("b").hint("shuffle_merge")
     same = (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.node") > F.col("b.node"))
     near = same & within("a.counts", "b.counts", max_bits) & within("a.fp", "b.fp", max_bits)
     pairs = a.join(b, near).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
-    crowd = keep(placed.join(many, ["grid", "cell"], "left_semi").select("node", "fp").distinct())
+    crowd = keep(crowd.select("node", "fp").distinct())
     return pairs.union(code_stars(crowd, max_bits)).where("src <> dst").distinct()
 
 
