@@ -187,8 +187,9 @@ def nearest_cosine_cells(query: DataFrame, train: DataFrame, key: str, vector: s
     kind = t.schema["key"].dataType.simpleString()
     if t.isEmpty():
         return q.select(F.col("key").alias(key), F.lit(None).cast("double").alias("distance"), F.lit(0).cast("long").alias("compared")).where("false")
-    some = hash_sample(t, "key", sample).select(array_to_vector("v").alias("features"))
-    centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(some).clusterCenters())
+    some = stored(hash_sample(t, "key", sample).select("v").distinct())
+    n = min(cells, some.count())
+    centres = np.array(KMeans(k=n, seed=seed, maxIter=10).fit(some.select(array_to_vector("v").alias("features"))).clusterCenters() if n > 1 else [some.first().v])
     apart = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(-1), 1e-300))
 
     def to_centres(v: np.ndarray) -> np.ndarray:
