@@ -69,7 +69,7 @@ def test_stage_keeps_one_of_each_group_of_planted_copies(spark):
 
 
 def test_a_common_passage_in_many_texts(spark):
-    """Crowded cells are split by further views; the groups stay those of brute force."""
+    """Crowded cells are joined by prefixes; the groups stay those of brute force."""
     rng = random.Random(8)
     passage = [f"p{i}" for i in range(40)]
     texts = []
@@ -85,3 +85,18 @@ def test_a_common_passage_in_many_texts(spark):
         for r in near_copies(docs, dense=dense).collect():
             parts.setdefault(r.component, set()).add(r.id)
         assert sorted(map(sorted, parts.values())) == sorted([i for i, g in enumerate(expected) if g == root] for root in set(expected))
+
+
+def test_pairs_at_the_bound_in_crowded_cells(spark):
+    """Texts of 130 words that share a passage of 90; each pair differs in its last 14 words, 112 of 140 five-word runs in common: exactly 0.8."""
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(90)]
+    for pairs, dense in ((60, 4), (240, 16)):
+        texts = []
+        for _ in range(pairs):
+            own = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+            texts += [" ".join(passage + own), " ".join(passage + own[:26] + [f"v{rng.randrange(10**6)}" for _ in range(14)])]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        component = {r.id: r.component for r in near_copies(docs, dense=dense, broadcast_rows=0 if dense == 4 else 10**6).collect()}
+        assert sum(component[2 * k] == component[2 * k + 1] for k in range(pairs)) >= 0.99 * pairs
+        assert len(set(component.values())) >= pairs
