@@ -8,6 +8,7 @@ the longest chain.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -89,39 +90,40 @@ def assign(df: DataFrame, assigned: DataFrame, split: DataFrame, group: str) ->
     return df.join(assigned.select(group, "unit").hint("shuffle_merge"), group).join(split.select("unit", "partition").hint("shuffle_merge"), "unit")
 
 
-def repair_support(rows: DataFrame, keys: Sequence[str], unit: str = "unit", least: int = 5, most_rounds: int = 10) -> DataFrame:
-    """Val and test rows with a key of fewer than `least` train rows send their whole unit to train, until none is left.
+def repair_support(rows: DataFrame, keys: Sequence[str], unit: str = "unit", least: int = 5) -> DataFrame:
+    """Val and test rows with a key of fewer than `least` train rows send their whole unit to train.
 
-    If rounds still move units after `most_rounds`, an error is raised: the rows would not hold what the operator promises."""
+    Moves only add train rows, so a key that has enough never loses them, and after one step no unit with a weak key is left
+    outside train: one step is the fixpoint, whatever the rows."""
     rows = stored(rows)
-    for _ in range(most_rounds + 1):
-        weak = None
-        for k in keys:
-            support = rows.groupBy(k).agg(F.count_if(F.col("partition") == "train").alias("_s")).where(F.col("_s") < least).select(k)
-            one = rows.where(F.col("partition").isin("val", "test")).join(support, k, "left_semi").select(unit)
-            weak = one if weak is None else weak.union(one)
-        weak = stored(weak.distinct())
-        if weak.isEmpty():
-            return rows
-        moved = rows.join(weak.withColumn("_w", F.lit(True)), unit, "left")
-        rows = stored(moved.withColumn("partition", F.when(F.col("_w"), "train").otherwise(F.col("partition"))).drop("_w"))
-    raise RuntimeError(f"support is not repaired after {most_rounds} rounds")
+    held, weak = rows.where(F.col("partition").isin("val", "test")), []
+    for k in keys:
+        support = rows.groupBy(k).agg(F.count_if(F.col("partition") == "train").alias("_s")).where(F.col("_s") < least).select(k)
+        weak.append(held.join(support.hint("shuffle_merge"), k, "left_semi").select(unit))
+    moved = stored(reduce(DataFrame.union, weak).distinct()).withColumn("_w", F.lit(True))
+    return rows.join(moved.hint("shuffle_merge"), unit, "left").withColumn("partition", F.when(F.col("_w"), "train").otherwise(F.col("partition"))).drop("_w")
 
 
 def pair_cold(rows: DataFrame, units: DataFrame, keys: Sequence[str], seeds: Sequence[int], record: str, shares: Sequence[float] = (0.7, 0.15, 0.15), least: int = 5) -> DataFrame:
     """(record, partition, seed) of the best seed. rows: with record, unit and keys; units: as of units_only, over the key pairs.
 
-    Each seed's balanced split is repaired; the seed whose repaired record shares are nearest to `shares` wins, the smaller one in a tie."""
-    total, best = rows.count(), None
-    balanced = stored(balance_units(units, seeds, shares))
-    for seed in seeds:
-        placed = rows.join(balanced.where(F.col("seed") == seed).select("unit", "partition").hint("shuffle_merge"), "unit")
-        fixed = repair_support(placed, keys, "unit", least)
-        counts = {r.partition: r["count"] for r in fixed.groupBy("partition").count().collect()}  # three numbers
-        gap = round(sum(abs(counts.get(p, 0) / total - x) for p, x in zip(PARTS, shares, strict=True)), 12)
-        if best is None or gap < best[0]:
-            best = (gap, seed, fixed)
-    return best[2].select(record, "partition", F.lit(best[1]).alias("seed"))
+    Each seed's balanced split is repaired (see repair_support); the seed whose repaired record shares are nearest to `shares` wins, the smaller
+    one in a tie. All seeds go through the same joins, the seed being a column: of units and of counts per unit and key, never of rows.
+    Rows are read once to count and once at the end."""
+    of_units = [rows.where(F.col(k).isNotNull()).groupBy("unit", F.lit(k).alias("type"), F.col(k).cast("string").alias("key")).agg(F.count("*").alias("n")) for k in keys]
+    held_keys = stored(reduce(DataFrame.union, of_units))
+    sizes = rows.groupBy("unit").agg(F.count("*").alias("n_rows"))
+    state = stored(balance_units(units, seeds, shares).select("seed", "unit", "partition").join(sizes.hint("shuffle_merge"), "unit"))
+    placed = state.join(held_keys.hint("shuffle_merge"), "unit")
+    support = placed.groupBy("seed", "type", "key").agg(F.coalesce(F.sum(F.when(F.col("partition") == "train", F.col("n"))), F.lit(0)).alias("s"))
+    weak = support.where(F.col("s") < least).select("seed", "type", "key")
+    moved = placed.where("partition <> 'train'").join(weak.hint("shuffle_merge"), ["seed", "type", "key"], "left_semi").select("seed", "unit").distinct().withColumn("_w", F.lit(True))
+    fixed = stored(state.join(moved.hint("shuffle_merge"), ["seed", "unit"], "left").withColumn("partition", F.when(F.col("_w"), "train").otherwise(F.col("partition"))).drop("_w"))
+    per = fixed.groupBy("seed").agg(F.sum("n_rows").alias("total"), *[F.coalesce(F.sum(F.when(F.col("partition") == p, F.col("n_rows"))), F.lit(0)).alias(p) for p in PARTS])
+    gap = F.round(sum((F.abs(F.col(p) / F.col("total") - x) for p, x in zip(PARTS, shares, strict=True)), F.lit(0.0)), 12)
+    best = per.agg(F.min_by("seed", F.struct(gap.alias("gap"), "seed")).alias("seed"))
+    chosen = fixed.join(best.hint("broadcast"), "seed").select("unit", "partition", "seed")  # one row
+    return rows.select(record, "unit").join(chosen.hint("shuffle_merge"), "unit").select(record, "partition", "seed")
 
 
 def _salted(seed: str, name: str, key: str) -> Column:

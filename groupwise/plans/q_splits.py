@@ -81,7 +81,18 @@ def _(spark, sf):
     return splits.repair_support(r.select("record", "unit", "donor", "acceptor", "partition"), ["donor", "acceptor"]).select("record", "partition")
 
 
-@add("x4_pair_cold")
+X4_SWEEP = R + """, u AS (SELECT grp, count(*) AS n FROM records GROUP BY grp),
+o AS (SELECT seed, grp, n, sum(n) OVER (PARTITION BY seed ORDER BY sha256(seed || ':' || grp)) - n / 2 AS mid, sum(n) OVER (PARTITION BY seed) AS total FROM u, (SELECT unnest([1, 2, 3]) AS seed)),
+b AS (SELECT seed, grp, CASE WHEN mid < 0.7 * total THEN 'train' WHEN mid < 0.7 * total + (total - 0.7 * total) * 0.5 THEN 'val' ELSE 'test' END AS part FROM o),
+p AS (SELECT seed, part, record, grp, donor, acceptor FROM records JOIN b USING (grp)),
+wd AS (SELECT seed, donor FROM p GROUP BY ALL HAVING count(*) FILTER (WHERE part = 'train') < 5), wa AS (SELECT seed, acceptor FROM p GROUP BY ALL HAVING count(*) FILTER (WHERE part = 'train') < 5),
+w AS (SELECT seed, grp FROM p JOIN wd USING (seed, donor) UNION SELECT seed, grp FROM p JOIN wa USING (seed, acceptor)),
+f AS (SELECT p.seed, record, CASE WHEN w.grp IS NOT NULL THEN 'train' ELSE part END AS partition FROM p LEFT JOIN w ON p.seed = w.seed AND p.grp = w.grp),
+l AS (SELECT seed, round(abs(count(*) FILTER (WHERE partition = 'train') / count(*) - 0.7) + abs(count(*) FILTER (WHERE partition = 'val') / count(*) - 0.15) + abs(count(*) FILTER (WHERE partition = 'test') / count(*) - 0.15), 12) AS gap FROM f GROUP BY seed)
+SELECT record, partition, seed FROM f WHERE seed = (SELECT seed FROM l ORDER BY gap, seed LIMIT 1)"""
+
+
+@add("x4_pair_cold", X4_SWEEP)
 def _(spark, sf):
     """Pair-cold split over a seed sweep: units are the key pairs."""
     r = _rows(spark, sf).withColumn("unit", F.col("grp")).select("record", "unit", "donor", "acceptor", "group_weight")
