@@ -93,13 +93,17 @@ def multiplicity_arrays(units: DataFrame, key: str, replicates: int, seed: int)
     long = multiplicities(units, key, replicates, seed)
     kind = long.schema[key].dataType.simpleString()
 
-    def packed(table: pa.Table) -> pa.Table:
-        """One unit: at most a row for each replicate."""
-        drawn = np.zeros(replicates, np.uint16)
-        drawn[table["b"].to_numpy()] = table["m"].to_numpy()
-        return pa.table([table["key"][:1], pa.array([drawn.tobytes()], pa.binary())], names=["key", "drawn"])
-
-    return long.select(F.col(key).alias("key"), "b", "m").groupBy("key").applyInArrow(packed, f"key {kind}, drawn binary").withColumnRenamed("key", key)
+    def packed(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                b, m = part["b"], part["m"]
+                drawn = np.zeros((part.num_rows, replicates), np.uint16)
+                drawn[np.repeat(np.arange(part.num_rows), b.value_lengths().to_numpy()), b.flatten().to_numpy()] = m.flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([part["key"], pa.array([row.tobytes() for row in drawn], pa.binary())], names=["key", "drawn"])
+
+    listed = long.groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct("b", "m")).alias("x"))  # at most an entry for each replicate
+    return listed.select("key", "x.b", "x.m").mapInArrow(packed, f"key {kind}, drawn binary").withColumnRenamed("key", key)
 
 
 def crossed_interval(df: DataFrame, first: str, second: str, value: str, replicates: int = 200, seed: int = 42, redraws: int = 20) -> DataFrame:
