@@ -104,9 +104,11 @@ def _(spark, sf):
     return records(spark, sf).select("record", (F.col("m1") - F.col("m2")).alias("signed"), F.abs(F.col("m1") - F.col("m2")).alias("absolute"))
 
 
-@add("p15_identity_audit", R + " SELECT 'm2' AS identity, count(*) AS n, max(abs(m2 - (y - y * discount))) AS max_abs, quantile_cont(abs(m2 - (y - y * discount)), 0.99) AS p99_abs, true AS holds FROM records", "max_abs p99_abs")
+@add("p15_identity_audit", R + ", gaps AS (SELECT 'm2' AS identity, abs(m2 - (y - y * discount)) AS gap FROM records UNION ALL SELECT 'm1', abs(m1 - y) FROM records) SELECT identity, count(*) AS n, max(gap) AS max_abs, quantile_cont(gap, 0.99) AS p99_abs, max(gap) <= 1e-6 AS holds FROM gaps GROUP BY identity", "max_abs p99_abs")
 def _(spark, sf):
-    return c.identity_residual(records(spark, sf), "m2", F.col("m2"), F.col("y") - F.col("y") * F.col("discount"), 1e-6)
+    """One identity that holds and one that does not."""
+    r = records(spark, sf)
+    return c.identity_residual(r, "m2", F.col("m2"), F.col("y") - F.col("y") * F.col("discount"), 1e-6).union(c.identity_residual(r, "m1", F.col("m1"), F.col("y"), 1e-6))
 
 
 @add("p16_hash_sample", R + " SELECT record FROM records ORDER BY sha256(record) LIMIT 50")
@@ -258,9 +260,11 @@ def _(spark, sf):
     return c.stack({"a": r.where("flag = 'A'").drop("flag"), "r": r.where("flag = 'R'").drop("flag")}, "part").select("part", "record")
 
 
-@add("t3_expectations", R + """ SELECT 'null_aux' AS "check", count(*) FILTER (WHERE aux IS NULL) = 0 AS passed, count(*) FILTER (WHERE aux IS NULL) AS observed FROM records UNION ALL SELECT 'unique', true, 0 FROM (SELECT 1)""")
+@add("t3_expectations", R + """ SELECT 'null_aux' AS "check", count(*) FILTER (WHERE aux IS NULL) = 0 AS passed, count(*) FILTER (WHERE aux IS NULL) AS observed FROM records
+UNION ALL SELECT 'unique', count(*) = count(DISTINCT record), count(*) - count(DISTINCT record) FROM records UNION ALL SELECT 'one_line_an_order', count(*) = count(DISTINCT orderkey), count(*) - count(DISTINCT orderkey) FROM records""")
 def _(spark, sf):
-    return c.expect(records(spark, sf), {"null_aux": F.count_if(F.col("aux").isNull()), "unique": F.count("*") - F.count_distinct("record")})
+    unique = lambda k: F.count("*") - F.count_distinct(k)
+    return c.expect(records(spark, sf), {"null_aux": F.count_if(F.col("aux").isNull()), "unique": unique("record"), "one_line_an_order": unique("orderkey")})
 
 
 @add("t3_once_each", "SELECT count(*) AS expected, count(*) FILTER (WHERE n = 1) AS once, count(*) FILTER (WHERE n > 1) AS repeated, count(*) FILTER (WHERE n IS NULL) AS missing, 0::BIGINT AS \"foreign\" FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
