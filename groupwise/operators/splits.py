@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,18 +58,47 @@ def units_only(assigned: DataFrame) -> DataFrame:
     return assigned.select("unit", "n_groups", "n_records", "unit_weight", "forced").distinct()
 
 
-def balance_units(units: DataFrame, seeds: Sequence[int], shares: Sequence[float] = (0.7, 0.15, 0.15)) -> DataFrame:
-    """(seed, unit, partition) for every seed in one job. Free units are put in order of a salted hash; each goes where its midpoint falls in
-    the cumulative shares, train's share first lessened by the forced mass. The record error of a partition is at most one largest unit."""
-    rows = units.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))).withColumn("_h", F.sha2(F.concat_ws(":", F.col("seed").cast("string"), "unit"), 256))
-    totals = units.agg(F.sum("n_records").alias("all_"), F.coalesce(F.sum(F.when(F.col("forced"), F.col("n_records"))), F.lit(0)).alias("forced_"))
-    free = running_sum(rows.where(~F.col("forced")), ["seed"], ["_h"], "n_records", "_c").crossJoin(F.broadcast(totals))  # one row
-    mid, total = F.col("_c") - F.col("n_records") / 2, F.col("all_").cast("double")
+def _cuts(units: DataFrame, seeds: Sequence[int], shares: Sequence[float]) -> list[Row]:
+    """(seed, train_end, val_end): hashes at which train and val end in the order of the salted hash, one row a seed, for stored units.
+
+    Units are not put in order: their records are summed by the first four digits of the hash, and only the units of the two ranges in which the
+    shares fall are summed one by one. Where a range has no unit beyond the share, it ends with the range; null: no unit lies beyond."""
+    free = units.where(~F.col("forced")).select("unit", "n_records", F.explode(F.array(*map(F.lit, seeds))).alias("seed")).withColumn("_h", _order("seed", "unit"))
+    totals = units.agg(F.coalesce(F.sum("n_records"), F.lit(0)).alias("all_"), F.coalesce(F.sum(F.when(F.col("forced"), F.col("n_records"))), F.lit(0)).alias("forced_"))
+    total = F.col("all_").cast("double")
     train = F.greatest(F.lit(0.0), shares[0] * total - F.col("forced_"))
     rest = F.greatest(total - F.col("forced_") - train, F.lit(0.0))
-    val = rest * (shares[1] / (shares[1] + shares[2]))
-    where = F.when(mid < train, "train").when(mid < train + val, "val").otherwise("test")
-    return free.select("seed", "unit", "n_records", "unit_weight", where.alias("partition")).union(rows.where("forced").select("seed", "unit", "n_records", "unit_weight", F.lit("train")))
+    ends = totals.select(F.inline(F.array(F.struct(F.lit("train_end").alias("end"), train.alias("at")), F.struct(F.lit("val_end").alias("end"), (train + rest * (shares[1] / (shares[1] + shares[2]))).alias("at")))))
+    ranges = free.groupBy("seed", F.substring("_h", 1, 4).alias("_r")).agg(F.sum("n_records").alias("n"))
+    ranges = ranges.withColumn("_to", F.sum("n").over(W.partitionBy("seed").orderBy("_r")))  # at most 65,536 rows a seed
+    where = ranges.join(F.broadcast(ends)).where(F.col("_to") >= F.col("at")).groupBy("seed", "end", "at").agg(F.min_by(F.struct("_r", (F.col("_to") - F.col("n")).alias("before")), "_r").alias("x")).select("seed", "end", "at", "x._r", "x.before")
+    inside = free.withColumn("_r", F.substring("_h", 1, 4)).join(F.broadcast(where), ["seed", "_r"])  # two rows a seed
+    run = F.col("before") + F.sum("n_records").over(W.partitionBy("seed", "end").orderBy("_h"))
+    beyond = F.when(run - F.col("n_records") / 2 >= F.col("at"), F.col("_h"))
+    found = inside.select("seed", "end", "_r", beyond.alias("_h")).groupBy("seed", "end").agg(F.coalesce(F.min("_h"), F.concat(F.max("_r"), F.lit("g"))).alias("cut"))
+    return found.groupBy("seed").agg(*[F.max(F.when(F.col("end") == e, F.col("cut"))).alias(e) for e in ("train_end", "val_end")]).collect()
+
+
+def _order(seed: str | Column, unit: str) -> Column:
+    return F.sha2(F.concat_ws(":", (F.col(seed) if isinstance(seed, str) else seed).cast("string"), unit), 256)
+
+
+def _where(hashed: Column, train_end: Column, val_end: Column) -> Column:
+    return F.when(F.coalesce(hashed < train_end, F.lit(True)), "train").when(F.coalesce(hashed < val_end, F.lit(True)), "val").otherwise("test")
+
+
+def balance_units(units: DataFrame, seeds: Sequence[int], shares: Sequence[float] = (0.7, 0.15, 0.15)) -> DataFrame:
+    """(seed, unit, partition) for every seed in one job. Free units are put in order of a salted hash; each goes where its midpoint falls in
+    the cumulative shares, train's share first lessened by the forced mass. The record error of a partition is at most one largest unit.
+
+    Along that order midpoints never fall, so two hashes a seed decide every unit (see _cuts): no unit is sorted or shuffled."""
+    units = stored(units.select("unit", "n_records", "unit_weight", "forced"))
+    cuts = _cuts(units, seeds, shares)
+    ends = {r.seed: r for r in cuts}
+    listed = units.sparkSession.createDataFrame([(s, *((ends[s].train_end, ends[s].val_end) if s in ends else (None, None))) for s in seeds], "seed int, train_end string, val_end string")
+    rows = units.join(F.broadcast(listed))  # one row a seed
+    where = F.when(F.col("forced"), "train").otherwise(_where(_order("seed", "unit"), F.col("train_end"), F.col("val_end")))
+    return rows.select("seed", "unit", "n_records", "unit_weight", where.alias("partition"))
 
 
 def sweep(balanced: DataFrame, shares: Sequence[float] = (0.7, 0.15, 0.15)) -> DataFrame:
@@ -108,22 +137,53 @@ def pair_cold(rows: DataFrame, units: DataFrame, keys: Sequence[str], seeds: Seq
     """(record, partition, seed) of the best seed. rows: with record, unit and keys; units: as of units_only, over the key pairs.
 
     Each seed's balanced split is repaired (see repair_support); the seed whose repaired record shares are nearest to `shares` wins, the smaller
-    one in a tie. All seeds go through the same joins, the seed being a column: of units and of counts per unit and key, never of rows.
-    Rows are read once to count and once at the end."""
-    of_units = [rows.where(F.col(k).isNotNull()).groupBy("unit", F.lit(k).alias("type"), F.col(k).cast("string").alias("key")).agg(F.count("*").alias("n")) for k in keys]
-    held_keys = stored(reduce(DataFrame.union, of_units))
+    one in a tie. Seeds go through the same joins as bits of one number, 60 at a time, so there is one row a record or key and not one for each seed. A unit's partitions follow from its hash (see balance_units); only units that a weak key moves are joined."""
+    units = stored(units.select("unit", "n_records", "forced"))
+    found = [x for k in range(0, len(seeds), 60) for x in _repaired(rows, units, keys, seeds[k : k + 60], shares, least)]
+    _, best, placed = min(found, key=lambda x: x[:2])
+    return placed(rows.select(record, "unit")).select(record, "partition", F.lit(best).alias("seed"))
+
+
+def _repaired(rows: DataFrame, units: DataFrame, keys: Sequence[str], seeds: Sequence[int], shares: Sequence[float], least: int) -> list[tuple]:
+    """(gap, seed, function that gives rows with a unit their partition) of each seed; at most 60 seeds."""
+    ends = {r.seed: r for r in _cuts(units, seeds, shares)}
+    at = lambda s, e: F.lit(ends[s][e] if s in ends else None).cast("string")
+    part = {s: _where(_order(F.lit(s), "unit"), at(s, "train_end"), at(s, "val_end")) for s in seeds}
+    bits = lambda of: sum((F.when(of(s), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, s in enumerate(seeds)), F.lit(0).cast("long"))
+    every = (1 << len(seeds)) - 1
+    forced = units.where("forced").select("unit").distinct()
     sizes = rows.groupBy("unit").agg(F.count("*").alias("n_rows"))
-    state = stored(balance_units(units, seeds, shares).select("seed", "unit", "partition").join(sizes.hint("shuffle_merge"), "unit"))
-    placed = state.join(held_keys.hint("shuffle_merge"), "unit")
-    support = placed.groupBy("seed", "type", "key").agg(F.coalesce(F.sum(F.when(F.col("partition") == "train", F.col("n"))), F.lit(0)).alias("s"))
-    weak = support.where(F.col("s") < least).select("seed", "type", "key")
-    moved = placed.where("partition <> 'train'").join(weak.hint("shuffle_merge"), ["seed", "type", "key"], "left_semi").select("seed", "unit").distinct().withColumn("_w", F.lit(True))
-    fixed = stored(state.join(moved.hint("shuffle_merge"), ["seed", "unit"], "left").withColumn("partition", F.when(F.col("_w"), "train").otherwise(F.col("partition"))).drop("_w"))
-    per = fixed.groupBy("seed").agg(F.sum("n_rows").alias("total"), *[F.coalesce(F.sum(F.when(F.col("partition") == p, F.col("n_rows"))), F.lit(0)).alias(p) for p in PARTS])
-    gap = F.round(sum((F.abs(F.col(p) / F.col("total") - x) for p, x in zip(PARTS, shares, strict=True)), F.lit(0.0)), 12)
-    best = per.agg(F.min_by("seed", F.struct(gap.alias("gap"), "seed")).alias("seed"))
-    chosen = fixed.join(best.hint("broadcast"), "seed").select("unit", "partition", "seed")  # one row
-    return rows.select(record, "unit").join(chosen.hint("shuffle_merge"), "unit").select(record, "partition", "seed")
+    base = rows.select("unit", *keys)
+    train = bits(lambda s: part[s] == "train")
+    any_forced = not forced.isEmpty()
+    if not any_forced:
+        base = base.withColumn("_in", train)
+    else:
+        base = base.join(forced.withColumn("_f", F.lit(True)).hint("shuffle_merge"), "unit", "left").withColumn("_in", F.when(F.col("_f"), F.lit(every).cast("long")).otherwise(train)).drop("_f")
+    base, moved = stored(base), []
+    for k in keys:
+        own = base.where(F.col(k).isNotNull())
+        support = own.groupBy(k).agg(*[F.count_if(F.col("_in").bitwiseAND(F.lit(1 << i)) != 0).alias(f"_s{i}") for i in range(len(seeds))])
+        weak = sum((F.when(F.col(f"_s{i}") < least, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(len(seeds))), F.lit(0).cast("long"))
+        weak = support.select(k, weak.alias("_weak")).where("_weak <> 0")
+        hit = F.col("_weak").bitwiseAND(F.bitwise_not("_in"))
+        moved.append(own.where(F.col("_in") != every).select("unit", k, "_in").join(weak.hint("shuffle_hash"), k).select("unit", hit.alias("_to")).where("_to <> 0"))
+    moved = stored(reduce(DataFrame.unionAll, moved).groupBy("unit").agg(F.bit_or("_to").alias("_to")))
+
+    def final(i: int, s: int) -> Column:
+        return F.when(F.col("_all").bitwiseAND(F.lit(1 << i)) != 0, "train").otherwise(part[s])
+
+    def settled(d: DataFrame) -> DataFrame:
+        """Rows with `_all`: the seeds that place the unit in train whatever its hash says."""
+        out = d.join(moved.hint("shuffle_merge"), "unit", "left").withColumn("_all", F.coalesce("_to", F.lit(0).cast("long"))).drop("_to")
+        if not any_forced:
+            return out
+        return out.join(forced.withColumn("_f", F.lit(True)).hint("shuffle_merge"), "unit", "left").withColumn("_all", F.when(F.col("_f"), F.lit(every).cast("long")).otherwise(F.col("_all"))).drop("_f")
+
+    each = settled(sizes).agg(F.sum("n_rows").alias("total"), *[F.coalesce(F.sum(F.when(final(i, s) == p, F.col("n_rows"))), F.lit(0)).alias(f"{p}{i}") for i, s in enumerate(seeds) for p in PARTS])
+    gap = lambda i: F.round(sum((F.abs(F.col(f"{p}{i}") / F.col("total") - x) for p, x in zip(PARTS, shares, strict=True)), F.lit(0.0)), 12)
+    gaps = each.select(*[gap(i).alias(f"g{i}") for i in range(len(seeds))]).first()  # one number a seed
+    return [(g, s, lambda d, i=i, s=s: settled(d).withColumn("partition", final(i, s)).drop("_all")) for i, (g, s) in enumerate(zip(gaps, seeds, strict=True))]
 
 
 def _salted(seed: str, name: str, key: str) -> Column:
@@ -214,7 +274,7 @@ def both_cold(
     units = core.select(F.col("g").alias("unit"), F.lit(1).cast("long").alias("n_groups"), F.col("all_").alias("n_records"), F.lit(1.0).alias("unit_weight"), F.lit(False).alias("forced"))
     if forced:
         units = units.drop("forced").join(rows.groupBy(F.col("g").alias("unit")).agg(F.bool_or("locked").alias("forced")), "unit").select("unit", "n_groups", "n_records", "unit_weight", "forced")
-    inner = balance_units(stored(units), [best.seed], (*core_shares, 0.0)).select(F.col("unit").alias("g"), F.col("partition").alias("part"))
+    inner = balance_units(units, [best.seed], (*core_shares, 0.0)).select(F.col("unit").alias("g"), F.col("partition").alias("part"))
     parts = stored(outside.union(inner))
     out = stored(rows.join(parts.hint("shuffle_hash"), "g").select(record, F.col("part").alias("partition")))
     if least_split:

@@ -95,9 +95,9 @@ SELECT record, partition, seed FROM f WHERE seed = (SELECT seed FROM l ORDER BY
 @add("x4_pair_cold", X4_SWEEP)
 def _(spark, sf):
     """Pair-cold split over a seed sweep: units are the key pairs."""
-    r = _rows(spark, sf).withColumn("unit", F.col("grp")).select("record", "unit", "donor", "acceptor", "group_weight")
-    units = r.groupBy("unit").agg(F.lit(1).cast("long").alias("n_groups"), F.count("*").alias("n_records"), F.sum("group_weight").alias("unit_weight"), F.lit(False).alias("forced"))
-    return splits.pair_cold(stored(r), stored(units), ["donor", "acceptor"], [1, 2, 3], "record").select("record", "partition", "seed")
+    r = stored(records(spark, sf).select("record", F.col("grp").alias("unit"), "donor", "acceptor"))
+    units = r.groupBy("unit").agg(F.count("*").alias("n_records"), F.lit(False).alias("forced"))
+    return splits.pair_cold(r, units, ["donor", "acceptor"], [1, 2, 3], "record").select("record", "partition", "seed")
 
 
 #: Numbers of held-out keys and seeds of the registered query, and its gates (the test tables are small).
