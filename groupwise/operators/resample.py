@@ -24,13 +24,15 @@ def numbered(units: DataFrame, key: str) -> DataFrame:
 
 
 def multiplicities(units: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """(b, key, m) for the units drawn at least once; n draws a replicate."""
+    """(b, key, m) for the units drawn at least once; n draws a replicate. The draws are made in the tasks, a row each, and meet the units by the one
+    shuffle that counts them."""
     named = stored(numbered(units.select(key).distinct(), key))
     n = named.count()
     if not n:
         return named.select(F.lit(0).cast("long").alias("b"), key, F.lit(0).cast("long").alias("m"))
-    slots = named.sparkSession.range(replicates).withColumnRenamed("id", "b").repartition(min(replicates, 64), "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("slot"))
-    drawn = slots.select("b", draw(F.lit(n), seed, F.col("b"), F.col("slot")).alias("idx")).groupBy("b", "idx").agg(F.count("*").alias("m"))
+    tasks = max(named.sparkSession.sparkContext.defaultParallelism, -(-replicates * n // 2_000_000))
+    slots = named.sparkSession.range(0, replicates * n, 1, tasks).select(F.expr(f"id div {n}").alias("b"), F.expr(f"id % {n}").alias("slot"))
+    drawn = slots.select("b", draw(F.lit(n), seed, F.col("b"), F.col("slot")).alias("idx")).repartition("idx").groupBy("b", "idx").agg(F.count("*").alias("m"))
     return drawn.join(named.hint("shuffle_hash"), "idx").select("b", key, "m")
 
 
