@@ -15,7 +15,8 @@ part that its own texts can reach:
 1. each block lists its distinct n-grams as sorted 64-bit hashes with their training counts, cut by hash range into `fan` pieces;
 2. `fan` blocks' pieces of one range meet and are added up; with more than `fan` blocks the sums are cut again and meet those of
    other groups, and so on, until one list per range is global. Answers go back down the same tree, in the order of each list;
-3. each block builds states, arcs and failure arcs from its counts, and its texts traverse them.
+3. each block builds states, arcs and failure arcs from its counts, and its texts traverse them, `part_tokens` tokens of texts at a time:
+   an automaton takes many times the memory of its texts.
 An n-gram is in a list at most once, so frequent ones make no hot group. Each block takes part in `fan` rows a level of the tree,
 which has log(blocks) / log(fan) levels; a group's memory follows the block size alone.
 
@@ -26,6 +27,7 @@ every token is unknown.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -175,6 +177,38 @@ class Automaton:
         return np.bincount(of[by], cost, len(lengths))
 
 
+def distinct(grams: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, with one copy of the array beside them."""
+    grams = np.sort(grams)
+    first = np.ones(len(grams), bool)
+    first[1:] = grams[1:] != grams[:-1]
+    return grams[first]
+
+
+def token_parts(tokens: np.ndarray, lengths: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts in order, cut into parts of about `most` tokens; a longer text is a part of its own."""
+    ends, start = np.cumsum(lengths), 0
+    while start < len(lengths):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield tokens[before : ends[end - 1]], lengths[start:end]
+        start = end
+
+
+def scored_part(
+    tokens: np.ndarray, lengths: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], texts: int, total: int, types: int, add: float, prior: float, run: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n_known, base_score and score of some texts of a block, by the automaton that these texts can reach; lists: the block's n-grams by level, with counts."""
+    levels = []
+    for grams, (keys, counts) in zip(gram_hashes(tokens, lengths, len(lists)), lists, strict=True):
+        own, where, at = np.unique(grams, return_index=True, return_inverse=True)
+        levels.append(Grams(where, at, counts[np.searchsorted(keys, own)].astype(np.float64)))
+    machine = Automaton(lengths, levels, texts, total, types, add, prior)
+    first = np.cumsum(lengths) - lengths
+    known = np.add.reduceat((levels[0].counts > 0).astype(np.int64)[machine.word], first)
+    return known, np.add.reduceat(machine.root_cost[machine.word], first), machine.traverse(lengths, run)
+
+
 def planes(numbers: np.ndarray) -> bytes:
     """64-bit numbers by byte planes: the upper planes of small numbers are zero and compress away."""
     return numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -284,6 +318,7 @@ def lm_scores(
     block_chars: int = 1 << 24,
     fan: int = 512,
     run: int = 4096,
+    part_tokens: int = 1 << 18,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; rows with held_out true are not learned from."""
     held_out = F.lit(False) if held_out is None else held_out
@@ -310,16 +345,11 @@ def lm_scores(
     def score(table: pa.Table, given: pa.Table) -> pa.Table:
         tokens, lengths = block_tokens(table)
         got = given.sort_by([("level", "ascending"), ("piece", "ascending")])
-        level, data, levels = got["level"].to_numpy(), got["counts"], []
+        level, data, lists = got["level"].to_numpy(), got["counts"], []
         for j, grams in enumerate(gram_hashes(tokens, lengths, order)):
-            _, where, at = np.unique(grams, return_index=True, return_inverse=True)
-            counts = np.concatenate([from_planes(data[int(k)].as_py()) for k in np.flatnonzero(level == j)])
-            levels.append(Grams(where, at, counts.astype(np.float64)))
-        machine = Automaton(lengths, levels, texts, total, types, add, prior)
-        first = np.cumsum(lengths) - lengths
-        known = np.add.reduceat((levels[0].counts > 0).astype(np.int64)[machine.word], first)
-        base = np.add.reduceat(machine.root_cost[machine.word], first)
-        made = [table["id"], table["held_out"], pa.array(lengths), pa.array(known), pa.array(base), pa.array(machine.traverse(lengths, run))]
+            lists.append((distinct(grams), np.concatenate([from_planes(data[int(k)].as_py()) for k in np.flatnonzero(level == j)])))
+        parts = [scored_part(t, n, lists, texts, total, types, add, prior, run) for t, n in token_parts(tokens, lengths, part_tokens)]
+        made = [table["id"], table["held_out"], pa.array(lengths), *[pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]]
         return pa.table(made, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     asked = answers.select("level", "piece", "block", "counts").groupBy("block")
