@@ -13,7 +13,8 @@ their sets, so no link is below `least`.
 
 Cells are not paired as they are: each node is first compared with its cell's smallest node, then (where a cell still holds
 several components) with one drawn per cell, and only pairs of different components are left for the full join. Pairs inside
-a component cannot change it, so these steps lose nothing, and a large group of copies costs linear work. Nodes of a cell with over `dense` of
+a component cannot change it, so these steps lose nothing, and a large group of copies costs linear work. Each step makes the sets of
+its own pairs from their texts and deletes them: a text's set is larger than the text, and most texts are in no pair. Nodes of a cell with over `dense` of
 them still apart (texts that share a common passage, which decides their fingerprints in this view) are not paired by cells but, all
 of them together, by an exact prefix join: with shingles in order from rare to frequent, two sets at `least` or more share one of the first
 n - ceil(least n) + 1 of either, and a passage that very many share comes last. So in crowded cells no link is lost at all; the only
@@ -33,6 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groupwise.storage import drop_tables, mark
+
 from .common import by_bytes, join_counted, keep, split_words
 from .near_dedup import cells_for, components, grid_places, unary_counts, within
 
@@ -111,11 +114,11 @@ def row_hashes(docs: DataFrame) -> list[Column]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (src, dst; a written table) whose sets have a Jaccard similarity of `least` or more; a set in very many pairs goes to no single task."""
+    """The pairs (src, dst; a written table) whose sets have a Jaccard similarity of `least` or more; a set in very many pairs goes to no single task.
+    sets: (node, s, src_pairs, dst_pairs), a written table with the sets of these pairs and in how many of them each is."""
 
     def with_set(some: DataFrame, end: str, name: str) -> DataFrame:
-        wanted = pairs.groupBy(end).agg(F.count("*").alias("n_pairs"))
-        found = sets.withColumnRenamed("node", end).withColumnRenamed("s", name).join(wanted.hint("shuffle_merge"), end)
+        found = sets.where(f"{end}_pairs > 0").select(F.col("node").alias(end), F.col("s").alias(name), F.col(f"{end}_pairs").alias("n_pairs"))
         return join_counted(some, found, end, "n_pairs", deal=F.xxhash64("src", "dst")).drop("n_pairs")
 
     both = with_set(with_set(pairs, "src", "s1"), "dst", "s2")
@@ -191,8 +194,9 @@ def near_copies(
             for part in by_bytes(batch, "text"):
                 starts, sets = shingle_sets(part["text"], shingle)
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([names(starts, sets), lists], names=["name", "s"])
+                yield pa.RecordBatch.from_arrays([part["node"], lists, *[part[c] for c in counts]], names=["node", "s", *counts])
 
+    counts = ("src_pairs", "dst_pairs")
     source = docs.select(*row_hashes(docs), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     drawn = keep(source.mapInArrow(sketch, "h1 long, h2 long, id long, node binary, n long, fps array<long>"))
     named = drawn.groupBy(F.col("node").alias("name")).agg(F.min(F.struct("h1", "h2")).alias("row"), F.first("n").alias("n"), F.first("fps").alias("fps"), F.count("*").alias("rows"))
@@ -202,10 +206,25 @@ def near_copies(
     placed = seen.select("node", "n", "fp", "view", F.inline(grid_places(cells, max_bits))).withColumn("code", F.xxhash64("view", "grid", "cell")).select("node", "n", "fp", "code")
     hubs = keep(placed.groupBy("code").agg(F.min(F.struct("node", "n", "fp")).alias("hub"), F.count("*").alias("many")).where("many > 1"))
     shared = keep(join_counted(placed, hubs, "code", "many", deal=F.col("node")).drop("many"))
-    wanted = nodes.join(shared.select("node").distinct().hint("shuffle_hash"), "node", "left_semi").select("row.h1", "row.h2")
-    texts = source.join(wanted.hint("shuffle_hash"), ["h1", "h2"], "left_semi").select("text")
-    found_sets = texts.mapInArrow(contents, "name binary, s array<long>").dropDuplicates(["name"])
-    sets = keep(found_sets.join(nodes.select("name", "node").hint("shuffle_hash"), "name").select("node", "s"))
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        """(node, s, src_pairs, dst_pairs), written: the sets of the nodes in `asked` (node, src_pairs, dst_pairs) alone, made from their texts again. Only
+        texts that are asked for are shuffled, while up to `broadcast_rows` are; then all of them, but no set is."""
+        wanted = keep(nodes.select("node", "row.h1", "row.h2").join(asked.hint("shuffle_hash"), "node"))
+        small = wanted.count() <= broadcast_rows
+        found = source.select("h1", "h2", "text").join(wanted.hint("broadcast" if small else "shuffle_hash"), ["h1", "h2"])
+        once = found.dropDuplicates(["h1", "h2"]).select("node", "text", *counts)  # rows that are equal in all columns
+        return keep(once.mapInArrow(contents, "node long, s array<long>, src_pairs long, dst_pairs long"))
+
+    def verify(pairs: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """Those of the pairs that are alike, written after the edges found before; the sets are deleted."""
+        since = mark()
+        pairs = keep(pairs)
+        ends = pairs.select(F.inline(F.array(*[F.struct(F.col(end).alias("node"), *[F.lit(int(c == f"{end}_pairs")).cast("long").alias(c) for c in counts]) for end in ("src", "dst")])))
+        found = verified(pairs, sets_of(ends.groupBy("node").agg(*[F.sum(c).alias(c) for c in counts])), least)
+        out = keep(found if before is None else before.union(found))
+        drop_tables(docs.sparkSession, since, spare=1)
+        return out
 
     def alike(a: str, b: str) -> Column:
         """What two members of a cell must pass before their sets are compared: sizes, Manhattan distance of counts, Hamming distance."""
@@ -225,21 +244,24 @@ def near_copies(
         held = known.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many"))
         return keep(join_counted(known, held.where("lo <> hi").select("code", "many"), "code", "many"))
 
-    edges = keep(verified(keep(to_hub(shared)), sets, least))
+    edges = verify(to_hub(shared))
     rest = still_apart(shared, components(edges)).drop("many")
     drawn_hub = F.min(F.struct(F.xxhash64("code", "node"), "node", "n", "fp", "root")).alias("hub")
     second = rest.groupBy("code").agg(drawn_hub, F.count("*").alias("many"))
     others = join_counted(rest, second, "code", "many").where(F.col("root") != F.col("hub.root"))
-    edges = keep(edges.union(verified(keep(to_hub(others)), sets, least)))
+    edges = verify(to_hub(others), edges)
     rest = still_apart(rest.drop("root"), components(edges))
     few = rest.where(F.col("many") <= dense)
     a, b = few.alias("a"), few.alias("b").hint("shuffle_merge")
     meet = (F.col("a.code") == F.col("b.code")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & alike("a", "b")
     met = a.join(b, meet).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
     crowd = keep(rest.where(F.col("many") > dense).select("node", "root").distinct())
+    since = mark()
+    sets = sets_of(crowd.select("node", *[F.lit(0).cast("long").alias(c) for c in counts]))
     how = "broadcast" if crowd.count() <= broadcast_rows else "shuffle_merge"
     pairs = keep(met.union(by_prefixes(sets.join(crowd.hint(how), "node"), least)).distinct())
-    found = components(edges.union(verified(pairs, sets, least)))
+    drop_tables(docs.sparkSession, since, spare=1)
+    found = components(verify(pairs, edges))
     roots = nodes.select("name", "node", "rows").join(found.hint("shuffle_merge"), "node", "left").select(F.col("name").alias("node"), "rows", F.coalesce("root", "node").alias("component"))
     return join_counted(drawn, keep(roots), "node", "rows").select("h1", "h2", "id", "component")
 

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
+from groupwise.llm import near_copies as near_copies_module
 from groupwise.llm.near_copies import near_copies, shingle_sets
 
 
@@ -100,3 +101,25 @@ def test_pairs_at_the_bound_in_crowded_cells(spark):
         component = {r.id: r.component for r in near_copies(docs, dense=dense, broadcast_rows=0 if dense == 4 else 10**6).collect()}
         assert sum(component[2 * k] == component[2 * k + 1] for k in range(pairs)) >= 0.99 * pairs
         assert len(set(component.values())) >= pairs
+
+
+def test_sets_are_made_only_for_texts_in_pairs(spark, monkeypatch):
+    """Two copies with one word changed among 300 unrelated texts: no table holds the sets of the others, which all share cells by chance."""
+    rng, rows = random.Random(5), []
+    for i in range(300):
+        rows.append((i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))))
+    rows.append((300, rows[7][1].replace(rows[7][1].split()[0], "other")))
+    made = []
+
+    def keep(df):
+        out = near_copies_module.stored(df)
+        if "s" in out.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies_module, "stored", near_copies_module.keep, raising=False)
+    monkeypatch.setattr(near_copies_module, "keep", keep)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    component = {r.id: r.component for r in near_copies(docs).collect()}
+    assert component[7] == component[300] and len(set(component.values())) == 300
+    assert sum(made) < 100
