@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -151,10 +152,14 @@ def union_ledgers(*ledgers: DataFrame) -> DataFrame:
     return out
 
 
-def write_edge_store(edges: DataFrame, path: str, record: str, shards: int) -> DataFrame:
-    """Edges dealt by record and sorted inside, written once; (shard, n, digest) of what is there."""
+def write_edge_store(edges: DataFrame, path: str, record: str, shards: int, file_rows: int = 1 << 19) -> DataFrame:
+    """Edges dealt by record and sorted inside, written once; (shard, n, digest) of what is there. A shard has as many files as it has times
+    `file_rows` edges, so that a task sorts about that many whatever the size of the store; a record is in one file."""
     shard = F.pmod(F.xxhash64(record), F.lit(shards)).cast("int")
-    edges.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", record, "dst", "src").write.partitionBy("shard").mode("errorifexists").parquet(path)
+    files = max(1, math.ceil(edges.count() / shards / file_rows))
+    piece = F.pmod(F.xxhash64(F.lit(1), record), F.lit(files)).cast("int")
+    dealt = edges.withColumn("shard", shard).repartitionById(shards * files, F.col("shard") * files + piece)
+    dealt.sortWithinPartitions("shard", record, "dst", "src").write.partitionBy("shard").mode("errorifexists").parquet(path)
     return edges.sparkSession.read.parquet(path).groupBy("shard").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(record, "dst", "src", "dist")).alias("digest"))
 
 
