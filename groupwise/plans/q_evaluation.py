@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from groupwise.operators import candidates, conformal, metrics, models, resample
+from groupwise.operators import candidates, conformal, metrics, models, resample, stats
 from groupwise.storage import stored
 
 from .bindings import PREDICTIONS_SQL, RECORDS_SQL, predictions, records, table
@@ -168,9 +168,9 @@ def _(spark, sf):
 
 @add("a41_skill", P + ", m AS (SELECT model, avg(abs_err) AS mae, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iqr FROM predictions GROUP BY model) SELECT a.model, a.mae, 1 - a.mae / b.mae AS skill, a.mae - b.mae AS degradation, a.mae / b.mae AS ratio, a.mae / a.iqr AS iqr_normalized FROM m a, m b WHERE b.model = 'm2'", "mae skill degradation ratio iqr_normalized")
 def _(spark, sf):
-    quartile = lambda p: F.percentile("y", F.lit(p))
-    m = predictions(spark, sf).groupBy("model").agg(F.avg("abs_err").alias("mae"), (quartile(0.75) - quartile(0.25)).alias("iqr"))
-    return metrics.skill(m, "model", "m2", "mae", iqr="iqr")
+    p = predictions(spark, sf)
+    m = stats.with_quantiles(p.groupBy("model").agg(F.avg("abs_err").alias("mae")), p, {"_lo": (F.col("y"), 0.25), "_hi": (F.col("y"), 0.75)}, ["model"])
+    return metrics.skill(m.withColumn("iqr", F.col("_hi") - F.col("_lo")), "model", "m2", "mae", iqr="iqr")
 
 
 A46 = IDS + ", t AS (SELECT a.donor, a.n AS sim, a.n_groups AS size, round(a.y_max - a.y_min + 1.2345678912e-7, 6) AS target_range, round(b.mae + 1.2345678912e-7, 6) AS mae, round(a.mae - b.mae + 1.2345678912e-7, 6) AS d FROM ids a JOIN ids b ON a.donor = b.donor AND a.model = 'm2' AND b.model = 'm1')"

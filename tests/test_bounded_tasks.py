@@ -3,6 +3,7 @@
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from groupwise.plans import catalog
 from groupwise.sources.readers import write_edge_store
 
 
@@ -17,3 +18,8 @@ def test_a_shard_has_files_by_its_edges(spark, tmp_path):
         assert rows == sorted(rows) and len(rows) <= 500
         seen += set(table["record"])
     assert len(seen) == len(set(seen)) == 400
+
+
+def test_quartiles_of_a_model_are_in_no_single_task(spark):
+    plan = catalog.QUERIES["a41_skill"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan
