@@ -50,9 +50,9 @@ def segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[Segment]:
     """All maximal-scoring segments, in one pass; at: places of the tokens with a feature, score: their log-odds; all tokens cost drift.
 
     A list of candidates is kept, each with the running sum before (low) and after (high) it. A new positive token joins back to the
-    last candidate that began lower and ended lower than it, if there is one; each candidate is merged or left behind once.
+    last candidate that began as low or lower and ended lower than it, if there is one (of equal sums the leftmost segment counts); each candidate is merged or left behind once.
     """
-    out: list[list[float]] = []  # low, high, start, end, index of the nearest earlier candidate with a smaller low
+    out: list[list[float]] = []  # low, high, start, end, index of the nearest earlier candidate with as small a low or a smaller one
     total, past = 0.0, -1
     for place, s in zip(at.tolist(), score.tolist(), strict=True):
         total -= drift * (place - past - 1)
@@ -62,7 +62,7 @@ def segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[Segment]:
             continue
         begin, high, k = place, total, len(out) - 1
         while True:
-            while k >= 0 and out[k][0] >= low:
+            while k >= 0 and out[k][0] > low:
                 k = int(out[k][4])
             if k < 0 or out[k][1] >= high:
                 break

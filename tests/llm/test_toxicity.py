@@ -58,3 +58,10 @@ def test_odd_rows(spark):
     assert toxicity(spark, docs.limit(0), labels).count() == 0
     assert {r.score for r in toxicity(spark, docs, labels.limit(0)).collect()} == {0.5}
     assert score_texts(docs, Model({}, (4,), 0.2)).columns == ["doc_id", "text", "score", "n_passages", "evidence"]
+
+
+def test_equal_sums_join_to_the_leftmost_segment():
+    """3, 0, 0, 0 is worth nothing at a drift of 0.75, so 5 alone is worth as much as all five, which begin further left."""
+    for values, expected in (([3, 0, 0, 0, 5], [(0, 5)]), ([3, 0, 0, 0, 3], [(0, 1), (4, 5)]), ([0, 3, 0, 0, 0, 3, 5], [(1, 7)])):
+        at = np.flatnonzero(values)
+        assert [(s.start, s.end) for s in segments(at, np.array(values, float)[at], 0.75)] == expected == [(a, b) for a, b, _ in plain_segments([v - 0.75 for v in values])]
