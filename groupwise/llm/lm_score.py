@@ -12,7 +12,7 @@ pieces; a piece first reads the order - 1 tokens before it, after which its stat
 
 The automaton of a large corpus fits no machine, so each block of documents (a hash of id and text; sized by characters) builds the
 part that its own texts can reach:
-1. each block lists its distinct n-grams as sorted 64-bit hashes with their training counts, cut by hash range into `fan` pieces;
+1. each block reads its texts batch by batch, keeps their tokens alone and lists its distinct n-grams, level by level, as sorted 64-bit hashes with their training counts, cut by hash range into `fan` pieces;
 2. `fan` blocks' pieces of one range meet and are added up; with more than `fan` blocks the sums are cut again and meet those of
    other groups, and so on, until one list per range is global. Answers go back down the same tree, in the order of each list;
 3. each block builds states, arcs and failure arcs from its counts, and its texts traverse them, `part_tokens` tokens of texts at a time:
@@ -71,16 +71,23 @@ def block_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def gram_hashes(tokens: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
-    """levels[j][i]: hash of the n-gram of up to j + 1 tokens that ends at token i; contexts stop at the begin token."""
+def gram_levels(tokens: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """Level j, entry i: hash of the n-gram of up to j + 1 tokens that ends at token i; contexts stop at the begin token."""
     first = np.zeros(len(tokens), bool)
     first[np.cumsum(lengths) - lengths] = True
-    levels = [tokens]
+    level = tokens
+    yield level
     for _ in range(order - 1):
-        before = np.concatenate([[BEGIN], levels[-1][:-1]])
+        before = np.concatenate([[BEGIN], level[:-1]])
         before[first] = BEGIN
-        levels.append(mixed(before, tokens))
-    return levels
+        level = mixed(before, tokens)
+        del before
+        yield level
+
+
+def gram_hashes(tokens: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
+    """All levels of gram_levels."""
+    return list(gram_levels(tokens, lengths, order))
 
 
 @dataclass
@@ -185,6 +192,18 @@ def distinct(grams: np.ndarray) -> np.ndarray:
     return grams[first]
 
 
+def counted_keys(grams: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and how often each stands where train is true."""
+    learned = np.sort(grams[train])
+    starts = np.flatnonzero(np.append(True, learned[1:] != learned[:-1])[: len(learned)])
+    values, many = learned[starts], np.diff(starts, append=len(learned))
+    del learned
+    keys = distinct(grams)
+    counts = np.zeros(len(keys), np.int64)
+    counts[np.searchsorted(keys, values)] = many
+    return keys, counts
+
+
 def token_parts(tokens: np.ndarray, lengths: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The texts in order, cut into parts of about `most` tokens; a longer text is a part of its own."""
     ends, start = np.cumsum(lengths), 0
@@ -329,14 +348,20 @@ def lm_scores(
     fan = max(2, min(fan, blocks))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
 
-    def ask(table: pa.Table) -> pa.Table:
-        tokens, lengths = block_tokens(table)
-        train, block = np.repeat(~table["held_out"].to_numpy(), lengths), table["block"][0].as_py()
-        out = []
-        for level, grams in enumerate(gram_hashes(tokens, lengths, order)):
-            keys, at = np.unique(grams, return_inverse=True)
-            out += requests(level, block // fan, block, keys, np.bincount(at, train, len(keys)), fan)
-        return as_table(out)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's requests, level by level; of its texts only the tokens are held."""
+        parts, block = [], 0
+        for batch in batches:
+            block = batch["block"][0].as_py() if batch.num_rows else block
+            for part in by_bytes(batch, "text"):
+                parts.append((*token_hashes(part["text"]), ~part["held_out"].to_numpy(zero_copy_only=False)))
+        tokens, lengths, train = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        del parts
+        train = np.repeat(train, lengths)
+        for level, grams in enumerate(gram_levels(tokens, lengths, order)):
+            keys, counts = counted_keys(grams, train)
+            for row in requests(level, block // fan, block, keys, counts, fan):
+                yield from as_table([row]).to_batches()
 
     answers = summed_answers(rows.groupBy("block").applyInArrow(ask, REQUEST), blocks, fan).withColumnRenamed("sender", "block")
     sums = answers.where("level = 0").agg(F.sum("types"), F.sum("tokens"), F.sum("texts")).first()
@@ -344,10 +369,10 @@ def lm_scores(
 
     def score(table: pa.Table, given: pa.Table) -> pa.Table:
         tokens, lengths = block_tokens(table)
-        got = given.sort_by([("level", "ascending"), ("piece", "ascending")])
-        level, data, lists = got["level"].to_numpy(), got["counts"], []
-        for j, grams in enumerate(gram_hashes(tokens, lengths, order)):
-            lists.append((distinct(grams), np.concatenate([from_planes(data[int(k)].as_py()) for k in np.flatnonzero(level == j)])))
+        level, piece, data, lists = given["level"].to_numpy(), given["piece"].to_numpy(), given["counts"], []
+        by_piece = np.argsort(piece, kind="stable")
+        for j, grams in enumerate(gram_levels(tokens, lengths, order)):
+            lists.append((distinct(grams), np.concatenate([from_planes(data[int(k)].as_py()) for k in by_piece[level[by_piece] == j]])))
         parts = [scored_part(t, n, lists, texts, total, types, add, prior, run) for t, n in token_parts(tokens, lengths, part_tokens)]
         made = [table["id"], table["held_out"], pa.array(lengths), *[pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]]
         return pa.table(made, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
