@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,11 +67,6 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def block_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    parts = [token_hashes(p["text"]) for p in by_bytes(table, "text")]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-
-
 def gram_levels(tokens: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """Level j, entry i: hash of the n-gram of up to j + 1 tokens that ends at token i; contexts stop at the begin token."""
     first = np.zeros(len(tokens), bool)
@@ -214,6 +210,28 @@ def token_parts(tokens: np.ndarray, lengths: np.ndarray, most: int) -> Iterator[
         start = end
 
 
+def block_keys(tokens: np.ndarray, lengths: np.ndarray, level: int, most: int, train: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct n-grams of a level, and how often each stands in texts where train is true: `most` tokens' n-grams at a time are put into the
+    list, so beside the tokens and the list memory follows a part."""
+    keys, counts, done = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    for part, sizes in token_parts(tokens, lengths, most):
+        for grams in gram_levels(part, sizes, level + 1):
+            pass
+        if train is None:
+            own, many = distinct(grams), None
+        else:
+            own, many = counted_keys(grams, np.repeat(train[done : done + len(sizes)], sizes))
+        done += len(sizes)
+        at = np.searchsorted(keys, own)
+        old = at < len(keys)
+        old[old] = keys[at[old]] == own[old]
+        if train is not None:
+            counts[at[old]] += many[old]
+            counts = np.insert(counts, at[~old], many[~old])
+        keys = np.insert(keys, at[~old], own[~old])
+    return keys, counts
+
+
 def scored_part(
     tokens: np.ndarray, lengths: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], texts: int, total: int, types: int, add: float, prior: float, run: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,13 +268,17 @@ REQUEST = "level int, span long, piece long, sender long, keys binary, counts bi
 ANSWER = "level int, piece long, sender long, counts binary, types long, tokens long, texts long"
 
 
-def requests(level: int, span: int, sender: int, keys: np.ndarray, counts: np.ndarray, pieces: int) -> list[tuple]:
+def each_request(level: int, span: int, sender: int, keys: np.ndarray, counts: np.ndarray, pieces: int) -> Iterator[tuple]:
     """Rows (level, span, piece, sender, keys, counts): the list cut where equal hash ranges, `pieces` in all, begin."""
     low, high = int(keys[0]) * pieces >> 64, int(keys[-1]) * pieces >> 64
     cuts = np.array([-(-(k << 64) // pieces) for k in range(low + 1, high + 1)], np.uint64)
     ends = np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]])
     spans = enumerate(zip(ends, ends[1:], strict=False), low)
-    return [(level, span, k, sender, packed(keys[x:y]), planes(counts[x:y])) for k, (x, y) in spans if y > x]
+    return ((level, span, k, sender, packed(keys[x:y]), planes(counts[x:y])) for k, (x, y) in spans if y > x)
+
+
+def requests(level: int, span: int, sender: int, keys: np.ndarray, counts: np.ndarray, pieces: int) -> list[tuple]:
+    return list(each_request(level, span, sender, keys, counts, pieces))
 
 
 def merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -326,6 +348,50 @@ def summed_answers(asked: DataFrame, blocks: int, fan: int) -> DataFrame:
     return keep(answers)
 
 
+def block_requests(batches: Iterator[pa.RecordBatch], order: int, fan: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A block's requests, level by level; of its texts only the tokens are held."""
+    parts, block = [], 0
+    for batch in batches:
+        block = batch["block"][0].as_py() if batch.num_rows else block
+        for part in by_bytes(batch, "text"):
+            parts.append((*token_hashes(part["text"]), ~part["held_out"].to_numpy(zero_copy_only=False)))
+        batch = part = None
+    tokens, lengths, train = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    parts.clear()
+    for level in range(order):
+        for row in each_request(level, block // fan, block, *block_keys(tokens, lengths, level, most, train), fan):
+            yield from as_table([row]).to_batches()
+
+
+def block_scores(
+    batches: Iterator[pa.RecordBatch], texts: int, total: int, types: int, order: int, add: float, prior: float, run: int, most: int
+) -> Iterator[pa.RecordBatch]:
+    """The scores of a block's texts, from rows of texts and rows of answers (level not null) in any order; of the texts only the tokens are held."""
+    tokens, lengths, rows, answers = [], [], [], []
+    for batch in batches:
+        for part in by_bytes(batch, "text"):
+            answer = pc.is_valid(part["level"])
+            given, own = part.filter(answer), part.filter(pc.invert(answer))  # copies, so the batch is held no longer
+            answers.extend(zip(*[given[c].to_pylist() for c in ("level", "piece", "counts")], strict=True))
+            if own.num_rows:
+                found, many = token_hashes(own["text"])
+                tokens.append(found)
+                lengths.append(many)
+                rows.append(own.select(["id", "held_out"]))
+        batch = part = given = own = None
+    tokens, lengths, rows = np.concatenate(tokens), np.concatenate(lengths), pa.Table.from_batches(rows)
+    lists, answers = [], sorted(answers)
+    for level in range(order):
+        keys, _ = block_keys(tokens, lengths, level, most)
+        counts = np.concatenate([from_planes(data) for j, _, data in answers if j == level])
+        answers = [a for a in answers if a[0] > level]
+        lists.append((keys, counts))
+    parts = [scored_part(t, n, lists, texts, total, types, add, prior, run) for t, n in token_parts(tokens, lengths, most)]
+    del lists, tokens
+    made = [rows["id"], rows["held_out"], pa.array(lengths), *[pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]]
+    yield from pa.table(made, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"]).to_batches()
+
+
 def lm_scores(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -349,37 +415,20 @@ def lm_scores(
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A block's requests, level by level; of its texts only the tokens are held."""
-        parts, block = [], 0
-        for batch in batches:
-            block = batch["block"][0].as_py() if batch.num_rows else block
-            for part in by_bytes(batch, "text"):
-                parts.append((*token_hashes(part["text"]), ~part["held_out"].to_numpy(zero_copy_only=False)))
-        tokens, lengths, train = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        del parts
-        train = np.repeat(train, lengths)
-        for level, grams in enumerate(gram_levels(tokens, lengths, order)):
-            keys, counts = counted_keys(grams, train)
-            for row in requests(level, block // fan, block, keys, counts, fan):
-                yield from as_table([row]).to_batches()
+        return block_requests(batches, order, fan, part_tokens)
 
     answers = summed_answers(rows.groupBy("block").applyInArrow(ask, REQUEST), blocks, fan).withColumnRenamed("sender", "block")
     sums = answers.where("level = 0").agg(F.sum("types"), F.sum("tokens"), F.sum("texts")).first()
     types, total, texts = (int(x or 0) for x in sums)
 
-    def score(table: pa.Table, given: pa.Table) -> pa.Table:
-        tokens, lengths = block_tokens(table)
-        level, piece, data, lists = given["level"].to_numpy(), given["piece"].to_numpy(), given["counts"], []
-        by_piece = np.argsort(piece, kind="stable")
-        for j, grams in enumerate(gram_levels(tokens, lengths, order)):
-            lists.append((distinct(grams), np.concatenate([from_planes(data[int(k)].as_py()) for k in by_piece[level[by_piece] == j]])))
-        parts = [scored_part(t, n, lists, texts, total, types, add, prior, run) for t, n in token_parts(tokens, lengths, part_tokens)]
-        made = [table["id"], table["held_out"], pa.array(lengths), *[pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]]
-        return pa.table(made, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    asked = answers.select("level", "piece", "block", "counts").groupBy("block")
-    out = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = rows.groupBy("block").cogroup(asked).applyInArrow(score, out)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return block_scores(batches, texts, total, types, order, add, prior, run, part_tokens)
+
+    # Texts and answers of a block come as one group, read batch by batch; a cogroup would hold both as whole tables.
+    none = lambda kind: F.lit(None).cast(kind)
+    read = rows.select("block", "id", "held_out", "text", *[none(kind).alias(c) for c, kind in (("level", "int"), ("piece", "long"), ("counts", "binary"))])
+    asked = answers.select("block", none("long").alias("id"), none("boolean").alias("held_out"), none("string").alias("text"), "level", "piece", "counts")
+    scored = read.union(asked).groupBy("block").applyInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
