@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from groupwise.storage import drop_tables, mark
 
 from .common import by_bytes, join_counted, keep, split_words
-from .near_dedup import cells_for, components, grid_places, unary_counts, within
+from .near_dedup import cells_for, components, grid_places, runs, unary_counts, within
 
 #: Odd multipliers that mix 64 bits.
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -79,8 +79,10 @@ def names(starts: np.ndarray, sets: np.ndarray) -> pa.Array:
     return pa.array([b.tobytes() for b in both], pa.binary())
 
 
-def view_fingerprints(starts: np.ndarray, sets: np.ndarray, views: int, tail: float, cut: float = 25.0) -> np.ndarray:
-    """(text, view): fingerprints of the texts that have shingles, in order. Weights below exp(-cut) change no bit in practice and are left out."""
+def view_fingerprints(starts: np.ndarray, sets: np.ndarray, views: int, tail: float, cut: float = 25.0, most: int = 1 << 13) -> np.ndarray:
+    """(text, view): fingerprints of the texts that have shingles, in order. Weights below exp(-cut) change no bit in practice and are left out.
+
+    A weighed shingle takes 64 numbers, so about `most` of them are weighed at a time, whole texts together."""
     sizes = np.diff(starts)
     some = np.flatnonzero(sizes)
     out = np.zeros((len(some), views), np.uint64)
@@ -92,12 +94,16 @@ def view_fingerprints(starts: np.ndarray, sets: np.ndarray, views: int, tail: fl
         drawn ^= drawn >> np.uint64(32)
         rank = drawn * M2 * (2.0**-64) * n  # u n: about how many shingles of the set come before
         near = np.flatnonzero(rank < cut / tail)
-        bits = np.unpackbits(mixed(drawn[near]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        signed = np.where(bits, 1.0, -1.0) * np.exp(-tail * rank[near])[:, None]
+        hashes, weights = mixed(drawn[near]), np.exp(-tail * rank[near])
+        del drawn, rank
         begins = np.searchsorted(of[near], np.arange(len(some)))
         filled = np.flatnonzero(np.diff(np.append(begins, len(near))))
-        sums = np.add.reduceat(signed, begins[filled], axis=0) if len(filled) else np.zeros((0, 64))
-        out[filled, v] = np.packbits((sums > 0).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
+        begins, ends = begins[filled], np.append(begins[filled][1:], len(near))
+        for first, stop in runs(ends, most):
+            a, b = begins[first], ends[stop - 1]
+            bits = np.unpackbits(hashes[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums = np.add.reduceat(np.where(bits, weights[a:b, None], -weights[a:b, None]), begins[first:stop] - a, axis=0)
+            out[filled[first:stop], v] = np.packbits((sums > 0).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 

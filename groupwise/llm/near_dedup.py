@@ -45,7 +45,7 @@ def bits_over_half(hashes: np.ndarray, counts: np.ndarray, most: int = 1 << 18)
         return out
     ends = np.cumsum(counts[some])
     done = 0
-    for first in _runs(ends, most):
+    for first in runs(ends, most):
         last = ends[first[1] - 1]
         bits = np.unpackbits(hashes[done:last].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         starts = np.concatenate([[0], ends[first[0] : first[1] - 1] - done]).astype(np.int64)
@@ -56,7 +56,7 @@ def bits_over_half(hashes: np.ndarray, counts: np.ndarray, most: int = 1 << 18)
     return out
 
 
-def _runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+def runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     start = 0
     while start < len(ends):
         before = ends[start - 1] if start else 0
