@@ -98,6 +98,8 @@ def view_fingerprints(starts: np.ndarray, sets: np.ndarray, views: int, tail: fl
         del drawn, rank
         begins = np.searchsorted(of[near], np.arange(len(some)))
         filled = np.flatnonzero(np.diff(np.append(begins, len(near))))
+        if not len(filled):  # no text has a shingle of weight here, as where all are empty
+            continue
         begins, ends = begins[filled], np.append(begins[filled][1:], len(near))
         for first, stop in runs(ends, most):
             a, b = begins[first], ends[stop - 1]

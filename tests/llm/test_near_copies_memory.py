@@ -24,3 +24,9 @@ def test_weighed_shingles_are_held_in_runs():
     assert got.shape == (16_000, 2)
     assert low < whole / 4
     assert np.array_equal(view_fingerprints(starts[:6], sets[: starts[5]], 2, 0.45, most=1), want[:4])
+
+
+def test_texts_without_shingles():
+    for sizes in ([], [0], [0, 0, 0]):
+        starts = np.append(0, np.cumsum(np.array(sizes, np.int64)))
+        assert view_fingerprints(starts, np.zeros(0, np.uint64), 24, 0.45).shape == (0, 24)
