@@ -39,6 +39,11 @@ def _bits(spark, sf):
     return docs.withColumn("bits", s.fingerprint(F.col("text"), 3, 1 << 40))
 
 
+def _grams(spark, sf):
+    """The sets of _bits, without the other columns."""
+    return stored(geometry.fingerprint_sets(table(spark, sf, "documents").select("doc_id", "text"), "text"))
+
+
 GRAMS = "WITH d AS (SELECT doc_id, lang, text FROM documents), g AS (SELECT DISTINCT doc_id, lang, text[i:i+2] AS gram FROM (SELECT *, unnest(range(1, greatest(length(text) - 1, 2))) AS i FROM d WHERE length(text) > 0)), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)"
 
 
@@ -48,21 +53,21 @@ NEAREST = GRAMS + ", p AS (SELECT a.doc_id, b.doc_id AS other, count(*) AS i FRO
 
 @add("j10_nearest_similarity", NEAREST + " SELECT doc_id, coalesce(nearest, 0) AS nearest FROM d LEFT JOIN s USING (doc_id) WHERE doc_id % 3 = 0", "nearest")
 def _(spark, sf):
-    b = stored(_bits(spark, sf).select("doc_id", "bits"))
+    b = _grams(spark, sf)
     return geometry.nearest_similarity(b.where("doc_id % 3 = 0"), b.where("doc_id % 3 <> 0"), "doc_id")
 
 
 @add("j10_minhash_recall")
 def _(spark, sf):
     """Recall of the approximate search against the exact one, over all queries."""
-    b = stored(_bits(spark, sf).select("doc_id", "bits"))
+    b = _grams(spark, sf)
     q, t = b.where("doc_id % 3 = 0"), b.where("doc_id % 3 <> 0")
     return geometry.search_recall(geometry.minhash_nearest(q, t, "doc_id"), geometry.nearest_similarity(q, t, "doc_id"), "doc_id", "nearest")
 
 
 @add("j10_minhash_nearest")
 def _(spark, sf):
-    b = stored(_bits(spark, sf).select("doc_id", "bits"))
+    b = _grams(spark, sf)
     return geometry.minhash_nearest(b.where("doc_id % 3 = 0"), b.where("doc_id % 3 <> 0"), "doc_id")
 
 

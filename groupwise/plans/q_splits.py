@@ -201,7 +201,7 @@ def _(spark, sf):
 @add("x12_severity", NEAREST + """, near AS (SELECT doc_id, coalesce(nearest, 0) AS v FROM d LEFT JOIN s USING (doc_id) WHERE doc_id % 3 = 0)
 SELECT count(*) AS n, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, quantile_cont(v, 0.95) AS p95, max(v) AS max FROM near""", "mean std min p05 p25 p50 p75 p95 max")
 def _(spark, sf):
-    docs = stored(table(spark, sf, "documents").select("doc_id", s.fingerprint(F.col("text"), 3, 1 << 40).alias("bits")))
+    docs = stored(geometry.fingerprint_sets(table(spark, sf, "documents").select("doc_id", "text"), "text"))
     near = geometry.nearest_similarity(docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 <> 0"), "doc_id")
     return stats.summary(near, "nearest")
 
