@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +62,59 @@ def interval(stats: DataFrame, value: str = "stat", level: float = 0.95) -> Data
     return stats.agg(F.percentile(value, F.array(F.lit(lo), F.lit(hi))).alias("_q"), F.count(value).alias("n_replicates")).select(F.get("_q", 0).alias("lo"), F.get("_q", 1).alias("hi"), "n_replicates")
 
 
+def drawn_means(units: DataFrame, key: str, value: str, replicates: int, seed: int, width: int = 1 << 16) -> DataFrame:
+    """(b, stat): the mean over the units of each replicate's n draws (R0); units: one row a key.
+
+    The units are cut by number into ranges of at most `width`. A task packs its draws as two bytes each, a list for every replicate and range, and a
+    range's lists meet its values once, so neither draws nor keys are shuffled as rows."""
+    named = stored(numbered(units.select(key, F.col(value).cast("double").alias("v")), key).select("idx", "v"))
+    n = named.count()
+    width = max(1, min(width, 1 << 16, (1 << 23) // max(1, replicates)))
+    tasks = max(named.sparkSession.sparkContext.defaultParallelism, -(-replicates * n // 2_000_000))
+    slots = named.sparkSession.range(0, replicates * n, 1, tasks).select(F.expr(f"id div {max(n, 1)}").alias("b"), F.expr(f"id % {max(n, 1)}").alias("slot"))
+    draws = slots.select("b", draw(F.lit(n), seed, F.col("b"), F.col("slot")).alias("idx"))
+
+    def lists(b: np.ndarray, idx: np.ndarray) -> pa.RecordBatch:
+        part, at = idx // width, (idx % width).astype(np.uint16)
+        order = np.lexsort((part, b))
+        b, part, at = b[order], part[order], at[order]
+        first = np.flatnonzero(np.append(True, (np.diff(b) != 0) | (np.diff(part) != 0)))
+        held = [x.tobytes() for x in np.split(at, first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(b[first]), pa.array(held, pa.binary())], names=["part", "b", "drawn"])
+
+    def packed(batches):
+        held, many = [], 0
+        for batch in batches:
+            held.append((batch["b"].to_numpy(), batch["idx"].to_numpy()))
+            many += batch.num_rows
+            if many >= 1 << 21:
+                yield lists(*map(np.concatenate, zip(*held, strict=True)))
+                held, many = [], 0
+        if many:
+            yield lists(*map(np.concatenate, zip(*held, strict=True)))
+
+    def summed(drawn: pa.Table, own: pa.Table) -> pa.Table:
+        v = np.zeros(width)
+        there = np.zeros(width, bool)
+        v[own["at"].to_numpy()] = pc.fill_null(own["v"], 0.0).to_numpy()
+        there[own["at"].to_numpy()] = pc.is_valid(own["v"]).to_numpy()
+        total = np.zeros((2, replicates))
+        for b, x in zip(drawn["b"].to_pylist(), drawn["drawn"], strict=True):
+            at = np.frombuffer(x.as_buffer(), np.uint16)
+            total[0, b] += v[at].sum()
+            total[1, b] += there[at].sum()
+        return pa.table([pa.array(np.arange(replicates)), pa.array(total[0]), pa.array(total[1])], names=["b", "s", "n"])
+
+    own = named.select(F.expr(f"idx div {width}").alias("part"), F.expr(f"int(idx % {width})").alias("at"), "v")
+    met = draws.mapInArrow(packed, "part long, b long, drawn binary").groupBy("part").cogroup(own.groupBy("part")).applyInArrow(summed, "b long, s double, n double")
+    return met.groupBy("b").agg((F.sum("s") / F.sum("n")).alias("stat")).where("stat is not null")
+
+
 def replicate_means(units: DataFrame, key: str, value: str, replicates: int, seed: int, poisson: bool = False) -> DataFrame:
     """(b, stat): the mean over drawn units."""
-    m = (poisson_weights if poisson else multiplicities)(units, key, replicates, seed)
+    if not poisson:
+        return drawn_means(units, key, value, replicates, seed)
+    m = poisson_weights(units, key, replicates, seed)
     return m.join(units.select(key, value).hint("shuffle_hash"), key).groupBy("b").agg((F.sum(F.col("m") * F.col(value)) / F.sum("m")).alias("stat"))
 
 
