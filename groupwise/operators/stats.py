@@ -153,7 +153,7 @@ def running_sums(
     rows = cut.withColumns({f"_i{k}": F.sum(value).over(inside.rowsBetween(W.unboundedPreceding, 0)) for k, (value, _) in named})
     if ahead:
         rows = rows.withColumn("_next", F.lead(order[-1]).over(inside))
-    joined = rows.join(before.hint("shuffle_hash"), [*by, "_part"])
+    joined = rows.join(before.hint("shuffle_hash" if by else "broadcast"), [*by, "_part"])  # without groups one row a range
     out = joined.withColumns({name: F.col(f"_i{k}") + F.col(f"_b{k}") for k, (_, name) in named} | ({ahead: F.coalesce("_next", "_after")} if ahead else {}))
     return out.drop("_part", "_next", "_after", *[f"_{c}{k}" for c in "ib" for k, _ in named])
 
@@ -230,14 +230,16 @@ def average_rank(df: DataFrame, x: str, out: str, by: Sequence[str] = ()) -> Dat
     return df.join(ranked, [*by, x], "left")
 
 
-def average_ranks(df: DataFrame, columns: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
-    """Average ranks of several columns (column to rank column) in one pass over their distinct values."""
+def average_ranks(df: DataFrame, columns: dict[str, str], by: Sequence[str] = (), few: int = 200_000) -> DataFrame:
+    """Average ranks of several columns (column to rank column) in one pass over their distinct values. Where a column has at most `few` of them, counted,
+    they go to every task; else the rows are shuffled by value."""
     pairs = F.array(*[F.struct(F.lit(c).alias("_of"), F.col(c).cast("double").alias("_v")) for c in columns])
     per = df.select(*by, F.inline(pairs)).where("_v is not null").groupBy(*by, "_of", "_v").agg(F.count("*").alias("_n"))
     ranked = stored(running_sum(per, [*by, "_of"], ["_v"], "_n", "_c").withColumn("_r", F.col("_c") - (F.col("_n") - 1) / 2).select(*by, "_of", "_v", "_r"))
+    many = {r["_of"]: r["count"] for r in ranked.groupBy("_of").count().collect()}  # one row a column
     for c, out in columns.items():
         one = ranked.where(F.col("_of") == c).select(*by, F.col("_v").alias(c), F.col("_r").alias(out))
-        df = df.join(one, [*by, c], "left")
+        df = df.join(one.hint("broadcast" if many.get(c, 0) <= few else "shuffle_merge"), [*by, c], "left")
     return df
 
 
@@ -269,10 +271,10 @@ def weighted_correlation(x: str, y: str, weight: str) -> Column:
 
 
 def task_pairs(long: DataFrame, key: str, weight: str) -> DataFrame:
-    """Every two tasks of a key with values of both: (task_a, task_b, x, y, w). Both sides may come from a generator, so they are shuffled."""
-    a = long.select(key, F.col("task").alias("task_a"), F.col("value").alias("x"), F.col(weight).alias("w")).where("x is not null")
-    b = long.select(key, F.col("task").alias("task_b"), F.col("value").alias("y")).where("y is not null")
-    return a.join(b.hint("shuffle_merge"), key).where("task_a < task_b").select("task_a", "task_b", "x", "y", "w")
+    """Every two tasks of a key with values of both: (task_a, task_b, x, y, w). A key's values are brought together by one shuffle and meet there."""
+    one = long.where(F.col(key).isNotNull() & F.col("value").isNotNull()).groupBy(key).agg(F.collect_list(F.struct("task", "value", F.col(weight).alias("w"))).alias("_k"))
+    a = one.select(F.explode("_k").alias("a"), "_k").select("a", F.explode("_k").alias("b")).where("a.task < b.task")
+    return a.select(F.col("a.task").alias("task_a"), F.col("b.task").alias("task_b"), F.col("a.value").alias("x"), F.col("b.value").alias("y"), "a.w")
 
 
 def pair_relations(long: DataFrame, key: str, weight: str) -> DataFrame:
@@ -286,8 +288,9 @@ def redundant_pairs(long: DataFrame, key: str, weight: str, least_spearman: floa
 
     Values are counted per pair and ranked in ranges, so no task ranks a whole column."""
     by = ["task_a", "task_b"]
-    ranked = average_ranks(stored(task_pairs(long, key, weight)), {"x": "rx", "y": "ry"}, by)
-    m = ranked.groupBy(*by).agg(F.count("*").alias("n"), weighted_correlation("x", "y", "w").alias("r"), weighted_correlation("rx", "ry", "w").alias("spearman"))
+    pairs = stored(task_pairs(long, key, weight))
+    ranked = average_ranks(pairs, {"x": "rx", "y": "ry"}, by).groupBy(*by).agg(weighted_correlation("rx", "ry", "w").alias("spearman"))
+    m = pairs.groupBy(*by).agg(F.count("*").alias("n"), weighted_correlation("x", "y", "w").alias("r")).join(ranked, by)  # x and y go no further than their ranks
     out = m.withColumn("residual_rmse", F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("r") ** 2)))
     gate = (F.abs("spearman") >= least_spearman) & (F.col("residual_rmse") <= most_residual)
     return out.withColumn("redundant", F.coalesce(gate, F.lit(False)))
