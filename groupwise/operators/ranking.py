@@ -63,8 +63,8 @@ def _can_be_picked(rows: DataFrame, by: Sequence[str], first: str, second: str,
     return rows
 
 
-def capped_picks(pool: DataFrame, key: str, first: str, second: str, order: Sequence[Column], k: int, cap: int = 2, least: Column | None = None, used: tuple[Mapping, Mapping] = ({}, {})) -> DataFrame:
-    """Up to k rows in order, at most `cap` per value of either key, counting earlier picks in `used`; fewer rather than more than the caps.
+def capped_picks(pool: DataFrame, key: str, first: str, second: str, order: Sequence[Column], k: int, cap: int = 2, least: Column | None = None, used: tuple[Mapping, Mapping] = ({}, {}), keep: Sequence[str] = ()) -> DataFrame:
+    """(key, pick, keep): up to k rows in order, at most `cap` per value of either key, counting earlier picks in `used`; fewer rather than more than the caps.
 
     One pass: the rows that any such picks can take number below k + 2 k^2 cap, and the picks are made among them."""
     one, two, picked = dict(used[0]), dict(used[1]), []
@@ -73,10 +73,11 @@ def capped_picks(pool: DataFrame, key: str, first: str, second: str, order: Sequ
         if full := [x for x, n in counts.items() if n >= cap]:
             rows = rows.where(~F.coalesce(F.col(c).isin(full), F.lit(False)))
     for row in _can_be_picked(rows, [], first, second, order, k, cap).orderBy(*order).collect() if k > 0 else []:
-        if one.get(row[first], 0) < cap and two.get(row[second], 0) < cap and len(picked) < k and row[key] not in picked:
-            picked.append(row[key])
+        if one.get(row[first], 0) < cap and two.get(row[second], 0) < cap and len(picked) < k and row[key] not in [p[0] for p in picked]:
+            picked.append((row[key], len(picked) + 1, *(row[c] for c in keep)))
             one[row[first]], two[row[second]] = one.get(row[first], 0) + 1, two.get(row[second], 0) + 1
-    return pool.sparkSession.createDataFrame(list(zip(picked, range(1, k + 1), strict=False)), f"{key} {dict(pool.dtypes)[key]}, pick int")
+    kind = dict(pool.dtypes)
+    return pool.sparkSession.createDataFrame(picked, ", ".join([f"{key} {kind[key]}", "pick int", *(f"{c} {kind[c]}" for c in keep)]))
 
 
 def _similarities(rows: DataFrame, key: str, bits: str, keep: Sequence[str], against: Sequence[Sequence[int]]) -> DataFrame:
