@@ -115,8 +115,9 @@ def best_split(balanced: DataFrame, shares: Sequence[float] = (0.7, 0.15, 0.15))
 
 
 def assign(df: DataFrame, assigned: DataFrame, split: DataFrame, group: str) -> DataFrame:
-    """Rows with unit and partition."""
-    return df.join(assigned.select(group, "unit").hint("shuffle_merge"), group).join(split.select("unit", "partition").hint("shuffle_merge"), "unit")
+    """Rows with unit and partition. Groups meet the split first, one row each, so the rows are shuffled once and without the names of units."""
+    placed = assigned.select(group, "unit").join(split.select("unit", "partition").hint("shuffle_merge"), "unit")
+    return df.join(placed.hint("shuffle_merge"), group)
 
 
 def repair_support(rows: DataFrame, keys: Sequence[str], unit: str = "unit", least: int = 5) -> DataFrame:
@@ -296,21 +297,21 @@ def verify(rows: DataFrame, record: str, group: str, identities: Sequence[str],
     """(check, observed, passed); observed counts faults."""
     ok = ("train", "val", "test", "buffer", "historical_quarantine")
     visible = rows.where(F.col("partition").isin(*PARTS))
+    ends, several = [F.min("partition").alias("lo"), F.max("partition").alias("hi")], F.col("lo") != F.col("hi")
+    groups = rows.where(F.col(group).isNotNull()).groupBy(group).agg(*ends, F.sum(weight).alias("s")).agg(F.count_if(several).alias("p"), F.count_if(F.abs(F.col("s") - 1) > 1e-9).alias("w"))
+    both = F.array(*[F.struct(F.lit(name).alias("check"), F.col(c).alias("observed"), (F.col(c) == 0).alias("passed")) for name, c in (("one_partition_per_group", "p"), ("weights_sum_to_one", "w"))])
     checks = [
         ("unique_records", rows.agg((F.count("*") - F.count_distinct(record)).alias("x"))),
         ("coverage", rows.agg(F.abs(F.count("*") - F.lit(expected)).alias("x"))),
         ("domain", rows.agg(F.count_if(~F.coalesce(F.col("partition").isin(*ok), F.lit(False))).alias("x"))),
-        ("one_partition_per_group", rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count_distinct("partition").alias("n")).agg(F.count_if(F.col("n") > 1).alias("x"))),
-        ("weights_sum_to_one", rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.sum(weight).alias("s")).agg(F.count_if(F.abs(F.col("s") - 1) > 1e-9).alias("x"))),
         ("power", visible.agg(F.count_if(F.col("partition") == "val").alias("v"), F.count_if(F.col("partition") == "test").alias("t")).select(((F.col("v") < least_power).cast("int") + (F.col("t") < least_power).cast("int")).alias("x"))),
         ("no_target_columns", rows.limit(1).agg(F.lit(len([t for t in targets if t in rows.columns])).alias("x"))),
-        *[(f"disjoint_{k}", visible.where(F.col(k).isNotNull()).groupBy(k).agg(F.count_distinct("partition").alias("n")).agg(F.count_if(F.col("n") > 1).alias("x"))) for k in identities],
+        *[(f"disjoint_{k}", visible.where(F.col(k).isNotNull()).groupBy(k).agg(*ends).agg(F.count_if(several).alias("x"))) for k in identities],
         *[(f"support_{k}", visible.groupBy(k).agg(F.count_if(F.col("partition") == "train").alias("s"), F.count_if(F.col("partition") != "train").alias("o")).agg(F.count_if((F.col("o") > 0) & (F.col("s") < least_support)).alias("x"))) for k in support],
     ]
-    out = None
+    out = groups.select(F.inline(both))  # one pass over the groups for both
     for name, one in checks:
-        one = one.select(F.lit(name).alias("check"), F.col("x").cast("long").alias("observed"), (F.col("x") == 0).alias("passed"))
-        out = one if out is None else out.union(one)
+        out = out.union(one.select(F.lit(name).alias("check"), F.col("x").cast("long").alias("observed"), (F.col("x") == 0).alias("passed")))
     return out
 
 

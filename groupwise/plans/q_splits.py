@@ -157,9 +157,11 @@ SELECT "check", CAST(observed AS BIGINT) AS observed, observed = 0 AS passed FRO
 
 @add("x7_verify", X7_SQL)
 def _(spark, sf):
-    units, best = _split(spark, sf)
-    rows = stored(splits.assign(_rows(spark, sf), units, best, "grp"))
-    return splits.verify(rows.drop("y"), "record", "grp", ["donor"], "group_weight", table(spark, sf, "lineitem").count(), targets=["y"])
+    r = stored(_rows(spark, sf).select("record", "grp", "donor", "group_weight", "forced"))  # what units and checks read, made once
+    units = stored(splits.atomic_units(r, "grp", "donor", "group_weight", "forced"))
+    best = splits.best_split(splits.balance_units(splits.units_only(units), [1, 2, 3]))
+    rows = stored(splits.assign(r.drop("forced"), units, best, "grp").drop("unit"))
+    return splits.verify(rows, "record", "grp", ["donor"], "group_weight", table(spark, sf, "lineitem").count(), targets=["y"])
 
 
 @add("x8_invariance", "SELECT (SELECT count(*) FROM (SELECT DISTINCT l_suppkey FROM lineitem)) AS n, true AS invariant")

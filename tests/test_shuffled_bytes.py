@@ -19,7 +19,7 @@ def shuffled_bytes(spark, run):
     return out, sum(after.apply(i).shuffleWriteBytes() for i in range(after.size()) if after.apply(i).stageId() not in before)
 
 
-@pytest.mark.parametrize(("name", "most"), [("d5_shortlist_checks", 180), ("r5_record_bootstrap", 450), ("x7_verify", 400), ("a16_redundant_pairs", 250)])
+@pytest.mark.parametrize(("name", "most"), [("d5_shortlist_checks", 180), ("r5_record_bootstrap", 450), ("x7_verify", 230), ("a16_redundant_pairs", 250)])
 def test_bytes_a_line(spark, name, most):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     _, moved = shuffled_bytes(spark, lambda: __spark_entry__.queries()[name](spark, SF).collect())
